@@ -28,8 +28,10 @@ RULES: dict[str, Rule] = {r.name: r for r in [
     Rule("ip", r"[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}"),
     Rule("card", r"[0-9]{16}"),
     Rule("phone", r"[+][0-9] [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}"),
-    Rule("token", r"token = \"([0-9A-Za-z_-]+)\"", 1),
-    Rule("license", r"[^\n]*[Ll]icen[sc]e[^\n]*"),
+    Rule("token", r'token = "([0-9A-Za-z_-]+)"', 1),
+    # anchored at a line start (start of text or after a newline) so the
+    # backtracking engine scans each line once instead of once per position
+    Rule("license", r"(?:^|\n)([^\n]*[Ll]icen[sc]e[^\n]*)", 1),
 ]}
 
 # Requested-field spellings mapped to rule names.
@@ -71,7 +73,7 @@ def extract_rules(docs: DataFrame, fields: list[str], key_col: str = "doc_id",
     out = docs.select(F.col(key_col), F.inline(F.array(*items)))
     n = F.coalesce(F.size("_m"), F.lit(0)).cast("bigint")
     return out.select(key_col, "ordinal", "field",
-                      F.element_at("_m", 1).alias("value"),
+                      F.try_element_at("_m", F.lit(1)).alias("value"),
                       F.when(n > 0, n).otherwise(F.lit(0)).alias("n_matches"),
                       F.when(n > 0, F.lit(1.0)).alias("confidence"))
 
@@ -145,10 +147,13 @@ def extract_sections(docs: DataFrame, key_col: str = "doc_id", text_col: str = "
                          F.when(head != "", head).alias("heading"), body.alias("body"))
 
 
+FORM_QUOTED = r'([A-Za-z_][A-Za-z0-9_]*) = "([^"\n]*)"'
+FORM_COLON = r"(?m)^([A-Z][A-Za-z ]{0,40}):[ \t]*([^\n]+)$"
+
+
 def extract_form_fields(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``key = "value"`` and ``Key: value`` pairs -> ``(key, form, name, value)``."""
-    quoted = r"([A-Za-z_][A-Za-z0-9_]*) = \"([^\"\n]*)\""
-    colon = r"(?m)^([A-Z][A-Za-z ]{0,40}):[ \t]*([^\n]+)$"
+    quoted, colon = FORM_QUOTED, FORM_COLON
     t = F.col(text_col)
 
     def pairs(pattern: str, form: str) -> Column:

@@ -56,7 +56,7 @@ def missing_by_column(df: DataFrame, cols: list[str] | None = None) -> DataFrame
     """Missing (null, and NaN for floating columns) per column, long form."""
     cols = cols or df.columns
     wide = df.agg(*[F.count_if(_is_missing(df, c)).alias(c) for c in cols])
-    return wide.unpivot([], [F.col(c) for c in cols], "column", "n_missing")
+    return wide.unpivot([], [F.col(c) for c in cols], "column_name", "n_missing")
 
 
 def missing_total(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -108,15 +108,16 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], n_ranges
     lo = hits.where(F.col("rank") == F.col("lo")).select("column", "prob", "h", "lo", F.col("x").alias("x_lo"))
     hi = hits.select("column", "prob", F.col("rank").alias("hi"), F.col("x").alias("x_hi"))
     both = lo.join(targets.select("column", "prob", "hi"), ["column", "prob"]).join(hi, ["column", "prob", "hi"])
-    return both.select("column", "prob",
+    return both.select(F.col("column").alias("column_name"), "prob",
                        (F.col("x_lo") + (F.col("h") - F.col("lo")) * (F.col("x_hi") - F.col("x_lo"))).alias("value"))
 
 
 def approx_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = 10000) -> DataFrame:
     """Approximate quantiles (Greenwald-Khanna sketch, one pass)."""
     items = _long(df, cols).groupBy("column").agg(F.percentile_approx("x", probs, accuracy).alias("q"))
-    pairs = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("prob"), F.col("q").alias("value"))
-    return items.select("column", F.inline(pairs)).select("column", F.col("prob"), F.col("value").cast("double"))
+    pairs = F.zip_with(F.array(*[F.lit(float(p)) for p in probs]), F.col("q"),
+                       lambda p, v: F.struct(p.alias("prob"), v.cast("double").alias("value")))
+    return items.select(F.col("column").alias("column_name"), F.inline(pairs))
 
 
 def describe_all(df: DataFrame, numeric: list[str], categorical: list[str], exact: bool = True) -> DataFrame:
@@ -137,10 +138,10 @@ def describe_all(df: DataFrame, numeric: list[str], categorical: list[str], exac
                      F.col(f"{c}__std").alias("std"), F.col(f"{c}__min").alias("min"), F.col(f"{c}__max").alias("max"))
             for c in numeric])))
         q = (exact_quantiles if exact else approx_quantiles)(df, numeric, probs)
-        qw = q.groupBy("column").pivot("prob", probs).agg(F.first("value"))
-        qw = qw.select("column", *[F.col(f"`{p}`").alias(n) for p, n in zip(probs, ["p25", "p50", "p75"])])
-        num = num.join(qw, "column", "left")
-        parts.append(num.select("column", "count", F.lit(None).cast("bigint").alias("unique"),
+        qw = q.groupBy("column_name").agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n)
+                                              for p, n in zip(probs, ["p25", "p50", "p75"])])
+        num = num.withColumnRenamed("column", "column_name").join(qw, "column_name", "left")
+        parts.append(num.select("column_name", "count", F.lit(None).cast("bigint").alias("unique"),
                                 F.lit(None).cast("string").alias("top"), F.lit(None).cast("bigint").alias("freq"),
                                 "mean", "std", "min", "p25", "p50", "p75", "max"))
     if categorical:
@@ -152,7 +153,7 @@ def describe_all(df: DataFrame, numeric: list[str], categorical: list[str], exac
             F.sum("cnt").cast("bigint").alias("count"), F.count(F.lit(1)).cast("bigint").alias("unique"),
             F.min_by("value", F.struct(-F.col("cnt"), F.col("value"))).alias("top"),
             F.max("cnt").cast("bigint").alias("freq"))
-        parts.append(cat.select("column", "count", "unique", "top", "freq",
+        parts.append(cat.select(F.col("column").alias("column_name"), "count", "unique", "top", "freq",
                                 *[F.lit(None).cast("double").alias(n)
                                   for n in ["mean", "std", "min", "p25", "p50", "p75", "max"]]))
     out = parts[0]
@@ -218,7 +219,7 @@ def scale_check(df: DataFrame, cols: list[str]) -> DataFrame:
     """Mean magnitude per column and its gap (orders of ten) to the largest."""
     wide = df.agg(*[F.avg(F.abs(F.col(c).cast("double"))).alias(c) for c in cols])
     top = F.greatest(*[F.col(c) for c in cols]) if len(cols) > 1 else F.col(cols[0])
-    long = wide.select(top.alias("_top"), *cols).unpivot(["_top"], [F.col(c) for c in cols], "column", "mean_abs")
-    return long.select("column", "mean_abs",
+    long = wide.select(top.alias("_top"), *cols).unpivot(["_top"], [F.col(c) for c in cols], "column_name", "mean_abs")
+    return long.select("column_name", "mean_abs",
                        F.floor(F.log10("mean_abs")).cast("bigint").alias("order_of_magnitude"),
                        F.log10(F.col("_top") / F.col("mean_abs")).alias("orders_below_max"))

@@ -72,7 +72,9 @@ def fit_exact(df: DataFrame, features: list[str], label: str, name: str = "exact
     (centred, so badly scaled features stay well conditioned), then a p×p
     solve on the driver."""
     cols = features + [label]
-    complete = df.where(F.greatest(*[F.col(c).isNull() for c in cols]) == F.lit(False)) if len(cols) > 1 else df
+    complete = df
+    for c in cols:
+        complete = complete.where(F.col(c).isNotNull())
     aggs = [F.avg(c).alias(f"m_{c}") for c in cols]
     aggs += [F.covar_samp(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c_{a}__{b}")
              for i, a in enumerate(cols) for b in cols[i:]]

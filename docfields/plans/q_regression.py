@@ -134,11 +134,11 @@ def q_compare_experiments(spark, sf_dir):
 
 
 @query("formula_gap", f"""WITH {EXACT_SQL},
-w AS (SELECT 'TRIP_MILES' AS term, w1 AS weight FROM m2 UNION ALL SELECT 'TRIP_MINUTES', w2 FROM m2
-      UNION ALL SELECT 'bias', b FROM m2),
+wt AS (SELECT 'TRIP_MILES' AS term, w1 AS weight FROM m2 UNION ALL SELECT 'TRIP_MINUTES', w2 FROM m2
+       UNION ALL SELECT 'bias', b FROM m2),
 e AS (SELECT * FROM (VALUES ('TRIP_MILES', 2.25), ('TRIP_MINUTES', 0.12), ('bias', 3.25)) v(term, expected))
-SELECT 'two_features' AS experiment, w.term, weight, CAST(expected AS DOUBLE) AS expected,
-       weight - expected AS gap FROM w LEFT JOIN e ON w.term = e.term""")
+SELECT 'two_features' AS experiment, wt.term, weight, CAST(expected AS DOUBLE) AS expected,
+       weight - expected AS gap FROM wt LEFT JOIN e ON wt.term = e.term""")
 def q_formula_gap(spark, sf_dir):
     return rg.formula_gap(exact_two(spark, sf_dir).weights_df(spark))
 

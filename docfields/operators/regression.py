@@ -160,28 +160,35 @@ def rmsprop_epochs(G, c, syy, n, lr: float, epochs: int, seed: int = 42):
     loss/rmse are the running values over the epoch (computed before each
     update, as the training loop reports them) and ``rmse_final`` is the
     RMSE of the weights at the end of the epoch on all rows.
+    The update loop uses plain floats: with q ≤ 4 terms, per-call numpy
+    overhead would dominate.
     """
     q = G.shape[1]
-    w = np.zeros(q)
-    v = np.zeros(q)
+    Gl, cl, yl, nl = G.tolist(), c.tolist(), syy.tolist(), n.tolist()
+    w = [0.0] * q
+    v = [0.0] * q
+    rho, eps = RMSPROP_RHO, RMSPROP_EPSILON
     rng = np.random.default_rng(seed)
-    G_all, c_all, syy_all, n_all = G.sum(axis=0), c.sum(axis=0), syy.sum(), n.sum()
+    G_all, c_all, syy_all, n_all = G.sum(axis=0), c.sum(axis=0), float(syy.sum()), float(n.sum())
+    rq = range(q)
     hist = []
     for epoch in range(epochs):
         sse = 0.0
         rows = 0.0
-        for b in rng.permutation(len(n)):
-            Gb, cb = G[b], c[b]
-            Gw = Gb @ w
-            sse_b = syy[b] - 2.0 * (w @ cb) + w @ Gw
-            sse += sse_b
-            rows += n[b]
-            grad = (2.0 / n[b]) * (Gw - cb)
-            v = RMSPROP_RHO * v + (1.0 - RMSPROP_RHO) * grad * grad
-            w = w - lr * grad / (np.sqrt(v) + RMSPROP_EPSILON)
+        for b in rng.permutation(len(nl)).tolist():
+            Gb, cb, nb = Gl[b], cl[b], nl[b]
+            Gw = [sum(Gb[i][j] * w[j] for j in rq) for i in rq]
+            sse += yl[b] - 2.0 * sum(w[i] * cb[i] for i in rq) + sum(w[i] * Gw[i] for i in rq)
+            rows += nb
+            k = 2.0 / nb
+            for i in rq:
+                g = k * (Gw[i] - cb[i])
+                v[i] = rho * v[i] + (1.0 - rho) * g * g
+                w[i] -= lr * g / (math.sqrt(v[i]) + eps)
+        wa = np.array(w)
         loss = sse / rows
-        final = (syy_all - 2.0 * (w @ c_all) + w @ (G_all @ w)) / n_all
-        hist.append((epoch + 1, float(loss), math.sqrt(max(loss, 0.0)), math.sqrt(max(final, 0.0)), w.copy()))
+        final = (syy_all - 2.0 * float(wa @ c_all) + float(wa @ (G_all @ wa))) / n_all
+        hist.append((epoch + 1, float(loss), math.sqrt(max(loss, 0.0)), math.sqrt(max(final, 0.0)), wa.copy()))
     return hist
 
 
@@ -212,6 +219,8 @@ def sweep_settings(df: DataFrame, settings: DataFrame, label: str, key_cols: lis
     rmse_final, features, weights, bias``.
     """
     spark = df.sparkSession
+    from docfields.session import ship_package
+    ship_package(spark)
     sets = settings.collect()  # one row per experiment: a handful of rows
     n_rows = None
     payload = {}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docfields.functions.jsonfn import strict_json_udf
 from docfields.functions.text import format_value
+from docfields.session import ship_package
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference behaviour.
@@ -32,6 +33,7 @@ def parse_response(df: DataFrame, response_col: str = "response", strip_fences:
     (VARIANT, null when not ok), ``error`` and ``raw_response`` (both set only
     on parse failure, as in the reference's error dict).
     """
+    ship_package(df.sparkSession)
     s = strict_json_udf(strip_fences)(F.col(response_col))
     out = df.withColumn("_sj", s)
     ok = F.col("_sj.ok")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docfields.functions.text import strip_text
+from docfields.session import spread
 
 
 @dataclass(frozen=True)
@@ -20,18 +21,31 @@ class Rule:
     name: str
     pattern: str
     group: int = 0
+    # literal(s) every match contains: the regex runs only on texts that have
+    # one (a fast substring scan skips the backtracking engine elsewhere)
+    hints: tuple[str, ...] = ()
+
+
+def _guarded(text: Column, rule: Rule, expr: Column, empty: Column) -> Column:
+    if not rule.hints:
+        return expr
+    cond = None
+    for h in rule.hints:
+        c = F.instr(text, h) > 0
+        cond = c if cond is None else cond | c
+    return F.when(cond, expr).otherwise(empty)
 
 
 # Rule registry: name -> pattern (group 0 = whole match).
 RULES: dict[str, Rule] = {r.name: r for r in [
-    Rule("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"),
-    Rule("ip", r"[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}"),
+    Rule("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}", 0, ("@",)),
+    Rule("ip", r"[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}", 0, (".",)),
     Rule("card", r"[0-9]{16}"),
-    Rule("phone", r"[+][0-9] [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}"),
-    Rule("token", r'token = "([0-9A-Za-z_-]+)"', 1),
+    Rule("phone", r"[+][0-9] [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}", 0, ("+",)),
+    Rule("token", r'token = "([0-9A-Za-z_-]+)"', 1, ('token = "',)),
     # anchored at a line start (start of text or after a newline) so the
     # backtracking engine scans each line once instead of once per position
-    Rule("license", r"(?:^|\n)([^\n]*[Ll]icen[sc]e[^\n]*)", 1),
+    Rule("license", r"(?:^|\n)([^\n]*[Ll]icen[sc]e[^\n]*)", 1, ("icense", "icence")),
 ]}
 
 # Requested-field spellings mapped to rule names.
@@ -52,7 +66,7 @@ def resolve_field(field: str) -> str | None:
 
 
 def extract_rules(docs: DataFrame, fields: list[str], key_col: str = "doc_id",
-                  text_col: str = "text") -> DataFrame:
+                  text_col: str = "text", balance: bool = True) -> DataFrame:
     """Long result: one row per (document, requested field).
 
     Columns: key, ``ordinal`` (1-based request order), ``field`` (as requested),
@@ -67,10 +81,12 @@ def extract_rules(docs: DataFrame, fields: list[str], key_col: str = "doc_id",
         if rule is None:
             matches = F.array().cast("array<string>")
         else:
-            matches = F.regexp_extract_all(text, F.lit(rule.pattern), rule.group)
+            matches = _guarded(text, rule, F.regexp_extract_all(text, F.lit(rule.pattern), rule.group),
+                               F.array().cast("array<string>"))
         items.append(F.struct(F.lit(i + 1).alias("ordinal"), F.lit(f).alias("field"),
                               matches.alias("_m")))
-    out = docs.select(F.col(key_col), F.inline(F.array(*items)))
+    src = spread(docs.select(key_col, text_col)) if balance else docs
+    out = src.select(F.col(key_col), F.inline(F.array(*items)))
     n = F.coalesce(F.size("_m"), F.lit(0)).cast("bigint")
     return out.select(key_col, "ordinal", "field",
                       F.try_element_at("_m", F.lit(1)).alias("value"),
@@ -180,4 +196,4 @@ def rule_column(field: str, text: Column) -> Column:
     if rule is None:
         return F.lit(None).cast("string")
     v = F.regexp_extract(text, rule.pattern, rule.group)
-    return F.when(v != "", v)
+    return _guarded(text, rule, F.when(v != "", v), F.lit(None).cast("string"))

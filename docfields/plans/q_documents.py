@@ -9,7 +9,7 @@ from docfields.functions import text as tx
 from docfields.operators import checks, documents as dc, rules
 from docfields.plans import views
 from docfields.plans.registry import query
-from docfields.session import scratch_path
+from docfields.session import scratch_path, spread
 from docfields.sources import readers, sinks
 from docfields.sources.tables import read_table
 
@@ -32,6 +32,11 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
+def text_docs(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    """Documents for a CPU-heavy text stage, spread over all task slots."""
+    return spread(docs(spark, sf_dir).select(*(cols or ("doc_id", "text"))))
+
+
 def doc_paths(df: DataFrame) -> DataFrame:
     """Request/listing path stand-in: docs/<id> with a pdf, PDF or txt suffix."""
     ext = F.when(F.col("doc_id") % 3 == 0, ".pdf").when(F.col("doc_id") % 3 == 1, ".PDF").otherwise(".txt")
@@ -42,11 +47,18 @@ PATH_SQL = ("concat('docs/', CAST(doc_id AS VARCHAR), CASE doc_id % 3 WHEN 0 THE
             "WHEN 1 THEN '.PDF' ELSE '.txt' END)")
 
 
+_DOC_FILES: dict[tuple[int, str], str] = {}
+
+
 def write_document_files(spark: SparkSession, sf_dir: str) -> str:
-    """One UTF-8 file per document (``doc_id=<id>/part-*.txt``) in the shared folder."""
-    path = scratch_path(spark, "docfiles")
-    docs(spark, sf_dir).select("doc_id", "text").write.partitionBy("doc_id").text(path)
-    return path
+    """One UTF-8 file per document (``doc_id=<id>/part-*.txt``) in the shared
+    folder; written once per session and table folder."""
+    key = (id(spark), sf_dir)
+    if key not in _DOC_FILES:
+        path = scratch_path(spark, "docfiles")
+        docs(spark, sf_dir).select("doc_id", "text").write.partitionBy("doc_id").text(path)
+        _DOC_FILES[key] = path
+    return _DOC_FILES[key]
 
 
 # ---------------------------------------------------------------- sources
@@ -307,7 +319,7 @@ def _split_sql(col: str) -> str:
 WITH s AS (SELECT doc_id, {_split_sql('text')} AS f FROM documents)
 SELECT doc_id, unnest(range(1, len(f) + 1)) AS ordinal, unnest(f) AS field FROM s""")
 def q_split_instructions(spark, sf_dir):
-    d = docs(spark, sf_dir)
+    d = text_docs(spark, sf_dir)
     return d.select("doc_id", F.posexplode(tx.split_instructions("text")).alias("_i", "field")) \
             .select("doc_id", (F.col("_i") + 1).alias("ordinal"), "field")
 
@@ -392,7 +404,7 @@ WITH l AS ({_lines_sql('documents', 'doc_id', 'text')})
     f"SELECT doc_id, line_no, '{name}' AS clause, line FROM l WHERE regexp_matches(line, {_sql_lit(p)})\n"
     for name, p in rules.CLAUSES.items()))
 def q_extract_clauses(spark, sf_dir):
-    return rules.extract_clauses(docs(spark, sf_dir))
+    return rules.extract_clauses(text_docs(spark, sf_dir))
 
 
 @query("extract_sections", """
@@ -414,7 +426,7 @@ UNION ALL
 SELECT doc_id, 'label' AS form, unnest(regexp_extract_all(text, {_sql_lit(FORM_COLON)}, 1)) AS name,
        unnest(regexp_extract_all(text, {_sql_lit(FORM_COLON)}, 2)) AS value FROM documents""")
 def q_extract_form_fields(spark, sf_dir):
-    return rules.extract_form_fields(docs(spark, sf_dir))
+    return rules.extract_form_fields(text_docs(spark, sf_dir))
 
 
 @query("extract_table_cells", f"""
@@ -423,4 +435,4 @@ WITH l AS ({_lines_sql('documents', 'doc_id', 'text')}),
      c AS (SELECT doc_id, line_no, unnest(range(1, len(cells) + 1)) AS col_no, unnest(cells) AS cell0 FROM r)
 SELECT doc_id, line_no, col_no, regexp_replace(cell0, {_sql_lit(STRIP_SQL)}, '', 'g') AS cell FROM c""")
 def q_extract_table_cells(spark, sf_dir):
-    return rules.extract_table_cells(docs(spark, sf_dir))
+    return rules.extract_table_cells(text_docs(spark, sf_dir))

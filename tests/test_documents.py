@@ -27,6 +27,19 @@ def test_chunks_reassemble(spark):
     assert joined == full
 
 
+def test_chunks_blocked_prefix_sum_matches_window(spark):
+    pages = views.conversation_pages(spark, SF_SMALL)
+    a = {(r.doc_id, r.page_no): (r.cum_chars, r.chunk_id) for r in dc.prompt_chunks(pages, 250).collect()}
+    b = {(r.doc_id, r.page_no): (r.cum_chars, r.chunk_id)
+         for r in dc.prompt_chunks(pages, 250, block_pages=2).collect()}
+    assert a == b and len(a) == pages.count()
+    whole = {r.doc_id: r.text for r in dc.assemble_text(pages).collect()}
+    parts = {}
+    for r in sorted(dc.assemble_chunks(pages, 250).collect(), key=lambda r: (r.doc_id, r.chunk_id)):
+        parts[r.doc_id] = parts.get(r.doc_id, "") + r.text
+    assert parts == whole
+
+
 def test_page_limit(spark):
     pages = views.conversation_pages(spark, SF_SMALL)
     assert pages.transform(lambda d: dc.page_limit(d, 2)).agg(F.max("page_no")).first()[0] <= 2

@@ -101,15 +101,17 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], n_ranges
     targets = (ns.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
                  .withColumn("h", (F.col("n") - 1) * F.col("prob"))
                  .withColumn("lo", F.floor("h")).withColumn("hi", F.ceil("h")))
-    t_ranks = targets.select("column", "prob", "h", "lo", F.explode(F.array("lo", "hi")).alias("rank")).distinct()
+    t_ranks = targets.select("column", "prob", "h", "lo", "hi",
+                             F.explode(F.array_distinct(F.array("lo", "hi"))).alias("rank"))
     hits = (ranked.join(F.broadcast(t_ranks), "column")
-                  .where((F.col("cum_prev") <= F.col("rank")) & (F.col("rank") < F.col("cum")))
-                  .select("column", "prob", "h", "lo", "rank", "x"))
-    lo = hits.where(F.col("rank") == F.col("lo")).select("column", "prob", "h", "lo", F.col("x").alias("x_lo"))
-    hi = hits.select("column", "prob", F.col("rank").alias("hi"), F.col("x").alias("x_hi"))
-    both = lo.join(targets.select("column", "prob", "hi"), ["column", "prob"]).join(hi, ["column", "prob", "hi"])
-    return both.select(F.col("column").alias("column_name"), "prob",
-                       (F.col("x_lo") + (F.col("h") - F.col("lo")) * (F.col("x_hi") - F.col("x_lo"))).alias("value"))
+                  .where((F.col("cum_prev") <= F.col("rank")) & (F.col("rank") < F.col("cum"))))
+    # at most two rows per (column, prob): both neighbours in one small aggregate
+    res = hits.groupBy("column", "prob").agg(
+        F.first("h").alias("h"), F.first("lo").alias("lo"),
+        F.max(F.when(F.col("rank") == F.col("lo"), F.col("x"))).alias("x_lo"),
+        F.max(F.when(F.col("rank") == F.col("hi"), F.col("x"))).alias("x_hi"))
+    return res.select(F.col("column").alias("column_name"), "prob",
+                      (F.col("x_lo") + (F.col("h") - F.col("lo")) * (F.col("x_hi") - F.col("x_lo"))).alias("value"))
 
 
 def approx_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = 10000) -> DataFrame:

@@ -208,46 +208,101 @@ HISTORY_SCHEMA = T.StructType([
 ])
 
 
+def gram_stats_multi(df: DataFrame, specs: list[tuple[tuple[str, ...], int]], label: str,
+                     key_cols: list[str], seed: int = 42) -> list[pd.DataFrame]:
+    """Per-batch sufficient statistics for several ``(features, n_batches)``
+    specs in one scan.
+
+    Every row is tagged once per spec with ``(spec, batch)`` — a fixed fan-out
+    of ``len(specs)`` that the map-side partial aggregate folds at once — and
+    the sums run over the union of the specs' features. A spec only counts
+    rows that are complete in its own features and the label. Returns one
+    frame per spec (``batch, n, g_i_j, c_i, sy, syy`` over the spec's
+    features + bias), ordered by batch.
+    """
+    union: list[str] = []
+    for feats, _ in specs:
+        for f in feats:
+            if f not in union:
+                union.append(f)
+    xs = [F.col(f).cast("double") for f in union] + [F.lit(1.0)]
+    y = F.col(label).cast("double")
+    q = len(xs)
+    tags = []
+    for k, (feats, nb) in enumerate(specs):
+        complete = F.lit(True)
+        for f in feats:
+            complete = complete & F.col(f).isNotNull()
+        tags.append(F.struct(F.lit(k).alias("_spec"), batch_id(key_cols, nb, seed).alias("_batch"),
+                             complete.alias("_ok")))
+    tagged = (df.where(F.col(label).isNotNull())
+                .select(*union, label, F.inline(F.array(*tags))).where(F.col("_ok")))
+    aggs = [F.count(F.lit(1)).alias("n")]
+    aggs += [F.sum(xs[i] * xs[j]).alias(f"g_{i}_{j}") for i in range(q) for j in range(i, q)]
+    aggs += [F.sum(xs[i] * y).alias(f"c_{i}") for i in range(q)]
+    aggs += [F.sum(y).alias("sy"), F.sum(y * y).alias("syy")]
+    grouped = tagged.groupBy(F.col("_spec").alias("spec"), F.col("_batch").alias("batch")).agg(*aggs)
+    # bounded (Σ batches × (q+2)² values): ordered here, not with an extra sampling job
+    rows = pd.DataFrame.from_records([tuple(r) for r in grouped.collect()], columns=grouped.columns)
+    rows = rows.sort_values(["spec", "batch"], kind="stable")
+    out = []
+    for k, (feats, _) in enumerate(specs):
+        idx = [union.index(f) for f in feats] + [q - 1]
+        part = rows[rows["spec"] == k].reset_index(drop=True)
+        sub = {"batch": part["batch"], "n": part["n"], "sy": part["sy"], "syy": part["syy"]}
+        for a, i in enumerate(idx):
+            sub[f"c_{a}"] = part[f"c_{i}"]
+            for b in range(a, len(idx)):
+                j = idx[b]
+                sub[f"g_{a}_{b}"] = part[f"g_{min(i, j)}_{max(i, j)}"]
+        out.append(pd.DataFrame(sub))
+    return out
+
+
 def sweep_settings(df: DataFrame, settings: DataFrame, label: str, key_cols: list[str], seed: int = 42,
                    max_batches: int = MAX_BATCHES) -> DataFrame:
     """Train every setting (row of ``settings``) and return the loss curves.
 
-    One ``gram_stats`` job per distinct (features, batch size); the per-batch
-    arrays (batches × (p+2)² doubles, bounded by ``max_batches``) are
-    broadcast, and the settings train in parallel, one group per experiment,
-    with ``applyInPandas``. Output: ``experiment, epoch, loss, rmse,
-    rmse_final, features, weights, bias``.
+    One Spark job computes the per-batch sums for every distinct
+    (features, batch size) at once (:func:`gram_stats_multi`); those arrays
+    (batches × (p+2)² doubles each, bounded by ``max_batches``) are broadcast,
+    and the settings train in parallel, one task per experiment
+    (``spark.range`` with one partition per setting, so no shuffle and no
+    partition coalescing can serialise them). Output: ``experiment, epoch,
+    loss, rmse, rmse_final, features, weights, bias``.
     """
     spark = df.sparkSession
     from docfields.session import ship_package
     ship_package(spark)
     sets = settings.collect()  # one row per experiment: a handful of rows
-    n_rows = None
-    payload = {}
+    n_rows = df.count() if sets else 0
+    specs: list[tuple[tuple[str, ...], int]] = []
+    spec_of = {}
     for s in sets:
-        feats = tuple(s.input_features)
-        key = (feats, int(s.batch_size))
-        if key in payload:
+        key = (tuple(s.input_features), int(s.batch_size))
+        if key in spec_of:
             continue
-        if n_rows is None:
-            n_rows = df.count()
-        n_batches = max(1, math.ceil(n_rows / int(s.batch_size)))
-        if n_batches > max_batches:
-            # keep the driver-side arrays bounded: fewer, larger batches
-            n_batches = max_batches
-        stats = gram_stats(df, list(feats), label, key_cols, n_batches, seed).orderBy("batch").toPandas()
-        payload[key] = _unpack(stats, len(feats) + 1)
-    bc = spark.sparkContext.broadcast(payload)
-
-    def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        feats = tuple(r["input_features"])
-        G, c, syy, n = bc.value[(feats, int(r["batch_size"]))]
-        hist = rmsprop_epochs(G, c, syy, n, float(r["learning_rate"]), int(r["number_epochs"]), seed)
-        return pd.DataFrame([(r["experiment"], e, lo, rm, rf, list(feats), [float(x) for x in w[:-1]], float(w[-1]))
-                             for e, lo, rm, rf, w in hist], columns=HISTORY_SCHEMA.fieldNames())
-
-    return settings.groupBy("experiment").applyInPandas(train, HISTORY_SCHEMA)
+        # keep the driver-side arrays bounded: past the cap, fewer and larger batches
+        n_batches = min(max(1, math.ceil(n_rows / key[1])), max_batches)
+        spec_of[key] = len(specs)
+        specs.append((key[0], n_batches))
+    frames = gram_stats_multi(df, specs, label, key_cols, seed) if specs else []
+    arrays = [_unpack(fr, len(feats) + 1) for fr, (feats, _) in zip(frames, specs)]
+    plan = [(s.experiment, float(s.learning_rate), int(s.number_epochs), list(s.input_features),
+             spec_of[(tuple(s.input_features), int(s.batch_size))]) for s in sets]
+    bc = spark.sparkContext.broadcast({"arrays": arrays, "plan": plan})
+
+    def train(batches):
+        for pdf in batches:
+            for i in pdf["id"].tolist():
+                name, lr, epochs, feats, k = bc.value["plan"][i]
+                G, c, syy, n = bc.value["arrays"][k]
+                hist = rmsprop_epochs(G, c, syy, n, lr, epochs, seed)
+                yield pd.DataFrame([(name, e, lo, rm, rf, feats, [float(x) for x in w[:-1]], float(w[-1]))
+                                    for e, lo, rm, rf, w in hist], columns=HISTORY_SCHEMA.fieldNames())
+
+    n_exp = max(1, len(plan))
+    return spark.range(0, len(plan), 1, n_exp).mapInPandas(train, HISTORY_SCHEMA)
 
 
 def fit_sgd(df: DataFrame, features: list[str], label: str, key_cols: list[str], learning_rate: float = 0.001,

@@ -62,7 +62,10 @@ def strict_json_udf(strip_fences: bool = False):
     def strict_json(s: pd.Series) -> pd.DataFrame:
         rows = [strict_parse(x, strip_fences) for x in s]
         return pd.DataFrame(rows, columns=["ok", "kind", "canonical"])
-    return strict_json
+    # Marked non-deterministic only to pin it in the plan: otherwise a later
+    # filter on ``kind``/``ok`` is pushed below a repartition with its own copy
+    # of the UDF, and every response goes through Python twice.
+    return strict_json.asNondeterministic()
 
 
 strict_json = strict_json_udf(False)

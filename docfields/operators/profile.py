@@ -73,9 +73,64 @@ def _long(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(F.inline(items)).where(F.col("x").isNotNull() & ~F.isnan("x"))
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], n_ranges: int | None = None) -> DataFrame:
+# A column whose (approximate) number of distinct values is at most this is
+# answered by Spark's exact ``percentile``: its per-group state is a
+# value -> count map, so the bound caps the memory of the one task that merges
+# a column. Beyond it, ranks come from range partitioning (no per-column task).
+MAP_QUANTILE_MAX_DISTINCT = 2_000_000
+
+
+def distinct_estimates(df: DataFrame, cols: list[str], rsd: float = 0.05) -> dict[str, int]:
+    """HyperLogLog++ distinct counts of numeric columns (one bounded row)."""
+    r = df.agg(*[F.approx_count_distinct(F.col(c).cast("double"), rsd).alias(c) for c in cols]).first()
+    return {c: int(r[c]) for c in cols}
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], n_ranges: int | None = None,
+                    max_map_distinct: int = MAP_QUANTILE_MAX_DISTINCT,
+                    distinct: dict[str, int] | None = None) -> DataFrame:
     """Exact, linearly interpolated quantiles (as pandas / ``quantile_cont``).
 
+    Each column takes the cheaper exact plan its checked size allows:
+    ``percentile`` (one shuffle, map-side combined value counts) when its
+    distinct count is at most ``max_map_distinct``, else
+    :func:`ranked_quantiles`. ``distinct`` passes estimates already computed
+    (e.g. in the same pass as other statistics). Output: ``column_name, prob,
+    value``.
+    """
+    if max_map_distinct <= 0:
+        small = []
+    else:
+        est = distinct if distinct is not None else distinct_estimates(df, cols)
+        # the estimate's error is a few per cent: keep a safety margin
+        small = [c for c in cols if est[c] * 1.1 <= max_map_distinct]
+    large = [c for c in cols if c not in small]
+    parts = []
+    if small:
+        parts.append(map_quantiles(df, small, probs))
+    if large:
+        parts.append(ranked_quantiles(df, large, probs, n_ranges))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def map_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
+    """Exact quantiles with ``percentile`` per column, for columns with a
+    checked, bounded number of distinct values."""
+    ps = [float(p) for p in probs]
+    wide = df.agg(*[F.percentile(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), ps).alias(c)
+                    for c in cols])
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(p).alias("prob"),
+                               F.element_at(F.col(c), i + 1).alias("value"))
+                      for c in cols for i, p in enumerate(ps)])
+    return wide.select(F.inline(cells))
+
+
+def ranked_quantiles(df: DataFrame, cols: list[str], probs: list[float], n_ranges: int | None = None) -> DataFrame:
+    """Exact quantiles for columns of any number of distinct values.
+
     Scales without one task per column: values are first counted per
     (column, value) — duplicates collapse map-side — then range-partitioned,
     ranked inside each range, and offset by the totals of earlier ranges
@@ -131,15 +186,29 @@ def describe_all(df: DataFrame, numeric: list[str], categorical: list[str], exac
     probs = [0.25, 0.5, 0.75]
     parts = []
     if numeric:
-        stats = df.agg(*itertools.chain.from_iterable(
+        spark = df.sparkSession
+        # one pass for the statistics (one bounded row); a column's count is
+        # an exact upper bound of its distinct values, so distinct estimates
+        # (another pass) are only needed for columns with more rows than the
+        # map-based quantile bound
+        row = df.agg(*itertools.chain.from_iterable(
             [F.count(c).alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"), F.stddev_samp(c).alias(f"{c}__std"),
              F.min(c).cast("double").alias(f"{c}__min"), F.max(c).cast("double").alias(f"{c}__max")]
-            for c in numeric))
+            for c in numeric)).first()
+        stats = spark.createDataFrame(
+            [tuple(row[f"{c}__{k}"] for c in numeric for k in ("count", "mean", "std", "min", "max"))],
+            ", ".join(f"`{c}__{k}` {t}" for c in numeric
+                      for k, t in (("count", "bigint"), ("mean", "double"), ("std", "double"),
+                                   ("min", "double"), ("max", "double"))))
+        distinct = {c: int(row[f"{c}__count"]) for c in numeric}
+        big = [c for c in numeric if distinct[c] * 1.1 > MAP_QUANTILE_MAX_DISTINCT]
+        if big:
+            distinct.update(distinct_estimates(df, big))
         num = stats.select(F.inline(F.array(*[
             F.struct(F.lit(c).alias("column"), F.col(f"{c}__count").alias("count"), F.col(f"{c}__mean").alias("mean"),
                      F.col(f"{c}__std").alias("std"), F.col(f"{c}__min").alias("min"), F.col(f"{c}__max").alias("max"))
             for c in numeric])))
-        q = (exact_quantiles if exact else approx_quantiles)(df, numeric, probs)
+        q = exact_quantiles(df, numeric, probs, distinct=distinct) if exact else approx_quantiles(df, numeric, probs)
         qw = q.groupBy("column_name").agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n)
                                               for p, n in zip(probs, ["p25", "p50", "p75"])])
         num = num.withColumnRenamed("column", "column_name").join(qw, "column_name", "left")

@@ -99,7 +99,7 @@ def _html_sql(expr: str) -> str:
 SELECT page_id, {_html_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title,
        {_html_sql("html")} AS text FROM pages""")
 def q_read_html_pages(spark, sf_dir):
-    return readers.read_html_pages(read_table(spark, sf_dir, "pages"))
+    return readers.read_html_pages(spread(read_table(spark, sf_dir, "pages")))
 
 
 TRIP_CSV_SCHEMA = ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, TRIP_MILES double, "

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docfields.session import spread
 from docfields.sources.tables import read_table
 
 TRIP_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
@@ -41,7 +42,9 @@ def trips_with_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invoice text rendered from orders joined to customer (one row per order)."""
-    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    # rendering and the label regexes downstream are CPU-bound: spread an
+    # under-split scan over all task slots (a no-op when splits >= slots)
+    o = spread(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"))
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     j = o.join(c, o.o_custkey == c.c_custkey)
     day = F.col("o_orderdate").cast("date")
@@ -58,7 +61,8 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model-response stand-in covering every JSON shape (from events.props)."""
-    e = read_table(spark, sf_dir, "events").select("event_id", "props")
+    # the strict JSON check downstream is a Python stage: spread an under-split scan
+    e = spread(read_table(spark, sf_dir, "events").select("event_id", "props"))
     r = F.col("event_id") % 10
     resp = (F.when(r == 0, F.concat(F.col("props"), F.lit(" trailing")))
              .when(r == 1, F.lit("[1, 2]"))

@@ -7,8 +7,10 @@ from docfields.plans import views
 from tests.conftest import SF_SMALL
 
 
-@pytest.mark.parametrize("n_ranges", [1, 3, 7])
-def test_exact_quantiles_match_pandas_with_hot_value(spark, n_ranges):
+@pytest.mark.parametrize("n_ranges,max_map_distinct", [(1, 0), (3, 0), (7, 0), (None, 10_000)])
+def test_exact_quantiles_match_pandas_with_hot_value(spark, n_ranges, max_map_distinct):
+    """Both exact plans: ranks by range partitioning (forced with
+    ``max_map_distinct=0``) and the map-based ``percentile`` path."""
     rng = np.random.default_rng(0)
     a = rng.normal(size=3000)
     a[:1000] = 0.5            # one value holds a third of the rows
@@ -17,7 +19,7 @@ def test_exact_quantiles_match_pandas_with_hot_value(spark, n_ranges):
     pdf = pd.DataFrame({"a": a, "b": b})
     df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "a double, b double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = {(r.column_name, r.prob): r.value for r in pf.exact_quantiles(df, ["a", "b"], probs, n_ranges).collect()}
+    got = {(r.column_name, r.prob): r.value for r in pf.exact_quantiles(df, ["a", "b"], probs, n_ranges, max_map_distinct).collect()}
     for c in ["a", "b"]:
         for p in probs:
             assert got[(c, p)] == pytest.approx(pdf[c].quantile(p), abs=1e-12)
@@ -68,3 +70,15 @@ def test_scatter_bins_counts(spark):
     tot = {r.x_col: r.s for r in sb.groupBy("x_col").sum("n").withColumnRenamed("sum(n)", "s").collect()}
     assert tot == {"FARE": n, "TRIP_MILES": n}
     assert sb.agg({"x_bin": "max"}).first()[0] <= 10
+
+
+def test_describe_plans_agree_past_the_map_bound(spark, monkeypatch):
+    """With a tiny map bound, high-cardinality columns go through distinct
+    estimates and range-partitioned ranks; the report must not change."""
+    t = views.trips(spark, SF_SMALL).select(*views.TRIP_COLUMNS)
+    pdf = t.toPandas()
+    monkeypatch.setattr(pf, "MAP_QUANTILE_MAX_DISTINCT", 40)
+    d = {r.column_name: r for r in pf.describe_all(t, ["FARE", "TRIP_MILES", "TIP_RATE"], []).collect()}
+    for c in ["FARE", "TRIP_MILES", "TIP_RATE"]:
+        for mine, p in [("p25", 0.25), ("p50", 0.5), ("p75", 0.75)]:
+            assert d[c][mine] == pytest.approx(pdf[c].quantile(p), rel=1e-9)

@@ -125,8 +125,13 @@ def union_columns(parsed: DataFrame, fields: list[str] | None = None, key_col: s
     names = list(fields or [])
     if fields is None:
         names = discover_fields(parsed)
-    cols = [variant_text(F.try_variant_get(F.col("v"), _path(f), "variant")).alias(f) for f in names]
-    return parsed.select(F.col(key_col), *cols, *[F.col(c) for c in (keep or [])])
+    keep = [F.col(c) for c in (keep or [])]
+    # each path is looked up once; the text is taken from that column
+    items = parsed.select(F.col(key_col), *keep,
+                          *[F.try_variant_get(F.col("v"), _path(f), "variant").alias(f"_i{i}")
+                            for i, f in enumerate(names)])
+    cols = [variant_text(F.col(f"_i{i}")).alias(f) for i, f in enumerate(names)]
+    return items.select(F.col(key_col), *cols, *keep)
 
 
 def to_row(parsed: DataFrame, fields: list[str] | None = None, key_col: str = SOURCE_COLUMN) -> DataFrame:

@@ -39,13 +39,20 @@ def ship_package(spark: SparkSession) -> None:
     """Make ``docfields`` importable in Python workers (executors).
 
     Python stages reference this package's functions; the package is zipped
-    once per application and added with ``addPyFile``, so executors on any
-    host (or a driver started from another folder) can import it.
+    once per application and added with ``addPyFile`` (like ``--py-files``:
+    the zip is code, built on the driver and served by Spark to every
+    executor; no data goes through that folder), so executors on any host
+    (or a driver started from another folder) can import it.
     """
     sc = spark.sparkContext
     app = sc.applicationId
     if app in _SHIPPED:
         return
+    # Clusters whose images (or --py-files) already carry the package set
+    # spark.docfields.shipPackage=false; then nothing is built on the driver.
+    if sc.getConf().get("spark.docfields.shipPackage", "true").lower() == "false":
+        _SHIPPED.add(app)
+        return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
     out = os.path.join(tempfile.mkdtemp(prefix="docfields-pkg-"), "docfields.zip")

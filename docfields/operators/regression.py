@@ -153,6 +153,84 @@ def _unpack(rows: pd.DataFrame, q: int):
     return G, c, rows["syy"].to_numpy(dtype=float), rows["n"].to_numpy(dtype=float)
 
 
+def _epoch_generic(order, Gl, cl, yl, nl, w, v, lr, rho, eps):
+    q = len(w)
+    rq = range(q)
+    sse = rows = 0.0
+    for b in order:
+        Gb, cb, nb = Gl[b], cl[b], nl[b]
+        Gw = [sum(Gb[i][j] * w[j] for j in rq) for i in rq]
+        sse += yl[b] - 2.0 * sum(w[i] * cb[i] for i in rq) + sum(w[i] * Gw[i] for i in rq)
+        rows += nb
+        k = 2.0 / nb
+        for i in rq:
+            g = k * (Gw[i] - cb[i])
+            v[i] = rho * v[i] + (1.0 - rho) * g * g
+            w[i] -= lr * g / (math.sqrt(v[i]) + eps)
+    return sse, rows
+
+
+def _epoch_q2(order, Gl, cl, yl, nl, w, v, lr, rho, eps):
+    """One feature + bias, unrolled: the generic loop's arithmetic with plain
+    left-to-right sums (Python's sum() compensates rounding; results agree to
+    about 1e-15)."""
+    w0, w1 = w
+    v0, v1 = v
+    sqrt, r1 = math.sqrt, 1.0 - rho
+    sse = rows = 0.0
+    for b in order:
+        (g00, g01), (g10, g11) = Gl[b]
+        c0, c1 = cl[b]
+        nb = nl[b]
+        gw0 = g00 * w0 + g01 * w1
+        gw1 = g10 * w0 + g11 * w1
+        sse += yl[b] - 2.0 * (w0 * c0 + w1 * c1) + (w0 * gw0 + w1 * gw1)
+        rows += nb
+        k = 2.0 / nb
+        d0 = k * (gw0 - c0)
+        d1 = k * (gw1 - c1)
+        v0 = rho * v0 + r1 * d0 * d0
+        v1 = rho * v1 + r1 * d1 * d1
+        w0 -= lr * d0 / (sqrt(v0) + eps)
+        w1 -= lr * d1 / (sqrt(v1) + eps)
+    w[:] = [w0, w1]
+    v[:] = [v0, v1]
+    return sse, rows
+
+
+def _epoch_q3(order, Gl, cl, yl, nl, w, v, lr, rho, eps):
+    """Two features + bias, unrolled like :func:`_epoch_q2`."""
+    w0, w1, w2 = w
+    v0, v1, v2 = v
+    sqrt, r1 = math.sqrt, 1.0 - rho
+    sse = rows = 0.0
+    for b in order:
+        (g00, g01, g02), (g10, g11, g12), (g20, g21, g22) = Gl[b]
+        c0, c1, c2 = cl[b]
+        nb = nl[b]
+        gw0 = g00 * w0 + g01 * w1 + g02 * w2
+        gw1 = g10 * w0 + g11 * w1 + g12 * w2
+        gw2 = g20 * w0 + g21 * w1 + g22 * w2
+        sse += yl[b] - 2.0 * (w0 * c0 + w1 * c1 + w2 * c2) + (w0 * gw0 + w1 * gw1 + w2 * gw2)
+        rows += nb
+        k = 2.0 / nb
+        d0 = k * (gw0 - c0)
+        d1 = k * (gw1 - c1)
+        d2 = k * (gw2 - c2)
+        v0 = rho * v0 + r1 * d0 * d0
+        v1 = rho * v1 + r1 * d1 * d1
+        v2 = rho * v2 + r1 * d2 * d2
+        w0 -= lr * d0 / (sqrt(v0) + eps)
+        w1 -= lr * d1 / (sqrt(v1) + eps)
+        w2 -= lr * d2 / (sqrt(v2) + eps)
+    w[:] = [w0, w1, w2]
+    v[:] = [v0, v1, v2]
+    return sse, rows
+
+
+_EPOCH = {2: _epoch_q2, 3: _epoch_q3}
+
+
 def rmsprop_epochs(G, c, syy, n, lr: float, epochs: int, seed: int = 42):
     """Train w̃ = [w, b] by RMSprop on per-batch sufficient statistics.
 
@@ -160,8 +238,8 @@ def rmsprop_epochs(G, c, syy, n, lr: float, epochs: int, seed: int = 42):
     loss/rmse are the running values over the epoch (computed before each
     update, as the training loop reports them) and ``rmse_final`` is the
     RMSE of the weights at the end of the epoch on all rows.
-    The update loop uses plain floats: with q ≤ 4 terms, per-call numpy
-    overhead would dominate.
+    The update loop uses plain floats (unrolled for one and two features):
+    with q ≤ 4 terms, per-call numpy overhead would dominate.
     """
     q = G.shape[1]
     Gl, cl, yl, nl = G.tolist(), c.tolist(), syy.tolist(), n.tolist()
@@ -170,21 +248,10 @@ def rmsprop_epochs(G, c, syy, n, lr: float, epochs: int, seed: int = 42):
     rho, eps = RMSPROP_RHO, RMSPROP_EPSILON
     rng = np.random.default_rng(seed)
     G_all, c_all, syy_all, n_all = G.sum(axis=0), c.sum(axis=0), float(syy.sum()), float(n.sum())
-    rq = range(q)
+    epoch_fn = _EPOCH.get(q, _epoch_generic)
     hist = []
     for epoch in range(epochs):
-        sse = 0.0
-        rows = 0.0
-        for b in rng.permutation(len(nl)).tolist():
-            Gb, cb, nb = Gl[b], cl[b], nl[b]
-            Gw = [sum(Gb[i][j] * w[j] for j in rq) for i in rq]
-            sse += yl[b] - 2.0 * sum(w[i] * cb[i] for i in rq) + sum(w[i] * Gw[i] for i in rq)
-            rows += nb
-            k = 2.0 / nb
-            for i in rq:
-                g = k * (Gw[i] - cb[i])
-                v[i] = rho * v[i] + (1.0 - rho) * g * g
-                w[i] -= lr * g / (math.sqrt(v[i]) + eps)
+        sse, rows = epoch_fn(rng.permutation(len(nl)).tolist(), Gl, cl, yl, nl, w, v, lr, rho, eps)
         wa = np.array(w)
         loss = sse / rows
         final = (syy_all - 2.0 * float(wa @ c_all) + float(wa @ (G_all @ wa))) / n_all

@@ -280,12 +280,13 @@ def gram_stats_multi(df: DataFrame, specs: list[tuple[tuple[str, ...], int]], la
     """Per-batch sufficient statistics for several ``(features, n_batches)``
     specs in one scan.
 
-    Every row is tagged once per spec with ``(spec, batch)`` — a fixed fan-out
-    of ``len(specs)`` that the map-side partial aggregate folds at once — and
-    the sums run over the union of the specs' features. A spec only counts
-    rows that are complete in its own features and the label. Returns one
-    frame per spec (``batch, n, g_i_j, c_i, sy, syy`` over the spec's
-    features + bias), ordered by batch.
+    Each spec is one grouping set over its own batch column (``GROUPING
+    SETS``: one Expand inside the same codegen stage, combined map-side);
+    the sums run over the union of the specs' features. A row whose spec
+    features are incomplete gets a null batch there and that group is
+    dropped. Batch ids equal :func:`gram_stats`'s. Returns one frame per spec
+    (``batch, n, g_i_j, c_i, sy, syy`` over the spec's features + bias),
+    ordered by batch; the driver receives Σ batches × (q+2)² values.
     """
     union: list[str] = []
     for feats, _ in specs:
@@ -295,27 +296,29 @@ def gram_stats_multi(df: DataFrame, specs: list[tuple[tuple[str, ...], int]], la
     xs = [F.col(f).cast("double") for f in union] + [F.lit(1.0)]
     y = F.col(label).cast("double")
     q = len(xs)
-    tags = []
+    n_specs = len(specs)
+    bcols = []
     for k, (feats, nb) in enumerate(specs):
         complete = F.lit(True)
         for f in feats:
             complete = complete & F.col(f).isNotNull()
-        tags.append(F.struct(F.lit(k).alias("_spec"), batch_id(key_cols, nb, seed).alias("_batch"),
-                             complete.alias("_ok")))
-    tagged = (df.where(F.col(label).isNotNull())
-                .select(*union, label, F.inline(F.array(*tags))).where(F.col("_ok")))
-    aggs = [F.count(F.lit(1)).alias("n")]
+        bcols.append(F.when(complete, batch_id(key_cols, nb, seed)).alias(f"_b{k}"))
+    src = df.where(F.col(label).isNotNull()).select(*union, label, *bcols)
+    aggs = [F.grouping_id().alias("_gid"), F.count(F.lit(1)).alias("n")]
     aggs += [F.sum(xs[i] * xs[j]).alias(f"g_{i}_{j}") for i in range(q) for j in range(i, q)]
     aggs += [F.sum(xs[i] * y).alias(f"c_{i}") for i in range(q)]
     aggs += [F.sum(y).alias("sy"), F.sum(y * y).alias("syy")]
-    grouped = tagged.groupBy(F.col("_spec").alias("spec"), F.col("_batch").alias("batch")).agg(*aggs)
+    bnames = [f"_b{k}" for k in range(n_specs)]
+    grouped = src.groupingSets([[b] for b in bnames], *bnames).agg(*aggs)
     # bounded (Σ batches × (q+2)² values): ordered here, not with an extra sampling job
     rows = pd.DataFrame.from_records([tuple(r) for r in grouped.collect()], columns=grouped.columns)
-    rows = rows.sort_values(["spec", "batch"], kind="stable")
+    full = (1 << n_specs) - 1
     out = []
     for k, (feats, _) in enumerate(specs):
+        gid = full ^ (1 << (n_specs - 1 - k))   # only _b{k} grouped
+        part = rows[(rows["_gid"] == gid) & rows[f"_b{k}"].notna()]
+        part = part.assign(batch=part[f"_b{k}"].astype("int64")).sort_values("batch").reset_index(drop=True)
         idx = [union.index(f) for f in feats] + [q - 1]
-        part = rows[rows["spec"] == k].reset_index(drop=True)
         sub = {"batch": part["batch"], "n": part["n"], "sy": part["sy"], "syy": part["syy"]}
         for a, i in enumerate(idx):
             sub[f"c_{a}"] = part[f"c_{i}"]

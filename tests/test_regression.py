@@ -1,10 +1,11 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from docfields.operators import regression as rg
-from docfields.plans import views
+from docfields.plans import q_regression as qr, views
 from tests.conftest import SF_MID, SF_SMALL
 
 KEY = views.TRIP_KEY
@@ -80,3 +81,19 @@ def test_sample_and_predict_fare(spark):
     gap = {r.term: r.gap for r in rg.formula_gap(m.weights_df(spark)).collect()}
     assert set(gap) == {"TRIP_MILES", "TRIP_MINUTES", "bias"}
     assert F is not None
+
+
+def test_gram_stats_multi_equals_one_job_per_spec(spark):
+    """The one-scan grouping-sets form gives, per (features, batches) spec,
+    exactly the per-batch sums of a separate job — also when a feature has
+    nulls, so each spec keeps its own complete rows."""
+    df = qr.trips(spark, SF_SMALL)
+    df = df.withColumn("TRIP_MINUTES", F.when(F.col("l_partkey") % 13 == 0, None).otherwise(F.col("TRIP_MINUTES")))
+    n = df.count()
+    specs = [(tuple(qr.ONE), n // 50), (tuple(qr.ONE), n // 500), (tuple(qr.TWO), n // 50), (tuple(qr.TWO), 1)]
+    for (feats, nb), got in zip(specs, rg.gram_stats_multi(df, specs, qr.LABEL, qr.KEY, 42)):
+        ref = rg.gram_stats(df, list(feats), qr.LABEL, qr.KEY, nb, 42).toPandas()
+        ref = ref.sort_values("batch").reset_index(drop=True)
+        assert len(got) == len(ref)
+        for c in ref.columns:
+            assert np.allclose(got[c].to_numpy(float), ref[c].to_numpy(float), rtol=1e-12), c

@@ -35,3 +35,27 @@ def test_parse_and_shape(spark):
     wide = rs.union_columns(p, keep=["error"]).orderBy("source_file").collect()
     assert [r.source_file for r in wide] == [1, 2, 3, 4]
     assert wide[0].a == "1" and wide[1].a is None
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_strict_json_runs_once_under_a_filter(spark):
+    """A filter on the parse result must not pull a second copy of the Python
+    UDF below the spreading repartition (one Python pass per response)."""
+    import __spark_entry__ as se
+    from tests.conftest import SF_SMALL
+    plan = _plan(se.queries()["explode_result"](spark, SF_SMALL))
+    assert plan.count("ArrowEvalPython") == 1, plan
+
+
+def test_single_extract_key_is_a_pushed_scalar_subquery(spark):
+    """The registered single-document query selects its document from the
+    data; the key filter reaches the scan before the Python stage."""
+    import __spark_entry__ as se
+    from tests.conftest import SF_SMALL
+    df = se.queries()["single_extract"](spark, SF_SMALL)
+    plan = _plan(df)
+    assert "ScalarSubquery" in plan or "Subquery" in plan, plan
+    assert df.count() == 1

@@ -10,7 +10,7 @@ from docfields.operators import model_stage as ms, results as rs, stats
 from docfields.operators.rules import RULES
 from docfields.plans import views
 from docfields.plans.q_documents import (RULES_LONG_SQL, RULES_WIDE_SQL, STRIP_SQL, TRIPS_SQL, _sql_lit, docs,
-                                         rules_long, rules_wide)
+                                         rules_long, rules_wide, text_docs)
 from docfields.plans.registry import query
 from docfields.session import scratch_path
 from docfields.sources.tables import read_table
@@ -254,7 +254,7 @@ WITH t AS (SELECT doc_id, unnest(range(1, len(regexp_extract_all(text, {_sql_lit
                   unnest(regexp_extract_all(text, {_sql_lit(TOKEN.pattern)}, 1)) AS tok FROM documents)
 SELECT doc_id, ordinal, left(tok, 10) || '...' || right(tok, 10) AS masked FROM t""")
 def q_mask_secret(spark, sf_dir):
-    t = docs(spark, sf_dir).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN.pattern), 1))
+    t = text_docs(spark, sf_dir).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN.pattern), 1))
                                    .alias("_i", "tok"))
     return t.select("doc_id", (F.col("_i") + 1).alias("ordinal"), tx.mask_secret("tok").alias("masked"))
 

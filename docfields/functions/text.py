@@ -87,14 +87,66 @@ def format_timestamp(c) -> Column:
         F.concat(base, F.lit("."), F.lpad(micros.cast("string"), 6, "0")))
 
 
+_SPLITTER = 134217729.0  # 2**27 + 1: splits a double into two 26-bit halves
+
+
+def format_fixed(c, decimals: int = 2) -> Column:
+    """Python's ``format(x, '.<d>f')`` natively: the exact binary value is
+    rounded half-to-even, as Python does (2.675 -> ``2.67``, 0.125 ->
+    ``0.12``, 1.005 -> ``1.00``); Java's ``%.<d>f`` (``format_string``) rounds
+    the shortest decimal text half-up instead (``2.68``, ``0.13``, ``1.01``).
+
+    |x| = i + f with i = floor(|x|) and f exact; f·10^d is computed together
+    with its exact rounding error (Dekker's error-free product: only double
+    arithmetic, which Catalyst does not reassociate), which decides exact
+    ties. Sign kept for negatives that round to zero and for -0.0; ``nan``,
+    ``inf``, ``-inf`` as Python writes them; null stays null. Values of
+    magnitude 9.2e18 (about 2**63) and above fall back to Java's formatting,
+    whose digits past the 17th significant one are zeros.
+    """
+    if not 0 <= decimals <= 7:
+        raise ValueError("decimals must be in 0..7")
+    x = _col(c).cast("double")
+    scale = float(10 ** decimals)
+    a = F.abs(x)
+    i = F.floor(a).cast("double")
+    f = a - i                                   # exact
+    p = f * F.lit(scale)                        # rounded product, < 10**d
+    t = f * F.lit(_SPLITTER)
+    fh = t - (t - f)
+    fl = f - fh
+    err = (fh * F.lit(scale) - p) + fl * F.lit(scale)   # f*scale == p + err exactly
+    k = F.floor(p).cast("double")
+    r = p - k                                   # exact
+    last = k if decimals else i                 # the digit a half-even tie keeps even
+    up = (F.when(r > 0.5, True).when(r < 0.5, False)
+           .when(err > 0, True).when(err < 0, False)
+           .otherwise(F.pmod(last, F.lit(2.0)) == 1.0))
+    units = k + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))
+    carry = units >= F.lit(scale)
+    frac = F.when(carry, F.lit(0.0)).otherwise(units)
+    whole = i + F.when(carry, F.lit(1.0)).otherwise(F.lit(0.0))
+    whole_txt = whole.cast("bigint").cast("string")
+    body = whole_txt if decimals == 0 else F.concat(
+        whole_txt, F.lit("."), F.lpad(frac.cast("bigint").cast("string"), decimals, "0"))
+    sign = F.when(x.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    return (F.when(x.isNull(), F.lit(None).cast("string"))
+             .when(F.isnan(x), F.lit("nan"))
+             .when(x == float("inf"), F.lit("inf"))
+             .when(x == float("-inf"), F.lit("-inf"))
+             # beyond 2**63 the integer part is printed from the shortest decimal form
+             .when(a >= F.lit(9.2e18), F.format_string(f"%.{decimals}f", x))
+             .otherwise(F.concat(sign, body)))
+
+
 def format_currency(c) -> Column:
     """``$`` + two decimals, no thousands separator; negatives as ``$-x``."""
-    return F.format_string("$%.2f", _col(c))
+    return F.concat(F.lit("$"), format_fixed(c, 2))
 
 
 def format_decimal2(c) -> Column:
-    """Two-decimal text."""
-    return F.format_string("%.2f", _col(c))
+    """Two-decimal text (Python ``"{:.2f}"``)."""
+    return format_fixed(c, 2)
 
 
 def abs_error(observed, predicted) -> Column:

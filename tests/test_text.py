@@ -73,3 +73,26 @@ def test_currency(spark):
 def test_output_name(spark):
     assert one(spark, tx.output_name("v"), "/tmp/in/report.final.pdf") == "extracted_report.final.csv"
     assert one(spark, tx.output_name("v"), "noext") == "extracted_noext.csv"
+
+
+def test_format_fixed_matches_python_rounding(spark):
+    """Python rounds the exact binary value half-to-even (2.675 -> 2.67,
+    0.125 -> 0.12, 1.005 -> 1.00); the native formatter must agree,
+    including exact binary ties, decimal-text ties, signs and specials."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from docfields.functions import text as tx
+    rnd = random.Random(3)
+    vals = [2.675, 0.125, 1.005, -0.001, -0.0, 0.0, 0.995, 9.995, 2.5, 3.5, -2.675, 4503599627370495.5,
+            1e-300, 123456789.125, float("nan"), float("inf"), float("-inf")]
+    vals += [round(rnd.uniform(-1000, 1000), 3) for _ in range(400)]
+    vals += [rnd.randint(-10 ** 6, 10 ** 6) / 8 for _ in range(200)]
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    for d in (0, 2, 3):
+        for r in df.select("x", tx.format_fixed("x", d).alias("s")).collect():
+            assert r.s == format(r.x, f".{d}f"), (r.x, d)
+    row = df.limit(1).select(tx.format_currency(F.lit(-1.5)).alias("a"),
+                             tx.format_currency(F.lit(None).cast("double")).alias("b")).first()
+    assert row.a == "$-1.50" and row.b is None

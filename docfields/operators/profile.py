@@ -177,6 +177,10 @@ def approx_quantiles(df: DataFrame, cols: list[str], probs: list[float], accurac
     return items.select(F.col("column").alias("column_name"), F.inline(pairs))
 
 
+DESCRIBE_SCHEMA = ("column_name string, count bigint, unique bigint, top string, freq bigint, mean double, "
+                   "std double, min double, p25 double, p50 double, p75 double, max double")
+
+
 def describe_all(df: DataFrame, numeric: list[str], categorical: list[str], exact: bool = True) -> DataFrame:
     """``describe(include='all')`` in long form, one row per column.
 
@@ -195,26 +199,17 @@ def describe_all(df: DataFrame, numeric: list[str], categorical: list[str], exac
             [F.count(c).alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"), F.stddev_samp(c).alias(f"{c}__std"),
              F.min(c).cast("double").alias(f"{c}__min"), F.max(c).cast("double").alias(f"{c}__max")]
             for c in numeric)).first()
-        stats = spark.createDataFrame(
-            [tuple(row[f"{c}__{k}"] for c in numeric for k in ("count", "mean", "std", "min", "max"))],
-            ", ".join(f"`{c}__{k}` {t}" for c in numeric
-                      for k, t in (("count", "bigint"), ("mean", "double"), ("std", "double"),
-                                   ("min", "double"), ("max", "double"))))
         distinct = {c: int(row[f"{c}__count"]) for c in numeric}
         big = [c for c in numeric if distinct[c] * 1.1 > MAP_QUANTILE_MAX_DISTINCT]
         if big:
             distinct.update(distinct_estimates(df, big))
-        num = stats.select(F.inline(F.array(*[
-            F.struct(F.lit(c).alias("column"), F.col(f"{c}__count").alias("count"), F.col(f"{c}__mean").alias("mean"),
-                     F.col(f"{c}__std").alias("std"), F.col(f"{c}__min").alias("min"), F.col(f"{c}__max").alias("max"))
-            for c in numeric])))
         q = exact_quantiles(df, numeric, probs, distinct=distinct) if exact else approx_quantiles(df, numeric, probs)
-        qw = q.groupBy("column_name").agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n)
-                                              for p, n in zip(probs, ["p25", "p50", "p75"])])
-        num = num.withColumnRenamed("column", "column_name").join(qw, "column_name", "left")
-        parts.append(num.select("column_name", "count", F.lit(None).cast("bigint").alias("unique"),
-                                F.lit(None).cast("string").alias("top"), F.lit(None).cast("bigint").alias("freq"),
-                                "mean", "std", "min", "p25", "p50", "p75", "max"))
+        # columns x probabilities values: collected like the statistics row, so
+        # the numeric report needs no pivot or join stages
+        qv = {(r["column_name"], float(r["prob"])): r["value"] for r in q.collect()}
+        rows = [(c, row[f"{c}__count"], None, None, None, row[f"{c}__mean"], row[f"{c}__std"], row[f"{c}__min"],
+                 *[qv.get((c, p)) for p in probs], row[f"{c}__max"]) for c in numeric]
+        parts.append(spark.createDataFrame(rows, DESCRIBE_SCHEMA))
     if categorical:
         items = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
                           for c in categorical])

@@ -71,23 +71,36 @@ def fit_exact(df: DataFrame, features: list[str], label: str, name: str = "exact
     """Exact least squares: one aggregate of means and sample covariances
     (centred, so badly scaled features stay well conditioned), then a p×p
     solve on the driver."""
-    cols = features + [label]
-    complete = df
-    for c in cols:
-        complete = complete.where(F.col(c).isNotNull())
-    aggs = [F.avg(c).alias(f"m_{c}") for c in cols]
-    aggs += [F.covar_samp(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c_{a}__{b}")
-             for i, a in enumerate(cols) for b in cols[i:]]
-    r = complete.agg(*aggs).first().asDict()
-    p = len(features)
-
-    def cov(a, b):
-        return r.get(f"c_{a}__{b}", r.get(f"c_{b}__{a}"))
-    sxx = np.array([[cov(a, b) for b in features] for a in features], dtype=float)
-    sxy = np.array([cov(a, label) for a in features], dtype=float)
-    w = np.linalg.solve(sxx, sxy) if p else np.zeros(0)
-    bias = r[f"m_{label}"] - float(np.dot(w, [r[f"m_{f}"] for f in features]))
-    return LinearModel(list(features), [float(x) for x in w], float(bias), name)
+    return fit_exact_many(df, [(name, list(features))], label)[0]
+
+
+def fit_exact_many(df: DataFrame, models: list[tuple[str, list[str]]], label: str) -> list[LinearModel]:
+    """Several exact fits from one aggregate (one scan). Each model's means
+    and covariances are taken over its own complete rows (features and
+    label non-null), so the result equals separate fits. Only one row of
+    (p+1)(p+2)/2 values per model reaches the driver."""
+    aggs = []
+    for k, (_, features) in enumerate(models):
+        cols = list(features) + [label]
+        complete = F.lit(True)
+        for c in cols:
+            complete = complete & F.col(c).isNotNull()
+
+        def v(c):
+            return F.when(complete, F.col(c).cast("double"))
+        aggs += [F.avg(v(c)).alias(f"m{k}_{c}") for c in cols]
+        aggs += [F.covar_samp(v(a), v(b)).alias(f"c{k}_{a}__{b}") for i, a in enumerate(cols) for b in cols[i:]]
+    r = df.agg(*aggs).first().asDict()
+    out = []
+    for k, (name, features) in enumerate(models):
+        def cov(a, b):
+            return r.get(f"c{k}_{a}__{b}", r.get(f"c{k}_{b}__{a}"))
+        sxx = np.array([[cov(a, b) for b in features] for a in features], dtype=float)
+        sxy = np.array([cov(a, label) for a in features], dtype=float)
+        w = np.linalg.solve(sxx, sxy) if features else np.zeros(0)
+        bias = r[f"m{k}_{label}"] - float(np.dot(w, [r[f"m{k}_{f}"] for f in features]))
+        out.append(LinearModel(list(features), [float(x) for x in w], float(bias), name))
+    return out
 
 
 def fit_ml(df: DataFrame, features: list[str], label: str, name: str = "ml") -> LinearModel:

@@ -130,7 +130,9 @@ r AS (SELECT 'one_feature' AS experiment, sqrt(avg((FARE - (v1 * TRIP_MILES + b1
       SELECT 'two_features', sqrt(avg((FARE - (w1 * TRIP_MILES + w2 * TRIP_MINUTES + b)) ** 2)) FROM t, m2)
 SELECT experiment, rmse, rmse - min(rmse) OVER () AS delta_to_best FROM r""")
 def q_compare_experiments(spark, sf_dir):
-    return rg.compare_experiments(trips(spark, sf_dir), [exact_one(spark, sf_dir), exact_two(spark, sf_dir)], LABEL)
+    t = trips(spark, sf_dir)
+    models = rg.fit_exact_many(t, [("one_feature", ONE), ("two_features", TWO)], LABEL)  # one scan for both
+    return rg.compare_experiments(t, models, LABEL)
 
 
 @query("formula_gap", f"""WITH {EXACT_SQL},

@@ -97,3 +97,14 @@ def test_gram_stats_multi_equals_one_job_per_spec(spark):
         assert len(got) == len(ref)
         for c in ref.columns:
             assert np.allclose(got[c].to_numpy(float), ref[c].to_numpy(float), rtol=1e-12), c
+
+
+def test_fit_exact_many_equals_separate_fits(spark):
+    """One aggregate for several models gives the separate fits, also when a
+    feature has nulls (each model keeps its own complete rows)."""
+    df = qr.trips(spark, SF_SMALL)
+    df = df.withColumn("TRIP_MINUTES", F.when(F.col("l_partkey") % 13 == 0, None).otherwise(F.col("TRIP_MINUTES")))
+    many = rg.fit_exact_many(df, [("one", qr.ONE), ("two", qr.TWO)], qr.LABEL)
+    for m, feats in zip(many, [qr.ONE, qr.TWO]):
+        ref = rg.fit_ml(df.where(F.col("TRIP_MINUTES").isNotNull()) if len(feats) == 2 else df, feats, qr.LABEL)
+        assert m.weights == pytest.approx(ref.weights, rel=1e-9) and m.bias == pytest.approx(ref.bias, rel=1e-9)

@@ -73,11 +73,12 @@ def _long(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(F.inline(items)).where(F.col("x").isNotNull() & ~F.isnan("x"))
 
 
-# A column whose (approximate) number of distinct values is at most this is
-# answered by Spark's exact ``percentile``: its per-group state is a
-# value -> count map, so the bound caps the memory of the one task that merges
-# a column. Beyond it, ranks come from range partitioning (no per-column task).
-MAP_QUANTILE_MAX_DISTINCT = 2_000_000
+# Columns whose (approximate) numbers of distinct values add up to at most
+# this are answered by Spark's exact ``percentile``: its state is a
+# value -> count map per column, and one task merges them all, so the bound
+# caps that task's memory. Other columns get ranks from range partitioning
+# (no task holds a whole column).
+MAP_QUANTILE_MAX_DISTINCT = 4_000_000  # about 250-400 MB of map entries in one task
 
 
 def distinct_estimates(df: DataFrame, cols: list[str], rsd: float = 0.05) -> dict[str, int]:
@@ -92,18 +93,24 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], n_ranges
     """Exact, linearly interpolated quantiles (as pandas / ``quantile_cont``).
 
     Each column takes the cheaper exact plan its checked size allows:
-    ``percentile`` (one shuffle, map-side combined value counts) when its
-    distinct count is at most ``max_map_distinct``, else
-    :func:`ranked_quantiles`. ``distinct`` passes estimates already computed
+    ``percentile`` (one global aggregate with map-side combined value counts)
+    for columns whose distinct counts add up to at most ``max_map_distinct``,
+    :func:`ranked_quantiles` for the rest. ``distinct`` passes estimates already computed
     (e.g. in the same pass as other statistics). Output: ``column_name, prob,
     value``.
     """
-    if max_map_distinct <= 0:
-        small = []
-    else:
+    small: list[str] = []
+    if max_map_distinct > 0:
         est = distinct if distinct is not None else distinct_estimates(df, cols)
-        # the estimate's error is a few per cent: keep a safety margin
-        small = [c for c in cols if est[c] * 1.1 <= max_map_distinct]
+        # One task merges the maps of all map-path columns (a global
+        # aggregate), so the bound holds for their total; the estimate's error
+        # is a few per cent, hence the margin. Smallest columns first.
+        total = 0.0
+        for c in sorted(cols, key=lambda c: est[c]):
+            if total + est[c] * 1.1 > max_map_distinct:
+                break
+            small.append(c)
+            total += est[c] * 1.1
     large = [c for c in cols if c not in small]
     parts = []
     if small:
@@ -193,16 +200,16 @@ def describe_all(df: DataFrame, numeric: list[str], categorical: list[str], exac
         spark = df.sparkSession
         # one pass for the statistics (one bounded row); a column's count is
         # an exact upper bound of its distinct values, so distinct estimates
-        # (another pass) are only needed for columns with more rows than the
-        # map-based quantile bound
+        # (another pass) are only needed when the counts exceed the map-based
+        # quantile bound
         row = df.agg(*itertools.chain.from_iterable(
             [F.count(c).alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"), F.stddev_samp(c).alias(f"{c}__std"),
              F.min(c).cast("double").alias(f"{c}__min"), F.max(c).cast("double").alias(f"{c}__max")]
             for c in numeric)).first()
         distinct = {c: int(row[f"{c}__count"]) for c in numeric}
-        big = [c for c in numeric if distinct[c] * 1.1 > MAP_QUANTILE_MAX_DISTINCT]
-        if big:
-            distinct.update(distinct_estimates(df, big))
+        if sum(distinct.values()) * 1.1 > MAP_QUANTILE_MAX_DISTINCT:
+            # counts cannot prove the bound: estimate distinct values (one pass)
+            distinct = distinct_estimates(df, numeric)
         q = exact_quantiles(df, numeric, probs, distinct=distinct) if exact else approx_quantiles(df, numeric, probs)
         # columns x probabilities values: collected like the statistics row, so
         # the numeric report needs no pivot or join stages

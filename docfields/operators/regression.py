@@ -323,8 +323,12 @@ def gram_stats_multi(df: DataFrame, specs: list[tuple[tuple[str, ...], int]], la
     aggs += [F.sum(y).alias("sy"), F.sum(y * y).alias("syy")]
     bnames = [f"_b{k}" for k in range(n_specs)]
     grouped = src.groupingSets([[b] for b in bnames], *bnames).agg(*aggs)
-    # bounded (Σ batches × (q+2)² values): ordered here, not with an extra sampling job
-    rows = pd.DataFrame.from_records([tuple(r) for r in grouped.collect()], columns=grouped.columns)
+    # bounded (Σ batches × (q+2)² values): ordered here, not with an extra
+    # sampling job; many batches come over Arrow, a few as plain rows
+    if sum(nb for _, nb in specs) > 50_000:
+        rows = grouped.toPandas()
+    else:
+        rows = pd.DataFrame.from_records([tuple(r) for r in grouped.collect()], columns=grouped.columns)
     full = (1 << n_specs) - 1
     out = []
     for k, (feats, _) in enumerate(specs):

@@ -8,6 +8,7 @@ parsed natively with ``parse_json`` and never fails there.
 from __future__ import annotations
 
 import json
+import math
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -39,6 +40,15 @@ def _keep_constant(name: str) -> str:
     return name
 
 
+def _finite_float(text: str):
+    # a number too large for a double (e.g. 1E400) is Python's inf: kept as
+    # text like the constants, so the canonical form stays valid JSON
+    f = float(text)
+    if math.isfinite(f):
+        return f
+    return "Infinity" if f > 0 else "-Infinity"
+
+
 def strict_parse(text: str | None, strip_fences: bool = False) -> tuple[bool | None, str | None, str | None]:
     """``(ok, kind, canonical)`` for one response text; null in -> nulls out."""
     if text is None:
@@ -51,10 +61,10 @@ def strict_parse(text: str | None, strip_fences: bool = False) -> tuple[bool | N
                 t = t.rstrip()[:-3]
         text = t
     try:
-        value = json.loads(text, parse_constant=_keep_constant)
+        value = json.loads(text, parse_constant=_keep_constant, parse_float=_finite_float)
     except (ValueError, RecursionError):
         return False, None, None
-    return True, json_kind(value), json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    return True, json_kind(value), json.dumps(value, ensure_ascii=False, separators=(",", ":"), allow_nan=False)
 
 
 def strict_json_udf(strip_fences: bool = False):

@@ -66,8 +66,17 @@ def value_kind(v: Column) -> Column:
 
 
 def variant_text(v: Column) -> Column:
-    """Text of a VARIANT: strings unquoted, nested values as compact JSON, JSON null -> null."""
-    return F.when(F.schema_of_variant(v) != "VOID", v.cast("string"))
+    """Text of a VARIANT: strings unquoted, nested values as compact JSON, JSON null -> null.
+
+    A JSON number written with a zero fraction (``1.0``, ``2500.0``) is a
+    float in Python and prints with its ``.0``; ``parse_json`` stores it as
+    DECIMAL(p,0) (integers that fit a bigint become BIGINT), so below 1e16,
+    where Python still prints positional digits, the ``.0`` is put back.
+    """
+    t = F.schema_of_variant(v)
+    txt = v.cast("string")
+    zero_fraction = t.rlike(r"^DECIMAL\(([1-9]|1[0-6]),0\)$")
+    return F.when(t != "VOID", F.when(zero_fraction, F.concat(txt, F.lit(".0"))).otherwise(txt))
 
 
 def explode_result(parsed: DataFrame, key_col: str = SOURCE_COLUMN) -> DataFrame:

@@ -59,3 +59,15 @@ def test_single_extract_key_is_a_pushed_scalar_subquery(spark):
     plan = _plan(df)
     assert "ScalarSubquery" in plan or "Subquery" in plan, plan
     assert df.count() == 1
+
+
+def test_number_overflow_does_not_fail_the_batch(spark):
+    """1E400 is valid JSON (Python reads inf); it must become a value, not a
+    canonical text that the native parser rejects (which fails the job)."""
+    assert strict_parse('{"a": 1E400}') == (True, "object", '{"a":"Infinity"}')
+    df = spark.createDataFrame([(1, '{"a": 1E400}'), (2, '{"a": 1.0, "b": 2500.0, "c": 0.5, "d": 7}')],
+                               "source_file long, response string")
+    rows = {(r.source_file, r.field): r.value for r in rs.explode_result(rs.parse_response(df)).collect()}
+    assert rows[(1, "a")] == "Infinity"
+    # floats keep Python's text: 1.0 and 2500.0, not 1 and 2500
+    assert rows[(2, "a")] == "1.0" and rows[(2, "b")] == "2500.0" and rows[(2, "c")] == "0.5" and rows[(2, "d")] == "7"

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -21,6 +22,22 @@ STRICT_SCHEMA = T.StructType([
 ])
 
 
+_LONE_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+def utf8_safe(text: str | None) -> str | None:
+    """Text that Arrow can hand to Spark: lone UTF-16 surrogates (a JSON
+    escape such as ``\\ud800`` parses into one) become U+FFFD; without this one
+    such value fails the whole task."""
+    if text is None:
+        return None
+    try:
+        text.encode("utf-8")
+        return text
+    except UnicodeEncodeError:
+        return _LONE_SURROGATE.sub("\ufffd", text)
+
+
 def json_kind(value) -> str:
     if value is None:
         return "null"
@@ -64,7 +81,8 @@ def strict_parse(text: str | None, strip_fences: bool = False) -> tuple[bool | N
         value = json.loads(text, parse_constant=_keep_constant, parse_float=_finite_float)
     except (ValueError, RecursionError):
         return False, None, None
-    return True, json_kind(value), json.dumps(value, ensure_ascii=False, separators=(",", ":"), allow_nan=False)
+    canonical = json.dumps(value, ensure_ascii=False, separators=(",", ":"), allow_nan=False)
+    return True, json_kind(value), utf8_safe(canonical)
 
 
 def strict_json_udf(strip_fences: bool = False):

@@ -71,3 +71,10 @@ def test_number_overflow_does_not_fail_the_batch(spark):
     assert rows[(1, "a")] == "Infinity"
     # floats keep Python's text: 1.0 and 2500.0, not 1 and 2500
     assert rows[(2, "a")] == "1.0" and rows[(2, "b")] == "2500.0" and rows[(2, "c")] == "0.5" and rows[(2, "d")] == "7"
+
+
+def test_lone_surrogate_escape_does_not_fail_the_batch(spark):
+    df = spark.createDataFrame([(1, '{"a": "\\ud800x"}'), (2, '{"b": "\\u00e9\\ud83d\\ude00"}')],
+                               "source_file long, response string")
+    rows = {(r.source_file, r.field): r.value for r in rs.explode_result(rs.parse_response(df)).collect()}
+    assert rows[(1, "a")] == "�x" and rows[(2, "b")] == "é😀"

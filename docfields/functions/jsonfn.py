@@ -2,7 +2,8 @@
 
 No native Spark function rejects trailing text after a JSON value, so the
 strict check runs in a pandas UDF; its output ``canonical`` text is then
-parsed natively with ``parse_json`` and never fails there.
+parsed natively with ``try_parse_json`` (JSON nested beyond the native
+parser's depth limit becomes an error row instead of a failed job).
 """
 
 from __future__ import annotations

@@ -23,6 +23,7 @@ PROVIDER_COLUMN = "provider"
 SOURCE_COLUMN = "source_file"
 # ---------------------------------------------------------------------------
 NOT_OBJECT_MESSAGE = "response is not a JSON object: "
+TOO_DEEP_MESSAGE = "response is nested too deeply to be represented"
 MAX_DYNAMIC_COLUMNS = 10_000
 
 
@@ -37,10 +38,14 @@ def parse_response(df: DataFrame, response_col: str = "response", strip_fences:
     s = strict_json_udf(strip_fences)(F.col(response_col))
     out = df.withColumn("_sj", s)
     ok = F.col("_sj.ok")
+    # try_: JSON that Python accepts but the variant cannot hold (nesting
+    # beyond the native parser's depth limit) becomes an error row, not a
+    # failed job
     return (out.withColumn("ok", ok)
                .withColumn("kind", F.col("_sj.kind"))
-               .withColumn("v", F.when(ok, F.parse_json(F.col("_sj.canonical"))))
-               .withColumn("error", F.when(~ok, F.lit(PARSE_ERROR_MESSAGE)))
+               .withColumn("v", F.when(ok, F.try_parse_json(F.col("_sj.canonical"))))
+               .withColumn("error", F.when(~ok, F.lit(PARSE_ERROR_MESSAGE))
+                                     .when(F.col("v").isNull(), F.lit(TOO_DEEP_MESSAGE)))
                .withColumn("raw_response", F.when(~ok, F.col(response_col)))
                .drop("_sj"))
 

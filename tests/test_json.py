@@ -78,3 +78,12 @@ def test_lone_surrogate_escape_does_not_fail_the_batch(spark):
                                "source_file long, response string")
     rows = {(r.source_file, r.field): r.value for r in rs.explode_result(rs.parse_response(df)).collect()}
     assert rows[(1, "a")] == "�x" and rows[(2, "b")] == "é😀"
+
+
+def test_deep_nesting_is_an_error_row_not_a_failed_job(spark):
+    """Python accepts JSON nested thousands of levels deep; the native parser
+    stops near 1,000, so such a response becomes an error row."""
+    deep = '{"a": ' + "[" * 5000 + "]" * 5000 + "}"
+    df = spark.createDataFrame([(1, deep), (2, '{"a": 1}')], "source_file long, response string")
+    p = {r.source_file: r for r in rs.parse_response(df).select("source_file", "ok", "error").collect()}
+    assert p[1].ok and p[1].error == rs.TOO_DEEP_MESSAGE and p[2].error is None

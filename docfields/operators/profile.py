@@ -295,4 +295,4 @@ def scale_check(df: DataFrame, cols: list[str]) -> DataFrame:
     long = wide.select(top.alias("_top"), *cols).unpivot(["_top"], [F.col(c) for c in cols], "column_name", "mean_abs")
     return long.select("column_name", "mean_abs",
                        F.floor(F.log10("mean_abs")).cast("bigint").alias("order_of_magnitude"),
-                       F.log10(F.col("_top") / F.col("mean_abs")).alias("orders_below_max"))
+                       F.log10(F.try_divide(F.col("_top"), F.col("mean_abs"))).alias("orders_below_max"))

@@ -422,7 +422,9 @@ def convergence_epoch(history: DataFrame, tol: float = 0.01, metric: str = "rmse
     """First epoch whose relative improvement over the previous one is below ``tol``."""
     w = Window.partitionBy("experiment").orderBy("epoch")
     h = history.withColumn("_prev", F.lag(metric).over(w))
-    h = h.withColumn("gain", (F.col("_prev") - F.col(metric)) / F.col("_prev"))
+    # try_divide: a perfect fit (previous value 0) gives a null gain, not a
+    # division-by-zero failure under ANSI mode
+    h = h.withColumn("gain", F.try_divide(F.col("_prev") - F.col(metric), F.col("_prev")))
     return (h.where(F.col("gain").isNotNull() & (F.col("gain") < tol))
              .groupBy("experiment").agg(F.min("epoch").alias("converged_epoch")))
 

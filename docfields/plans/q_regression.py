@@ -79,7 +79,7 @@ def q_gram_stats(spark, sf_dir):
     summed in tests."""
     g = rg.gram_stats(trips(spark, sf_dir), TWO, LABEL)
     sums = [c for c in g.columns if c not in ("n", "batch")]
-    return g.select("n", *[(F.col(c) / F.col("n")).alias(c) for c in sums], "batch")
+    return g.select("n", *[F.try_divide(F.col(c), F.col("n")).alias(c) for c in sums], "batch")
 
 
 @query("rmse", f"""WITH {EXACT_SQL}

@@ -69,7 +69,7 @@ def q_scan_documents(spark, sf_dir):
     """Written document files listed with ``binaryFile`` (bytes not read)."""
     root = write_document_files(spark, sf_dir)
     lst = readers.scan_documents(spark, root, glob="*.txt")
-    return lst.select(F.regexp_extract("path", r"doc_id=([0-9]+)", 1).cast("bigint").alias("doc_id"), "length")
+    return lst.select(F.regexp_extract("path", r"doc_id=([0-9]+)", 1).try_cast("bigint").alias("doc_id"), "length")
 
 
 @query("read_pages", r"""
@@ -79,7 +79,7 @@ def q_read_pages(spark, sf_dir):
     root = write_document_files(spark, sf_dir)
     files = readers.scan_documents(spark, root, glob="*.txt", with_content=True)
     pages = readers.read_pages(files)
-    return pages.select(F.regexp_extract("path", r"doc_id=([0-9]+)", 1).cast("bigint").alias("doc_id"),
+    return pages.select(F.regexp_extract("path", r"doc_id=([0-9]+)", 1).try_cast("bigint").alias("doc_id"),
                         "page_no", "text")
 
 

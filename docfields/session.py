@@ -12,7 +12,8 @@ from pyspark.sql import SparkSession
 
 def get_session(master: str | None = None, app: str = "docfields",
                 shuffle_partitions: int | None = None) -> SparkSession:
-    """Session with AQE, skew-join handling, UTC and Arrow enabled; UI off."""
+    """Session with AQE, skew-join handling, UTC, Arrow (batches capped at
+    64 MB) enabled; UI off."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
@@ -23,6 +24,9 @@ def get_session(master: str | None = None, app: str = "docfields",
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
           .config("spark.sql.session.timeZone", "UTC")
           .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+          # Python stages get Arrow batches bounded by bytes as well as rows:
+          # 10,000 long documents in one batch would not fit a worker
+          .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 * 1024 * 1024))
           .config("spark.driver.memory", os.environ.get("DOCFIELDS_DRIVER_MEMORY", "16g")))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))

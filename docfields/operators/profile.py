@@ -267,6 +267,8 @@ def scatter_bins(df: DataFrame, cols: list[str], n_bins: int = 20) -> DataFrame:
     One min/max aggregate (a bounded row to the driver), then one grouped
     count with map-side combine: the output is at most pairs x bins^2 rows.
     """
+    if n_bins < 1:
+        raise ValueError("n_bins must be at least 1")
     mm = df.agg(*itertools.chain.from_iterable(
         [F.min(c).cast("double").alias(f"{c}__min"), F.max(c).cast("double").alias(f"{c}__max")] for c in cols)).first()
 

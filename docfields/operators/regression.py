@@ -362,6 +362,10 @@ def sweep_settings(df: DataFrame, settings: DataFrame, label: str, key_cols: lis
     from docfields.session import ship_package
     ship_package(spark)
     sets = settings.collect()  # one row per experiment: a handful of rows
+    for st in sets:
+        if int(st.batch_size) < 1 or int(st.number_epochs) < 0 or not st.input_features:
+            raise ValueError(f"setting {st.experiment!r}: batch_size >= 1, number_epochs >= 0 and at least "
+                             "one feature are required")
     n_rows = df.count() if sets else 0
     specs: list[tuple[tuple[str, ...], int]] = []
     spec_of = {}

@@ -81,7 +81,17 @@ def variant_text(v: Column) -> Column:
     t = F.schema_of_variant(v)
     txt = v.cast("string")
     zero_fraction = t.rlike(r"^DECIMAL\(([1-9]|1[0-6]),0\)$")
-    return F.when(t != "VOID", F.when(zero_fraction, F.concat(txt, F.lit(".0"))).otherwise(txt))
+    # A DOUBLE only comes from exponent notation, where Python prints
+    # ``1e+20`` / ``1.5e-07`` and Java ``1.0E20`` / ``1.5E-7``: same digits,
+    # rewritten (mantissa without ``.0``, signed exponent of two digits or more).
+    sci = r"^(-?[0-9]+(?:[.][0-9]+)?)E(-?)([0-9]+)$"
+    mant = F.regexp_replace(F.regexp_extract(txt, sci, 1), r"[.]0$", "")
+    exp = F.regexp_extract(txt, sci, 3)
+    py_sci = F.concat(mant, F.lit("e"), F.when(F.regexp_extract(txt, sci, 2) == "-", "-").otherwise("+"),
+                      F.when(F.length(exp) < 2, F.lpad(exp, 2, "0")).otherwise(exp))  # lpad would cut 3 digits
+    return F.when(t != "VOID", F.when(zero_fraction, F.concat(txt, F.lit(".0")))
+                                .when((t == "DOUBLE") & txt.rlike(sci), py_sci)
+                                .otherwise(txt))
 
 
 def explode_result(parsed: DataFrame, key_col: str = SOURCE_COLUMN) -> DataFrame:

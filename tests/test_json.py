@@ -73,6 +73,13 @@ def test_number_overflow_does_not_fail_the_batch(spark):
     assert rows[(2, "a")] == "1.0" and rows[(2, "b")] == "2500.0" and rows[(2, "c")] == "0.5" and rows[(2, "d")] == "7"
 
 
+def test_exponent_floats_print_like_python(spark):
+    vals = [1e20, 1.5e-07, -2.5e-05, 1e300, 1.2345e-120, 3.0e10]
+    df = spark.createDataFrame([(i, '{"a": %r}' % v) for i, v in enumerate(vals)], "source_file long, response string")
+    got = {r.source_file: r.value for r in rs.explode_result(rs.parse_response(df)).collect()}
+    assert [got[i] for i in range(len(vals))] == [str(v) for v in vals]
+
+
 def test_lone_surrogate_escape_does_not_fail_the_batch(spark):
     df = spark.createDataFrame([(1, '{"a": "\\ud800x"}'), (2, '{"b": "\\u00e9\\ud83d\\ude00"}')],
                                "source_file long, response string")

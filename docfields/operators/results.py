@@ -138,6 +138,16 @@ def _path(field: str) -> str:
     return f"$['{field}']"
 
 
+def field_item(v: Column, field: str) -> Column:
+    """Top-level member ``field`` of a VARIANT object (null when absent).
+
+    A path lookup for ordinary names; a name with a quote or backslash (which
+    a path literal cannot carry) is looked up in the object as a map."""
+    if "'" in field or "\\" in field:
+        return v.try_cast("map<string,variant>")[F.lit(field)]
+    return F.try_variant_get(v, _path(field), "variant")
+
+
 def union_columns(parsed: DataFrame, fields: list[str] | None = None, key_col: str = SOURCE_COLUMN,
                   keep: list[str] | None = None) -> DataFrame:
     """One wide row per response over the union of keys (absent -> null).
@@ -152,7 +162,7 @@ def union_columns(parsed: DataFrame, fields: list[str] | None = None, key_col: s
     keep = [F.col(c) for c in (keep or [])]
     # each path is looked up once; the text is taken from that column
     items = parsed.select(F.col(key_col), *keep,
-                          *[F.try_variant_get(F.col("v"), _path(f), "variant").alias(f"_i{i}")
+                          *[field_item(F.col("v"), f).alias(f"_i{i}")
                             for i, f in enumerate(names)])
     cols = [variant_text(F.col(f"_i{i}")).alias(f) for i, f in enumerate(names)]
     return items.select(F.col(key_col), *cols, *keep)

@@ -94,3 +94,15 @@ def test_deep_nesting_is_an_error_row_not_a_failed_job(spark):
     df = spark.createDataFrame([(1, deep), (2, '{"a": 1}')], "source_file long, response string")
     p = {r.source_file: r for r in rs.parse_response(df).select("source_file", "ok", "error").collect()}
     assert p[1].ok and p[1].error == rs.TOO_DEEP_MESSAGE and p[2].error is None
+
+
+def test_keys_with_quotes_and_backslashes(spark):
+    """Discovered keys are arbitrary text; a quote or backslash must not stop
+    the wide form (a path literal cannot carry them, a map lookup can)."""
+    import json
+    quote, slash = "it's", "a" + chr(92) + "b"
+    df = spark.createDataFrame([(1, json.dumps({quote: 1, slash: "x", "plain": True})),
+                                (2, json.dumps({"plain": False}))], "source_file long, response string")
+    wide = {r.source_file: r.asDict() for r in rs.union_columns(rs.parse_response(df)).collect()}
+    assert wide[1][quote] == "1" and wide[1][slash] == "x" and wide[1]["plain"] == "true"
+    assert wide[2][quote] is None and wide[2]["plain"] == "false"

@@ -65,3 +65,15 @@ def test_stream_extract(spark, tmp_path):
     q.awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == 2 * spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
+
+
+def test_html_to_text_unclosed_tags(spark):
+    """Closed script/style/comment blocks are removed; pages full of unclosed
+    tags keep their text and take linear time (the regex is skipped)."""
+    from docfields.sources import readers
+    page = "<title>T</title><p>a</p><SCRIPT>x()</SCRIPT><style>s{}</style><!-- c --><p>b</p>"
+    adversarial = "<p>k</p>" + "<script>y " * 3000
+    df = spark.createDataFrame([(1, page), (2, adversarial)], "page_id long, html string")
+    got = {r.page_id: r for r in readers.read_html_pages(df).collect()}
+    assert got[1].title == "T" and got[1].text == "T a b"
+    assert got[2].text.startswith("k y y") and got[2].text.count("y") == 3000

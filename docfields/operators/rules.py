@@ -24,6 +24,15 @@ class Rule:
     # literal(s) every match contains: the regex runs only on texts that have
     # one (a fast substring scan skips the backtracking engine elsewhere)
     hints: tuple[str, ...] = ()
+    # the same matches for backtracking engines (Java in Spark, Python's re):
+    # a left-boundary look-behind so a long run of the leading class is tried
+    # from its start only (linear instead of quadratic); RE2 (the SQL oracle)
+    # is linear already and has no look-behind, so it keeps ``pattern``
+    backtracking_pattern: str | None = None
+
+    @property
+    def jvm_pattern(self) -> str:
+        return self.backtracking_pattern or self.pattern
 
 
 def _guarded(text: Column, rule: Rule, expr: Column, empty: Column) -> Column:
@@ -38,7 +47,8 @@ def _guarded(text: Column, rule: Rule, expr: Column, empty: Column) -> Column:
 
 # Rule registry: name -> pattern (group 0 = whole match).
 RULES: dict[str, Rule] = {r.name: r for r in [
-    Rule("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}", 0, ("@",)),
+    Rule("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}", 0, ("@",),
+         r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"),
     Rule("ip", r"[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}", 0, (".",)),
     Rule("card", r"[0-9]{16}"),
     Rule("phone", r"[+][0-9] [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}", 0, ("+",)),
@@ -81,7 +91,7 @@ def extract_rules(docs: DataFrame, fields: list[str], key_col: str = "doc_id",
         if rule is None:
             matches = F.array().cast("array<string>")
         else:
-            matches = _guarded(text, rule, F.regexp_extract_all(text, F.lit(rule.pattern), rule.group),
+            matches = _guarded(text, rule, F.regexp_extract_all(text, F.lit(rule.jvm_pattern), rule.group),
                                F.array().cast("array<string>"))
         items.append(F.struct(F.lit(i + 1).alias("ordinal"), F.lit(f).alias("field"),
                               matches.alias("_m")))
@@ -197,5 +207,5 @@ def rule_column(field: str, text: Column) -> Column:
     rule = RULES.get(resolve_field(field) or "")
     if rule is None:
         return F.lit(None).cast("string")
-    v = F.regexp_extract(text, rule.pattern, rule.group)
+    v = F.regexp_extract(text, rule.jvm_pattern, rule.group)
     return _guarded(text, rule, F.when(v != "", v), F.lit(None).cast("string"))

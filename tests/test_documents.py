@@ -82,3 +82,24 @@ def test_key_values(spark):
                                  "doc_id long, text string")
     r = rules.extract_key_values(docs, {"n": "Invoice Number", "t": "Total Amount", "d": "Due Date"}).first()
     assert (r.n, r.t, r.d) == ("INV-1", "$5.00", None)
+
+
+def test_backtracking_email_pattern_matches_the_plain_one(spark):
+    """The look-behind form finds exactly the matches of the plain pattern
+    (a match inside a run also exists from the run's start), and a long run
+    of word characters no longer costs quadratic time."""
+    import random
+    import re
+    import time
+
+    from docfields.operators import rules
+    r = rules.RULES["email"]
+    rnd = random.Random(11)
+    alphabet = "ab.@-_x9 \n"
+    for _ in range(3000):
+        s = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40)))
+        assert re.findall(r.pattern, s) == re.findall(r.jvm_pattern, s), s
+    df = spark.createDataFrame([(1, "x" * 60000 + " mail a@b.com")], "doc_id long, text string")
+    t0 = time.time()
+    assert rules.extract_rules(df, ["email"], balance=False).first().value == "a@b.com"
+    assert time.time() - t0 < 20

@@ -82,3 +82,15 @@ def test_describe_plans_agree_past_the_map_bound(spark, monkeypatch):
     for c in ["FARE", "TRIP_MILES", "TIP_RATE"]:
         for mine, p in [("p25", 0.25), ("p50", 0.5), ("p75", 0.75)]:
             assert d[c][mine] == pytest.approx(pdf[c].quantile(p), rel=1e-9)
+
+
+def test_zero_divisors_give_nulls_not_failures(spark):
+    """ANSI mode raises on division by zero: an all-zero column, a perfect
+    fit and an empty input must still produce results."""
+    from docfields.operators import regression as rg
+    df = spark.createDataFrame([(0.0, 1.0), (0.0, 3.0)], "z double, y double")
+    sc = {r.column_name: r for r in pf.scale_check(df, ["z", "y"]).collect()}
+    assert sc["z"].orders_below_max is None and sc["y"].orders_below_max == 0.0
+    h = spark.createDataFrame([("e", 1, 0.0), ("e", 2, 0.0)], "experiment string, epoch int, rmse double")
+    assert rg.convergence_epoch(h).collect() == []
+    assert rg.gram_stats(df.where("y > 10"), ["z"], "y").first().n == 0

@@ -178,7 +178,8 @@ class Encoder:
         plain = [s.isascii() and not (self.marks and self.marks.search(s)) for s in segments]
         for tokenizer, kind in ((self.bare, True), (self.full, False)):
             at = [i for i, p in enumerate(plain) if p is kind]
-            found = tokenizer.encode_batch_fast([segments[i].decode() for i in at], add_special_tokens=False)
+            parts = [segments[i].lower() if kind and self.folds else segments[i] for i in at]
+            found = tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)
             for i, e in zip(at, found, strict=True):
                 out[i] = e.ids
         return out

@@ -7,8 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from docfields.llm.quality import quality_rules
 from docfields.llm.token_count import count_tokens
 from docfields.llm.token_store import token_store
+from docfields.llm.unigram import encode_documents
 from docfields.sources.tables import read_table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -19,6 +21,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), end_id=2)
 

@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docfields.session import scratch_path, ship_package
 
@@ -123,3 +125,38 @@ def filesystem(uri: str):
     if uri.startswith("file:/") and not uri.startswith("file://"):
         uri = "file://" + uri.removeprefix("file:")
     return fs.FileSystem.from_uri(uri)
+
+
+def running_sum(df: DataFrame, order: list[Column], value: str, out: str, name: str) -> DataFrame:
+    """``df`` with ``out``: the sum of ``value`` over all rows before, in the
+    given order, and the rows written in that order.
+
+    Rows are range-partitioned by the order; each task adds up its own range
+    and one total per range goes through the driver. The order should end in
+    something unique, so that no run of equal rows fills a range.
+    """
+    columns = df.schema
+    part = T.StructType([*columns, T.StructField(out, T.LongType()), T.StructField("_part", T.IntegerType())])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, at = 0, TaskContext.get().partitionId()
+        for b in batches:
+            v = b.column(columns.fieldNames().index(value)).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = before + np.cumsum(v)
+            if len(ends):
+                before = int(ends[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ends - v), pa.array(np.full(len(v), at, np.int32))],
+                                             names=[f.name for f in part])
+
+    prepare(df.sparkSession)
+    ranged = saved(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(add, part), name)
+    totals = ranged.groupBy("_part").agg((F.max(F.col(out) + F.col(value))).alias("n")).collect()
+    before, offsets = 0, []
+    for r in sorted(totals, key=lambda r: r["_part"]):
+        offsets.append((r["_part"], before))
+        before += r["n"]
+    if not offsets:
+        return ranged.drop("_part")
+    table = df.sparkSession.createDataFrame(offsets, "_part int, _before long")
+    return (ranged.join(F.broadcast(table), "_part").withColumn(out, F.col(out) + F.col("_before"))
+                  .select(*columns.fieldNames(), out))

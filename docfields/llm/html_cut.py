@@ -50,7 +50,7 @@ NEVER_WRAPS, WRAPS = {"nav", "footer", "aside", "header"}, 0.6
 GOOD = set("article content post entry story body text main".split())
 #: Logits of the classifier.
 IN_MAIN, IN_OTHER, NO_MAIN, IN_CHROME, IN_CLASS, IN_GOOD = 4.0, -3.0, 0.0, -14.0, -9.0, 1.5
-LINKED, WORDS, SENTENCE, HEADING, NOTICE = -5.0, 0.8, 0.8, 1.5, -3.0
+LINKED, WORDS, SENTENCE, HEADING, NOTICE = -5.0, 0.5, 0.8, 1.5, -3.0
 #: Smoothness: between neighbours, and by closeness in the tree.
 ADJACENT, SIBLING = 0.25, 0.5
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docfields.llm.html_cut import extract_main_text
 from docfields.llm.licenses import scan_licenses
+from docfields.llm.mixing import plan_mix
 from docfields.llm.quality import quality_rules
 from docfields.llm.token_count import count_tokens
 from docfields.llm.token_store import token_store
@@ -31,6 +32,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan_mix(read_table(spark, sf_dir, "documents")).drop("row_key")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docfields.llm.html_cut import extract_main_text
 from docfields.llm.licenses import scan_licenses
+from docfields.llm.minhash import near_duplicates
 from docfields.llm.mixing import plan_mix
 from docfields.llm.quality import quality_rules
 from docfields.llm.token_count import count_tokens
@@ -24,6 +25,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
@@ -52,5 +57,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n.startswith("op") and callable(f)}
 
 
+#: Exact near-duplicates: all pairs that share a shingle, then the smallest id reachable.
+OP3_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+         ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS s
+  FROM words),
+kinds AS (SELECT min(doc_id) AS id, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+items AS (SELECT id, n, unnest(s) AS item FROM kinds),
+links AS (
+  SELECT a.id AS u, b.id AS v FROM items a JOIN items b ON a.item = b.item AND a.id < b.id
+  WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+edges AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+reach(id, node) AS (
+  SELECT id, id FROM kinds UNION SELECT r.id, e.v FROM reach r JOIN edges e ON e.u = r.node),
+named AS (SELECT id, min(node) AS component FROM reach GROUP BY id),
+found AS (SELECT s.doc_id, len(s.s) AS n, coalesce(m.component, s.doc_id) AS component
+          FROM sets s LEFT JOIN kinds k ON k.s = s.s LEFT JOIN named m ON m.id = k.id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component AS component_id, doc_id = component AS kept FROM found
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_minhash_near_dedup": OP3_SQL}

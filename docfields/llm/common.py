@@ -31,7 +31,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | None], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]],
+              schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with a function from one batch to batches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -12,6 +12,7 @@ from docfields.llm.licenses import scan_licenses
 from docfields.llm.minhash import near_duplicates
 from docfields.llm.mixing import plan_mix
 from docfields.llm.quality import quality_rules
+from docfields.llm.substring import dedup_substrings
 from docfields.llm.token_count import count_tokens
 from docfields.llm.token_store import token_store
 from docfields.llm.unigram import encode_documents
@@ -25,6 +26,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), k=2, percent=80)
 

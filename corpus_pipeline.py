@@ -1,10 +1,62 @@
-"""The training-data pipeline over ``documents``."""
+"""The training-data pipeline: documents in, token ids in training order out.
+
+Each stage is a function ``(spark, docs, sf_dir) -> DataFrame``; its result is
+written as Parquet to the shared folder and read back as the next one's docs.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docfields.llm.common import saved
+from docfields.llm.minhash import near_duplicates
+from docfields.llm.mixing import mix
+from docfields.llm.quality import keep_good
+from docfields.llm.substring import dedup_substrings
+from docfields.llm.unigram import encode_documents
+from docfields.sources.tables import read_table
+
+PIECES = "piece_bpe_32k.model"
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules."""
+    return keep_good(docs, public_tokenizers.path(PIECES))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, 0.8)."""
+    kept = near_duplicates(docs, k=5, percent=80).where("kept").select("doc_id")
+    known = docs.join(kept.where("doc_id is not null").distinct(), "doc_id", "left_semi")
+    return known.unionByName(docs.where("doc_id is null"))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one holds."""
+    return dedup_substrings(docs, details=False).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in training order, sources at their target weights."""
+    return mix(docs)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, in the order of training."""
+    return encode_documents(docs, public_tokenizers.path(PIECES))
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("mixing", mixing),
+          ("sentencepiece", sentencepiece)]
+
+#: Several stages cannot be said in SQL; tests hold each against a brute-force form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

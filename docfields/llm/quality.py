@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docfields.llm.common import PieceCache, arrow_map, prepare, renamed, saved, slices
 
@@ -95,15 +96,19 @@ def script_of(text: str) -> str:
 
 
 def measure_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
-                      lang_col: str | None = "lang") -> DataFrame:
-    """Base counts and fertility measures per row, with its group's keys."""
+                      lang_col: str | None = "lang", carry: bool = False) -> DataFrame:
+    """Base counts and fertility measures per row, with its group's keys.
+    ``carry`` brings each row's own columns along, as the structure ``row``."""
     prepare(docs.sparkSession)
     has_lang = lang_col is not None and lang_col in docs.columns
-    src = renamed(docs, doc_id=id_col, text=text_col, **({"lang": lang_col} if has_lang else {}))
-    if not has_lang:
-        src = src.withColumn("lang", F.lit(None).cast("string"))
-    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens",
-             "chars_per_token", "byte_share", "entropy", "language"]
+    used = {"doc_id": id_col, "text": text_col} | ({"lang": lang_col} if has_lang else {})
+    src = renamed(docs, **used)
+    kind = src.schema["doc_id"].dataType.simpleString()
+    if carry:
+        src = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+        at = {k: docs.columns.index(c) for k, c in used.items()}
+    names = [*(["row"] if carry else []), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+             "n_repeat_words", "n_tokens", "chars_per_token", "byte_share", "entropy", "language"]
 
     def row(text: str, lang: str | None) -> tuple:
         words = text.encode().split()
@@ -119,16 +124,21 @@ def measure_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
                 code if LANGUAGE.fullmatch(code) else "script:" + script_of(text))
 
     def run(batch: pa.RecordBatch):
-        texts = batch.column(1).to_pylist()
+        if carry:
+            whole = batch.column(0)
+            columns = {k: whole.field(i) for k, i in at.items()}
+        else:
+            columns = {k: batch.column(i) for i, k in enumerate(used)}
+        texts = columns["text"].to_pylist()
+        langs = columns["lang"].to_pylist() if has_lang else [None] * len(texts)
         for a, b in slices(texts):
-            langs = batch.column(2).slice(a, b - a).to_pylist()
-            rows = [row(t or "", lang) for t, lang in zip(texts[a:b], langs, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, zip(*rows, strict=True))],
-                                             names=names)
-
-    schema = (f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_words long, word_chars long, n_symbols long, "
-              "n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, "
-              "entropy double, language string")
+            rows = [row(t or "", lang) for t, lang in zip(texts[a:b], langs[a:b], strict=True)]
+            yield pa.RecordBatch.from_arrays([*([whole.slice(a, b - a)] if carry else []), columns["doc_id"].slice(a, b - a),
+                                              *map(pa.array, zip(*rows, strict=True))], names=names)
+
+    schema = T.StructType([*(src.schema if carry else []), *T.StructType.fromDDL(
+        f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+        "n_tokens long, chars_per_token double, byte_share double, entropy double, language string")])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
     return (arrow_map(src, run, schema)
             .withColumn("base_failed", failed)
@@ -173,7 +183,21 @@ def quality_rules(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     their keys are language codes of two or three letters or a listed script,
     times length classes, whatever the size of the corpus.
     """
-    measured = saved(measure_documents(docs, vocabulary, id_col, text_col, lang_col), "quality")
+    return _judged(saved(measure_documents(docs, vocabulary, id_col, text_col, lang_col), "quality")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_tokens", "chars_per_token", "byte_share", "entropy", "language")
+
+
+def keep_good(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
+              lang_col: str | None = "lang") -> DataFrame:
+    """The rows of ``docs`` that pass :func:`quality_rules`, with all their
+    columns; rows are judged where they stand, without a join back."""
+    measured = saved(measure_documents(docs, vocabulary, id_col, text_col, lang_col, carry=True), "quality")
+    return _judged(measured).where("kept").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def _judged(measured: DataFrame) -> DataFrame:
+    """``measured`` with ``kept``."""
     own, by_length, by_language = group_bands(measured)
     scored = (measured.join(F.broadcast(own), ["language", "length_class"], "left")
                       .join(F.broadcast(by_length), ["length_class"], "left")
@@ -190,7 +214,4 @@ def quality_rules(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     usual_bytes = F.coalesce("own.mid_byte_share", "by_language.mid_byte_share", F.lit(1.0))
     outside = ((z_entropy < ENTROPY_BAND) | (z_entropy + z_chars < JOINT_BAND)
                | (F.col("byte_share") - usual_bytes > BYTE_BAND))
-    return scored.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~outside).alias("kept"),
-        "n_tokens", "chars_per_token", "byte_share", "entropy", "language")
+    return scored.withColumn("kept", ~F.col("base_failed") & ~outside)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from docfields.llm.hnsw import nearest
 from docfields.llm.html_cut import extract_main_text
 from docfields.llm.licenses import scan_licenses
 from docfields.llm.minhash import near_duplicates
@@ -46,6 +47,11 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_mix(read_table(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op7_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents"))
 

@@ -67,6 +67,11 @@ def _finite_float(text: str):
     return "Infinity" if f > 0 else "-Infinity"
 
 
+def _exact_int(text: str):
+    # integers beyond the native decimal keep their digits as text
+    return int(text) if len(text.lstrip("-")) <= 38 else text
+
+
 def strict_parse(text: str | None, strip_fences: bool = False) -> tuple[bool | None, str | None, str | None]:
     """``(ok, kind, canonical)`` for one response text; null in -> nulls out."""
     if text is None:
@@ -79,7 +84,8 @@ def strict_parse(text: str | None, strip_fences: bool = False) -> tuple[bool | N
                 t = t.rstrip()[:-3]
         text = t
     try:
-        value = json.loads(text, parse_constant=_keep_constant, parse_float=_finite_float)
+        value = json.loads(text, parse_constant=_keep_constant, parse_float=_finite_float,
+                           parse_int=_exact_int)
     except (ValueError, RecursionError):
         return False, None, None
     canonical = json.dumps(value, ensure_ascii=False, separators=(",", ":"), allow_nan=False)

@@ -12,34 +12,43 @@ import itertools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docfields.session import staged
+
+
+def clean(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """NaN as null in floating columns (of ``cols``): both count as missing in
+    every report, and Spark's aggregates skip nulls only."""
+    floating = [c for c, t in df.dtypes if t in ("double", "float") and (cols is None or c in cols)]
+    return df.withColumns({c: F.nanvl(F.col(f"`{c}`"), F.lit(None)) for c in floating}) if floating else df
+
 
 def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def max_value(df: DataFrame, col: str) -> DataFrame:
-    return df.agg(F.max(col).alias(f"max_{col}"))
+    return clean(df, [col]).agg(F.max(col).alias(f"max_{col}"))
 
 
 def mean_value(df: DataFrame, col: str) -> DataFrame:
-    return df.agg(F.avg(col).alias(f"mean_{col}"))
+    return clean(df, [col]).agg(F.avg(col).alias(f"mean_{col}"))
 
 
 def distinct_count(df: DataFrame, col: str, exact: bool = True, rsd: float = 0.01) -> DataFrame:
     """Distinct non-null values (exact, or HyperLogLog++ when ``exact=False``)."""
     f = F.count_distinct(col) if exact else F.approx_count_distinct(col, rsd)
-    return df.agg(f.cast("bigint").alias(f"n_distinct_{col}"))
+    return clean(df, [col]).agg(f.cast("bigint").alias(f"n_distinct_{col}"))
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Frequency table, most frequent first (ties by value); nulls excluded."""
-    return (df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
+    return (clean(df, [col]).where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
               .orderBy(F.desc("count"), F.asc(col)))
 
 
 def most_frequent(df: DataFrame, col: str) -> DataFrame:
     """The modal value; ties resolved to the smallest value."""
-    vc = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_cnt"))
+    vc = clean(df, [col]).where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_cnt"))
     return vc.agg(F.min_by(F.col(col), F.struct(-F.col("_cnt"), F.col(col))).alias(f"mode_{col}"),
                   F.max("_cnt").alias("freq"))
 
@@ -148,7 +157,9 @@ def ranked_quantiles(df: DataFrame, cols: list[str], probs: list[float], n_range
     spark = df.sparkSession
     n_ranges = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     vc = _long(df, cols).groupBy("column", "x").agg(F.count(F.lit(1)).alias("cnt"))
-    ranged = vc.repartitionByRange(n_ranges, "column", "x").withColumn("pid", F.spark_partition_id())
+    # written once: the offsets below hold for these very ranges
+    ranged = staged(vc.repartitionByRange(n_ranges, "column", "x").withColumn("pid", F.spark_partition_id()),
+                    "quantile-ranges")
     local = ranged.withColumn("local_cum", F.sum("cnt").over(
         Window.partitionBy("pid", "column").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
     totals = ranged.groupBy("column", "pid").agg(F.sum("cnt").alias("tot"))
@@ -188,13 +199,15 @@ DESCRIBE_SCHEMA = ("column_name string, count bigint, unique bigint, top string,
                    "std double, min double, p25 double, p50 double, p75 double, max double")
 
 
-def describe_all(df: DataFrame, numeric: list[str], categorical: list[str], exact: bool = True) -> DataFrame:
+def describe_all(df: DataFrame, numeric: list[str], categorical: list[str], exact: bool = True,
+                 max_map_distinct: int = MAP_QUANTILE_MAX_DISTINCT) -> DataFrame:
     """``describe(include='all')`` in long form, one row per column.
 
     Numeric: count, mean, std (sample), min, 25/50/75 %, max. Categorical:
     count, unique, top (ties -> smallest value), freq. Other cells null.
     """
     probs = [0.25, 0.5, 0.75]
+    df = clean(df)
     parts = []
     if numeric:
         spark = df.sparkSession
@@ -207,10 +220,10 @@ def describe_all(df: DataFrame, numeric: list[str], categorical: list[str], exac
              F.min(c).cast("double").alias(f"{c}__min"), F.max(c).cast("double").alias(f"{c}__max")]
             for c in numeric)).first()
         distinct = {c: int(row[f"{c}__count"]) for c in numeric}
-        if sum(distinct.values()) * 1.1 > MAP_QUANTILE_MAX_DISTINCT:
+        if sum(distinct.values()) * 1.1 > max_map_distinct > 0:
             # counts cannot prove the bound: estimate distinct values (one pass)
             distinct = distinct_estimates(df, numeric)
-        q = exact_quantiles(df, numeric, probs, distinct=distinct) if exact else approx_quantiles(df, numeric, probs)
+        q = exact_quantiles(df, numeric, probs, None, max_map_distinct, distinct) if exact else approx_quantiles(df, numeric, probs)
         # columns x probabilities values: collected like the statistics row, so
         # the numeric report needs no pivot or join stages
         qv = {(r["column_name"], float(r["prob"])): r["value"] for r in q.collect()}
@@ -241,7 +254,7 @@ def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     One aggregate computes the upper triangle; the lower one is mirrored.
     """
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}") for a, b in pairs])
+    wide = clean(df, cols).agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}") for a, b in pairs])
     cells = []
     for a, b in pairs:
         cells.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"{a}__{b}").alias("r")))
@@ -252,7 +265,7 @@ def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def corr_rank(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """Features ranked by |corr| with the label; strongest and weakest tagged."""
-    wide = df.agg(*[F.corr(F.col(f).cast("double"), F.col(label).cast("double")).alias(f) for f in features])
+    wide = clean(df, [*features, label]).agg(*[F.corr(F.col(f).cast("double"), F.col(label).cast("double")).alias(f) for f in features])
     long = wide.unpivot([], [F.col(f) for f in features], "feature", "r")
     w = Window.orderBy(F.desc(F.abs("r")), F.asc("feature"))  # over len(features) rows only
     ranked = long.withColumn("rank", F.row_number().over(w).cast("bigint"))
@@ -264,11 +277,13 @@ def corr_rank(df: DataFrame, features: list[str], label: str) -> DataFrame:
 def scatter_bins(df: DataFrame, cols: list[str], n_bins: int = 20) -> DataFrame:
     """Pairwise 2-D histograms: counts per (x column, y column, x bin, y bin).
 
-    One min/max aggregate (a bounded row to the driver), then one grouped
-    count with map-side combine: the output is at most pairs x bins^2 rows.
+    A row counts for the pairs whose two values it has. One min/max aggregate
+    (a bounded row to the driver), then one grouped count of each pair (with
+    map-side combine), mirrored: the output is at most pairs x bins^2 rows.
     """
     if n_bins < 1:
         raise ValueError("n_bins must be at least 1")
+    df = clean(df, cols)
     mm = df.agg(*itertools.chain.from_iterable(
         [F.min(c).cast("double").alias(f"{c}__min"), F.max(c).cast("double").alias(f"{c}__max")] for c in cols)).first()
 
@@ -279,20 +294,21 @@ def scatter_bins(df: DataFrame, cols: list[str], n_bins: int = 20) -> DataFrame:
         b = F.floor((F.col(c).cast("double") - F.lit(lo)) / F.lit(hi - lo) * F.lit(n_bins))
         return (F.least(b, F.lit(n_bins - 1)) + 1).cast("bigint")
 
-    pairs = [(a, b) for a in cols for b in cols if a != b]
-    items = F.array(*[F.struct(F.lit(a).alias("x_col"), F.lit(b).alias("y_col"), bucket(a).alias("x_bin"),
-                               bucket(b).alias("y_bin")) for a, b in pairs])
-    nonnull = None
-    for c in cols:
-        cond = F.col(c).isNotNull()
-        nonnull = cond if nonnull is None else nonnull & cond
-    return (df.where(nonnull).select(F.inline(items))
-              .groupBy("x_col", "y_col", "x_bin", "y_bin").agg(F.count(F.lit(1)).alias("n")))
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    items = F.array(*[F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.struct(
+        F.lit(a).alias("x_col"), F.lit(b).alias("y_col"), bucket(a).alias("x_bin"), bucket(b).alias("y_bin")))
+        for a, b in pairs])
+    counted = (df.select(F.explode(items).alias("p")).where(F.col("p").isNotNull()).select("p.*")
+                 .groupBy("x_col", "y_col", "x_bin", "y_bin").agg(F.count(F.lit(1)).alias("n")))
+    same = F.struct("x_col", "y_col", "x_bin", "y_bin", "n")
+    mirrored = F.struct(F.col("y_col").alias("x_col"), F.col("x_col").alias("y_col"), F.col("y_bin").alias("x_bin"),
+                        F.col("x_bin").alias("y_bin"), "n")
+    return counted.select(F.inline(F.array(same, mirrored)))
 
 
 def scale_check(df: DataFrame, cols: list[str]) -> DataFrame:
     """Mean magnitude per column and its gap (orders of ten) to the largest."""
-    wide = df.agg(*[F.avg(F.abs(F.col(c).cast("double"))).alias(c) for c in cols])
+    wide = clean(df, cols).agg(*[F.avg(F.abs(F.col(c).cast("double"))).alias(c) for c in cols])
     top = F.greatest(*[F.col(c) for c in cols]) if len(cols) > 1 else F.col(cols[0])
     long = wide.select(top.alias("_top"), *cols).unpivot(["_top"], [F.col(c) for c in cols], "column_name", "mean_abs")
     return long.select("column_name", "mean_abs",

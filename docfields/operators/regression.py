@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docfields.operators.profile import clean
+
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference behaviour.
 # Published fare formula: FARE = 2.25 * TRIP_MILES + 0.12 * TRIP_MINUTES + 3.25
@@ -63,7 +65,7 @@ def derive_minutes(df: DataFrame, seconds_col: str = "TRIP_SECONDS", out: str =
 
 def fit_one_feature(df: DataFrame, feature: str, label: str) -> DataFrame:
     """Exact least squares for one feature with ``regr_slope``/``regr_intercept``."""
-    return df.agg(F.regr_slope(label, feature).alias("weight"), F.regr_intercept(label, feature).alias("bias"),
+    return clean(df, [feature, label]).agg(F.regr_slope(label, feature).alias("weight"), F.regr_intercept(label, feature).alias("bias"),
                   F.regr_count(label, feature).alias("n"))
 
 
@@ -79,6 +81,7 @@ def fit_exact_many(df: DataFrame, models: list[tuple[str, list[str]]], label: st
     and covariances are taken over its own complete rows (features and
     label non-null), so the result equals separate fits. Only one row of
     (p+1)(p+2)/2 values per model reaches the driver."""
+    df = clean(df)
     aggs = []
     for k, (_, features) in enumerate(models):
         cols = list(features) + [label]
@@ -110,7 +113,7 @@ def fit_ml(df: DataFrame, features: list[str], label: str, name: str = "ml") ->
     va = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip")
     lr = LinearRegression(featuresCol="_features", labelCol=label, solver="normal", regParam=0.0,
                           standardization=False)
-    m = lr.fit(va.transform(df.select(*features, label)))
+    m = lr.fit(va.transform(clean(df).select(*features, label)))
     return LinearModel(list(features), [float(x) for x in m.coefficients], float(m.intercept), name)
 
 
@@ -144,7 +147,7 @@ def gram_stats(df: DataFrame, features: list[str], label: str, key_cols: list[st
     aggs += [F.sum(xs[i] * y).alias(f"c_{i}") for i in range(q)]
     aggs += [F.sum(y).alias("sy"), F.sum(y * y).alias("syy")]
     cols = features + [label]
-    complete = df
+    complete = clean(df, cols)
     for c in cols:
         complete = complete.where(F.col(c).isNotNull())
     if n_batches <= 1:
@@ -460,10 +463,10 @@ def predict_fare(df: DataFrame, model: LinearModel, label: str, key_cols: list[s
     return out.select("*", *fmt)
 
 
-def model_predictions(df: DataFrame, model: LinearModel, label: str, key_cols: list[str], n: int = 200,
-                      seed: int = 42) -> DataFrame:
-    """Features, observed and predicted values on a bounded reproducible sample."""
-    s = sample_batch(df, n, key_cols, seed, check_size=False)
+def model_predictions(df: DataFrame, model: LinearModel, label: str, key_cols: list[str],
+                      n: int | None = None, seed: int = 42) -> DataFrame:
+    """Features, observed and predicted values of every row, or of a reproducible sample of ``n``."""
+    s = df if n is None else sample_batch(df, n, key_cols, seed, check_size=False)
     return s.select(*key_cols, *model.features, F.col(label).cast("double").alias("observed"),
                     model.predict_col().alias("predicted"))
 

@@ -24,7 +24,26 @@ SOURCE_COLUMN = "source_file"
 # ---------------------------------------------------------------------------
 NOT_OBJECT_MESSAGE = "response is not a JSON object: "
 TOO_DEEP_MESSAGE = "response is nested too deeply to be represented"
-MAX_DYNAMIC_COLUMNS = 10_000
+NO_RESPONSE_MESSAGE = "no response"
+METADATA_COLUMNS = (SOURCE_COLUMN, "error", "raw_response", TIMESTAMP_COLUMN, PROVIDER_COLUMN)
+
+
+def column_names(fields: list[str], taken=()) -> dict[int, str]:
+    """Output column by position of ``fields``: names are compared without case,
+    as Spark does. ``taken`` names (metadata) win, so such a field has no column;
+    an exact repeat has none either; a name that differs in case gets a number."""
+    used = {t.lower() for t in taken}
+    out: dict[int, str] = {}
+    for i, f in enumerate(fields):
+        if f in fields[:i] or f.lower() in {t.lower() for t in taken}:
+            continue
+        name, n = f, 1
+        while name.lower() in used:
+            n += 1
+            name = f"{f}_{n}"
+        used.add(name.lower())
+        out[i] = name
+    return out
 
 
 def parse_response(df: DataFrame, response_col: str = "response", strip_fences: bool = False) -> DataFrame:
@@ -37,14 +56,17 @@ def parse_response(df: DataFrame, response_col: str = "response", strip_fences:
     ship_package(df.sparkSession)
     s = strict_json_udf(strip_fences)(F.col(response_col))
     out = df.withColumn("_sj", s)
-    ok = F.col("_sj.ok")
+    # no response at all is a failure of its own
+    ok = F.coalesce(F.col("_sj.ok"), F.lit(False))
+    missing = F.col(response_col).isNull()
     # try_: JSON that Python accepts but the variant cannot hold (nesting
     # beyond the native parser's depth limit) becomes an error row, not a
     # failed job
     return (out.withColumn("ok", ok)
                .withColumn("kind", F.col("_sj.kind"))
                .withColumn("v", F.when(ok, F.try_parse_json(F.col("_sj.canonical"))))
-               .withColumn("error", F.when(~ok, F.lit(PARSE_ERROR_MESSAGE))
+               .withColumn("error", F.when(missing, F.lit(NO_RESPONSE_MESSAGE))
+                                     .when(~ok, F.lit(PARSE_ERROR_MESSAGE))
                                      .when(F.col("v").isNull(), F.lit(TOO_DEEP_MESSAGE)))
                .withColumn("raw_response", F.when(~ok, F.col(response_col)))
                .drop("_sj"))
@@ -117,19 +139,17 @@ def unnest_confidence(df: DataFrame, v_col: str = "v") -> DataFrame:
               .withColumn("confidence", F.when((conf >= 0) & (conf <= 1), conf)))
 
 
-def discover_fields(parsed: DataFrame, limit: int = MAX_DYNAMIC_COLUMNS) -> list[str]:
+def discover_fields(parsed: DataFrame) -> list[str]:
     """Distinct top-level keys over a batch (the union of result columns).
 
-    One aggregate; only the distinct key names reach the driver and their
-    number is checked against ``limit``.
+    One aggregate; the distinct key names, which become columns, reach the
+    driver. For keys without bound use the long form (:func:`explode_result`) or
+    give :func:`union_columns` the fields.
     """
     keys = (parsed.where(F.col("kind") == "object")
                   .select(F.explode(F.map_keys(F.col("v").cast("map<string,variant>"))).alias("k"))
-                  .distinct().limit(limit + 1).collect())
-    names = sorted(r.k for r in keys)
-    if len(names) > limit:
-        raise ValueError(f"more than {limit} distinct result fields")
-    return names
+                  .distinct().collect())
+    return sorted(r.k for r in keys)
 
 
 def _path(field: str) -> str:
@@ -153,19 +173,21 @@ def union_columns(parsed: DataFrame, fields: list[str] | None = None, key_col: s
     """One wide row per response over the union of keys (absent -> null).
 
     Requested ``fields`` come first, other discovered keys follow
-    alphabetically. Each response is one row already, so the wide form is a
+    alphabetically; names are made unique by :func:`column_names`. Each response is one row already, so the wide form is a
     projection of variant paths — no pivot shuffle.
     """
     names = list(fields or [])
     if fields is None:
         names = discover_fields(parsed)
-    keep = [F.col(c) for c in (keep or [])]
+    kept = list(keep or [])
+    keep = [F.col(c) for c in kept]
     # each path is looked up once; the text is taken from that column
     items = parsed.select(F.col(key_col), *keep,
                           *[field_item(F.col("v"), f).alias(f"_i{i}")
                             for i, f in enumerate(names)])
-    cols = [variant_text(F.col(f"_i{i}")).alias(f) for i, f in enumerate(names)]
-    return items.select(F.col(key_col), *cols, *keep)
+    unique = column_names(names, [key_col, *kept])
+    cols = [variant_text(F.col(f"_i{i}")).alias(f) for i, f in unique.items()]
+    return items.select(F.col(key_col).alias(key_col), *cols, *keep)
 
 
 def to_row(parsed: DataFrame, fields: list[str] | None = None, key_col: str = SOURCE_COLUMN) -> DataFrame:

@@ -7,13 +7,13 @@ character classes instead of ``(?i)``.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docfields.functions.text import strip_text
-from docfields.session import spread
 
 
 @dataclass(frozen=True)
@@ -29,11 +29,16 @@ class Rule:
     # from its start only (linear instead of quadratic); RE2 (the SQL oracle)
     # is linear already and has no look-behind, so it keeps ``pattern``
     backtracking_pattern: str | None = None
+    backtracking_group: int | None = None
 
     @property
     def jvm_pattern(self) -> str:
         return self.backtracking_pattern or self.pattern
 
+    @property
+    def jvm_group(self) -> int:
+        return self.group if self.backtracking_group is None else self.backtracking_group
+
 
 def _guarded(text: Column, rule: Rule, expr: Column, empty: Column) -> Column:
     if not rule.hints:
@@ -45,12 +50,17 @@ def _guarded(text: Column, rule: Rule, expr: Column, empty: Column) -> Column:
     return F.when(cond, expr).otherwise(empty)
 
 
+# One number of an IPv4 address, 0 to 255.
+OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+
 # Rule registry: name -> pattern (group 0 = whole match).
 RULES: dict[str, Rule] = {r.name: r for r in [
     Rule("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}", 0, ("@",),
          r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"),
-    Rule("ip", r"[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}", 0, (".",)),
-    Rule("card", r"[0-9]{16}"),
+    # bounded on both sides: no part of a longer number or dotted run
+    Rule("ip", rf"(?:^|[^0-9.])((?:{OCTET}[.]){{3}}{OCTET})(?:$|[^0-9.]|[.](?:$|[^0-9]))", 1, (".",),
+         rf"(?<![0-9.])(?:{OCTET}[.]){{3}}{OCTET}(?![0-9]|[.][0-9])", 0),
+    Rule("card", r"(?:^|[^0-9])([0-9]{16})(?:$|[^0-9])", 1, (), r"(?<![0-9])[0-9]{16}(?![0-9])", 0),
     Rule("phone", r"[+][0-9] [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}", 0, ("+",)),
     Rule("token", r'token = "([0-9A-Za-z_-]+)"', 1, ('token = "',)),
     # anchored at a line start (start of text or after a newline) so the
@@ -76,13 +86,14 @@ def resolve_field(field: str) -> str | None:
 
 
 def extract_rules(docs: DataFrame, fields: list[str], key_col: str = "doc_id",
-                  text_col: str = "text", balance: bool = True) -> DataFrame:
+                  text_col: str = "text") -> DataFrame:
     """Long result: one row per (document, requested field).
 
     Columns: key, ``ordinal`` (1-based request order), ``field`` (as requested),
     ``value`` (first match or null), ``n_matches`` and ``confidence`` (1.0 when
     found by a rule, null otherwise). A field without a rule is a not-found
-    row. Runs as one projection + generator: no shuffle, no Python.
+    row; :func:`extract_fields` also looks for labels and sections and gives all
+    matches. Runs as one projection + generator: no shuffle, no Python.
     """
     text = F.col(text_col)
     items = []
@@ -91,12 +102,11 @@ def extract_rules(docs: DataFrame, fields: list[str], key_col: str = "doc_id",
         if rule is None:
             matches = F.array().cast("array<string>")
         else:
-            matches = _guarded(text, rule, F.regexp_extract_all(text, F.lit(rule.jvm_pattern), rule.group),
+            matches = _guarded(text, rule, F.regexp_extract_all(text, F.lit(rule.jvm_pattern), rule.jvm_group),
                                F.array().cast("array<string>"))
         items.append(F.struct(F.lit(i + 1).alias("ordinal"), F.lit(f).alias("field"),
                               matches.alias("_m")))
-    src = spread(docs.select(key_col, text_col)) if balance else docs
-    out = src.select(F.col(key_col), F.inline(F.array(*items)))
+    out = docs.select(F.col(key_col), F.inline(F.array(*items)))
     n = F.coalesce(F.size("_m"), F.lit(0)).cast("bigint")
     return out.select(key_col, "ordinal", "field",
                       F.try_element_at("_m", F.lit(1)).alias("value"),
@@ -152,7 +162,8 @@ def extract_clauses(docs: DataFrame, key_col: str = "doc_id", text_col: str = "t
                  .select(key_col, "line_no", "clause", "line"))
 
 
-HEADING_PATTERN = r"[A-Z][A-Za-z ]{0,40}"
+# a heading or label: a capital, then words of any length with the usual marks
+HEADING_PATTERN = r"[A-Z][A-Za-z0-9 &/'(),.#-]*"
 
 
 def extract_sections(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text",
@@ -176,7 +187,7 @@ def extract_sections(docs: DataFrame, key_col: str = "doc_id", text_col: str = "
 
 
 FORM_QUOTED = r'([A-Za-z_][A-Za-z0-9_]*) = "([^"\n]*)"'
-FORM_COLON = r"(?m)^([A-Z][A-Za-z ]{0,40}):[ \t]*([^\n]+)$"
+FORM_COLON = rf"(?m)^({HEADING_PATTERN}):[ \t]*([^\n]+)$"
 
 
 def extract_form_fields(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,5 +218,35 @@ def rule_column(field: str, text: Column) -> Column:
     rule = RULES.get(resolve_field(field) or "")
     if rule is None:
         return F.lit(None).cast("string")
-    v = F.regexp_extract(text, rule.jvm_pattern, rule.group)
+    v = F.regexp_extract(text, rule.jvm_pattern, rule.jvm_group)
     return _guarded(text, rule, F.when(v != "", v), F.lit(None).cast("string"))
+
+
+def extract_fields(docs: DataFrame, fields: list[str], key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Requested fields by rule, else by label, else by section; one row per
+    (document, field): ``ordinal, field, value`` (first match), ``matches``
+    (all), ``n_matches``, ``found_by`` (rule, label, section, or null).
+
+    A label is the field's words at a line start before a colon, in any case; a
+    section is the text under such a line up to the next heading. One native
+    projection and a generator: no shuffle, no Python.
+    """
+    text, none = F.col(text_col), F.array().cast("array<string>")
+    items = []
+    for i, f in enumerate(fields):
+        rule = RULES.get(resolve_field(f) or "")
+        words = "[ _]+".join(re.escape(w) for w in f.replace("_", " ").split())
+        by_rule = none if rule is None else _guarded(
+            text, rule, F.regexp_extract_all(text, F.lit(rule.jvm_pattern), rule.jvm_group), none)
+        by_label = F.regexp_extract_all(text, F.lit(rf"(?im)^{words}[ \t]*:[ \t]*([^\s][^\n]*)$"), 1)
+        by_section = F.regexp_extract_all(
+            text, F.lit(rf"(?m)^(?i:{words})[ \t]*:[ \t]*\n(?!{HEADING_PATTERN}:$)((?:(?!^{HEADING_PATTERN}:$)[^\n]*(?:\n|\z))+?)"
+                        rf"(?=\z|^{HEADING_PATTERN}:$)"), 1)
+        found = [(by_rule, "rule"), (by_label, "label"), (by_section, "section")]
+        items.append(F.struct(F.lit(i + 1).alias("ordinal"), F.lit(f).alias("field"),
+                              F.coalesce(*[F.when(F.size(m) > 0, F.transform(m, strip_text)) for m, _ in found], none).alias("matches"),
+                              F.coalesce(*[F.when(F.size(m) > 0, F.lit(n)) for m, n in found],
+                                         F.lit(None).cast("string")).alias("found_by")))
+    out = docs.select(F.col(key_col), F.inline(F.array(*items)))
+    return out.select(key_col, "ordinal", "field", F.try_element_at("matches", F.lit(1)).alias("value"), "matches",
+                      F.size("matches").cast("bigint").alias("n_matches"), "found_by")

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from docfields.plans.registry import REGISTRY, Entry
 
 _MODULES = ["q_documents", "q_results", "q_profile", "q_regression", "q_streaming"]
-_TYPE_PROBE_DIR = "/root/testdata/sf0.001"
 
 
 def registry() -> dict[str, Entry]:
@@ -27,7 +26,7 @@ def _quote(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
-def normalised_sql(entries: dict[str, Entry], probe_dir: str = _TYPE_PROBE_DIR) -> dict[str, str]:
+def normalised_sql(entries: dict[str, Entry], probe_dir: str) -> dict[str, str]:
     """Oracle SQL with the same output normalisation as the Spark side:
     integers as BIGINT, floating/decimal columns as DOUBLE rounded to the
     query's digits. Column types come from DuckDB's DESCRIBE (binding only)."""
@@ -69,6 +68,7 @@ def normalised_sql(entries: dict[str, Entry], probe_dir: str = _TYPE_PROBE_DIR)
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docfields.functions.text import parse_instructions
     from docfields.operators.rules import extract_rules
+    from docfields.session import spread
     from docfields.sources.tables import read_table
     fields = parse_instructions("email, ip, token, license")
-    return extract_rules(read_table(spark, sf_dir, "documents"), fields)
+    return extract_rules(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")), fields)

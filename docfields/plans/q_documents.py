@@ -47,13 +47,13 @@ PATH_SQL = ("concat('docs/', CAST(doc_id AS VARCHAR), CASE doc_id % 3 WHEN 0 THE
             "WHEN 1 THEN '.PDF' ELSE '.txt' END)")
 
 
-_DOC_FILES: dict[tuple[int, str], str] = {}
+_DOC_FILES: dict[tuple[str, str], str] = {}
 
 
 def write_document_files(spark: SparkSession, sf_dir: str) -> str:
     """One UTF-8 file per document (``doc_id=<id>/part-*.txt``) in the shared
     folder; written once per session and table folder."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _DOC_FILES:
         path = scratch_path(spark, "docfiles")
         docs(spark, sf_dir).select("doc_id", "text").write.partitionBy("doc_id").text(path)
@@ -73,14 +73,14 @@ def q_scan_documents(spark, sf_dir):
 
 
 @query("read_pages", r"""
-SELECT doc_id, 1 AS page_no, text || chr(10) AS text FROM documents""")
+SELECT doc_id, 1 AS page_no, text || chr(10) AS text, CAST(NULL AS VARCHAR) AS error FROM documents""")
 def q_read_pages(spark, sf_dir):
     """File bytes -> page rows with the native form-feed reader."""
     root = write_document_files(spark, sf_dir)
     files = readers.scan_documents(spark, root, glob="*.txt", with_content=True)
     pages = readers.read_pages(files)
     return pages.select(F.regexp_extract("path", r"doc_id=([0-9]+)", 1).try_cast("bigint").alias("doc_id"),
-                        "page_no", "text")
+                        "page_no", "text", "error")
 
 
 def _html_sql(expr: str) -> str:
@@ -115,7 +115,7 @@ def q_scan_csv(spark, sf_dir):
 
 
 def rules_long(spark, sf_dir) -> DataFrame:
-    return rules.extract_rules(docs(spark, sf_dir), RULE_FIELDS)
+    return rules.extract_rules(text_docs(spark, sf_dir), RULE_FIELDS)
 
 
 def _rule_sql_items() -> list[tuple[int, str, str, int]]:
@@ -127,12 +127,17 @@ def _sql_lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def _all_matches_sql(rule: rules.Rule) -> str:
+    # patterns that take a character on either side: separators are doubled, so
+    # that neighbouring matches do not compete for one
+    text = r"regexp_replace(text, '([^0-9.])', '\1\1', 'g')" if rule.backtracking_group is not None else "text"
+    return f"regexp_extract_all({text}, {_sql_lit(rule.pattern)}, {rule.group})"
+
+
 RULES_LONG_SQL = "\nUNION ALL\n".join(
-    f"""SELECT doc_id, {i} AS ordinal, '{f}' AS field,
-       regexp_extract_all(text, {_sql_lit(p)}, {g})[1] AS value,
-       CAST(len(regexp_extract_all(text, {_sql_lit(p)}, {g})) AS BIGINT) AS n_matches,
-       CASE WHEN len(regexp_extract_all(text, {_sql_lit(p)}, {g})) > 0 THEN 1.0 END AS confidence
-FROM documents""" for i, f, p, g in _rule_sql_items())
+    f"""SELECT doc_id, {i + 1} AS ordinal, '{f}' AS field, {m}[1] AS value, CAST(len({m}) AS BIGINT) AS n_matches,
+       CASE WHEN len({m}) > 0 THEN 1.0 END AS confidence
+FROM documents""" for i, f in enumerate(RULE_FIELDS) for m in [_all_matches_sql(rules.RULES[rules.resolve_field(f)])])
 
 
 @query("sink_csv", RULES_LONG_SQL)
@@ -408,7 +413,8 @@ def q_extract_clauses(spark, sf_dir):
 
 
 @query("extract_sections", """
-SELECT conv_id AS doc_id, turn + 1 AS section_no, upper(left(role, 1)) || lower(substr(role, 2)) AS heading,
+SELECT conv_id AS doc_id, turn + 1 AS section_no, upper(left(role, 1)) || lower(substr(role, 2))
+       || CASE WHEN turn % 3 = 2 THEN ' & Co. (terms, conditions and all other matters of this agreement)' ELSE '' END AS heading,
        coalesce(text, '') AS body FROM conversations""")
 def q_extract_sections(spark, sf_dir):
     """Sections recovered from conversations rendered under ``Role:`` headings."""
@@ -429,6 +435,35 @@ def q_extract_form_fields(spark, sf_dir):
     return rules.extract_form_fields(text_docs(spark, sf_dir))
 
 
+# The long label and the other lines of the rendered invoice, from the join itself.
+@query("extract_form_fields_invoices", """
+WITH o AS (SELECT o_orderkey, o_custkey, c_name, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS total,
+                  CAST(o_orderdate AS DATE) AS d FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT o_orderkey, 'label' AS form, unnest(['Invoice Number', 'Customer Name', 'Total Amount', 'Invoice Date', 'Due Date',
+         'Reference of the customer account as kept in our books of the year']) AS name,
+       unnest(['INV-' || o_orderkey, c_name, '$' || total, strftime(d, '%Y-%m-%d'), strftime(d + 30, '%Y-%m-%d'),
+               CAST(o_custkey AS VARCHAR)]) AS value FROM o""")
+def q_extract_form_fields_invoices(spark, sf_dir):
+    return rules.extract_form_fields(views.invoices(spark, sf_dir), key_col="o_orderkey")
+
+
+INVOICE_FIELDS = ["customer name", "invoice_number", "Total Amount", "due date", "remarks", "email"]
+
+
+@query("extract_fields", """
+WITH o AS (SELECT o_orderkey, c_name, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS total,
+                  CAST(o_orderdate AS DATE) AS d FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT o_orderkey, unnest([1, 2, 3, 4, 5, 6]) AS ordinal,
+       unnest(['customer name', 'invoice_number', 'Total Amount', 'due date', 'remarks', 'email']) AS field,
+       unnest([c_name, 'INV-' || o_orderkey, '$' || total, strftime(d + 30, '%Y-%m-%d'), 'paid by ' || c_name, NULL]) AS value,
+       unnest([1, 1, 1, 1, 1, 0]) AS n_matches,
+       unnest(['label', 'label', 'label', 'label', 'section', NULL]) AS found_by FROM o""")
+def q_extract_fields(spark, sf_dir):
+    """Ordinary instruction fields: by rule, else by label, else by section."""
+    got = rules.extract_fields(views.invoices(spark, sf_dir), INVOICE_FIELDS, key_col="o_orderkey")
+    return got.drop("matches")
+
+
 @query("extract_table_cells", f"""
 WITH l AS ({_lines_sql('documents', 'doc_id', 'text')}),
      r AS (SELECT doc_id, line_no, string_split(line, '|') AS cells FROM l WHERE contains(line, '|')),

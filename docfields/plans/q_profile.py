@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from docfields.operators import profile as pf
 from docfields.operators.regression import derive_minutes
@@ -26,6 +25,12 @@ def q_row_count(spark, sf_dir):
     return pf.row_count(trips(spark, sf_dir))
 
 
+GAPS_SQL = TRIPS_SQL + """,
+gaps AS (SELECT * REPLACE (CASE WHEN l_partkey % 17 <> 0 THEN FARE END AS FARE,
+                           CASE WHEN l_partkey % 19 <> 0 THEN TRIP_MILES END AS TRIP_MILES,
+                           CASE WHEN l_partkey % 23 <> 0 THEN TRIP_SECONDS END AS TRIP_SECONDS) FROM trips)"""
+
+
 def _describe_sql() -> str:
     num = []
     for c in NUMERIC:
@@ -44,10 +49,28 @@ def _describe_sql() -> str:
 
 @query("describe_all", _describe_sql())
 def q_describe_all(spark, sf_dir):
-    """describe(include='all'): exact quartiles from the scalable rank algorithm."""
+    """describe(include='all'): exact quartiles, by the plan that the columns' sizes allow."""
     return pf.describe_all(trips(spark, sf_dir), NUMERIC, CATEGORICAL, exact=True)
 
 
+@query("describe_all_ranked", _describe_sql())
+def q_describe_all_ranked(spark, sf_dir):
+    """The same report with quartiles from ranks over ranges, the plan for any number of distinct values."""
+    return pf.describe_all(trips(spark, sf_dir), NUMERIC, CATEGORICAL, exact=True, max_map_distinct=0)
+
+
+@query("describe_all_gaps", _describe_sql().replace("FROM trips", "FROM gaps").replace(TRIPS_SQL, GAPS_SQL))
+def q_describe_all_gaps(spark, sf_dir):
+    """NaN and null both count as missing."""
+    return pf.describe_all(views.trips_with_gaps(spark, sf_dir), NUMERIC, CATEGORICAL, max_map_distinct=0)
+
+
+@query("corr_matrix_gaps", f"WITH {GAPS_SQL}\n" + "\nUNION ALL\n".join(
+    f"SELECT '{a}' AS x, '{b}' AS y, corr({a}, {b}) AS r FROM gaps" for a in NUMERIC for b in NUMERIC))
+def q_corr_matrix_gaps(spark, sf_dir):
+    return pf.corr_matrix(views.trips_with_gaps(spark, sf_dir), NUMERIC)
+
+
 @query("max_value", f"WITH {TRIPS_SQL} SELECT max(FARE) AS max_FARE FROM trips")
 def q_max_value(spark, sf_dir):
     return pf.max_value(trips(spark, sf_dir), "FARE")
@@ -132,6 +155,18 @@ def q_scatter_bins(spark, sf_dir):
     return pf.scatter_bins(trips(spark, sf_dir), SCATTER, N_BINS)
 
 
+@query("scatter_bins_gaps", f"""WITH {GAPS_SQL},
+mm AS (SELECT {', '.join(f'CAST(min({c}) AS DOUBLE) AS min_{c}, CAST(max({c}) AS DOUBLE) AS max_{c}' for c in SCATTER)}
+       FROM gaps),
+b AS (SELECT {', '.join(f'CASE WHEN {c} IS NOT NULL THEN {_bucket_sql(c)} END AS b_{c}' for c in SCATTER)} FROM gaps, mm)
+""" + "\nUNION ALL\n".join(
+    f"SELECT '{a}' AS x_col, '{b}' AS y_col, b_{a} AS x_bin, b_{b} AS y_bin, count(*) AS n FROM b "
+    f"WHERE b_{a} IS NOT NULL AND b_{b} IS NOT NULL GROUP BY 3, 4" for a in SCATTER for b in SCATTER if a != b))
+def q_scatter_bins_gaps(spark, sf_dir):
+    """A row counts for every pair that it has both values of."""
+    return pf.scatter_bins(views.trips_with_gaps(spark, sf_dir), SCATTER, N_BINS)
+
+
 SCALE = ["TRIP_MILES", "TRIP_SECONDS", "TRIP_MINUTES"]
 
 
@@ -145,5 +180,3 @@ SELECT column_name, mean_abs, CAST(floor(log10(mean_abs)) AS BIGINT) AS order_of
 def q_scale_check(spark, sf_dir):
     return pf.scale_check(derive_minutes(trips(spark, sf_dir)), SCALE)
 
-
-__all__ = ["F"]

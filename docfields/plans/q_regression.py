@@ -59,6 +59,15 @@ def q_fit_one_feature(spark, sf_dir):
     return rg.fit_one_feature(trips(spark, sf_dir), "TRIP_MILES", LABEL)
 
 
+@query("fit_one_feature_gaps", f"""WITH {TRIPS_SQL},
+g AS (SELECT CASE WHEN l_partkey % 17 <> 0 THEN FARE END AS FARE, CASE WHEN l_partkey % 19 <> 0 THEN TRIP_MILES END
+             AS TRIP_MILES FROM trips)
+SELECT regr_slope(FARE, TRIP_MILES) AS weight, regr_intercept(FARE, TRIP_MILES) AS bias,
+       regr_count(FARE, TRIP_MILES) AS n FROM g""")
+def q_fit_one_feature_gaps(spark, sf_dir):
+    return rg.fit_one_feature(views.trips_with_gaps(spark, sf_dir), "TRIP_MILES", LABEL)
+
+
 @query("fit_two_features", f"""WITH {EXACT_SQL}
 SELECT 'two_features' AS experiment, 'TRIP_MILES' AS term, w1 AS weight FROM m2
 UNION ALL SELECT 'two_features', 'TRIP_MINUTES', w2 FROM m2
@@ -105,11 +114,18 @@ def q_sample_batch(spark, sf_dir):
     return rg.sample_batch(views.trips(spark, sf_dir), 50, KEY, SEED)
 
 
-@query("model_predictions", f"""WITH {EXACT_SQL},
+@query("model_predictions", f"""WITH {EXACT_SQL}
+SELECT {KEY_SQL}, TRIP_MILES, TRIP_MINUTES, FARE AS observed, w1 * TRIP_MILES + w2 * TRIP_MINUTES + b AS predicted
+FROM t, m2""", digits=4)
+def q_model_predictions(spark, sf_dir):
+    return rg.model_predictions(trips(spark, sf_dir), exact_two(spark, sf_dir), LABEL, KEY)
+
+
+@query("model_predictions_sample", f"""WITH {EXACT_SQL},
 smp AS (SELECT * FROM t ORDER BY {_md5_order()}, {KEY_SQL} LIMIT 200)
 SELECT {KEY_SQL}, TRIP_MILES, TRIP_MINUTES, FARE AS observed, w1 * TRIP_MILES + w2 * TRIP_MINUTES + b AS predicted
 FROM smp, m2""", digits=4)
-def q_model_predictions(spark, sf_dir):
+def q_model_predictions_sample(spark, sf_dir):
     return rg.model_predictions(trips(spark, sf_dir), exact_two(spark, sf_dir), LABEL, KEY, 200, SEED)
 
 
@@ -174,10 +190,11 @@ def q_convergence_epoch(spark, sf_dir):
     return rg.convergence_epoch(sweep(spark, sf_dir), tol=0.01)
 
 
-@query("fit_ml")
+@query("fit_ml", f"""WITH {EXACT_SQL}
+SELECT 'two_features_ml' AS experiment, 'TRIP_MILES' AS term, w1 AS weight FROM m2
+UNION ALL SELECT 'two_features_ml', 'TRIP_MINUTES', w2 FROM m2
+UNION ALL SELECT 'two_features_ml', 'bias', b FROM m2""")
 def q_fit_ml(spark, sf_dir):
     """The two-feature fit with pyspark.ml's normal-equation solver (cross-check of the exact fit)."""
     return rg.fit_ml(trips(spark, sf_dir), TWO, LABEL, name="two_features_ml").weights_df(spark)
 
-
-__all__ = ["F"]

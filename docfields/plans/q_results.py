@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from docfields.functions import text as tx
 from docfields.operators import model_stage as ms, results as rs, stats
+from docfields.operators.batch import extract_files
 from docfields.operators.rules import RULES
 from docfields.plans import views
 from docfields.plans.q_documents import (RULES_LONG_SQL, RULES_WIDE_SQL, STRIP_SQL, TRIPS_SQL, _sql_lit, docs,
-                                         rules_long, rules_wide, text_docs)
+                                         rules_long, rules_wide, text_docs, write_document_files)
 from docfields.plans.registry import query
 from docfields.session import scratch_path
+from docfields.sources import readers
 from docfields.sources.tables import read_table
 
 RESPONSES_SQL = """responses AS (SELECT event_id, CASE
@@ -173,7 +175,7 @@ SELECT doc_id, {RESPONSE_SQL} AS raw_response, CAST(NULL AS VARCHAR) AS error, 1
        true AS ok, 'object' AS kind FROM documents""")
 def q_extract_with_model(spark, sf_dir):
     """Caller-supplied extractor per document (a deterministic rule responder here)."""
-    staged = ms.extract_with_model(docs(spark, sf_dir), ms.RegexResponder, MODEL_INSTRUCTIONS)
+    staged = ms.extract_with_model(text_docs(spark, sf_dir), ms.RegexResponder, MODEL_INSTRUCTIONS)
     return staged.select("doc_id", "raw_response", "error", "attempts", "ok", "kind")
 
 
@@ -196,7 +198,8 @@ def responder():
 
 
 def batch(spark, sf_dir) -> DataFrame:
-    return ms.batch_extract(docs(spark, sf_dir), responder, MODEL_INSTRUCTIONS, provider=PROVIDER, run_ts=RUN_TS)
+    return ms.batch_extract(text_docs(spark, sf_dir), responder, MODEL_INSTRUCTIONS, provider=PROVIDER, run_ts=RUN_TS,
+                            wait_s=0.0)
 
 
 @query("batch_extract", _batch_sql())
@@ -205,6 +208,98 @@ def q_batch_extract(spark, sf_dir):
     return batch(spark, sf_dir)
 
 
+class TroubledResponder(ms.RegexResponder):
+    """Answers by the text's length: nothing, no text, bad JSON, an exception, or a result."""
+
+    def __call__(self, text: str, instructions: str):
+        kind = len(text) % 5
+        if kind == 3:
+            raise ValueError("extractor failed")
+        return {0: None, 1: {"email": "x"}, 2: '{"email": '}.get(kind) if kind < 3 else super().__call__(text, instructions)
+
+
+class RecoveringResponder(ms.RegexResponder):
+    """Fails on the first call for each text of odd length, then answers."""
+
+    def __init__(self):
+        super().__init__()
+        self.failed = set()
+
+    def __call__(self, text: str, instructions: str) -> str:
+        if len(text) % 2 and text not in self.failed:
+            self.failed.add(text)
+            raise ConnectionError("try again")
+        return super().__call__(text, instructions)
+
+
+def _files_sql() -> str:
+    cols = []
+    for f in MODEL_FIELDS:
+        r = RULES[f]
+        v, found = f"regexp_extract(t, {_sql_lit(r.pattern)}, {r.group})", f"regexp_matches(t, {_sql_lit(r.pattern)})"
+        cols.append(f"CASE WHEN kind = 4 AND {found} THEN {v} END AS {f}")
+        cols.append(f"CASE WHEN kind = 4 THEN CASE WHEN {found} THEN 1.0 ELSE 0.0 END END AS {f}_confidence")
+    return f"""
+WITH d AS (SELECT doc_id, chr(10) || '--- Page 1 ---' || chr(10) || text || chr(10) AS t FROM documents),
+q AS (SELECT doc_id AS seq, CAST(doc_id AS VARCHAR) AS source_file, t,
+             CASE WHEN doc_id % 13 = 0 THEN 5 ELSE length(t) % 5 END AS kind FROM d
+      UNION ALL SELECT doc_id + 1000000, 'no-' || doc_id, '', 6 FROM documents WHERE doc_id % 10 = 0
+      UNION ALL SELECT doc_id + 2000000, CAST(doc_id AS VARCHAR), t,
+             CASE WHEN doc_id % 13 = 0 THEN 5 ELSE length(t) % 5 END FROM d WHERE doc_id % 25 = 0)
+SELECT seq, source_file, {', '.join(cols)},
+       CASE kind WHEN 0 THEN 'extractor returned NoneType instead of text' WHEN 1 THEN 'extractor returned dict instead of text'
+            WHEN 2 THEN 'Failed to parse extraction result' WHEN 3 THEN 'extractor failed'
+            WHEN 5 THEN 'file is not valid UTF-8 text' WHEN 6 THEN 'PDF file not found: ' || source_file END AS error,
+       CASE WHEN kind = 2 THEN '{{"email": ' END AS raw_response,
+       '{RUN_TS}' AS extraction_timestamp, '{PROVIDER}' AS provider FROM q"""
+
+
+@query("extract_files", _files_sql())
+def q_extract_files(spark, sf_dir):
+    """Files to results: every document's file, one in thirteen with a bad byte;
+    requests for missing files, some requests twice; an extractor that fails in every way."""
+    root = write_document_files(spark, sf_dir)
+    name = lambda c: F.regexp_extract(c, r"doc_id=([0-9]+)", 1)
+    files = readers.scan_documents(spark, root, glob="*.txt", with_content=True)
+    bad = F.concat(F.col("content"), F.unhex(F.lit("FF")))
+    files = files.withColumn("content", F.when(name(F.col("path")).cast("bigint") % 13 == 0, bad).otherwise(F.col("content")))
+    d = docs(spark, sf_dir).select("doc_id")
+    key = F.col("doc_id").cast("string")
+    requests = (d.select(F.col("doc_id").alias("seq"), key.alias("path"))
+                .union(d.where("doc_id % 10 = 0").select(F.col("doc_id") + 1000000, F.concat(F.lit("no-"), key)))
+                .union(d.where("doc_id % 25 = 0").select(F.col("doc_id") + 2000000, key)))
+    return extract_files(requests, files, TroubledResponder, MODEL_INSTRUCTIONS, name_of=name, provider=PROVIDER,
+                         run_ts=RUN_TS, wait_s=0.0)
+
+
+@query("retry_recovers", f"""
+SELECT doc_id, CAST(1 + length(text) % 2 AS BIGINT) AS attempts, CAST(NULL AS VARCHAR) AS error, {RESPONSE_SQL} AS raw_response
+FROM (SELECT DISTINCT ON (text) * FROM documents ORDER BY text, doc_id) AS u""")
+def q_retry_recovers(spark, sf_dir):
+    """A transient error is tried again and leaves no trace but the attempt (one document of each text)."""
+    d = docs(spark, sf_dir).groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    return (ms.extract_with_model(d, RecoveringResponder, MODEL_INSTRUCTIONS, wait_s=0.0)
+              .select("doc_id", "attempts", "error", "raw_response"))
+
+
+# Shapes that a batch of answers can have besides: keys that clash, long integers, no answer.
+SHAPES = [None, '{"error": "e", "k": 1, "K": 2, "x_confidence": 0.5, "n": 1234567890123456789012345678901234567890123}',
+          '{"k": "only"}', "not json"]
+
+
+@query("union_columns_shapes", """
+WITH s AS (SELECT event_id, event_id % 4 AS kind FROM events)
+SELECT event_id AS source_file, CASE kind WHEN 1 THEN '2' END AS "K", CASE kind WHEN 1 THEN '1' WHEN 2 THEN 'only' END AS k_2,
+       CASE kind WHEN 1 THEN '1234567890123456789012345678901234567890123' END AS n, CASE kind WHEN 1 THEN '0.5' END AS x_confidence,
+       CASE kind WHEN 0 THEN 'no response' WHEN 3 THEN 'Failed to parse extraction result' END AS error FROM s""")
+def q_union_columns_shapes(spark, sf_dir):
+    """Metadata wins over a key of its name, keys that differ in case both stay, long integers keep their digits."""
+    e = read_table(spark, sf_dir, "events").select(F.col("event_id").alias(rs.SOURCE_COLUMN))
+    shapes = F.array(*[F.lit(x) for x in SHAPES])
+    r = e.withColumn("response", F.get(shapes, (F.col(rs.SOURCE_COLUMN) % 4).cast("int")))
+    return rs.union_columns(rs.response_shape(rs.parse_response(r)), keep=["error"])
+
+
 # Single-document mode on the stress case of the published latency table: the
 # longest document (ties: smallest id), found by a scalar subquery over the
 # whole table; the key filter then sits before the Python stage.
@@ -219,7 +314,7 @@ def longest_document(d: DataFrame):
 def q_single_extract(spark, sf_dir):
     d = docs(spark, sf_dir)
     return ms.single_extract(d, longest_document(d), responder, MODEL_INSTRUCTIONS, provider=PROVIDER,
-                             run_ts=RUN_TS)
+                             run_ts=RUN_TS, wait_s=0.0)
 
 
 @query("retry_policy", f"""
@@ -228,8 +323,8 @@ SELECT doc_id, CASE WHEN regexp_matches(text, {_sql_lit(CARD_PATTERN)}) THEN 3 E
 def q_retry_policy(spark, sf_dir):
     """Bounded attempts: card documents fail on every call and are retried up
     to the limit (3) before their error row is emitted; others succeed at once."""
-    staged = ms.extract_with_model(docs(spark, sf_dir), responder, MODEL_INSTRUCTIONS,
-                                   max_attempts=ms.RETRY_ATTEMPTS)
+    staged = ms.extract_with_model(text_docs(spark, sf_dir), responder, MODEL_INSTRUCTIONS,
+                                   max_attempts=ms.RETRY_ATTEMPTS, wait_s=0.0)
     return staged.select("doc_id", "attempts", "error")
 
 

@@ -32,7 +32,7 @@ def q_stream_batch_extract(spark, sf_dir):
 
     def transform(df):
         return ms.batch_extract(df, responder, MODEL_INSTRUCTIONS, provider=PROVIDER, run_ts=RUN_TS,
-                                persist_stage=False)
+                                persist_stage=False, wait_s=0.0)
     q = stream_foreach_batch(_stream(spark, sf_dir), transform, sink, ck)
     q.awaitTermination()
     return spark.read.parquet(sink).drop("batch_id")

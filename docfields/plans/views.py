@@ -12,6 +12,8 @@ from docfields.session import spread
 from docfields.sources.tables import read_table
 
 TRIP_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+LONG_LABEL = "Reference of the customer account as kept in our books of the year"
+LONG_HEADING = " & Co. (terms, conditions and all other matters of this agreement)"
 TRIP_COLUMNS = ["TRIP_MILES", "TRIP_SECONDS", "FARE", "COMPANY", "PAYMENT_TYPE", "TIP_RATE"]
 
 
@@ -40,6 +42,15 @@ def trips_with_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumn("COMPANY", F.when(F.col("l_partkey") % 50 == 0, F.lit(None)).otherwise(F.col("COMPANY")))
 
 
+def trips_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``trips`` with NaN fares, null miles and NaN seconds on some part keys."""
+    t, p = trips(spark, sf_dir), F.col("l_partkey")
+    return t.withColumns({
+        "FARE": F.when(p % 17 == 0, F.lit(float("nan"))).otherwise(F.col("FARE")),
+        "TRIP_MILES": F.when(p % 19 != 0, F.col("TRIP_MILES")),
+        "TRIP_SECONDS": F.when(p % 23 == 0, F.lit(float("nan"))).otherwise(F.col("TRIP_SECONDS"))})
+
+
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invoice text rendered from orders joined to customer (one row per order)."""
     # rendering and the label regexes downstream are CPU-bound: spread an
@@ -55,6 +66,8 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Total Amount: $"), F.col("o_totalprice").cast("decimal(18,2)").cast("string")),
         F.concat(F.lit("Invoice Date: "), F.date_format(day, "yyyy-MM-dd")),
         F.concat(F.lit("Due Date: "), F.date_format(F.date_add(day, 30), "yyyy-MM-dd")),
+        F.concat(F.lit(LONG_LABEL), F.lit(": "), F.col("o_custkey").cast("string")),
+        F.lit("Remarks:"), F.concat(F.lit("paid by "), F.col("c_name")), F.lit("Terms:"), F.lit("none"),
     )
     return j.select("o_orderkey", text.alias("text"))
 
@@ -84,6 +97,8 @@ def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sectioned_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One text per conversation: each turn under a ``Role:`` heading line."""
     c = read_table(spark, sf_dir, "conversations")
-    piece = F.concat(F.initcap(F.col("role")), F.lit(":\n"), F.coalesce(F.col("text"), F.lit("")))
+    # every third turn's heading is a long one with marks
+    heading = F.concat(F.initcap(F.col("role")), F.when(F.col("turn") % 3 == 2, F.lit(LONG_HEADING)).otherwise(F.lit("")))
+    piece = F.concat(heading, F.lit(":\n"), F.coalesce(F.col("text"), F.lit("")))
     return (c.withColumn("piece", piece).groupBy("conv_id")
              .agg(F.expr("listagg(piece, '\\n') WITHIN GROUP (ORDER BY turn)").alias("text")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -73,30 +74,46 @@ def ship_package(spark: SparkSession) -> None:
 def checkpoint_root(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Only when the session has none (local tests) a folder of our own is set.
+    Only a local session without one (tests) gets a folder of our own. On a
+    cluster a machine-local folder would lose rows, so there a missing setting
+    is an error.
     """
     sc = spark.sparkContext
     base = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        require_local(sc.master)
         base = tempfile.mkdtemp(prefix="docfields-ckpt-")
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir() or base
     return base.rstrip("/")
 
 
+def require_local(master: str) -> None:
+    """Raise unless driver and executors are one process."""
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors share (master {master})")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-path of the shared checkpoint folder."""
     return f"{checkpoint_root(spark)}/docfields-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def spread(df, min_partitions: int | None = None):
-    """Round-robin a CPU-heavy text stage over all cores when its input has
-    fewer partitions than the cluster has task slots (few large row groups).
-    At cluster scale the scan already has more splits than slots: no-op."""
-    if df.isStreaming:
-        return df
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+def spread(scan, slots: int | None = None):
+    """Deal a bare file scan out over all task slots when it has fewer files
+    than the cluster has slots (few large row groups under a CPU-heavy stage).
+
+    Only the file list is looked at; nothing is planned or run. At cluster
+    scale there are more files than slots: no-op."""
+    if scan.isStreaming:
+        return scan
+    target = slots or scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(target) if len(scan.inputFiles()) < target else scan
+
+
+def staged(df, name: str):
+    """Write ``df`` once to the shared scratch folder and read it back: cuts
+    lineage, and later uses see the same rows."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

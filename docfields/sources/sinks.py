@@ -32,9 +32,11 @@ def sink_results(df: DataFrame, path: str, include_timestamp: bool = True, inclu
 
     ``include_timestamp`` / ``include_confidence`` are projection flags.
     """
+    # a score belongs to a field of the table; a field may itself end in "_confidence"
+    scores = {f"{c}_confidence" for c in df.columns}
     cols = [c for c in df.columns
             if (include_timestamp or c != TIMESTAMP_COLUMN)
-            and (include_confidence or not c.endswith("_confidence"))]
+            and (include_confidence or c not in scores)]
     w = df.select(*cols).write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docfields.operators.profile import clean
+from docfields.session import ship_package, staged
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference behaviour.
@@ -34,7 +35,8 @@ EXPERIMENTS = [
 RMSPROP_RHO = 0.9
 RMSPROP_EPSILON = 1e-7
 # ---------------------------------------------------------------------------
-MAX_BATCHES = 200_000
+#: Shards of an epoch; 1 is the sequential loop of the published training.
+SHARDS = 4
 BIAS = "bias"
 
 
@@ -157,18 +159,6 @@ def gram_stats(df: DataFrame, features: list[str], label: str, key_cols: list[st
     return complete.groupBy(batch_id(key_cols, n_batches, seed).alias("batch")).agg(*aggs)
 
 
-def _unpack(rows: pd.DataFrame, q: int):
-    """Batch stats frame -> arrays G (b,q,q), c (b,q), syy (b), n (b)."""
-    b = len(rows)
-    G = np.zeros((b, q, q))
-    for i in range(q):
-        for j in range(i, q):
-            G[:, i, j] = rows[f"g_{i}_{j}"].to_numpy(dtype=float)
-            G[:, j, i] = G[:, i, j]
-    c = np.stack([rows[f"c_{i}"].to_numpy(dtype=float) for i in range(q)], axis=1)
-    return G, c, rows["syy"].to_numpy(dtype=float), rows["n"].to_numpy(dtype=float)
-
-
 def _epoch_generic(order, Gl, cl, yl, nl, w, v, lr, rho, eps):
     q = len(w)
     rq = range(q)
@@ -247,34 +237,6 @@ def _epoch_q3(order, Gl, cl, yl, nl, w, v, lr, rho, eps):
 _EPOCH = {2: _epoch_q2, 3: _epoch_q3}
 
 
-def rmsprop_epochs(G, c, syy, n, lr: float, epochs: int, seed: int = 42):
-    """Train w̃ = [w, b] by RMSprop on per-batch sufficient statistics.
-
-    Starts at zeros; the batch order is reshuffled every epoch. Per epoch the
-    loss/rmse are the running values over the epoch (computed before each
-    update, as the training loop reports them) and ``rmse_final`` is the
-    RMSE of the weights at the end of the epoch on all rows.
-    The update loop uses plain floats (unrolled for one and two features):
-    with q ≤ 4 terms, per-call numpy overhead would dominate.
-    """
-    q = G.shape[1]
-    Gl, cl, yl, nl = G.tolist(), c.tolist(), syy.tolist(), n.tolist()
-    w = [0.0] * q
-    v = [0.0] * q
-    rho, eps = RMSPROP_RHO, RMSPROP_EPSILON
-    rng = np.random.default_rng(seed)
-    G_all, c_all, syy_all, n_all = G.sum(axis=0), c.sum(axis=0), float(syy.sum()), float(n.sum())
-    epoch_fn = _EPOCH.get(q, _epoch_generic)
-    hist = []
-    for epoch in range(epochs):
-        sse, rows = epoch_fn(rng.permutation(len(nl)).tolist(), Gl, cl, yl, nl, w, v, lr, rho, eps)
-        wa = np.array(w)
-        loss = sse / rows
-        final = (syy_all - 2.0 * float(wa @ c_all) + float(wa @ (G_all @ wa))) / n_all
-        hist.append((epoch + 1, float(loss), math.sqrt(max(loss, 0.0)), math.sqrt(max(final, 0.0)), wa.copy()))
-    return hist
-
-
 def settings_frame(spark: SparkSession, experiments=None) -> DataFrame:
     exps = experiments or EXPERIMENTS
     return spark.createDataFrame(
@@ -291,28 +253,25 @@ HISTORY_SCHEMA = T.StructType([
 ])
 
 
-def gram_stats_multi(df: DataFrame, specs: list[tuple[tuple[str, ...], int]], label: str,
-                     key_cols: list[str], seed: int = 42) -> list[pd.DataFrame]:
+def gram_table(df: DataFrame, specs: list[tuple[tuple[str, ...], int]], label: str, key_cols: list[str],
+               seed: int = 42) -> DataFrame:
     """Per-batch sufficient statistics for several ``(features, n_batches)``
-    specs in one scan.
+    specs in one scan: ``spec, batch, n, g, c, sy, syy`` (``g``: upper triangle
+    of the feature products by rows, over the spec's features + bias).
 
     Each spec is one grouping set over its own batch column (``GROUPING
     SETS``: one Expand inside the same codegen stage, combined map-side);
     the sums run over the union of the specs' features. A row whose spec
     features are incomplete gets a null batch there and that group is
-    dropped. Batch ids equal :func:`gram_stats`'s. Returns one frame per spec
-    (``batch, n, g_i_j, c_i, sy, syy`` over the spec's features + bias),
-    ordered by batch; the driver receives Σ batches × (q+2)² values.
+    dropped. Batch ids equal :func:`gram_stats`'s.
     """
     union: list[str] = []
     for feats, _ in specs:
-        for f in feats:
-            if f not in union:
-                union.append(f)
+        union += [f for f in feats if f not in union]
+    df = clean(df, [*union, label])
     xs = [F.col(f).cast("double") for f in union] + [F.lit(1.0)]
     y = F.col(label).cast("double")
     q = len(xs)
-    n_specs = len(specs)
     bcols = []
     for k, (feats, nb) in enumerate(specs):
         complete = F.lit(True)
@@ -324,86 +283,156 @@ def gram_stats_multi(df: DataFrame, specs: list[tuple[tuple[str, ...], int]], la
     aggs += [F.sum(xs[i] * xs[j]).alias(f"g_{i}_{j}") for i in range(q) for j in range(i, q)]
     aggs += [F.sum(xs[i] * y).alias(f"c_{i}") for i in range(q)]
     aggs += [F.sum(y).alias("sy"), F.sum(y * y).alias("syy")]
-    bnames = [f"_b{k}" for k in range(n_specs)]
+    bnames = [f"_b{k}" for k in range(len(specs))]
     grouped = src.groupingSets([[b] for b in bnames], *bnames).agg(*aggs)
-    # bounded (Σ batches × (q+2)² values): ordered here, not with an extra
-    # sampling job; many batches come over Arrow, a few as plain rows
-    if sum(nb for _, nb in specs) > 50_000:
-        rows = grouped.toPandas()
-    else:
-        rows = pd.DataFrame.from_records([tuple(r) for r in grouped.collect()], columns=grouped.columns)
-    full = (1 << n_specs) - 1
-    out = []
+    full = (1 << len(specs)) - 1
+    parts = []
     for k, (feats, _) in enumerate(specs):
-        gid = full ^ (1 << (n_specs - 1 - k))   # only _b{k} grouped
-        part = rows[(rows["_gid"] == gid) & rows[f"_b{k}"].notna()]
-        part = part.assign(batch=part[f"_b{k}"].astype("int64")).sort_values("batch").reset_index(drop=True)
         idx = [union.index(f) for f in feats] + [q - 1]
-        sub = {"batch": part["batch"], "n": part["n"], "sy": part["sy"], "syy": part["syy"]}
-        for a, i in enumerate(idx):
-            sub[f"c_{a}"] = part[f"c_{i}"]
-            for b in range(a, len(idx)):
-                j = idx[b]
-                sub[f"g_{a}_{b}"] = part[f"g_{min(i, j)}_{max(i, j)}"]
-        out.append(pd.DataFrame(sub))
+        g = [F.col(f"g_{min(i, j)}_{max(i, j)}") for a, i in enumerate(idx) for j in idx[a:]]
+        own = (F.col("_gid") == full ^ (1 << (len(specs) - 1 - k))) & F.col(f"_b{k}").isNotNull()
+        parts.append(F.when(own, F.struct(F.lit(k).alias("spec"), F.col(f"_b{k}").alias("batch"), "n", F.array(*g).alias("g"),
+                                          F.array(*[F.col(f"c_{i}") for i in idx]).alias("c"), "sy", "syy")))
+    return grouped.select(F.coalesce(*parts).alias("r")).where(F.col("r").isNotNull()).select("r.*")
+
+
+def epoch_order(epoch: int, seed: int) -> Column:
+    """Order of the batches in an epoch: shuffled anew each time, the same in every run."""
+    return F.xxhash64(F.lit(seed), F.lit(epoch), F.col("batch"))
+
+
+def square(upper: list[float], q: int) -> list[list[float]]:
+    out = [[0.0] * q for _ in range(q)]
+    at = 0
+    for i in range(q):
+        for j in range(i, q):
+            out[i][j] = out[j][i] = upper[at]
+            at += 1
     return out
 
 
 def sweep_settings(df: DataFrame, settings: DataFrame, label: str, key_cols: list[str], seed: int = 42,
-                   max_batches: int = MAX_BATCHES) -> DataFrame:
-    """Train every setting (row of ``settings``) and return the loss curves.
-
-    One Spark job computes the per-batch sums for every distinct
-    (features, batch size) at once (:func:`gram_stats_multi`); those arrays
-    (batches × (p+2)² doubles each, bounded by ``max_batches``) are broadcast,
-    and the settings train in parallel, one task per experiment
-    (``spark.range`` with one partition per setting, so no shuffle and no
-    partition coalescing can serialise them). Output: ``experiment, epoch,
-    loss, rmse, rmse_final, features, weights, bias``.
+                   shards: int = SHARDS) -> DataFrame:
+    """Train every setting (row of ``settings``) by RMSprop and return the loss
+    curves: ``experiment, epoch, loss, rmse, rmse_final, features, weights, bias``.
+
+    One job writes the per-batch sums of every distinct (features, batch size)
+    as a table in the shared folder; batches keep the asked size however many
+    there are. Each epoch is one job for all settings: batches are dealt to
+    ``shards`` by their id, every shard starts from the epoch's weights and
+    passes over its own batches in a shuffled order, streaming them from a
+    sorted partition, and the driver averages the shards' weights and squared
+    gradients by rows. It sees settings x shards short rows per epoch. One shard
+    is the sequential loop over all batches; more shards are another algorithm
+    (local steps, averaged each epoch), which takes the more steps per epoch
+    the more data there are, and need not reach the same weights.
+
+    Loss and RMSE are the running values over an epoch, taken before each
+    update; ``rmse_final`` is that of the averaged weights on all rows.
     """
     spark = df.sparkSession
-    from docfields.session import ship_package
     ship_package(spark)
     sets = settings.collect()  # one row per experiment: a handful of rows
     for st in sets:
         if int(st.batch_size) < 1 or int(st.number_epochs) < 0 or not st.input_features:
             raise ValueError(f"setting {st.experiment!r}: batch_size >= 1, number_epochs >= 0 and at least "
                              "one feature are required")
+    if shards < 1:
+        raise ValueError("shards must be at least 1")
     n_rows = df.count() if sets else 0
+    if not n_rows:
+        return spark.createDataFrame([], HISTORY_SCHEMA)
     specs: list[tuple[tuple[str, ...], int]] = []
     spec_of = {}
-    for s in sets:
-        key = (tuple(s.input_features), int(s.batch_size))
-        if key in spec_of:
-            continue
-        # keep the driver-side arrays bounded: past the cap, fewer and larger batches
-        n_batches = min(max(1, math.ceil(n_rows / key[1])), max_batches)
-        spec_of[key] = len(specs)
-        specs.append((key[0], n_batches))
-    frames = gram_stats_multi(df, specs, label, key_cols, seed) if specs else []
-    arrays = [_unpack(fr, len(feats) + 1) for fr, (feats, _) in zip(frames, specs)]
-    plan = [(s.experiment, float(s.learning_rate), int(s.number_epochs), list(s.input_features),
-             spec_of[(tuple(s.input_features), int(s.batch_size))]) for s in sets]
-    bc = spark.sparkContext.broadcast({"arrays": arrays, "plan": plan})
-
-    def train(batches):
+    for st in sets:
+        key = (tuple(st.input_features), int(st.batch_size))
+        if key not in spec_of:
+            spec_of[key] = len(specs)
+            specs.append((key[0], max(1, math.ceil(n_rows / key[1]))))
+    used = [spec_of[tuple(st.input_features), int(st.batch_size)] for st in sets]
+    table = staged(gram_table(df, specs, label, key_cols, seed)
+                   .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "batch"), F.lit(shards)).cast("int")), "gram")
+    totals = _totals(table, specs)
+    state = [([0.0] * (len(st.input_features) + 1), [0.0] * (len(st.input_features) + 1)) for st in sets]
+    history = []
+    for epoch in range(1, max(int(st.number_epochs) for st in sets) + 1):
+        live = [i for i, st in enumerate(sets) if epoch <= int(st.number_epochs) and used[i] in totals]
+        if not live:
+            break
+        found = _epoch(table, sets, used, live, state, epoch, seed, shards)
+        for i in live:
+            rows = [r for r in found if r["experiment"] == i]
+            n = sum(r["n"] for r in rows)
+            q = len(state[i][0])
+            mean = lambda name: [sum(r[name][j] * r["n"] for r in rows) / n for j in range(q)]
+            state[i] = (mean("w"), mean("v"))
+            loss = sum(r["sse"] for r in rows) / n
+            g, c, syy, count = totals[used[i]]
+            w = np.array(state[i][0])
+            final = (syy - 2.0 * float(w @ c) + float(w @ g @ w)) / count
+            st = sets[i]
+            history.append((st.experiment, epoch, loss, math.sqrt(max(loss, 0.0)), math.sqrt(max(final, 0.0)),
+                            list(st.input_features), state[i][0][:-1], state[i][0][-1]))
+    return spark.createDataFrame(history, HISTORY_SCHEMA)
+
+
+def _totals(table: DataFrame, specs) -> dict[int, tuple]:
+    """Sums over all batches of each spec (one row per spec)."""
+    size = max(len(f) for f, _ in specs) + 1
+    wide = size * (size + 1) // 2
+    got = table.groupBy("spec").agg(
+        *[F.sum(F.get("g", F.lit(i))).alias(f"g{i}") for i in range(wide)],
+        *[F.sum(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(size)],
+        F.sum("syy").alias("syy"), F.sum("n").alias("n")).collect()
+    out = {}
+    for r in got:
+        q = len(specs[r["spec"]][0]) + 1
+        out[r["spec"]] = (np.array(square([r[f"g{i}"] for i in range(q * (q + 1) // 2)], q)),
+                          np.array([r[f"c{i}"] for i in range(q)]), r["syy"], r["n"])
+    return out
+
+
+def _epoch(table: DataFrame, sets, used: list[int], live: list[int], state, epoch: int, seed: int, shards: int) -> list:
+    """One epoch of the live settings: a row of weights per setting and shard."""
+    who = F.coalesce(*[F.when(F.col("spec") == k, F.array(*[F.lit(i) for i in live if used[i] == k]))
+                       for k in sorted({used[i] for i in live})])
+    rows = (table.withColumn("experiment", F.explode(who)).withColumn("_order", epoch_order(epoch, seed))
+                 .repartition(len(live) * shards, "experiment", "shard")
+                 .sortWithinPartitions("experiment", "shard", "_order", "batch")
+                 .select("experiment", "shard", "n", "g", "c", "syy"))
+    rates = {i: float(sets[i].learning_rate) for i in live}
+    start = {i: state[i] for i in live}
+
+    def run(batches):
+        at, w, v, sse, n = None, None, None, 0.0, 0.0
         for pdf in batches:
-            for i in pdf["id"].tolist():
-                name, lr, epochs, feats, k = bc.value["plan"][i]
-                G, c, syy, n = bc.value["arrays"][k]
-                hist = rmsprop_epochs(G, c, syy, n, lr, epochs, seed)
-                yield pd.DataFrame([(name, e, lo, rm, rf, feats, [float(x) for x in w[:-1]], float(w[-1]))
-                                    for e, lo, rm, rf, w in hist], columns=HISTORY_SCHEMA.fieldNames())
+            for key, part in pdf.groupby(["experiment", "shard"], sort=False):
+                if key != at:
+                    if at is not None:
+                        yield pd.DataFrame([(*map(int, at), w, v, sse, n)], columns=STEP_COLUMNS)
+                    at, sse, n = key, 0.0, 0.0
+                    w, v = list(start[key[0]][0]), list(start[key[0]][1])
+                q = len(w)
+                gs = [square(g, q) for g in part["g"].map(list)]
+                cs, ys, ns = part["c"].map(list).tolist(), part["syy"].tolist(), part["n"].tolist()
+                step = _EPOCH.get(q, _epoch_generic)
+                more, count = step(range(len(ns)), gs, cs, ys, ns, w, v, rates[key[0]], RMSPROP_RHO, RMSPROP_EPSILON)
+                sse, n = sse + more, n + count
+        if at is not None:
+            yield pd.DataFrame([(*map(int, at), w, v, sse, n)], columns=STEP_COLUMNS)
+
+    return rows.mapInPandas(run, "experiment int, shard int, w array<double>, v array<double>, sse double, n double").collect()
+
 
-    n_exp = max(1, len(plan))
-    return spark.range(0, len(plan), 1, n_exp).mapInPandas(train, HISTORY_SCHEMA)
+STEP_COLUMNS = ["experiment", "shard", "w", "v", "sse", "n"]
 
 
 def fit_sgd(df: DataFrame, features: list[str], label: str, key_cols: list[str], learning_rate: float = 0.001,
-            epochs: int = 20, batch_size: int = 50, name: str = "sgd", seed: int = 42) -> DataFrame:
+            epochs: int = 20, batch_size: int = 50, name: str = "sgd", seed: int = 42,
+            shards: int = SHARDS) -> DataFrame:
     """One RMSprop training run; returns its loss curve (see :func:`sweep_settings`)."""
     s = settings_frame(df.sparkSession, [(name, learning_rate, epochs, batch_size, features)])
-    return sweep_settings(df, s, label, key_cols, seed)
+    return sweep_settings(df, s, label, key_cols, seed, shards)
 
 
 def loss_curve(history: DataFrame) -> DataFrame:

@@ -170,13 +170,14 @@ def sweep(spark, sf_dir, experiments=SWEEP):
 
 @query("fit_sgd")
 def q_fit_sgd(spark, sf_dir):
-    """RMSprop, lr 0.001, batch 50, 20 epochs on TRIP_MILES: loss curve + weights per epoch."""
-    return rg.fit_sgd(trips(spark, sf_dir), ONE, LABEL, KEY, 0.001, 20, 50, "one_feature", SEED).drop("features")
+    """RMSprop, lr 0.001, batch 50, 20 epochs on TRIP_MILES: loss curve + weights per epoch
+    (one shard: the sequential loop)."""
+    return rg.fit_sgd(trips(spark, sf_dir), ONE, LABEL, KEY, 0.001, 20, 50, "one_feature", SEED, shards=1).drop("features")
 
 
 @query("sweep_settings")
 def q_sweep_settings(spark, sf_dir):
-    """The published hyper-parameter study, trained in parallel (one group per setting)."""
+    """The published hyper-parameter study, trained together: one job per epoch."""
     return sweep(spark, sf_dir).drop("features", "weights")
 
 
@@ -198,3 +199,18 @@ def q_fit_ml(spark, sf_dir):
     """The two-feature fit with pyspark.ml's normal-equation solver (cross-check of the exact fit)."""
     return rg.fit_ml(trips(spark, sf_dir), TWO, LABEL, name="two_features_ml").weights_df(spark)
 
+
+
+# ------------------------------------------------ trained models in the comparison path
+
+@query("compare_trained")
+def q_compare_trained(spark, sf_dir):
+    """The trained one- and two-feature models (weights of the last epoch) on the whole table."""
+    t = trips(spark, sf_dir)
+    history = sweep(spark, sf_dir, SWEEP[:1] + SWEEP[-1:])
+    return rg.compare_experiments(t, [rg.model_from_history(history, n) for n in ("one_feature", "two_features")], LABEL)
+
+
+@query("formula_gap_trained")
+def q_formula_gap_trained(spark, sf_dir):
+    return rg.formula_gap(rg.final_weights(sweep(spark, sf_dir, SWEEP[-1:])))

@@ -83,20 +83,57 @@ def test_sample_and_predict_fare(spark):
     assert F is not None
 
 
-def test_gram_stats_multi_equals_one_job_per_spec(spark):
+def test_gram_table_equals_one_job_per_spec(spark):
     """The one-scan grouping-sets form gives, per (features, batches) spec,
-    exactly the per-batch sums of a separate job — also when a feature has
+    exactly the per-batch sums of a separate job, also when a feature has
     nulls, so each spec keeps its own complete rows."""
     df = qr.trips(spark, SF_SMALL)
     df = df.withColumn("TRIP_MINUTES", F.when(F.col("l_partkey") % 13 == 0, None).otherwise(F.col("TRIP_MINUTES")))
     n = df.count()
     specs = [(tuple(qr.ONE), n // 50), (tuple(qr.ONE), n // 500), (tuple(qr.TWO), n // 50), (tuple(qr.TWO), 1)]
-    for (feats, nb), got in zip(specs, rg.gram_stats_multi(df, specs, qr.LABEL, qr.KEY, 42)):
+    table = rg.gram_table(df, specs, qr.LABEL, qr.KEY, 42).toPandas()
+    for k, (feats, nb) in enumerate(specs):
+        got = table[table.spec == k].sort_values("batch").reset_index(drop=True)
         ref = rg.gram_stats(df, list(feats), qr.LABEL, qr.KEY, nb, 42).toPandas()
         ref = ref.sort_values("batch").reset_index(drop=True)
+        q = len(feats) + 1
         assert len(got) == len(ref)
-        for c in ref.columns:
-            assert np.allclose(got[c].to_numpy(float), ref[c].to_numpy(float), rtol=1e-12), c
+        upper = [f"g_{i}_{j}" for i in range(q) for j in range(i, q)]
+        assert np.allclose(np.stack(got.g), ref[upper].to_numpy(float), rtol=1e-12)
+        assert np.allclose(np.stack(got.c), ref[[f"c_{i}" for i in range(q)]].to_numpy(float), rtol=1e-12)
+        assert np.allclose(got[["n", "sy", "syy", "batch"]].to_numpy(float), ref[["n", "sy", "syy", "batch"]].to_numpy(float))
+
+
+@pytest.mark.parametrize("shards", [1, 3])
+def test_epochs_equal_a_plain_loop(spark, shards):
+    """Every epoch replayed in plain Python over the same batches, orders and shards."""
+    t = trips(spark)
+    feats, batch, epochs, rate = ["TRIP_MILES", "TRIP_MINUTES"], 50, 3, 0.01
+    got = rg.fit_sgd(t, feats, "FARE", KEY, rate, epochs, batch, "x", 7, shards).orderBy("epoch").collect()
+    nb = math.ceil(t.count() / batch)
+    pdf = t.select(*feats, "FARE", rg.batch_id(KEY, nb, 7).alias("batch"),
+                   F.pmod(F.xxhash64(F.lit(7), "batch"), F.lit(shards)).alias("shard"),
+                   *[rg.epoch_order(e, 7).alias(f"o{e}") for e in range(1, epochs + 1)]).toPandas()
+    assert pdf.batch.nunique() == nb  # the asked batch size holds
+    w, v = np.zeros(3), np.zeros(3)
+    for e in range(1, epochs + 1):
+        ws, vs, ns, sse = [], [], [], 0.0
+        for _, part in pdf.groupby("shard"):
+            a, b, n = w.copy(), v.copy(), 0
+            for _, rows in part.sort_values([f"o{e}", "batch"]).groupby([f"o{e}", "batch"], sort=False):
+                x, y = np.c_[rows[feats].to_numpy(), np.ones(len(rows))], rows.FARE.to_numpy()
+                err = x @ a - y
+                sse += float(err @ err)
+                g = 2 * x.T @ err / len(rows)
+                b = rg.RMSPROP_RHO * b + (1 - rg.RMSPROP_RHO) * g * g
+                a = a - rate * g / (np.sqrt(b) + rg.RMSPROP_EPSILON)
+                n += len(rows)
+            ws, vs, ns = [*ws, a], [*vs, b], [*ns, n]
+        w, v = np.average(ws, 0, ns), np.average(vs, 0, ns)
+        x = np.c_[pdf[feats].to_numpy(), np.ones(len(pdf))]
+        assert [*got[e - 1].weights, got[e - 1].bias] == pytest.approx(w.tolist(), rel=1e-6)
+        assert got[e - 1].loss == pytest.approx(sse / len(pdf), rel=1e-6)
+        assert got[e - 1].rmse_final == pytest.approx(float(np.sqrt(np.mean((x @ w - pdf.FARE) ** 2))), rel=1e-5)
 
 
 def test_fit_exact_many_equals_separate_fits(spark):

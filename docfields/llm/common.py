@@ -54,10 +54,18 @@ def slices(texts: list[str | None], limit: int = SLICE_BYTES) -> Iterator[tuple[
         yield at, len(texts)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a small table's part.
+PART_ROWS = 100_000
+
+
+def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared scratch folder and read it back: cuts
-    lineage, survives lost executors, and is computed once."""
+    lineage, survives lost executors, and is computed once. ``rows``, a known
+    bound of its size, makes parts of ``PART_ROWS`` rows (one per task slot at
+    least), so that small steps of an iteration are few tasks."""
     path = scratch_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // PART_ROWS)))
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

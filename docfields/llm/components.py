@@ -13,17 +13,17 @@ from pyspark.sql import functions as F
 from docfields.llm.common import saved
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+def large_star(edges: DataFrame, rows: int) -> DataFrame:
     """Link each node's larger neighbours to the smallest node around it."""
-    both = saved(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "star-both")
-    least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "star-least")
+    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "star-least", 2 * rows)
     return both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, rows: int) -> DataFrame:
     """Link each node and its smaller neighbours to the smallest of them."""
-    down = saved(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star-down")
-    least = saved(down.groupBy("u").agg(F.min("v").alias("m")), "star-least")
+    down = saved(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star-down", rows)
+    least = saved(down.groupBy("u").agg(F.min("v").alias("m")), "star-least", rows)
     moved = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -41,7 +41,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = None
     while (at := _sum(now)) != before:
         before = at
-        now = saved(small_star(large_star(now)), "star-edges")
+        now = saved(small_star(large_star(now, at[0]), at[0]), "star-edges", 2 * at[0])
     # converged: every edge goes from a node to its component's smallest
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return saved(now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots), "components")
+    return saved(now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots),
+                 "components", 2 * at[0])

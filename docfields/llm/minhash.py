@@ -9,10 +9,13 @@ all pairs are taken:
 1. each member is compared with the bucket's pivot, the smallest id;
 2. in buckets that still hold several components, members outside the largest
    one are compared with another of its members, until that finds no more;
-3. the pairs of members of different components that are left are compared all.
+3. members of buckets that hold several components still are joined exactly: a
+   link needs a common shingle among the rarest fifth of both sets (the prefix
+   filter), so only members of different components that share one are compared.
 
-So two members of a bucket end in one component or have been compared, and a
-large group of near copies costs a few comparisons per member. A comparison is
+So two members of a bucket end in one component, have been compared, or cannot
+be linked; a large group of near copies costs a few comparisons per member, as
+what sets its members apart is rare. A comparison is
 the agreement of signatures (far below the threshold: no link) and then the
 exact intersection of the full sets.
 """
@@ -35,6 +38,8 @@ BANDS, ROWS = 40, 5
 #: 200 with a deviation of 6, so none in a billion is lost.
 SIGNATURE_LEAST = 0.6
 SEED = 7
+#: Slots in which shingles are counted.
+SLOTS = 1 << 20
 
 
 @lru_cache(1)
@@ -176,16 +181,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     wide = known.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
     shared = saved(wide.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
                        .where("lo < hi").select("key"), "minhash-shared")
-    rows = (wide.join(shared, "key").join(firsts, F.col("doc_id") == F.col("id"), "left_semi")
+    in_buckets = (wide.join(shared, "key").join(firsts, F.col("doc_id") == F.col("id"), "left_semi")
                 .select("key", F.col("doc_id").alias("id"), F.col("n_shingles").alias("n")).distinct())
-    buckets = saved(rows, "minhash-buckets")
+    buckets = saved(in_buckets, "minhash-buckets")
+    size = buckets.count()
     pivots = saved(buckets.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("size")).where("size > 1"),
-                   "minhash-pivots")
+                   "minhash-pivots", size)
     pairs = saved(buckets.join(pivots, "key").where("id != b").select(F.col("id").alias("a"), "b").distinct(),
-                  "minhash-pairs")
-    buckets = saved(buckets.join(pivots.select("key"), "key"), "minhash-buckets")
+                  "minhash-pairs", size)
+    buckets = saved(buckets.join(pivots.select("key"), "key"), "minhash-buckets", size)
 
-    involved = saved(buckets.select("id").distinct(), "minhash-ids")
+    involved = saved(buckets.select("id").distinct(), "minhash-ids", size)
     marks = known.select(F.col("doc_id").alias("id"), "signature").join(involved, "id", "left_semi")
     texts = src.join(involved, src["doc_id"] == involved["id"], "left_semi")
     compare = Comparison(saved(marks, "minhash-marks"), saved(shingle_sets(texts, k), "minhash-sets"), percent)
@@ -194,17 +200,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     done = pairs
     for seed in range(20):
         found = connected_components(links)
-        split, held = _split_buckets(buckets, found)
-        pairs = _pivot_pairs(split, held, seed, percent).join(done, ["a", "b"], "left_anti")
-        pairs = saved(pairs, "minhash-pairs")
+        split, held = _split_buckets(buckets, found, size)
+        pairs = _pivot_pairs(split, held, seed, percent, size).join(done, ["a", "b"], "left_anti")
+        pairs = saved(pairs, "minhash-pairs", size)
         if not pairs.head(1):
             break
         more = compare.links(pairs)
-        done = saved(done.union(pairs), "minhash-done")
+        done = saved(done.union(pairs), "minhash-done", 2 * size)
         if not more.head(1):
             break
-        links = saved(links.union(more), "minhash-links")
-    rest = _cross_pairs(split, held, percent).join(done, ["a", "b"], "left_anti")
+        links = saved(links.union(more), "minhash-links", 2 * size)
+    rare = saved(_rare_buckets(compare.sets, split, percent), "minhash-rare")
+    split, held = _split_buckets(rare, found, rare.count())
+    rest = _cross_pairs(split, held, percent)
     more = compare.links(rest)
     if more.head(1):
         found = connected_components(links.union(more))
@@ -218,26 +226,58 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
                          F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _split_buckets(buckets: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _rare_buckets(sets: DataFrame, split: DataFrame, percent: int) -> DataFrame:
+    """``key, id, n``: the rarest shingles of each member of ``split``, as many
+    as a link cannot miss: sets that overlap by ``percent`` of their union have
+    percent x n shingles of either in common, so not all of the others.
+
+    Any fixed order of shingles would do; rare first makes the buckets small.
+    How frequent they are is counted in SLOTS slots, one array of fixed size.
+    """
+    spark = sets.sparkSession
+    chosen = sets.join(saved(split.select("id").distinct(), "minhash-rest"), "id", "left_semi")
+    found = (chosen.select(F.explode("set").alias("t")).groupBy(F.pmod("t", F.lit(SLOTS)).alias("slot"))
+                   .agg(F.count("*").alias("n")).toArrow())
+    counts = np.zeros(SLOTS, np.int64)
+    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
+    shared = spark.sparkContext.broadcast(counts)
+
+    def run(batch: pa.RecordBatch):
+        keys, ids, sizes = [], [], []
+        for i, one in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            t = one.values.to_numpy()
+            n = len(t)
+            most = n - -(-percent * n // 100) + 1
+            rare = t[np.lexsort((t, shared.value[t % SLOTS]))[:most]]
+            keys.append(rare)
+            ids += [i] * len(rare)
+            sizes += [n] * len(rare)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())],
+                                         names=["key", "id", "n"])
+
+    return arrow_map(chosen, run, "key long, id long, n long")
+
+
+def _split_buckets(buckets: DataFrame, found: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """Members of buckets that hold several components, with their component,
     and the sizes of the components in each."""
     named = saved(buckets.join(found, buckets["id"] == found["node"], "left")
-                         .select("key", "id", "n", F.coalesce("component", "id").alias("component")), "minhash-split")
+                         .select("key", "id", "n", F.coalesce("component", "id").alias("component")), "minhash-split", size)
     held = named.groupBy("key", "component").agg(F.count("*").alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     several = held.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2")
-    several = saved(several.select("key"), "minhash-several")
-    return (saved(named.join(several, "key"), "minhash-split"),
-            saved(held.join(several, "key"), "minhash-held"))
+    several = saved(several.select("key"), "minhash-several", size)
+    return (saved(named.join(several, "key"), "minhash-split", size),
+            saved(held.join(several, "key"), "minhash-held", size))
 
 
-def _pivot_pairs(split: DataFrame, held: DataFrame, seed: int, percent: int) -> DataFrame:
+def _pivot_pairs(split: DataFrame, held: DataFrame, seed: int, percent: int, size: int) -> DataFrame:
     """Members outside their bucket's largest component, with one of its members."""
     largest = held.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"))
-    largest = saved(largest.select("key", F.col("top.component").alias("component")), "minhash-largest")
+    largest = saved(largest.select("key", F.col("top.component").alias("component")), "minhash-largest", size)
     inside = split.join(largest, ["key", "component"])
     pivot = inside.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(seed)).alias("h"), "id", "n", "component")).alias("p"))
     pivot = saved(pivot.select("key", F.col("p.id").alias("b"), F.col("p.n").alias("m"), F.col("p.component").alias("top")),
-                  "minhash-pivot")
+                  "minhash-pivot", size)
     return (split.join(pivot, "key").where((F.col("component") != F.col("top")) & _alike("n", "m", percent))
                  .select(F.col("id").alias("a"), "b").distinct())
 

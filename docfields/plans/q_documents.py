@@ -356,9 +356,10 @@ BUDGET = 1000
 WITH p AS (SELECT conv_id AS doc_id, turn + 1 AS page_no,
                   length(chr(10) || '--- Page ' || (turn + 1) || ' ---' || chr(10) || coalesce(text, '')) AS len
            FROM conversations),
-     c AS (SELECT doc_id, page_no, sum(len) OVER (PARTITION BY doc_id ORDER BY page_no
+     c AS (SELECT doc_id, page_no, len, sum(len) OVER (PARTITION BY doc_id ORDER BY page_no
                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_chars FROM p)
-SELECT doc_id, page_no, cum_chars, CAST(floor((cum_chars - 1) / {BUDGET}) AS BIGINT) AS chunk_id FROM c""")
+SELECT doc_id, page_no, cum_chars, CAST(2 * floor((cum_chars - 1) / {BUDGET // 2}) + CASE WHEN len <= {BUDGET // 2} THEN 1 ELSE 0 END
+            AS BIGINT) AS chunk_id FROM c""")
 def q_prompt_chunks(spark, sf_dir):
     return dc.prompt_chunks(views.conversation_pages(spark, sf_dir), BUDGET).select(
         "doc_id", "page_no", "cum_chars", "chunk_id")

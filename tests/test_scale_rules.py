@@ -130,3 +130,20 @@ def test_nan_is_missing(spark):
     row = {r.column_name: r for r in pf.describe_all(d, ["a", "b"], [], max_map_distinct=0).collect()}
     assert row["a"]["count"] == 3 and row["a"].mean == 2.0 and row["a"].max == 3.0 and row["b"]["count"] == 3
     assert pf.max_value(d, "a").first()[0] == 3.0 and pf.corr_matrix(d, ["a", "b"]).where("x <> y").first().r == 1.0
+
+
+def test_chunks_keep_the_budget(spark):
+    import random
+    rng = random.Random(3)
+    rows = [(d, p, "x" * rng.choice([5, 90, 300, 480, 870, 970, 1500])) for d in range(6) for p in range(1, 60)]
+    rows += [(7, 1, "y" * 870), (7, 2, "y" * 970), (7, 3, "y" * 80), (None, 1, "no document"), (8, None, "no number")]
+    pages = spark.createDataFrame(rows, "doc_id long, page_no int, text string")
+    chunks = dc.prompt_chunks(pages, 1000, block_pages=7)
+    assert chunks.count() == len(rows)
+    size = dc.page_piece(F.col("page_no"), F.col("text"))
+    got = chunks.groupBy("doc_id", "chunk_id").agg(F.sum(F.length(size)).alias("n"), F.count("*").alias("pages"))
+    assert got.where("n > 1000 and pages > 1").count() == 0
+    whole = {r.doc_id: r.text for r in dc.assemble_text(pages.where("doc_id < 8")).collect()}
+    parts = dc.assemble_chunks(pages.where("doc_id < 8"), 1000).orderBy("doc_id", "chunk_id").collect()
+    for d, t in whole.items():
+        assert "".join(r.text for r in parts if r.doc_id == d) == t

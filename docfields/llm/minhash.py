@@ -10,8 +10,8 @@ all pairs are taken:
 2. in buckets that still hold several components, members outside the largest
    one are compared with another of its members, until that finds no more;
 3. members of buckets that hold several components still are joined exactly: a
-   link needs a common shingle among the rarest fifth of both sets (the prefix
-   filter), so only members of different components that share one are compared.
+   link needs a common shingle early in both sets' rare-first order (the prefix
+   filter), so only members of different components that have one are compared.
 
 So two members of a bucket end in one component, have been compared, or cannot
 be linked; a large group of near copies costs a few comparisons per member, as
@@ -210,9 +210,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         if not more.head(1):
             break
         links = saved(links.union(more), "minhash-links", 2 * size)
-    rare = saved(_rare_buckets(compare.sets, split, percent), "minhash-rare")
-    split, held = _split_buckets(rare, found, rare.count())
-    rest = _cross_pairs(split, held, percent)
+    rest = _rare_pairs(saved(_rare_shingles(compare.sets, split, percent), "minhash-rare"), split, percent)
     more = compare.links(rest)
     if more.head(1):
         found = connected_components(links.union(more))
@@ -226,10 +224,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
                          F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _rare_buckets(sets: DataFrame, split: DataFrame, percent: int) -> DataFrame:
-    """``key, id, n``: the rarest shingles of each member of ``split``, as many
-    as a link cannot miss: sets that overlap by ``percent`` of their union have
-    percent x n shingles of either in common, so not all of the others.
+def _rare_shingles(sets: DataFrame, split: DataFrame, percent: int) -> DataFrame:
+    """``key, id, n, left``: the rarest shingles of each member of ``split``, as
+    many as a link cannot miss, each with the number of shingles from it on.
 
     Any fixed order of shingles would do; rare first makes the buckets small.
     How frequent they are is counted in SLOTS slots, one array of fixed size.
@@ -243,7 +240,7 @@ def _rare_buckets(sets: DataFrame, split: DataFrame, percent: int) -> DataFrame:
     shared = spark.sparkContext.broadcast(counts)
 
     def run(batch: pa.RecordBatch):
-        keys, ids, sizes = [], [], []
+        keys, ids, sizes, left = [], [], [], []
         for i, one in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             t = one.values.to_numpy()
             n = len(t)
@@ -252,10 +249,11 @@ def _rare_buckets(sets: DataFrame, split: DataFrame, percent: int) -> DataFrame:
             keys.append(rare)
             ids += [i] * len(rare)
             sizes += [n] * len(rare)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())],
-                                         names=["key", "id", "n"])
+            left += range(n, n - len(rare), -1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(pa.array(c, pa.int64()) for c in (ids, sizes, left))],
+                                         names=["key", "id", "n", "left"])
 
-    return arrow_map(chosen, run, "key long, id long, n long")
+    return arrow_map(chosen, run, "key long, id long, n long, left long")
 
 
 def _split_buckets(buckets: DataFrame, found: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
@@ -287,14 +285,35 @@ def _alike(n: str, m: str, percent: int):
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def _cross_pairs(split: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """All pairs of members of one bucket that are of different components. The
-    pairs of components come first, so members of one never meet each other."""
-    one = held.select("key", F.col("component").alias("c1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
-    two = held.select("key", F.col("component").alias("c2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    reach = (100 * F.col("hi1") >= percent * F.col("lo2")) & (100 * F.col("hi2") >= percent * F.col("lo1"))
-    apart = saved(one.join(two, "key").where((F.col("c1") < F.col("c2")) & reach).select("key", "c1", "c2"), "minhash-apart")
-    first = split.select("key", F.col("component").alias("c1"), F.col("id").alias("a"), F.col("n").alias("n1"))
-    second = split.select("key", F.col("component").alias("c2"), F.col("id").alias("b"), F.col("n").alias("n2"))
-    return (apart.join(first, ["key", "c1"]).join(second, ["key", "c2"]).where(_alike("n1", "n2", percent))
-                 .select("a", "b").distinct())
+def _rare_pairs(rare: DataFrame, split: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that a link cannot be told from yet.
+
+    Sets of n and m shingles that overlap by ``percent`` of their union have at
+    least percent / (100 + percent) of n + m in common. Their first common
+    shingle in the rare-first order is followed, in either set, by all the
+    others, so at least that many must be left from it on. Components are paired
+    per shingle first, by their extremes; members of one never meet each other.
+    """
+    named = rare.join(split.select("id", "component").distinct(), "id")
+    named = saved(named, "minhash-named-rare")
+    held = named.groupBy("key", "component").agg(F.min("n").alias("lo"), F.max("left").alias("left"))
+    several = held.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2")
+    several = saved(several.select("key"), "minhash-several")
+    held = saved(held.join(several, "key"), "minhash-held")
+
+    def enough(n: str, m: str, left_n: str, left_m: str):
+        common = percent * (F.col(n) + F.col(m))
+        return (((100 + percent) * F.col(left_n) >= common) & ((100 + percent) * F.col(left_m) >= common))
+
+    def side(df: DataFrame, k: int, *columns: str) -> DataFrame:
+        return df.select("key", *[F.col(c).alias(f"{c}{k}") for c in columns])
+
+    apart = (side(held, 1, "component", "lo", "left").join(side(held, 2, "component", "lo", "left"), "key")
+             .where((F.col("component1") < F.col("component2")) & enough("lo1", "lo2", "left1", "left2"))
+             .select("key", "component1", "component2"))
+    apart = saved(apart, "minhash-apart")
+    members = named.join(several, "key")
+    first, second = (side(members, k, "component", "id", "n", "left") for k in (1, 2))
+    return (apart.join(first, ["key", "component1"]).join(second, ["key", "component2"])
+                 .where(_alike("n1", "n2", percent) & enough("n1", "n2", "left1", "left2"))
+                 .select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct())

@@ -86,7 +86,7 @@ class PieceCache:
     """Token ids of text segments, kept in flat arrays so that a whole slice of
     documents is gathered at once. ``encode`` turns new segments into id lists."""
 
-    def __init__(self, encode: Callable[[list], list], kept: int = 300_000):
+    def __init__(self, encode: Callable[[list], list], kept: int = 500_000):
         self.encode, self.kept = encode, kept
         self.clear()
 

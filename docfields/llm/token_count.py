@@ -31,7 +31,7 @@ from docfields.llm.common import arrow_map, prepare, renamed, slices
 #: Characters per chunk of the splitter.
 CHUNK = 512
 #: Words and merger states kept per worker before the tables start anew.
-KEPT_WORDS, KEPT_STATES = 400_000, 40_000
+KEPT_WORDS, KEPT_STATES = 800_000, 40_000
 #: Rank beyond all merges.
 FAR = 1 << 60
 

@@ -18,7 +18,7 @@ block unpacks with b vector operations.
 from __future__ import annotations
 
 import json
-import re
+import os
 import struct
 import uuid
 import zlib
@@ -151,13 +151,14 @@ class Encoder:
     """Ids of whole texts by the tokenizers library, each segment encoded once.
 
     Where white space always parts tokens, a text's ids are those of its
-    segments in turn; else the text is one segment. Where the vocabulary folds
-    case, ASCII segments are folded first and skip the library's normaliser,
-    which does no more to them; segments that hold special strings, matched as
-    they stand, stay as they are.
+    segments in turn. Where the vocabulary folds case, ASCII segments are folded
+    first and skip the library's normaliser, which does no more to them. Other
+    texts, and those that may hold special strings, are encoded whole.
     """
 
     def __init__(self, path: str):
+        # tasks run side by side already; threads of the library's own only spin
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -169,32 +170,36 @@ class Encoder:
         self.parted = one("a b\nc") == one("a") + one("b") + one("c")
         self.folds = self.parted and one("ABCXYZ") == one("abcxyz")
         self.bare = Tokenizer.from_str(json.dumps({**spec, "normalizer": None})) if self.folds else self.full
-        marks = [t["content"] for t in spec.get("added_tokens", [])]
-        self.marks = re.compile("|".join(map(re.escape, marks)).encode(), re.IGNORECASE) if marks else None
-        self.cache = PieceCache(self._encode)
+        self.marks = [t["content"].lower().encode() for t in spec.get("added_tokens", [])]
+        self.cache = PieceCache(self._encode, 600_000)
 
     def _encode(self, segments: list[bytes]) -> list[list[int]]:
         out: list = [None] * len(segments)
-        plain = [s.isascii() and not (self.marks and self.marks.search(s)) for s in segments]
+        plain = [s.isascii() for s in segments]
         for tokenizer, kind in ((self.bare, True), (self.full, False)):
             at = [i for i, p in enumerate(plain) if p is kind]
-            parts = [segments[i].lower() if kind and self.folds else segments[i] for i in at]
-            found = tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)
+            found = tokenizer.encode_batch_fast([segments[i].decode() for i in at], add_special_tokens=False)
             for i, e in zip(at, found, strict=True):
                 out[i] = e.ids
         return out
 
-    def segments(self, text: bytes) -> list[bytes]:
-        if not self.parted:
-            return [text] if text else []
-        if self.folds and not (self.marks and self.marks.search(text)):
-            return text.lower().split()
-        return text.split()
-
     def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, and how many each has."""
-        parts = [self.segments((t or "").encode()) for t in texts]
-        return self.cache.ids([s for p in parts for s in p], np.fromiter(map(len, parts), np.int64, len(parts)))
+        parts, whole = [], {}
+        for i, t in enumerate(texts):
+            data = (t or "").encode()
+            folded = data.lower()
+            if not self.parted or any(m in folded for m in self.marks):
+                whole[i] = self.full.encode(t or "", add_special_tokens=False).ids
+                parts.append([])
+            else:
+                parts.append((folded if self.folds else data).split())
+        ids, sizes = self.cache.ids([s for p in parts for s in p], np.fromiter(map(len, parts), np.int64, len(parts)))
+        if whole:
+            bounds = np.concatenate([[0], np.cumsum(sizes)])
+            each = [np.array(whole[i], np.int32) if i in whole else ids[bounds[i]:bounds[i + 1]] for i in range(len(parts))]
+            ids, sizes = np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
+        return ids, sizes
 
 
 @lru_cache(2)

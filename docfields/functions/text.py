@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,9 +102,9 @@ def format_fixed(c, decimals: int = 2) -> Column:
     with its exact rounding error (Dekker's error-free product: only double
     arithmetic, which Catalyst does not reassociate), which decides exact
     ties. Sign kept for negatives that round to zero and for -0.0; ``nan``,
-    ``inf``, ``-inf`` as Python writes them; null stays null. Values of
-    magnitude 9.2e18 (about 2**63) and above fall back to Java's formatting,
-    whose digits past the 17th significant one are zeros.
+    ``inf``, ``-inf`` as Python writes them; null stays null. Whole numbers
+    beyond a bigint are put together from three exact parts; from 1e38 on, which
+    no native decimal holds, Java's formatting gives zeros past the 17th digit.
     """
     if not 0 <= decimals <= 7:
         raise ValueError("decimals must be in 0..7")
@@ -134,11 +136,24 @@ def format_fixed(c, decimals: int = 2) -> Column:
              .when(F.isnan(x), F.lit("nan"))
              .when(x == float("inf"), F.lit("inf"))
              .when(x == float("-inf"), F.lit("-inf"))
-             # beyond 2**63 the integer part is printed from the shortest decimal form
-             .when(a >= F.lit(9.2e18), F.format_string(f"%.{decimals}f", x))
+             .when(a >= F.lit(1e38), F.format_string(f"%.{decimals}f", x))
+             .when(a >= F.lit(9.2e18), F.concat(sign, _whole_digits(a), F.lit("." + "0" * decimals if decimals else "")))
              .otherwise(F.concat(sign, body)))
 
 
+def _whole_digits(a: Column) -> Column:
+    """Exact digits of a whole double below 1e38: its parts of 40 bits are exact
+    doubles, their weights exact decimals."""
+    a = F.when(a < F.lit(1e38), a).otherwise(F.lit(0.0))
+    high = F.floor(a / F.lit(2.0 ** 80)).cast("double")
+    rest = a - high * F.lit(2.0 ** 80)
+    middle = F.floor(rest / F.lit(2.0 ** 40)).cast("double")
+    low = rest - middle * F.lit(2.0 ** 40)
+    parts = [p.cast("bigint").cast("decimal(19,0)") for p in (high, middle, low)]
+    weights = [F.lit(Decimal(2) ** n) for n in (80, 40, 0)]
+    return sum((p * w for p, w in zip(parts[1:], weights[1:], strict=True)), parts[0] * weights[0]).cast("decimal(38,0)").cast("string")
+
+
 def format_currency(c) -> Column:
     """``$`` + two decimals, no thousands separator; negatives as ``$-x``."""
     return F.concat(F.lit("$"), format_fixed(c, 2))

@@ -96,3 +96,11 @@ def test_format_fixed_matches_python_rounding(spark):
     row = df.limit(1).select(tx.format_currency(F.lit(-1.5)).alias("a"),
                              tx.format_currency(F.lit(None).cast("double")).alias("b")).first()
     assert row.a == "$-1.50" and row.b is None
+
+
+def test_large_values_keep_their_digits(spark):
+    from docfields.functions.text import format_fixed
+    values = [2.0 ** 63, -2.0 ** 100, 9.2e18, 9.999999e37, 1e22, 1e23, 123456789.125]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [(r.t, r.u) for r in df.select(format_fixed("x", 2).alias("t"), format_fixed("x", 0).alias("u")).collect()] == \
+        [(f"{v:.2f}", f"{v:.0f}") for v in values]

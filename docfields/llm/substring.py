@@ -6,11 +6,13 @@ without spaces) a chunk ends. The hash sees the last 16 bytes only, so after an
 insertion the cuts fall where they fell before. Equal digests are equal chunks;
 a chunk belongs to the document with the smallest id that holds it, there to
 its first place. Runs of other chunks with together ``min_words`` words or more
-are taken out: passages repeat, single common phrases do not count.
+are taken out: passages repeat, single common phrases do not count. In scripts
+without spaces a fixed number of characters counts as a word.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -28,6 +30,12 @@ WORD_RATE, WIDE_RATE = 6, 16
 #: Words that a run of repeated chunks must have to go: what is left of a
 #: passage of 50 words when the chunks at both its edges differ.
 MIN_WORDS = 15
+#: Scripts without spaces, and how many of their characters count as a word:
+#: Han and kana; Thai, Lao, Tibetan, Burmese, Khmer and their neighbours.
+UNSPACED = [(re.compile("[\u3040-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\U00020000-\U0003FFFF]"), 2),
+            (re.compile("[\u0E00-\u0FFF\u1000-\u109F\u1780-\u17FF\u1950-\u19DF\u1A00-\u1AAF\uA980-\uA9DF\uAA60-\uAA7F]"), 5)]
+#: Punctuation of these scripts, no word by itself.
+WIDE_MARKS = re.compile("[\u3000-\u303F\uFF00-\uFF0F\uFF1A-\uFF20\uFF3B-\uFF40\uFF5B-\uFF65]")
 SEED = 11
 
 
@@ -92,6 +100,17 @@ def digest(chunk: bytes) -> bytes:
     return xxhash.xxh3_128_digest(chunk.strip())
 
 
+def words_in(part: bytes) -> int:
+    """Words between ASCII white space; scripts without spaces by characters."""
+    if part.isascii():
+        return len(part.split())
+    text, n = part.decode(), 0
+    for letters, per_word in UNSPACED:
+        text, found = letters.subn(" ", text)
+        n += found // per_word
+    return n + len((WIDE_MARKS.sub(" ", text) if n else text).encode().split())
+
+
 def chunk_rows(docs: DataFrame) -> DataFrame:
     """``doc_id, place, high, low``: each chunk's number and its digest in two halves."""
     def run(batch: pa.RecordBatch):
@@ -130,7 +149,7 @@ def cut(text: str, repeated: dict[int, int], doc_id: int, min_words: int) -> tup
         while j < len(ends) and (foreign[j] is None) == (foreign[i] is None):
             j += 1
         part = data[ends[i - 1] if i else 0:ends[j - 1]]
-        if foreign[i] is not None and len(part.split()) >= min_words:
+        if foreign[i] is not None and words_in(part) >= min_words:
             firsts += foreign[i:j]
             gone += 1
         else:

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfields.llm.common import saved
+from docfields.llm.common import running_sum, saved
 from docfields.llm.minhash import near_duplicates
 from docfields.llm.mixing import mix
 from docfields.llm.quality import keep_good
@@ -27,10 +27,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, 0.8)."""
-    kept = near_duplicates(docs, k=5, percent=80).where("kept").select("doc_id")
-    known = docs.join(kept.where("doc_id is not null").distinct(), "doc_id", "left_semi")
-    return known.unionByName(docs.where("doc_id is null"))
+    """One document of each group of near copies (five-word shingles, 0.8).
+
+    Rows that repeat an id and its text are one document, of which one row
+    stays. Different texts of an id are documents of their own: where there are
+    such, documents are compared under their number in the order of id and key.
+    """
+    known = docs.where("doc_id is not null").withColumn("_key", F.xxhash64("text"))
+    again = saved(known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "near-again")
+    if again.head(1):
+        row = F.min(F.struct(*docs.columns)).alias("row")
+        firsts = known.join(again, "doc_id", "left_semi").groupBy("doc_id", "_key").agg(row).select("row.*", "_key")
+        known = known.join(again, "doc_id", "left_anti").unionByName(firsts)
+        texts = known.select("doc_id", "_key").withColumn("_one", F.lit(1))
+        numbers = running_sum(texts, [F.col("doc_id"), F.col("_key")], "_one", "_number", "near-numbers").drop("_one")
+        known = known.join(numbers, ["doc_id", "_key"])
+    else:
+        known = known.withColumn("_number", F.col("doc_id"))
+    kept = near_duplicates(known.select(F.col("_number").alias("doc_id"), "text"), k=5, percent=80).where("kept")
+    known = known.join(kept.select(F.col("doc_id").alias("_number")).distinct(), "_number", "left_semi")
+    return known.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

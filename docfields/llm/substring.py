@@ -4,8 +4,8 @@ A gear hash rolls over the bytes of a text; where it falls below a bound at
 the end of a word (or of a character of three bytes and more, for scripts
 without spaces) a chunk ends. The hash sees the last 16 bytes only, so after an
 insertion the cuts fall where they fell before. Equal digests are equal chunks;
-a chunk belongs to the document with the smallest id that holds it, there to
-its first place. Runs of other chunks with together ``min_words`` words or more
+a chunk belongs to the document with the smallest id that holds it (of several
+texts with one id, to that of the smallest key), there to its first place. Runs of other chunks with together ``min_words`` words or more
 are taken out: passages repeat, single common phrases do not count. In scripts
 without spaces a fixed number of characters counts as a word.
 """
@@ -112,9 +112,9 @@ def words_in(part: bytes) -> int:
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """``doc_id, place, high, low``: each chunk's number and its digest in two halves."""
+    """``doc_id, text_key, place, high, low``: each chunk's number and its digest in two halves."""
     def run(batch: pa.RecordBatch):
-        keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        ids, texts, keys = (batch.column(i).to_pylist() for i in range(3))
         for a, b in slices(texts):
             data = [(t or "").encode() for t in texts[a:b]]
             sizes, digests = [], []
@@ -124,25 +124,20 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
             if digests:
                 halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(keys[a:b], sizes).astype(np.int64)),
+                    [pa.array(np.repeat(np.array(ids[a:b], np.int64), sizes)),
+                     pa.array(np.repeat(np.array(keys[a:b], np.int64), sizes)),
                      pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])),
-                     pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["doc_id", "place", "high", "low"])
+                     pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["doc_id", "text_key", "place", "high", "low"])
 
-    return arrow_map(docs, run, "doc_id long, place int, high long, low long")
+    return arrow_map(docs, run, "doc_id long, text_key long, place int, high long, low long")
 
 
-def cut(text: str, repeated: dict[int, int], doc_id: int, min_words: int) -> tuple[str, int, int, int, list[int]]:
-    """A text without its repeated passages; ``repeated``: owner by chunk number."""
+def cut(text: str, repeated: dict[int, int], min_words: int) -> tuple[str, int, int, int, list[int]]:
+    """A text without its repeated passages; ``repeated``: by chunk number, the
+    document that holds the chunk first."""
     data = text.encode()
     ends = chunk_ends([data])[0]
-    seen, foreign = set(), []
-    for i, (x, y) in enumerate(zip([0, *ends], ends)):
-        owner = repeated.get(i)
-        if owner == doc_id:
-            d = digest(data[x:y])
-            owner = doc_id if d in seen else None
-            seen.add(d)
-        foreign.append(owner)
+    foreign = [repeated.get(i) for i in range(len(ends))]
     kept, firsts, i, gone = [], [], 0, 0
     while i < len(ends):
         j = i
@@ -160,17 +155,21 @@ def cut(text: str, repeated: dict[int, int], doc_id: int, min_words: int) -> tup
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """``doc_id, marks``: per document its chunks that occur elsewhere or
-    again, as (place, smallest doc_id that holds the chunk).
-
-    Two passes over the chunks: a count per digest (combined before the
-    shuffle), written as a table, and a join with the digests that repeat,
-    whose large keys Spark splits. A document's marks are no more than its chunks.
+    """``doc_id, text_key, marks``: per document its chunks that an earlier
+    place holds, as (place, the first place's doc_id).
+
+    Places are ordered by ``doc_id``, then by the text's key where several texts
+    share an id, then by number. Two passes over the chunks: the first place and
+    a count per digest (combined before the shuffle), written as a table, and a
+    join with the digests that repeat, whose large keys Spark splits. A
+    document's marks are no more than its chunks.
     """
-    found = chunk_rows(docs).groupBy("high", "low").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"))
-    twice = saved(found.where("n > 1").select("high", "low", "owner"), "substring-repeats")
-    marks = chunk_rows(docs).join(twice, ["high", "low"])
-    return marks.groupBy("doc_id").agg(F.collect_list(F.struct("place", "owner")).alias("marks"))
+    at = F.struct("doc_id", "text_key", "place")
+    found = chunk_rows(docs).groupBy("high", "low").agg(F.min(at).alias("first"), F.count("*").alias("n"))
+    twice = saved(found.where("n > 1").select("high", "low", "first"), "substring-repeats")
+    marks = chunk_rows(docs).join(twice, ["high", "low"]).where(at != F.col("first"))
+    return marks.groupBy("doc_id", "text_key").agg(
+        F.collect_set(F.struct("place", F.col("first.doc_id").alias("owner"))).alias("marks"))
 
 
 def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text",
@@ -180,36 +179,37 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     All columns stay; ``details`` adds ``n_chunks``, ``n_repeated`` (chunks that
     an earlier place holds), ``n_cut`` (passages taken out), ``first_docs`` (the
     documents that keep them). The first place of every passage stays, so
-    nothing is lost from the corpus. Rows that repeat an id count as one
-    document; null texts stay null; rows without an id pass unchanged; an empty
+    nothing is lost from the corpus. Rows that repeat an id and its text count as
+    one document, other texts of an id are documents of their own; null texts stay null; rows without an id pass unchanged; an empty
     table gives no rows; other columns pass, also where they bear the names
     used here (``details`` then replaces those). Ids are whole numbers.
     """
     prepare(docs.sparkSession)
-    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"),
+                         F.xxhash64(F.col(f"`{text_col}`")).alias("text_key"))
     marks = repeated_chunks(source.where("doc_id is not null and text is not null"))
-    marks = marks.select(F.col("doc_id").alias("_cut_id"), F.col("marks").alias("_cut_marks"))
-    joined = docs.join(marks, F.col(f"`{id_col}`").cast("long") == F.col("_cut_id"), "left")
+    marks = marks.select(F.col("doc_id").alias("_cut_id"), F.col("text_key").alias("_cut_key"), F.col("marks").alias("_cut_marks"))
+    joined = docs.join(marks, (F.col(f"`{id_col}`").cast("long") == F.col("_cut_id"))
+                       & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_cut_key")), "left")
     extra = ["n_chunks", "n_repeated", "n_cut", "first_docs"]
     kinds = [T.LongType(), T.LongType(), T.LongType(), T.ArrayType(T.LongType())]
     plain = [f for f in docs.schema if not (details and f.name in extra)]
     schema = T.StructType([*plain, *(T.StructField(n, k) for n, k in zip(extra, kinds, strict=True) if details)])
-    at_id, at_source, at_text = (docs.columns.index(id_col), docs.columns.index(text_col),
-                                 [f.name for f in plain].index(text_col))
+    at_source, at_text = docs.columns.index(text_col), [f.name for f in plain].index(text_col)
     keep = [docs.columns.index(f.name) for f in plain]
 
     def run(batch: pa.RecordBatch):
         texts = batch.column(at_source).to_pylist()
         for a, b in slices(texts):
             part = batch.slice(a, b - a)
-            ids, marked = part.column(at_id).to_pylist(), part.column(part.num_columns - 1).to_pylist()
+            marked = part.column(part.num_columns - 1).to_pylist()
             rows = []
-            for key, text, m in zip(ids, texts[a:b], marked, strict=True):
+            for text, m in zip(texts[a:b], marked, strict=True):
                 if text is None or m is None:
                     n = len(chunk_ends([text.encode()])[0]) if text and details else 0
                     rows.append((text, n, 0, 0, []))
                 else:
-                    rows.append(cut(text, {x["place"]: x["owner"] for x in m}, int(key), min_words))
+                    rows.append(cut(text, {x["place"]: x["owner"] for x in m}, min_words))
             columns = [part.column(i) for i in keep]
             done = list(zip(*rows, strict=True))
             columns[at_text] = pa.array(done[0], pa.string())

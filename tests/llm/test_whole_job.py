@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from docfields.llm import substring
 
 
@@ -22,3 +23,31 @@ def test_repeats_in_scripts_without_spaces_go(spark, first, last):
 def test_words_of_spaced_scripts_stay_words():
     assert substring.words_in("यह एक लंबा वाक्य है — “हाँ”".encode()) == 7
     assert substring.words_in("漢字かな。 and two".encode()) == 4
+
+
+def random_words(rng, n):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n))
+
+
+def test_texts_that_share_an_id_are_cut_each_for_itself(spark):
+    rng = random.Random(21)
+    copied, unique = random_words(rng, 200), random_words(rng, 200)
+    for alone, other in ((unique, copied), (unique + " a", copied), (unique + " b", copied)):
+        docs = spark.createDataFrame([(1, copied), (7, alone), (7, other), (7, other)], "doc_id long, text string")
+        got = sorted((r.doc_id, r.text) for r in substring.dedup_substrings(docs).collect())
+        assert got == sorted([(1, copied), (7, alone), (7, ""), (7, "")])
+    # a passage of two texts of one id stays once
+    docs = spark.createDataFrame([(7, copied), (7, copied + " " + unique)], "doc_id long, text string")
+    texts = [r.text for r in substring.dedup_substrings(docs).collect()]
+    assert sum(map(len, texts)) <= len(copied) + len(unique) + 100 and " ".join(texts).count(copied[600:800]) == 1
+
+
+def test_near_dedup_goes_by_row(spark):
+    rng = random.Random(22)
+    copied, unique, third = (random_words(rng, 80) for _ in range(3))
+    rows = [(1, copied, "a"), (7, unique, "a"), (7, copied, "a"), (7, copied, "b"), (9, third, "b"), (9, third, "a"), (None, third, "c"),
+            (12, unique + " end", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted(map(str, got)) == sorted(map(str, spark.createDataFrame(
+        [rows[0], rows[1], (9, third, "a"), rows[6]], docs.schema).collect()))

@@ -27,12 +27,16 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 SKIPPED = set("script style noscript template iframe svg math head title textarea select button object canvas audio "
               "video map datalist".split())
 RAW = {"script", "style", "textarea", "title", "iframe", "noscript"}
+#: What can stand in a head; other elements end it.
+IN_HEAD = set("head base basefont bgsound link meta title style script noscript noframes template".split())
 #: Boilerplate by meaning.
 CHROME = set("nav footer aside form dialog menu".split())
 CLOSES_P = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p "
                "pre section table ul figure".split())
 CLOSES_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
                "th": {"td", "th"}, "option": {"option"}}
+#: Elements that end a skipped one without an end tag of its own.
+ENDS_SKIPPED = (CLOSES_P | set(CLOSES_SAME) | {"body", "head"}) - {"option"}
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form "
             "status tablist".split())
 #: Parts of class and id names that mark boilerplate, and that mark content.
@@ -90,13 +94,60 @@ class Block:
         self.text, self.element, self.linked = text, element, linked
 
 
+def tags_of(page: str) -> list[tuple[int, int, str, bool, str]]:
+    """Start, end, name (none for comments), whether it closes, and attributes
+    of each tag; a raw element is one tag up to its own end."""
+    out, at, n, foreign = [], 0, len(page), 0
+    while at < n and (m := TAG.search(page, at)):
+        at = m.end()
+        tag, closing, attributes = (m[2] or "").lower(), bool(m[1]), m[3] or ""
+        single = attributes.rstrip().endswith("/")
+        if tag in ("svg", "math") and not single:
+            foreign = max(0, foreign + (-1 if closing else 1))
+        if tag in RAW and not closing and not (foreign and single):
+            end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
+            at = end.end() if end else n
+        out.append((m.start(), at, tag, closing, attributes))
+    return out
+
+
+def skipped_ends(tags: list[tuple[int, int, str, bool, str]]) -> dict[int, int]:
+    """Number of the end tag of each skipped element that has one."""
+    out: dict[int, int] = {}
+    unclosed: dict[str, list[int]] = {}
+    for i, (_, _, tag, closing, attributes) in enumerate(tags):
+        if tag in SKIPPED and tag not in RAW:
+            if not closing:
+                if not attributes.rstrip().endswith("/"):
+                    unclosed.setdefault(tag, []).append(i)
+            elif unclosed.get(tag):
+                out[unclosed[tag].pop()] = i
+    return out
+
+
+def end_of_head(tags: list[tuple[int, int, str, bool, str]], i: int, ends: dict[int, int], size: int) -> tuple[int, int]:
+    """The first tag after a head whose content begins with tag ``i``, and the
+    place where the page goes on. Its end tag is optional, so elements that
+    cannot stand in a head end it too."""
+    while i < len(tags):
+        start, end, tag, closing, _ = tags[i]
+        if closing and tag == "head":
+            return i + 1, end
+        if tag and (tag in ("body", "html") if closing else tag not in IN_HEAD):
+            return i, start
+        i = ends.get(i, i) + 1 if tag == "template" and not closing else i + 1
+    return i, size
+
+
 def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
     """Text blocks in page order, and the elements. Unclosed and stray tags
     are taken as browsers take them; a cut-off tag at the end is no text."""
     root = Element("", None, "")
     elements, blocks, stack = [root], [], [root]
     parts: list[tuple[str, bool]] = []
-    links, at, skip, n = 0, 0, None, len(page)
+    links, at, i = 0, 0, 0
+    tags = tags_of(page)
+    ends = skipped_ends(tags)
 
     def flush() -> None:
         nonlocal parts
@@ -107,31 +158,32 @@ def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
                 blocks.append(Block(text, stack[-1], linked / max(1, sum(len(p) for p, _ in parts))))
             parts = []
 
-    while at < n:
-        m = TAG.search(page, at)
-        text = page[at:m.start() if m else n]
-        if not m and (cut := re.search(r"<[a-zA-Z/!][^<]*\Z", text)):
+    while True:
+        start, end, tag, closing, attributes = tags[i] if i < len(tags) else (len(page), len(page), "", False, "")
+        text = page[at:start]
+        if i >= len(tags) and (cut := re.search(r"<[a-zA-Z/!][^<]*\Z", text)):
             text = text[:cut.start()]
-        if text and skip is None:
+        if text:
             parts.append((text, links > 0))
-        if not m:
+        if i >= len(tags):
             break
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag, closing = m[2].lower(), bool(m[1])
-        if skip is not None:
-            if tag == skip[0]:
-                skip = (skip[0], skip[1] + (-1 if closing else 1))
-                skip = skip if skip[1] else None
-            continue
-        if not closing and tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else n
+        at, i = end, i + 1
+        if not tag or not closing and tag in RAW:
             continue
         if not closing and tag in SKIPPED:
-            if not m[3].rstrip().endswith("/"):
-                skip = (tag, 1)
+            if attributes.rstrip().endswith("/"):
+                continue
+            if tag == "head":
+                i, at = end_of_head(tags, i, ends, len(page))
+            elif i - 1 in ends:
+                i = ends[i - 1] + 1
+                at = tags[i - 1][1]
+            else:
+                # without an end tag: up to a block, or the end of an element around it
+                around = {e.tag for e in stack} - {""}
+                while i < len(tags) and tags[i][2] not in (around if tags[i][3] else ENDS_SKIPPED):
+                    i += 1
+                at = tags[i][0] if i < len(tags) else len(page)
             continue
         if tag in INLINE:
             if tag == "br":
@@ -153,7 +205,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
             if stack[-1].tag in ends:
                 stack.pop()
         if tag not in VOID:
-            element = Element(tag, stack[-1], m[3])
+            element = Element(tag, stack[-1], attributes)
             elements.append(element)
             stack.append(element)
     flush()

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from docfields.llm import substring
+from docfields.llm import html_cut, substring
 
 
 @pytest.mark.parametrize("first, last", [(0x4E00, 0x9000), (0x3041, 0x3090), (0x0E01, 0x0E2E)])
@@ -51,3 +51,24 @@ def test_near_dedup_goes_by_row(spark):
     got = corpus_pipeline.near_dedup(spark, docs, "").collect()
     assert sorted(map(str, got)) == sorted(map(str, spark.createDataFrame(
         [rows[0], rows[1], (9, third, "a"), rows[6]], docs.schema).collect()))
+
+
+STORY = "<article><h1>News</h1><p>A long sentence of the story.</p></article>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<html><head><title>T</title><meta charset=x><link rel=y><body>{STORY}",
+    f"<head><title>T</title>{STORY}",
+    f"<html><head><template><div>x</div></template><script>a('<head>')</script></head><body>{STORY}</body>",
+    f"<html><head><script>if (i<n) x(); // it's\n</script></head><body>{STORY}",
+    f"<body><div><button>Go</div>{STORY}<button>x</button>",
+    f"<body><select><option>A<option>B{STORY}",
+    f"<body><svg><title/><path d='x'>{STORY}",
+    f"<body><p><video src=x></p>{STORY}<object><script>'</object>'</script><p>none</p></object>",
+])
+def test_skipped_elements_without_an_end_tag(page):
+    assert html_cut.main_text(page) == "News\nA long sentence of the story."
+
+
+def test_many_unclosed_elements_take_linear_time():
+    assert html_cut.main_text("<article>" + "<object><p>w w. " * 5000 + "</object>").count("w w.") >= 4999

@@ -7,7 +7,9 @@ batches; the shards' answers are scored again on the original vectors in double
 precision and merged.
 
 Inner products become distances by one more coordinate that brings all vectors
-of a shard to the same norm: then the nearest is the one of largest product.
+of a graph to the same norm: then the nearest is the one of largest product. A
+shard has a graph for each class of norms, so that this norm stays near the
+vectors' own and single precision tells neighbours apart.
 """
 
 from __future__ import annotations
@@ -31,14 +33,32 @@ from docfields.session import scratch_path
 LINKS, BUILD_BEAM, SEARCH_BEAM = 16, 64, 112
 #: Nodes of a shard; with fewer in all, shards are made for the cluster's slots.
 SHARD_NODES = 1 << 17
+#: Bits of norm that a graph spans: its longest vector is up to 16 times its shortest.
+NORM_BITS = 4
 SEED = 3
 
 
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of norm 1 of the same directions; the largest component goes
+    first, so that no square is too large or too small for a double."""
+    x = vectors / np.maximum(np.abs(vectors).max(axis=1, initial=0.0), np.finfo(np.float64).tiny)[:, None]
+    return x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), np.finfo(np.float64).tiny)[:, None]
+
+
 def lifted(vectors: np.ndarray) -> np.ndarray:
-    """Vectors with the coordinate that makes all norms equal."""
-    norms = np.einsum("ij,ij->i", vectors, vectors)
-    more = np.sqrt(np.maximum(norms.max(initial=0.0) - norms, 0.0))
-    return np.concatenate([vectors, more[:, None]], axis=1).astype(np.float32)
+    """Vectors, as parts of the longest, with the coordinate that makes all norms 1."""
+    x = vectors / np.maximum(np.abs(vectors).max(initial=0.0), np.finfo(np.float64).tiny)
+    norms = np.einsum("ij,ij->i", x, x)
+    most = max(norms.max(initial=0.0), np.finfo(np.float64).tiny)
+    more = np.sqrt(np.maximum(most - norms, 0.0))
+    return (np.concatenate([x, more[:, None]], axis=1) / np.sqrt(most)).astype(np.float32)
+
+
+def norm_class(x: np.ndarray) -> int:
+    """Class of a vector's norm; norms near 1 are in the middle of theirs."""
+    most = np.abs(x).max()
+    part = x / most
+    return int(np.round((np.log2(most) + np.log2(part @ part) / 2) / NORM_BITS))
 
 
 def levels_of(n: int) -> np.ndarray:
@@ -169,7 +189,7 @@ class Graph:
                 table[other, :len(both)] = both
 
     def search(self, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        q = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1).astype(np.float32)
+        q = np.concatenate([unit(queries), np.zeros((len(queries), 1))], axis=1).astype(np.float32)
         entry = np.zeros(len(q), np.int64)
         for table in self.tables[:0:-1]:
             ids, near = beam_search(self.x, table, q, entry, 4)
@@ -178,9 +198,10 @@ class Graph:
 
 
 def valid_rows(vectors: DataFrame) -> DataFrame:
-    """``id, key, dim`` of the vectors that take part; ``key``: their bytes as doubles."""
+    """``id, key, dim, norm`` of the vectors that take part; ``key``: their bytes
+    as doubles, ``norm``: the class of their norm."""
     def run(batch: pa.RecordBatch):
-        ids, keys, dims = [], [], []
+        ids, keys, dims, norms = [], [], [], []
         for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if i is None or not v or any(x is None for x in v):
                 continue
@@ -189,26 +210,27 @@ def valid_rows(vectors: DataFrame) -> DataFrame:
                 ids.append(i)
                 keys.append(x.astype("<f8").tobytes())
                 dims.append(len(x))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(dims, pa.int32())],
-                                         names=["id", "key", "dim"])
+                norms.append(norm_class(x))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(dims, pa.int32()),
+                                          pa.array(norms, pa.int32())], names=["id", "key", "dim", "norm"])
 
-    return arrow_map(vectors, run, "id long, key binary, dim int")
+    return arrow_map(vectors, run, "id long, key binary, dim int, norm int")
 
 
 def node_rows(rows: DataFrame, k: int) -> DataFrame:
-    """Distinct vectors ``key, dim`` with ``members``, their ``k`` + 1 smallest
+    """Distinct vectors ``key, dim, norm`` with ``members``, their ``k`` + 1 smallest
     ids: more are never asked for. Equal vectors are ranked in 64 salted parts
     first, so one that holds a third of all rows is dealt out too."""
     first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("id"))
     salted = rows.distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
     part = salted.withColumn("r", first("key", "salt")).where(F.col("r") <= k + 1)
     return (part.withColumn("r", first("key")).where(F.col("r") <= k + 1)
-                .groupBy("key", "dim").agg(F.sort_array(F.collect_list("id")).alias("members")))
+                .groupBy("key", "dim", "norm").agg(F.sort_array(F.collect_list("id")).alias("members")))
 
 
 def write_graphs(nodes: DataFrame, folder: str, shards: int) -> DataFrame:
-    """Build each shard's graph in one task and write it to a file: ``dim,
-    shard, file``. Files are named by their content and moved into place when
+    """Build each graph of a shard (one for a class of norms) in one task and
+    write it to a file: ``dim, shard, norm, file``. Files are named by their content and moved into place when
     whole, so a lost or repeated task does no harm."""
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         store, root = filesystem(folder)
@@ -221,16 +243,16 @@ def write_graphs(nodes: DataFrame, folder: str, shards: int) -> DataFrame:
                  members=np.concatenate(list(rows["members"])), level=graph.level,
                  **{f"table{i}": t for i, t in enumerate(graph.tables)})
         data = buffer.getvalue()
-        dim, shard = int(rows["dim"].iloc[0]), int(rows["shard"].iloc[0])
-        name = f"graph-{dim}-{shard}-{xxhash.xxh3_64_hexdigest(data)}.npz"
+        dim, shard, norm = (int(rows[c].iloc[0]) for c in ("dim", "shard", "norm"))
+        name = f"graph-{dim}-{shard}-{norm}-{xxhash.xxh3_64_hexdigest(data)}.npz"
         draft = f"{root}/.{name}-{uuid.uuid4().hex}"
         with store.open_output_stream(draft) as f:
             f.write(data)
         store.move(draft, f"{root}/{name}")
-        return pd.DataFrame({"dim": [dim], "shard": [shard], "file": [name]})
+        return pd.DataFrame({"dim": [dim], "shard": [shard], "norm": [norm], "file": [name]})
 
     sharded = nodes.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
-    return sharded.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, file string")
+    return sharded.groupBy("dim", "shard", "norm").applyInPandas(build, "dim int, shard int, norm int, file string")
 
 
 @lru_cache(1)
@@ -287,7 +309,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     no part, nor do rows without an id; vectors of other lengths are other
     spaces. Rows that repeat an id and its vector count once; an id with
     several vectors is searched for with each. Empty tables give no rows; other
-    columns are not looked at. The driver sees one row per shard.
+    columns are not looked at. The driver sees one row per graph: shards times
+    classes of norms, of which doubles have 540 at most and real tables a few.
     """
     spark = prepare(vectors.sparkSession)
     rows = saved(valid_rows(renamed(vectors, id=id_col, v=vector_col)), "hnsw-rows")
@@ -297,7 +320,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     files = write_graphs(nodes, folder, shards).collect()
     if not files:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    graphs = F.broadcast(spark.createDataFrame(files, "dim int, shard int, file string").drop("shard"))
+    graphs = F.broadcast(spark.createDataFrame(files, "dim int, shard int, norm int, file string").select("dim", "file"))
     asked = valid_rows(renamed(queries, id=id_col, v=vector_col)).distinct()
     found = search_graphs(asked, graphs, folder, k, beam)
     order = Window.partitionBy("query_id", "query").orderBy(F.col("score").desc(), "vec_id")

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from docfields.llm import html_cut, substring
+from docfields.llm import hnsw, html_cut, substring
 
 
 @pytest.mark.parametrize("first, last", [(0x4E00, 0x9000), (0x3041, 0x3090), (0x0E01, 0x0E2E)])
@@ -72,3 +73,23 @@ def test_skipped_elements_without_an_end_tag(page):
 
 def test_many_unclosed_elements_take_linear_time():
     assert html_cut.main_text("<article>" + "<object><p>w w. " * 5000 + "</object>").count("w w.") >= 4999
+
+
+@pytest.mark.parametrize("long", [1e4, 3e38])
+def test_long_vectors_leave_the_others_their_neighbours(spark, long):
+    rng = np.random.default_rng(24)
+    centres = rng.normal(size=(40, 16))
+    x = centres[rng.integers(0, 40, 3000)] + 0.3 * rng.normal(size=(3000, 16))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    x[:3] = 0
+    x[[0, 1, 2], [0, 1, 2]] = np.float32(long)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    asked = list(range(2, 3000, 30))
+    found = hnsw.nearest(vectors, vectors.where("(vec_id - 2) % 30 = 0"), k=16, shard_nodes=1 << 17).collect()
+    got = {i: {r.vec_id for r in found if r.query_id == i} for i in asked}
+    y, hits = x.astype(np.float64), 0
+    for i in asked:
+        score = y @ y[i]
+        score[i] = -np.inf
+        hits += len(got[i] & set(np.lexsort((np.arange(3000), -score))[:16].tolist()))
+    assert hits >= 0.95 * 16 * len(asked)

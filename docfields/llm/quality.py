@@ -8,10 +8,15 @@ none is given, script; and length class), in units of the group's upper
 spread, taken from all documents that pass the base rules. Outside a band the
 document is rejected.
 
-Copies count once in the groups. In a group of fewer than ``MIN_GROUP``
-distinct documents the entropy is held against the length class over all
-languages, and characters per token against the language over all lengths,
-both with a larger least spread; where these are small too, no band applies.
+Copies count once in the groups. A group of fewer than ``MIN_GROUP`` distinct
+documents borrows from pooled ones, with larger least spreads. Entropy is held
+against the length class over all languages or, where that is small too, against
+as many neighbouring classes on both sides as make ``MIN_GROUP`` (all, if there
+are no more). As it grows with length, the milder of two verdicts counts among
+neighbours: of the entropy and of what it lacks to the most that so many tokens
+can have. Characters per token
+and byte share are held against the language over all lengths, then the script,
+then all documents. So every document is held against a band of each measure.
 """
 
 from __future__ import annotations
@@ -36,8 +41,10 @@ ENTROPY_BAND, JOINT_BAND = -3.3, -6.5
 BYTE_BAND = 0.25
 #: Least spread: bits of entropy, and characters per token as a share of the middle; in a wider group more.
 MIN_BITS, MIN_CHARS, WIDE_BITS, WIDE_CHARS = 0.08, 0.008, 0.2, 0.03
+#: The same share where languages are pooled: they differ more than documents do.
+POOLED_CHARS = 0.15
 MIN_GROUP = 60
-MEASURES = ("chars_per_token", "byte_share", "entropy")
+MEASURES = ("chars_per_token", "byte_share", "entropy", "lack")
 #: Levels of the upper spread: the middle and one standard deviation above it.
 LEVELS = (0.5, 0.84)
 
@@ -108,7 +115,7 @@ def measure_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
         src = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
         at = {k: docs.columns.index(c) for k, c in used.items()}
     names = [*(["row"] if carry else []), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
-             "n_repeat_words", "n_tokens", "chars_per_token", "byte_share", "entropy", "language"]
+             "n_repeat_words", "n_tokens", "chars_per_token", "byte_share", "entropy", "language", "script"]
 
     def row(text: str, lang: str | None) -> tuple:
         words = text.encode().split()
@@ -116,12 +123,12 @@ def measure_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
         ids = fertility(vocabulary).ids(text) if text else np.zeros(0, np.int32)
         n = len(ids)
         share = np.unique(ids, return_counts=True)[1] / n if n else np.zeros(0)
-        code = (lang or "").strip().lower()
+        code, script = (lang or "").strip().lower(), script_of(text)
         return (len(words), len(text) - sum(map(text.count, " \t\n\x0b\x0c\r")), sum(map(text.count, SYMBOLS)),
                 len(lines) - len(set(lines)), repeated_words(words), n, len(text) / n if n else 0.0,
                 float(fertility(vocabulary).is_byte[ids].mean()) if n else 0.0,
                 float(-(share * np.log2(share)).sum()) if n else 0.0,
-                code if LANGUAGE.fullmatch(code) else "script:" + script_of(text))
+                code if LANGUAGE.fullmatch(code) else "script:" + script, script)
 
     def run(batch: pa.RecordBatch):
         if carry:
@@ -138,10 +145,11 @@ def measure_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
 
     schema = T.StructType([*(src.schema if carry else []), *T.StructType.fromDDL(
         f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-        "n_tokens long, chars_per_token double, byte_share double, entropy double, language string")])
+        "n_tokens long, chars_per_token double, byte_share double, entropy double, language string, script string")])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
     return (arrow_map(src, run, schema)
             .withColumn("base_failed", failed)
+            .withColumn("lack", F.log2(F.greatest("n_tokens", F.lit(1))) - F.col("entropy"))
             .withColumn("length_class", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int")))
 
 
@@ -149,26 +157,48 @@ def measure_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
 LANGUAGE = re.compile("[a-z]{2,3}")
 
 
-def group_bands(measured: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Middle and upper spread by group, by length class, and by language.
+def neighbourhoods(sizes: dict[int, int]) -> list[tuple[int, int]]:
+    """Pairs (length class, class that counts for it): each class with as many
+    neighbours on both sides as together hold MIN_GROUP documents."""
+    out = []
+    for c in sorted(sizes):
+        width = 0
+        while (sum(n for m, n in sizes.items() if abs(m - c) <= width) < MIN_GROUP
+               and any(abs(m - c) > width for m in sizes)):
+            width += 1
+        out += [(c, m) for m in sorted(sizes) if abs(m - c) <= width]
+    return out
+
+
+def group_bands(measured: DataFrame) -> dict[str, tuple[list[str], DataFrame]]:
+    """Middle and upper spread by group, by length class, the same with neighbours, by
+    language, by script, and of all documents; with the columns to join by.
 
     Values are counted on a grid of a thousandth first, so the exact percentiles
-    have bounded state and do not depend on the order of rows."""
+    have bounded state and do not depend on the order of rows. The driver sees
+    one row per length class."""
     keys = ["language", "length_class"]
-    kept = (measured.where(~F.col("base_failed")).select(*keys, "n_tokens", *MEASURES).distinct())
+    kept = (measured.where(~F.col("base_failed")).select(*keys, "script", "n_tokens", *MEASURES).distinct())
     values = F.array(*[F.struct(F.lit(m).alias("measure"), F.round(m, 3).alias("value")) for m in MEASURES])
-    counted = (kept.select(*keys, F.inline(values)).groupBy(*keys, "measure", "value").agg(F.count("*").alias("n")))
-
-    def spread(by: list[str], name: str) -> DataFrame:
+    counted = saved(kept.select(*keys, "script", F.inline(values)).groupBy(*keys, "script", "measure", "value")
+                        .agg(F.count("*").alias("n")), "quality-counts")
+    sizes = counted.where(F.col("measure") == MEASURES[0]).groupBy("length_class").agg(F.sum("n").alias("n")).collect()
+    pairs = neighbourhoods({r["length_class"]: r["n"] for r in sizes})
+    near = measured.sparkSession.createDataFrame(pairs, "for_class int, length_class int")
+    by_class = counted.join(F.broadcast(near), "length_class").drop("length_class").withColumnRenamed("for_class", "length_class")
+
+    def spread(rows: DataFrame, by: list[str], name: str, least: int = MIN_GROUP) -> tuple[list[str], DataFrame]:
         at = F.percentile("value", F.array(*map(F.lit, LEVELS)), F.col("n"))
-        rows = counted.groupBy(*by, "measure").agg(at.alias("at"), F.sum("n").alias("size"))
+        rows = rows.groupBy(*by, "measure").agg(at.alias("at"), F.sum("n").alias("size"))
         of = lambda m, v: F.max(F.when(F.col("measure") == m, v))
-        return (rows.where(F.col("size") >= MIN_GROUP).groupBy(*by)
-                    .agg(F.struct(*[of(m, F.col("at")[0]).alias(f"mid_{m}") for m in MEASURES],
-                                  *[of(m, F.col("at")[1] - F.col("at")[0]).alias(f"up_{m}") for m in MEASURES])
-                          .alias(name)))
+        return by, (rows.where(F.col("size") >= least).groupBy(*by)
+                        .agg(F.struct(*[of(m, F.col("at")[0]).alias(f"mid_{m}") for m in MEASURES],
+                                      *[of(m, F.col("at")[1] - F.col("at")[0]).alias(f"up_{m}") for m in MEASURES])
+                              .alias(name)))
 
-    return spread(keys, "own"), spread(["length_class"], "by_length"), spread(["language"], "by_language")
+    return {"own": spread(counted, keys, "own"), "by_length": spread(counted, ["length_class"], "by_length"),
+            "by_near": spread(by_class, ["length_class"], "by_near", 1), "by_language": spread(counted, ["language"], "by_language"), "by_script": spread(counted, ["script"], "by_script"),
+            "of_all": spread(counted.withColumn("every", F.lit(1)), ["every"], "of_all", 1)}
 
 
 def quality_rules(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
@@ -198,20 +228,22 @@ def keep_good(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col
 
 def _judged(measured: DataFrame) -> DataFrame:
     """``measured`` with ``kept``."""
-    own, by_length, by_language = group_bands(measured)
-    scored = (measured.join(F.broadcast(own), ["language", "length_class"], "left")
-                      .join(F.broadcast(by_length), ["length_class"], "left")
-                      .join(F.broadcast(by_language), ["language"], "left"))
+    scored = measured.withColumn("every", F.lit(1))
+    for by, bands in group_bands(measured).values():
+        scored = scored.join(F.broadcast(bands), by, "left")
 
     def z(measure: str, bands: str, least) -> Column:
         spread = F.greatest(F.col(f"{bands}.up_{measure}"), least)
         return (F.col(measure) - F.col(f"{bands}.mid_{measure}")) / spread
 
     chars = lambda bands, share: F.col(f"{bands}.mid_chars_per_token") * share
-    z_entropy = F.coalesce(z("entropy", "own", F.lit(MIN_BITS)), z("entropy", "by_length", F.lit(WIDE_BITS)), F.lit(0.0))
+    near = F.greatest(z("entropy", "by_near", F.lit(WIDE_BITS)), -z("lack", "by_near", F.lit(WIDE_BITS)))
+    z_entropy = F.coalesce(z("entropy", "own", F.lit(MIN_BITS)), z("entropy", "by_length", F.lit(WIDE_BITS)), near, F.lit(0.0))
     z_chars = F.coalesce(z("chars_per_token", "own", chars("own", MIN_CHARS)),
-                         z("chars_per_token", "by_language", chars("by_language", WIDE_CHARS)), F.lit(0.0))
-    usual_bytes = F.coalesce("own.mid_byte_share", "by_language.mid_byte_share", F.lit(1.0))
+                         z("chars_per_token", "by_language", chars("by_language", WIDE_CHARS)),
+                         z("chars_per_token", "by_script", chars("by_script", POOLED_CHARS)),
+                         z("chars_per_token", "of_all", chars("of_all", POOLED_CHARS)), F.lit(0.0))
+    usual_bytes = F.coalesce(*[f"{b}.mid_byte_share" for b in ("own", "by_language", "by_script", "of_all")], F.lit(1.0))
     outside = ((z_entropy < ENTROPY_BAND) | (z_entropy + z_chars < JOINT_BAND)
                | (F.col("byte_share") - usual_bytes > BYTE_BAND))
     return scored.withColumn("kept", ~F.col("base_failed") & ~outside)

@@ -3,10 +3,12 @@
 import random
 
 import numpy as np
+import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from docfields.llm import hnsw, html_cut, substring
+from docfields.llm import hnsw, html_cut, quality, substring
+from docfields.llm.queries import PIECES
 
 
 @pytest.mark.parametrize("first, last", [(0x4E00, 0x9000), (0x3041, 0x3090), (0x0E01, 0x0E2E)])
@@ -75,6 +77,27 @@ def test_many_unclosed_elements_take_linear_time():
     assert html_cut.main_text("<article>" + "<object><p>w w. " * 5000 + "</object>").count("w w.") >= 4999
 
 
+def test_junk_in_small_groups_goes(spark):
+    rng = random.Random(23)
+    parts = ["".join(rng.choice(x) for x in ("bcdfglmnprst", "aeiou", "lmnrst")) for _ in range(300)]
+    words = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(4000)]
+    prose = lambda n, w=words: " ".join(rng.choice(w) for _ in range(n)) + "."
+    rows = [(i, prose(rng.randint(120, 250)), "en") for i in range(300)]
+    rows += [(500, prose(4000, rng.sample(words, 30)), "en"), (501, prose(5000), "en"), (502, prose(60), "en"),
+             (503, " ".join(chr(rng.randint(0x10330, 0x10340)) * 5 for _ in range(200)), "zz"), (504, prose(180), "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.quality_rules(docs, public_tokenizers.path(PIECES)).collect()}
+    assert not any(got[i].base_failed for i in (500, 501, 502, 503, 504))
+    assert [i for i in (500, 501, 502, 503, 504) if got[i].kept] == [501, 502, 504]
+    assert sum(got[i].kept for i in range(300)) >= 294
+
+
+def test_length_classes_borrow_from_their_neighbours():
+    assert quality.neighbourhoods({7: 100, 8: 59, 9: 1, 12: 2}) == [
+        (7, 7), (8, 7), (8, 8), (8, 9), (9, 8), (9, 9), (12, 8), (12, 9), (12, 12)]
+    assert quality.neighbourhoods({3: 5, 9: 5}) == [(3, 3), (3, 9), (9, 3), (9, 9)]
+
+
 @pytest.mark.parametrize("long", [1e4, 3e38])
 def test_long_vectors_leave_the_others_their_neighbours(spark, long):
     rng = np.random.default_rng(24)

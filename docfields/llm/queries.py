@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docfields.llm.hnsw import nearest
 from docfields.llm.html_cut import extract_main_text
 from docfields.llm.licenses import scan_licenses
+from docfields.llm.merkle import manifest
 from docfields.llm.minhash import near_duplicates
 from docfields.llm.mixing import plan_mix
 from docfields.llm.quality import quality_rules
@@ -64,6 +66,13 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), end_id=2)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1}
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return manifest(read_table(spark, sf_dir, "documents"), ("doc_id", "source", "lang", "n_chars", "text"), "lang", "doc_id",
+                    altered=more, where=tampered).drop("path")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n.startswith("op") and callable(f)}
 

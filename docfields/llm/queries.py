@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docfields.llm.context_mix import score_documents
 from docfields.llm.hnsw import nearest
 from docfields.llm.html_cut import extract_main_text
+from docfields.llm.lexical import ranked_search
 from docfields.llm.licenses import scan_licenses
 from docfields.llm.merkle import manifest
 from docfields.llm.minhash import near_duplicates
@@ -66,6 +68,14 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), end_id=2)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1}
     tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
@@ -103,5 +113,89 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component AS component_id, doc_i
 """
 
 
+#: Scores of all documents that share a term with an item, in whole numbers.
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+totals AS (SELECT count(*) AS docs, CAST(sum(len(words)) AS BIGINT) AS terms FROM docs WHERE len(words) > 0),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+found AS (
+  SELECT row, doc_id, n, term, count(*) AS tf
+  FROM (SELECT row, doc_id, len(words) AS n, unnest(words) AS term FROM docs) GROUP BY row, doc_id, n, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM found, totals GROUP BY term, docs),
+scores AS (
+  SELECT item_id, row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM wanted JOIN weights USING (term) JOIN found USING (term), totals GROUP BY item_id, row, doc_id),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score
+  FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def leaf_sql(**changed: str) -> str:
+    """The leaf hash, with other expressions for changed fields."""
+    parts = [f"coalesce(strlen(CAST({changed.get(f, f)} AS VARCHAR)) || ':' || CAST({changed.get(f, f)} AS VARCHAR), '-')" for f in LEAF_FIELDS]
+    return f"sha256({' || '.join(parts)})"
+
+
+def climb_sql(name: str, start: str, group: str) -> str:
+    """All nodes above those of ``start``, level by level."""
+    return f"""{name} AS (
+  SELECT {group}, 0 AS level, pos, h, n FROM {start}
+  UNION ALL
+  SELECT {group}, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2
+  FROM {name} WHERE n > 1 GROUP BY {group}, level, pos // 2, n)"""
+
+
+def steps_sql(tree: str, start: str, group: str) -> str:
+    """The path of each node of ``start``: l or r and the sibling, ``-`` where there is none."""
+    return f"""SELECT s.{group}, s.pos, list(CASE WHEN t.h IS NULL THEN '-' WHEN (s.pos >> e.level) % 2 = 1 THEN 'l' || t.h ELSE 'r' || t.h END
+         ORDER BY e.level) FILTER (e.level IS NOT NULL) AS path
+  FROM {start} s LEFT JOIN (SELECT DISTINCT {group}, level FROM {tree} WHERE n > 1) e ON e.{group} = s.{group}
+  LEFT JOIN {tree} t ON t.{group} = s.{group} AND t.level = e.level AND t.pos = xor(s.pos >> e.level, 1)
+  GROUP BY s.{group}, s.pos"""
+
+#: Merkle trees level by level; paths are lists of siblings with their side.
+OP13_SQL = f"""
+WITH RECURSIVE langs AS (
+  SELECT lang AS of, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT lang FROM documents)),
+sums AS (
+  SELECT *, xor(4294967295, list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+         lambda c: CAST(ascii(c) AS BIGINT)), lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+         lambda a, z: xor(a >> 1, CASE WHEN a % 2 = 1 THEN 3988292384 ELSE 0 END)))) AS crc
+  FROM documents),
+leaves AS (
+  SELECT tree, doc_id, {leaf_sql()} AS h, CASE WHEN crc % 7 = 0 THEN {leaf_sql(n_chars='(CAST(n_chars AS HUGEINT) + 1)')} END AS changed
+  FROM sums JOIN langs ON lang IS NOT DISTINCT FROM of),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n
+  FROM leaves),
+{climb_sql('nodes', 'placed', 'tree')},
+tops AS (SELECT 0 AS top, tree AS pos, h, count(*) OVER () AS n FROM nodes WHERE n = 1),
+{climb_sql('summit', 'tops', 'top')},
+root AS (SELECT h AS root FROM summit WHERE n = 1),
+low AS ({steps_sql('nodes', 'placed', 'tree')}),
+high AS ({steps_sql('summit', 'tops', 'top')}),
+proofs AS (
+  SELECT p.doc_id, p.h AS leaf, t.h AS subroot, root, list_concat(coalesce(low.path, []), coalesce(high.path, [])) AS path, changed
+  FROM placed p JOIN tops t ON t.pos = p.tree JOIN low ON low.tree = p.tree AND low.pos = p.pos JOIN high ON high.pos = p.tree, root),
+folded AS (
+  SELECT *, sha256(array_to_string(list_transform(path, lambda s: substr(s, 2)), '')) AS proof_sha256,
+         list_reduce([coalesce(changed, leaf)] || path, lambda x, s: CASE substr(s, 1, 1) WHEN 'l' THEN sha256(substr(s, 2) || x)
+           WHEN 'r' THEN sha256(x || substr(s, 2)) ELSE sha256(x) END) AS folded_root
+  FROM proofs)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_near_dedup": OP3_SQL}
+    return {"op3_minhash_near_dedup": OP3_SQL, "op11_ranked_search": OP11_SQL, "op13_merkle_manifest": OP13_SQL}

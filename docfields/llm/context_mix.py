@@ -1,18 +1,18 @@
 """Language-model scores by logistic mixing of hashed-context bit predictors.
 
 A text is a stream of bytes: its words (A-Z in lower case) parted by one space,
-then an end byte. Bytes are coded in bits by a prefix code made from the byte
-counts of the corpus, so frequent bytes take few decisions. Every bit is
+then an end byte. Bytes are coded in bits by a prefix code for each byte before,
+made from the counts of byte pairs, so likely bytes take few decisions. Every bit is
 predicted by several predictors, each of which looks up a hash of its context
-(the last 1, 2, 3 or 5 bytes, or the word so far) and of the place in the code.
+(the last 3, 5 or 7 bytes) and of the place in the code.
 Predictions are mixed as log odds: a gate (the longest context that has been seen,
 and the depth in the code) picks the weights. The mix is refined by an adaptive map
-from code place and mixed odds to the odds found there. The sum over the bits of
+from gate and mixed odds to the odds found there. The sum over the bits of
 a text gives its probability, and its bits per byte.
 
 Learning gathers, from all training documents:
 
-1. counts of words and bytes, by key;
+1. counts of words and byte pairs, by key;
 2. bit counts of all contexts in tables of fixed size. A task adds up its own
    tables and sends compressed chunks; tasks that own the chunks add them up as
    they stream in;
@@ -41,20 +41,24 @@ from pyspark.sql import functions as F
 
 from docfields.llm.common import arrow_map, prepare, renamed, saved
 
-#: Predictors: bytes of context (0: the word so far, at most WORD of its bytes), and the bits of the table's size.
-CONTEXTS = ((1, 16), (2, 20), (3, 22), (5, 22), (0, 22))
-WORD = 24
+#: Predictors: bytes of context, ascending, and the bits of the table's size.
+CONTEXTS = ((3, 22), (5, 22), (7, 22))
 #: Slots of a chunk of the tables (a chunk never spans two tables).
 CHUNK = 1 << 14
 #: What is added to both counts of a slot.
 PRIOR = 0.4
 #: Log odds are kept in steps of 1 / ODDS in a byte; UNSEEN marks a slot without counts.
 ODDS, UNSEEN = 16, -128
+#: Log odds by the byte that keeps them.
+KEPT_ODDS = np.concatenate([np.arange(128), [0], np.arange(-127, 0)]).astype(np.float32) / ODDS
 #: Depths of the code that gates tell apart, and gates.
 DEPTHS = 6
 GATES = (len(CONTEXTS) + 1) * DEPTHS
 #: Buckets of mixed log odds in the adaptive map, from -LIMIT to LIMIT.
-BUCKETS, LIMIT = 33, 8.0
+BUCKETS, LIMIT = 33, np.float32(8)
+STEPS = np.float32((BUCKETS - 1) / (2 * LIMIT))
+#: Least probability of a bit.
+LEAST = np.float32(1 / 65536)
 #: Steps of learning: while training (adaptive) and within a document.
 RATE, OWN_RATE = 0.02, 0.002
 #: Bytes and documents worked on at a time, and bytes of the blocks after which a document's weights move.
@@ -78,80 +82,62 @@ def key_of(word: bytes) -> bytes:
 
 
 class Code:
-    """A binary prefix code of bytes: Huffman's, with every byte counted once more than found."""
-
-    def __init__(self, counts: np.ndarray):
-        heap = [(int(n) + 1, b, b) for b, n in enumerate(counts)]
-        heapq.heapify(heap)
-        child: dict[int, tuple[int, int]] = {}
-        for node in range(256, 511):
-            (n, _, a), (m, _, b) = heapq.heappop(heap), heapq.heappop(heap)
-            child[node] = (a, b)
-            heapq.heappush(heap, (n + m, node, node))
-        ways: dict[int, list[tuple[int, int]]] = {510: []}
-        for node in range(510, 255, -1):
-            for bit, c in enumerate(child[node]):
-                ways[c] = [*ways[node], (node - 256, bit)]
-        flat = [(place, bit, depth) for b in range(256) for depth, (place, bit) in enumerate(ways[b])]
-        self.sizes = np.array([len(ways[b]) for b in range(256)], np.int64)
-        self.first = np.cumsum(self.sizes) - self.sizes
-        self.place = np.array([x[0] for x in flat], np.uint32)
-        self.bit = np.array([x[1] for x in flat], bool)
-        self.depth = np.minimum([x[2] for x in flat], DEPTHS - 1).astype(np.uint8)
-
-    def bits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where in the flat tables the bits of ``data`` stand, and how many each byte has."""
-        sizes = self.sizes[data]
-        ends = np.cumsum(sizes)
-        return np.arange(int(ends[-1])) + np.repeat(self.first[data] - ends + sizes, sizes), sizes
-
+    """Binary prefix codes of bytes, one for each byte before: Huffman's, with
+    every pair of bytes counted once more than found.
 
-class Powers:
-    """Powers of an odd number and of its inverse, modulo 2**32."""
-
-    def __init__(self, base: int = 0x9E3779B1):
-        self.base, self.size = base, 0
-
-    def up_to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.size:
-            self.size = 2 * n
-            self.up, self.down = (np.multiply.accumulate(np.concatenate([[np.uint32(1)], np.full(self.size, b, np.uint32)]), dtype=np.uint32)
-                                  for b in (self.base, pow(self.base, -1, 1 << 32)))
-        return self.up[:n], self.down[:n]
+    Tables over all pairs (byte before * 256 + byte): ``sizes`` and ``first``
+    give a pair's bits in ``flat``: the node of its tree times 16, twice the
+    depth, and the bit.
+    """
 
+    def __init__(self, pairs: np.ndarray):
+        place, bit, depth, sizes = [], [], [], []
+        for counts in pairs.reshape(256, 256).tolist():
+            heap = [(n + 1, b) for b, n in enumerate(counts)]
+            heapq.heapify(heap)
+            child = {}
+            for node in range(256, 511):
+                n, a = heapq.heappop(heap)
+                m, b = heapq.heappop(heap)
+                child[node] = (a, b)
+                heapq.heappush(heap, (n + m, node))
+            ways: dict[int, list[int]] = {510: []}  # of each node: twice the places on the way, plus the bits taken
+            for node in range(510, 255, -1):
+                way = ways.pop(node)
+                for taken, c in enumerate(child[node]):
+                    ways[c] = [*way, 2 * (510 - node) + taken]
+            for b in range(256):
+                sizes.append(len(ways[b]))
+                place += ways[b]
+                depth += range(len(ways[b]))
+        self.sizes = np.array(sizes, np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        way = np.array(place, np.uint16)
+        self.flat = ((way >> 1) << 4) | (np.minimum(depth, DEPTHS - 1).astype(np.uint16) << 1) | (way & 1)
 
-POWERS = Powers()
+    def bits(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bits of each pair's byte in turn, and how many it has."""
+        sizes = self.sizes.take(pair)
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.first.take(pair) - ends + sizes, sizes)
+        at += np.arange(len(at))
+        return self.flat.take(at), sizes
 
 
 def contexts(data: np.ndarray) -> list[np.ndarray]:
     """For every byte, the hash of each predictor's context: the bytes before it."""
     b = data.astype(np.uint32) + np.uint32(1)
-    h, orders = np.zeros(len(b), np.uint32), {}
-    for n in range(1, max(n for n, _ in CONTEXTS) + 1):
+    out, h = [], np.zeros(len(b), np.uint32)
+    for n in range(1, CONTEXTS[-1][0] + 1):
         h[n:] += b[:-n]
         h *= np.uint32(0x85EBCA6B)
-        orders[n] = h + np.uint32(n)
-    # the word so far: a polynomial over its bytes by prefix sums, shifted back to its start
-    parts = np.concatenate([[True], (data == 32) | (data == END[0])])
-    at = np.arange(len(data) + 1)
-    start = np.maximum(np.maximum.accumulate(np.where(parts, at, 0)), at - WORD)[:-1]
-    up, down = POWERS.up_to(len(data) + 1)
-    sums = np.concatenate([[np.uint32(0)], np.cumsum(b * up[:-1], dtype=np.uint32)])
-    word = (sums[:-1] - sums[start]) * down[start]
-    orders[0] = word * np.uint32(0xC2B2AE35) + (at[:-1] - start).astype(np.uint32)
-    return [orders[n] for n, _ in CONTEXTS]
-
-
-def slots(context: np.ndarray, sizes: np.ndarray, place: np.ndarray, bits: int) -> np.ndarray:
-    """Table slots of all bits, given the context of each byte."""
-    h = np.repeat(context, sizes) + place * np.uint32(0x9E3779B1)
-    h ^= h >> np.uint32(15)
-    h *= np.uint32(0x2C1B3C6D)
-    return (h >> np.uint32(32 - bits)).astype(np.int64)
+        if any(n == order for order, _ in CONTEXTS):
+            out.append(h + np.uint32(n))
+    return out
 
 
 #: Bytes before a segment that its contexts look at.
-BEFORE = WORD + 1
+BEFORE = CONTEXTS[-1][0]
 
 
 def segments(streams: list[bytes]) -> Iterator[list[tuple[int, int, bytes, bytes]]]:
@@ -174,34 +160,42 @@ def segments(streams: list[bytes]) -> Iterator[list[tuple[int, int, bytes, bytes
 
 
 class Bits:
-    """All bits of a group of pieces: their code places, values and contexts.
-    ``order``: bytes are taken by block of their document, then by document."""
+    """All bits of a group of pieces: values, depths and slots.
+
+    ``by_block``: bytes are taken by block of their document, then by document;
+    ``waves`` are the ends of the blocks and ``lane`` the piece of every bit."""
 
-    def __init__(self, code: Code, pieces: list[tuple[int, int, bytes, bytes]], by_block: bool):
+    def __init__(self, code: Code, pieces: list[tuple[int, int, bytes, bytes]], by_block: bool = False):
         data = np.frombuffer(b"".join(x for p in pieces for x in p[2:]), np.uint8)
         lengths = np.array([len(p[3]) for p in pieces])
         starts = np.cumsum(lengths + BEFORE) - lengths
-        lane = np.repeat(np.arange(len(pieces)), lengths)
-        inside = np.arange(len(lane)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        at = starts[lane] + inside
-        self.waves = [0, len(at)]
+        inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        at = inside + np.repeat(starts, lengths)
         if by_block:
+            lane = np.repeat(np.arange(len(pieces)), lengths)
             edges = np.cumsum(BLOCKS)
-            place = inside + np.array([p[1] for p in pieces])[lane]
+            place = inside + np.repeat([p[1] for p in pieces], lengths)
             block = np.where(place < edges[-1], np.searchsorted(edges, place, "right"),
                              len(BLOCKS) + (place - edges[-1]) // BLOCKS[-1]).astype(np.uint32)
             order = np.argsort(block, kind="stable")
-            at, lane, block = at[order], lane[order], block[order]
-            self.waves = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(at)]
-        flat, self.sizes = code.bits(data[at])
-        self.place, self.bit, self.depth = code.place[flat], code.bit[flat], code.depth[flat]
-        self.contexts = [c[at] for c in contexts(data)]
-        ends = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.waves = ends[self.waves].tolist()
-        self.lane = np.repeat(lane, self.sizes)
+            at, block = at[order], block[order]
+        flat, sizes = code.bits((data[at - 1].astype(np.int32) << 8) | data[at])
+        self.bit, self.depth = (flat & 1).astype(bool), (flat >> 1).astype(np.uint8) & 7
+        self._byte = np.repeat(np.arange(len(at), dtype=np.int32), sizes)
+        self._place = (flat >> 4) * np.uint32(0x9E3779B1)
+        self._contexts = [c[at] for c in contexts(data)]
+        if by_block:
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            self.waves = ends[[0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(at)]].tolist()
+            self.lane = lane[order].take(self._byte)
 
-    def slots(self, k: int) -> np.ndarray:
-        return slots(self.contexts[k], self.sizes, self.place, CONTEXTS[k][1])
+    def slots(self, k: int, more: int = 0) -> np.ndarray:
+        """Slots of all bits in the table of a predictor, times 2 ** more."""
+        h = self._contexts[k].take(self._byte)
+        h += self._place
+        h *= np.uint32(0x2C1B3C6D)
+        h >>= np.uint32(32 - CONTEXTS[k][1])
+        return h.astype(np.int64) << more if more else h.astype(np.int64)
 
 
 def count_bits(docs: DataFrame, code: Code) -> np.ndarray:
@@ -216,9 +210,9 @@ def count_bits(docs: DataFrame, code: Code) -> np.ndarray:
         for batch in batches:
             for text in _runs(batch.column(0)):
                 for pieces in segments(text):
-                    bits = Bits(code, pieces, False)
+                    bits = Bits(code, pieces)
                     for k, offset in enumerate(offsets[:-1]):
-                        np.add.at(counts[2 * offset:2 * (offset + sizes[k])], 2 * bits.slots(k) + bits.bit, one)
+                        np.add.at(counts[2 * offset:2 * (offset + sizes[k])], bits.slots(k, 1) | bits.bit, one)
         for chunk, part in enumerate(counts.reshape(-1, 2 * CHUNK)):
             if part.any():
                 yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()),
@@ -244,12 +238,16 @@ def count_bits(docs: DataFrame, code: Code) -> np.ndarray:
     return table
 
 
-def _runs(texts: pa.Array, limit: int = 1 << 21) -> Iterator[list[bytes]]:
-    """Streams of a few megabytes of texts at a time."""
+def _runs(texts: pa.Array, count: Counter | None = None, limit: int = 1 << 21) -> Iterator[list[bytes]]:
+    """Streams of a few megabytes of texts at a time; ``count`` takes their words and ends."""
     out, size = [], 0
     for text in texts:
-        out.append(stream(text.as_py())[1])
-        size += len(out[-1])
+        words, data = stream(text.as_py())
+        if count is not None:
+            count.update(words)
+            count[b""] += 1
+        out.append(data)
+        size += len(data)
         if size > limit:
             yield out
             out, size = [], 0
@@ -268,37 +266,42 @@ class Model:
 
     def inputs(self, bits: Bits) -> tuple[list[np.ndarray], np.ndarray]:
         """Log odds of every predictor for all bits, and the gates."""
-        out, seen = [], np.zeros(len(bits.bit), np.uint8)
-        offset = 0
+        out, seen, offset = [], np.zeros(len(bits.bit), np.uint8), 0
         for k, (_, size) in enumerate(CONTEXTS):
-            odds = self.table[offset:offset + (1 << size)][bits.slots(k)]
+            odds = self.table[offset:offset + (1 << size)].take(bits.slots(k))
             offset += 1 << size
-            known = odds != UNSEEN
-            seen[known] = k + 1
-            out.append(np.where(known, odds, 0).astype(np.float32) * np.float32(1 / ODDS))
-        return out, seen.astype(np.int64) * DEPTHS + bits.depth
+            seen = np.where(odds != UNSEEN, np.uint8(k + 1), seen)
+            out.append(KEPT_ODDS.take(odds.view(np.uint8)))
+        return out, (seen * np.uint8(DEPTHS) + bits.depth).astype(np.int64)
 
-    def refine(self, place: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+    def refine(self, gate: np.ndarray, mixed: np.ndarray, plain: np.ndarray) -> np.ndarray:
         """Probability of a one: half the mix, half what the map found at such odds."""
-        x = (np.clip(mixed, -LIMIT, LIMIT) + np.float32(LIMIT)) * np.float32((BUCKETS - 1) / (2 * LIMIT))
-        low = np.minimum(x.astype(np.int64), BUCKETS - 2)
-        part = x - low
-        low += place.astype(np.int64) * BUCKETS
-        found = self.refined[low] * (1 - part) + self.refined[low + 1] * part
-        return 0.5 * found + 0.5 / (1 + np.exp(-np.clip(mixed, -20, 20)))
+        x = (np.clip(mixed, -LIMIT, LIMIT) + LIMIT) * STEPS
+        low = np.minimum(x.astype(np.int32), BUCKETS - 2)
+        part = x - low.astype(np.float32)
+        at = gate * BUCKETS + low
+        under = self.refined.take(at)
+        found = under + (self.refined.take(at + 1) - under) * part
+        return np.clip(np.float32(0.5) * (found + plain), LEAST, 1 - LEAST)
+
+
+def likely(mixed: np.ndarray) -> np.ndarray:
+    """Probability of a one at these log odds."""
+    return 1 / (1 + np.exp(-np.clip(mixed, -20, 20)))
 
 
 def mix(weights: np.ndarray, row: np.ndarray, inputs: list[np.ndarray]) -> np.ndarray:
     """Mixed log odds; ``weights``: a row of predictors' weights and a bias for each gate."""
-    mixed = weights[row, len(inputs)]
-    for k, x in enumerate(inputs):
-        mixed = mixed + weights[row, k] * x
+    each = np.ascontiguousarray(weights.T)
+    mixed = each[-1].take(row)
+    for w, x in zip(each, inputs):
+        mixed += w.take(row) * x
     return mixed
 
 
 def gradient(rows: int, row: np.ndarray, error: np.ndarray, inputs: list[np.ndarray]) -> np.ndarray:
     """Sum of the errors times the inputs, by row of the weights."""
-    return np.stack([*(np.bincount(row, error * x, rows) for x in inputs), np.bincount(row, error, rows)], axis=1)
+    return np.stack([*(np.bincount(row, error * x, rows) for x in inputs), np.bincount(row, error, rows)], axis=1).astype(np.float32)
 
 
 def start_weights() -> np.ndarray:
@@ -314,7 +317,7 @@ def bucket_centers() -> np.ndarray:
 def learn_mix(docs: DataFrame, code: Code, table: np.ndarray) -> Model:
     """The model: weights and map learned online in every task's part of ``docs``
     (``text``), and averaged by the bits that each gate and bucket has seen."""
-    begin = Model(code, table, start_weights(), np.tile(bucket_centers(), (255, 1)).ravel().astype(np.float32))
+    begin = Model(code, table, start_weights(), np.tile(bucket_centers(), (GATES, 1)).ravel().astype(np.float32))
     shared = docs.sparkSession.sparkContext.broadcast(begin)
     n_weights = GATES * (len(CONTEXTS) + 1)
 
@@ -322,20 +325,19 @@ def learn_mix(docs: DataFrame, code: Code, table: np.ndarray) -> Model:
         model = shared.value
         weights = model.weights.astype(np.float64)
         power, seen = np.full_like(weights, 1e-3), np.zeros(GATES)
-        found = np.zeros((2, 255 * BUCKETS))
+        found = np.zeros((2, GATES * BUCKETS))
         for batch in batches:
             for streams in _runs(batch.column(0)):
                 for pieces in segments(streams):
-                    bits = Bits(code, pieces, False)
+                    bits = Bits(code, pieces)
                     inputs, gate = model.inputs(bits)
                     for a in range(0, len(gate), 1 << 13):
                         cut = slice(a, a + (1 << 13))
                         x, g, y = [i[cut] for i in inputs], gate[cut], bits.bit[cut]
                         mixed = mix(weights, g, x)
-                        near = np.rint((np.clip(mixed, -LIMIT, LIMIT) + LIMIT) * ((BUCKETS - 1) / (2 * LIMIT))).astype(np.int64)
-                        near += bits.place[cut].astype(np.int64) * BUCKETS
+                        near = np.rint((np.clip(mixed, -LIMIT, LIMIT) + LIMIT) * STEPS).astype(np.int64) + g * BUCKETS
                         found += [np.bincount(near, minlength=found.shape[1]), np.bincount(near, y, found.shape[1])]
-                        step = gradient(GATES, g, y - 1 / (1 + np.exp(-np.clip(mixed, -20, 20))), x)
+                        step = gradient(GATES, g, y - likely(mixed), x)
                         power += step * step
                         weights += RATE * step / np.sqrt(power)
                         seen += np.bincount(g, minlength=GATES)
@@ -370,18 +372,17 @@ class Scorer:
             last = pieces[-1][0]
             bits = Bits(self.model.code, pieces, True)
             inputs, gate = self.model.inputs(bits)
-            gate += bits.lane * GATES
+            row = gate + bits.lane * GATES
+            logs = np.empty(len(gate), np.float32)
             for a, b in zip(bits.waves, bits.waves[1:]):
-                cut = slice(a, b)
-                x, g, y = [i[cut] for i in inputs], gate[cut], bits.bit[cut]
-                mixed = mix(own, g, x)
-                p = self.model.refine(bits.place[cut], mixed)
-                lanes = bits.lane[cut]
-                logs = np.log(np.where(y, p, 1 - p))
-                np.add.at(out, [p[0] for p in pieces], np.bincount(lanes, logs, len(pieces)))
-                if b < len(gate) or pieces[-1][1] or len(pieces) == 1:
-                    error = y - 1 / (1 + np.exp(-np.clip(mixed, -20, 20)))
-                    own = own + np.float32(OWN_RATE) * gradient(len(own), g, error.astype(np.float32), x).astype(np.float32)
+                x, r, y = [i[a:b] for i in inputs], row[a:b], bits.bit[a:b]
+                mixed = mix(own, r, x)
+                plain = likely(mixed)
+                p = self.model.refine(gate[a:b], mixed, plain)
+                logs[a:b] = np.where(y, p, 1 - p)
+                if b < len(gate) or len(pieces) == 1:
+                    own += np.float32(OWN_RATE) * gradient(len(own), r, y - plain, x)
+            np.add.at(out, [p[0] for p in pieces], np.bincount(bits.lane, np.log(logs), len(pieces)))
         return out / math.log(10)
 
 
@@ -405,12 +406,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     train = src.where(~out)
     words = saved(word_counts(train), "mix-words")
     totals = words.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    byte_counts = np.zeros(256, np.int64)
-    for r in words.where("kind = 1").collect():
-        byte_counts[r["key"][0]] = r["n"]
+    pairs = np.zeros(1 << 16, np.int64)
+    for r in words.where("kind = 1").collect():  # 65,536 at most
+        pairs[int.from_bytes(r["key"], "big")] = r["n"]
     vocabulary = words.where("kind = 0").select("key", "n")
     hot = {bytes(r["key"]): r["n"] for r in vocabulary.where(F.col("n") >= hot_bound(vocabulary)).collect()}
-    code = Code(byte_counts)
+    code = Code(pairs)
     weighed = F.coalesce(crc == 3, F.lit(False))
     model = learn_mix(train.where(weighed).select("text"), code, count_bits(train.where(~weighed).select("text"), code))
 
@@ -426,18 +427,17 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def word_counts(train: DataFrame) -> DataFrame:
-    """``kind, key, n``: counts of words and the end (kind 0) and of the bytes of the streams (kind 1)."""
+    """``kind, key, n``: counts of words and the end (kind 0), and of the pairs of
+    bytes of the streams, the end before the first (kind 1)."""
     def run(batch: pa.RecordBatch):
-        words, sizes = Counter(), np.zeros(256, np.int64)
-        for text in batch.column(0):
-            found, data = stream(text.as_py())
-            words.update(found)
-            words[b""] += 1
-            sizes += np.bincount(np.frombuffer(data, np.uint8), minlength=256)
-        at = np.flatnonzero(sizes)
+        words, pairs = Counter(), np.zeros(1 << 16, np.int64)
+        for streams in _runs(batch.column(0), words):
+            data = np.frombuffer(END + b"".join(streams), np.uint8).astype(np.int64)
+            pairs += np.bincount(data[:-1] << 8 | data[1:], minlength=1 << 16)
+        at = np.flatnonzero(pairs)
         kind = pa.array(np.repeat(np.array([0, 1], np.int8), [len(words), len(at)]))
-        keys = pa.array([*map(key_of, words), *(bytes([b]) for b in at)], pa.binary())
-        yield pa.RecordBatch.from_arrays([kind, keys, pa.array([*words.values(), *sizes[at].tolist()], pa.int64())], names=["kind", "key", "n"])
+        keys = pa.array([*map(key_of, words), *(int(p).to_bytes(2, "big") for p in at)], pa.binary())
+        yield pa.RecordBatch.from_arrays([kind, keys, pa.array([*words.values(), *pairs[at].tolist()], pa.int64())], names=["kind", "key", "n"])
 
     found = arrow_map(train.select("text"), run, "kind byte, key binary, n long")
     return found.groupBy("kind", "key").agg(F.sum("n").alias("n"))

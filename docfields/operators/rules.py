@@ -8,6 +8,7 @@ character classes instead of ``(?i)``.
 from __future__ import annotations
 
 import re
+import string
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -116,7 +117,7 @@ def extract_rules(docs: DataFrame, fields: list[str], key_col: str = "doc_id",
 
 def label_pattern(label: str) -> str:
     """``^<label>:[ \\t]*(value)$`` on any line (multi-line mode)."""
-    esc = "".join(ch if ch.isalnum() or ch == " " else f"[{ch}]" for ch in label)
+    esc = "".join("\\" + ch if ch in string.punctuation else ch for ch in label)
     return rf"(?m)^{esc}:[ \t]*([^\n]*)$"
 
 
@@ -166,24 +167,64 @@ def extract_clauses(docs: DataFrame, key_col: str = "doc_id", text_col: str = "t
 HEADING_PATTERN = r"[A-Z][A-Za-z0-9 &/'(),.#-]*"
 
 
+# headings without a colon: a line in capitals, or a title of up to six words
+# between an empty line (or the start) and a line with text
+CAPITALS_PATTERN = r"[A-Z][A-Z0-9 &/'(),.-]*[A-Z0-9 &/'()-]{2}"
+TITLE_PATTERN = r"[A-Z][A-Za-z]*(?: [A-Za-z&/'()-]+){0,5}"
+
+
+def with_sections(docs: DataFrame, text_col: str, heading: str = HEADING_PATTERN, bare: bool = False) -> DataFrame:
+    """``docs`` with ``_lines`` (the text's lines) and ``_sections``: an array of
+    ``heading, body`` in text order, the first without a heading if the text
+    does not begin with one.
+
+    The text is read line by line: a line is a heading or not by its own
+    pattern and its two neighbours, and the lines from one heading to the next
+    are its body. Cost is linear in the text, whatever the length of a section;
+    no pattern ever spans lines. ``bare`` counts headings without a colon too.
+    The line break before a heading, and one at the end of the text, belong to
+    no body.
+    """
+    blank = lambda line: F.coalesce(strip_text(line) == "", F.lit(True))
+
+    def is_heading(line: Column, i: Column) -> Column:
+        marked = line.rlike(rf"^{heading}:\r?\z")
+        if not bare:
+            return marked
+        alone = ((i == 0) | blank(F.get("_lines", i - 1))) & ~blank(F.get("_lines", i + 1))
+        return marked | line.rlike(rf"^{CAPITALS_PATTERN}\r?\z") | (line.rlike(rf"^{TITLE_PATTERN}\r?\z") & alone)
+
+    def section(k: Column, begin: Column, end: Column) -> Column:
+        body = F.array_join(F.slice("_lines", begin + 1, end - begin), "\n")
+        last = end == F.size("_lines")
+        title = F.regexp_replace(strip_text(F.get("_lines", k)), ":$", "")
+        return F.struct(F.when(k >= 0, title).alias("heading"),
+                        F.when(last, F.regexp_replace(body, r"\n\z", "")).otherwise(body).alias("body"))
+
+    # each step reads the one before as a column, so that no work is repeated
+    lined = docs.withColumn("_lines", F.split(F.col(text_col), "\n", -1))
+    places = F.filter(F.transform("_lines", lambda x, i: F.when(is_heading(x, i), i)), lambda i: i.isNotNull())
+    placed = lined.withColumn("_at", places)
+    first = F.when(F.coalesce(F.get("_at", F.lit(0)) > 0, F.size("_at") == 0),
+                   F.array(section(F.lit(-1), F.lit(0), F.coalesce(F.get("_at", F.lit(0)), F.size("_lines")))))
+    rest = F.transform("_at", lambda k, i: section(k, k + 1, F.coalesce(F.get("_at", i + 1), F.size("_lines"))))
+    empty = F.array().cast("array<struct<heading:string,body:string>>")
+    return placed.withColumn("_sections", F.concat(F.coalesce(first, empty), F.coalesce(rest, empty))).drop("_at")
+
+
 def extract_sections(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text",
-                     heading: str = HEADING_PATTERN) -> DataFrame:
+                     heading: str = HEADING_PATTERN, bare: bool = False) -> DataFrame:
     """Heading lines (``<Heading>:``) split a text into sections.
 
     ``(key, section_no, heading, body)``, sections numbered from 1 in text
-    order; text before the first heading is a section with a null heading.
-    Each document is split inside its own row (no shuffle), so one long
-    document never moves between tasks.
+    order; text before the first heading is a section with a null heading. With
+    ``bare``, lines in capitals and titles on a line of their own are headings
+    too. Each document is read inside its own row (no shuffle), line by line.
     """
-    parts = F.split(F.col(text_col), rf"(?m)(?=^{heading}:$)", -1)
-    chunks = docs.select(F.col(key_col), F.posexplode(parts).alias("_pos", "_chunk"))
-    head = F.regexp_extract(F.col("_chunk"), rf"^({heading}):(\n|$)", 1)
-    body = F.when(head != "", F.regexp_replace(F.col("_chunk"), rf"^{heading}:(\n|$)", "")) \
-            .otherwise(F.col("_chunk"))
-    # the line break that separated this section from the next one
-    body = F.regexp_replace(body, r"\n$", "")
-    return chunks.select(key_col, (F.col("_pos") + 1).cast("bigint").alias("section_no"),
-                         F.when(head != "", head).alias("heading"), body.alias("body"))
+    read = with_sections(docs.select(F.col(key_col), F.col(text_col)), text_col, heading, bare)
+    there = F.when(F.col("_lines").isNotNull(), F.col("_sections"))
+    return (read.select(F.col(key_col), F.posexplode(there).alias("_pos", "_s"))
+                .select(key_col, (F.col("_pos") + 1).cast("bigint").alias("section_no"), "_s.heading", "_s.body"))
 
 
 FORM_QUOTED = r'([A-Za-z_][A-Za-z0-9_]*) = "([^"\n]*)"'
@@ -222,31 +263,81 @@ def rule_column(field: str, text: Column) -> Column:
     return _guarded(text, rule, F.when(v != "", v), F.lit(None).cast("string"))
 
 
-def extract_fields(docs: DataFrame, fields: list[str], key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Requested fields by rule, else by label, else by section; one row per
-    (document, field): ``ordinal, field, value`` (first match), ``matches``
-    (all), ``n_matches``, ``found_by`` (rule, label, section, or null).
+# words that an item of an instruction has around its name
+BEFORE_NAME = {"key", "full", "contract", "professional", "work", "main", "overall", "each", "all", "the"}
+AFTER_NAME = {"involved", "conditions", "terms", "information", "details", "list", "included"}
+
+
+def field_names(item: str) -> tuple[str, list[str]]:
+    """The name that an item of an instruction asks for, and further names.
 
-    A label is the field's words at a line start before a colon, in any case; a
-    section is the text under such a line up to the next heading. One native
-    projection and a generator: no shuffle, no Python.
+    Remarks in brackets are left out. Further names are the parts around "and"
+    and "of", and each without the words that stand around a name: ``Key skills
+    (list all)`` is ``key skills``, then ``skills``; ``Payment terms and
+    schedule`` is that, then ``payment terms``, ``schedule`` and ``payment``.
     """
-    text, none = F.col(text_col), F.array().cast("array<string>")
+    name = " ".join(re.sub(r"\([^)]*\)?", " ", item).replace("_", " ").split())
+    parts = [p for p in re.split(r"(?i) (?:and|of|&) |,", name) if p.strip()]
+    names = [name, *parts]
+    for part in [name, *parts]:
+        words = part.split()
+        while len(words) > 1 and words[0].lower() in BEFORE_NAME:
+            words = words[1:]
+            names.append(" ".join(words))
+        while len(words) > 1 and words[-1].lower() in AFTER_NAME:
+            words = words[:-1]
+            names.append(" ".join(words))
+    names = list(dict.fromkeys(" ".join(n.lower().split()) for n in names if n.strip()))
+    return (names[0], names[1:]) if names else ("", [])
+
+
+def extract_fields(docs: DataFrame, fields: list[str], key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Requested fields by rule, else by label, else by section, else by clause;
+    one row per (document, field): ``ordinal, field, value`` (first match),
+    ``matches`` (all), ``n_matches``, ``found_by`` (rule, label, section,
+    clause, or null).
+
+    A label is the field's name at a line start before a colon, in any case; a
+    section is the text under a heading of that name (with a colon, in capitals
+    or as a title of its own) up to the next heading. An item with qualifiers
+    goes by its further names (:func:`field_names`) where its own is not found;
+    a clause is a line that speaks of what the item names (``CLAUSES``). Native
+    projections and a generator: no shuffle, no Python, linear in the text.
+    """
+    text, none = F.col("_text"), F.array().cast("array<string>")
+    read = with_sections(docs.select(F.col(key_col), F.col(text_col).alias("_text")), "_text", bare=True)
+    # headings as they are compared: in lower case, white space as one space
+    read = read.withColumn("_named", F.transform("_sections", lambda s: F.struct(
+        F.lower(F.regexp_replace(s["heading"], "[ _\t]+", " ")).alias("name"), strip_text(s["body"]).alias("body"))))
+
+    def by_label(names: list[str]) -> Column:
+        words = "|".join("[ _]+".join(re.escape(w) for w in n.split()) for n in names)
+        return F.regexp_extract_all(text, F.lit(rf"(?im)^(?:{words})[ \t]*:[ \t]*([^\s][^\n]*)$"), 1)
+
+    def by_section(names: list[str]) -> Column:
+        there = F.filter("_named", lambda s: s["name"].isin(names) & (s["body"] != ""))
+        return F.transform(there, lambda s: s["body"])
+
+    def lines_with(pattern: str) -> Column:
+        return F.filter("_lines", lambda line: line.rlike(pattern))
+
     items = []
     for i, f in enumerate(fields):
         rule = RULES.get(resolve_field(f) or "")
-        words = "[ _]+".join(re.escape(w) for w in f.replace("_", " ").split())
-        by_rule = none if rule is None else _guarded(
-            text, rule, F.regexp_extract_all(text, F.lit(rule.jvm_pattern), rule.jvm_group), none)
-        by_label = F.regexp_extract_all(text, F.lit(rf"(?im)^{words}[ \t]*:[ \t]*([^\s][^\n]*)$"), 1)
-        by_section = F.regexp_extract_all(
-            text, F.lit(rf"(?m)^(?i:{words})[ \t]*:[ \t]*\n(?!{HEADING_PATTERN}:$)((?:(?!^{HEADING_PATTERN}:$)[^\n]*(?:\n|\z))+?)"
-                        rf"(?=\z|^{HEADING_PATTERN}:$)"), 1)
-        found = [(by_rule, "rule"), (by_label, "label"), (by_section, "section")]
+        name, others = field_names(f)
+        found = [] if rule is None else [(_guarded(
+            text, rule, F.regexp_extract_all(text, F.lit(rule.jvm_pattern), rule.jvm_group), none), "rule")]
+        for names in ([name], others):
+            if any(names):
+                found += [(by_label(names), "label"), (by_section(names), "section")]
+        clauses = [p for p in CLAUSES.values() if re.search(p, name)]
+        if clauses:
+            spoken = "|".join(f"(?:{p})" for p in clauses)
+            found.append((lines_with(spoken), "clause"))
         items.append(F.struct(F.lit(i + 1).alias("ordinal"), F.lit(f).alias("field"),
                               F.coalesce(*[F.when(F.size(m) > 0, F.transform(m, strip_text)) for m, _ in found], none).alias("matches"),
                               F.coalesce(*[F.when(F.size(m) > 0, F.lit(n)) for m, n in found],
                                          F.lit(None).cast("string")).alias("found_by")))
-    out = docs.select(F.col(key_col), F.inline(F.array(*items)))
+    out = read.select(F.col(key_col), F.inline(F.array(*items)))
     return out.select(key_col, "ordinal", "field", F.try_element_at("matches", F.lit(1)).alias("value"), "matches",
                       F.size("matches").cast("bigint").alias("n_matches"), "found_by")

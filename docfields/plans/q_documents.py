@@ -465,6 +465,42 @@ def q_extract_fields(spark, sf_dir):
     return got.drop("matches")
 
 
+# Items of a resume instruction, as the reference's presets word them.
+RESUME_FIELDS = ["Full name and contact information", "Professional summary", "Key skills (list all)",
+                 "Work experience (company, position, duration, achievements)", "Certifications", "Renewal terms"]
+
+
+@query("extract_fields_resumes", """
+SELECT c_custkey, unnest([1, 2, 3, 4, 5, 6]) AS ordinal,
+       unnest(['Full name and contact information', 'Professional summary', 'Key skills (list all)',
+               'Work experience (company, position, duration, achievements)', 'Certifications', 'Renewal terms']) AS field,
+       unnest([c_name, 'Active in ' || lower(c_mktsegment) || '.\nBalance kept over the years.',
+               '- ledger no. ' || c_custkey || '\n- bookkeeping', 'clerk, nation ' || c_nationkey || '\n\nsenior clerk',
+               CASE WHEN c_custkey % 2 = 0 THEN 'none so far' END, NULL]) AS value,
+       unnest([2, 1, 1, 1, 1 - c_custkey % 2, 0]) AS n_matches,
+       unnest(['label', 'section', 'section', 'section', CASE WHEN c_custkey % 2 = 0 THEN 'section' END, NULL]) AS found_by
+FROM (SELECT * FROM customer)""".replace("\\n", "' || chr(10) || '"))
+def q_extract_fields_resumes(spark, sf_dir):
+    """Items with qualifiers, found under headings with and without a colon."""
+    return rules.extract_fields(views.resumes(spark, sf_dir), RESUME_FIELDS, key_col="c_custkey").drop("matches")
+
+
+@query("extract_sections_resumes", """
+WITH s AS (
+  SELECT c_custkey, unnest([1, 2, 3, 4, 5]) AS section_no,
+         unnest([NULL, 'Professional Summary', 'SKILLS', 'Work Experience', 'Certifications']) AS heading,
+         unnest(['Name: ' || c_name || '\nContact: nation ' || c_nationkey || '\n',
+                 'Active in ' || lower(c_mktsegment) || '.\nBalance kept over the years.\n',
+                 '- ledger no. ' || c_custkey || '\n- bookkeeping',
+                 'clerk, nation ' || c_nationkey || '\n\nsenior clerk' || CASE WHEN c_custkey % 2 = 0 THEN '\n' ELSE '' END,
+                 'none so far']) AS body
+  FROM customer)
+SELECT * FROM s WHERE section_no < 5 OR c_custkey % 2 = 0""".replace("\\n", "' || chr(10) || '"))
+def q_extract_sections_resumes(spark, sf_dir):
+    """Sections under headings with a colon, in capitals, and titles of their own."""
+    return rules.extract_sections(views.resumes(spark, sf_dir), key_col="c_custkey", bare=True)
+
+
 @query("extract_table_cells", f"""
 WITH l AS ({_lines_sql('documents', 'doc_id', 'text')}),
      r AS (SELECT doc_id, line_no, string_split(line, '|') AS cells FROM l WHERE contains(line, '|')),

@@ -102,3 +102,18 @@ def sectioned_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     piece = F.concat(heading, F.lit(":\n"), F.coalesce(F.col("text"), F.lit("")))
     return (c.withColumn("piece", piece).groupBy("conv_id")
              .agg(F.expr("listagg(piece, '\\n') WITHIN GROUP (ORDER BY turn)").alias("text")))
+
+
+def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resume text rendered from customers: headings in capitals, as titles and
+    with a colon, and lines in labels."""
+    c = spread(read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey", "c_acctbal"))
+    number = lambda name: F.col(name).cast("string")
+    text = F.concat_ws(
+        "\n", F.concat(F.lit("Name: "), F.col("c_name")), F.concat(F.lit("Contact: nation "), number("c_nationkey")), F.lit(""),
+        F.lit("Professional Summary"), F.concat(F.lit("Active in "), F.lower("c_mktsegment"), F.lit(".")),
+        F.lit("Balance kept over the years."), F.lit(""),
+        F.lit("SKILLS"), F.concat(F.lit("- ledger no. "), number("c_custkey")), F.lit("- bookkeeping"),
+        F.lit("Work Experience:"), F.concat(F.lit("clerk, nation "), number("c_nationkey")), F.lit(""), F.lit("senior clerk"),
+        F.when(F.col("c_custkey") % 2 == 0, F.lit("\nCertifications\nnone so far")))
+    return c.select("c_custkey", text.alias("text"))

@@ -13,8 +13,9 @@ from docfields.plans import views
 from docfields.plans.q_documents import (RULES_LONG_SQL, RULES_WIDE_SQL, STRIP_SQL, TRIPS_SQL, _sql_lit, docs,
                                          rules_long, rules_wide, text_docs, write_document_files)
 from docfields.plans.registry import query
+from docfields.plans.responder import RegexResponder
 from docfields.session import scratch_path
-from docfields.sources import readers
+from docfields.sources import readers, sinks
 from docfields.sources.tables import read_table
 
 RESPONSES_SQL = """responses AS (SELECT event_id, CASE
@@ -175,7 +176,7 @@ SELECT doc_id, {RESPONSE_SQL} AS raw_response, CAST(NULL AS VARCHAR) AS error, 1
        true AS ok, 'object' AS kind FROM documents""")
 def q_extract_with_model(spark, sf_dir):
     """Caller-supplied extractor per document (a deterministic rule responder here)."""
-    staged = ms.extract_with_model(text_docs(spark, sf_dir), ms.RegexResponder, MODEL_INSTRUCTIONS)
+    staged = ms.extract_with_model(text_docs(spark, sf_dir), RegexResponder, MODEL_INSTRUCTIONS)
     return staged.select("doc_id", "raw_response", "error", "attempts", "ok", "kind")
 
 
@@ -194,7 +195,7 @@ def _batch_sql(where: str = "") -> str:
 
 
 def responder():
-    return ms.RegexResponder(reject_pattern=CARD_PATTERN, reject_message=REJECT_MESSAGE)
+    return RegexResponder(reject_pattern=CARD_PATTERN, reject_message=REJECT_MESSAGE)
 
 
 def batch(spark, sf_dir) -> DataFrame:
@@ -208,7 +209,17 @@ def q_batch_extract(spark, sf_dir):
     return batch(spark, sf_dir)
 
 
-class TroubledResponder(ms.RegexResponder):
+@query("batch_extract_resumed", _batch_sql())
+def q_batch_extract_resumed(spark, sf_dir):
+    """A batch started again: a first run has answered some documents, the second
+    asks for the others and returns one row for each."""
+    ledger = scratch_path(spark, "ledger")
+    d = text_docs(spark, sf_dir)
+    ms.resumable_extract(d.where("doc_id % 3 = 0"), responder, MODEL_INSTRUCTIONS, ledger, wait_s=0.0)
+    return ms.batch_extract(d, responder, MODEL_INSTRUCTIONS, provider=PROVIDER, run_ts=RUN_TS, wait_s=0.0, ledger=ledger)
+
+
+class TroubledResponder(RegexResponder):
     """Answers by the text's length: nothing, no text, bad JSON, an exception, or a result."""
 
     def __call__(self, text: str, instructions: str):
@@ -218,7 +229,7 @@ class TroubledResponder(ms.RegexResponder):
         return {0: None, 1: {"email": "x"}, 2: '{"email": '}.get(kind) if kind < 3 else super().__call__(text, instructions)
 
 
-class RecoveringResponder(ms.RegexResponder):
+class RecoveringResponder(RegexResponder):
     """Fails on the first call for each text of odd length, then answers."""
 
     def __init__(self):
@@ -317,6 +328,26 @@ def q_single_extract(spark, sf_dir):
                              run_ts=RUN_TS, wait_s=0.0)
 
 
+def _json_text(expr: str) -> str:
+    """A JSON string as the sink writes it (the fields here hold no marks to escape)."""
+    return f"""'"' || {expr} || '"'"""
+
+
+def _dict_sql() -> str:
+    columns = ["source_file", *[c for f in MODEL_FIELDS for c in (f, f"{f}_confidence")], "error", "extraction_timestamp", "provider"]
+    members = []
+    for c in columns:
+        value = f"CAST({c} AS VARCHAR)" if c == "source_file" or c.endswith("_confidence") else _json_text(c)
+        members.append(f"CASE WHEN {c} IS NOT NULL THEN '\"{c}\":' || {value} END")
+    return f"SELECT source_file, '{{' || concat_ws(',', {', '.join(members)}) || '}}' AS json FROM ({_batch_sql(SINGLE_SQL)})"
+
+
+@query("single_extract_dict", _dict_sql())
+def q_single_extract_dict(spark, sf_dir):
+    """The dict form of a single extraction: the row as one JSON object."""
+    return sinks.to_json_rows(q_single_extract(spark, sf_dir))
+
+
 @query("retry_policy", f"""
 SELECT doc_id, CASE WHEN regexp_matches(text, {_sql_lit(CARD_PATTERN)}) THEN 3 ELSE 1 END AS attempts,
        CASE WHEN regexp_matches(text, {_sql_lit(CARD_PATTERN)}) THEN '{REJECT_MESSAGE}' END AS error FROM documents""")

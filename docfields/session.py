@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import zipfile
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 
 
@@ -94,6 +95,13 @@ def require_local(master: str) -> None:
         raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors share (master {master})")
 
 
+def shared_filesystem(uri: str):
+    """The file system of a folder in shared storage, and the path in it."""
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri.removeprefix("file:")
+    return fs.FileSystem.from_uri(uri)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-path of the shared checkpoint folder."""
     return f"{checkpoint_root(spark)}/docfields-{name}-{uuid.uuid4().hex[:12]}"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docfields import session
 from docfields.operators import documents as dc, model_stage as ms, profile as pf, results as rs, rules
 from docfields.plans import views
+from docfields.plans.responder import RegexResponder
 from docfields.sources import readers, sinks
 from tests.conftest import SF_SMALL
 
@@ -22,7 +23,7 @@ def test_building_starts_no_job(spark):
     try:
         rules.extract_rules(texts, ["email"])
         rules.extract_fields(texts, ["email"], "doc_id")
-        ms.extract_with_model(texts, ms.RegexResponder, "email")
+        ms.extract_with_model(texts, RegexResponder, "email")
         session.spread(spark.read.parquet(f"{SF_SMALL}/documents.parquet"))
         assert jobs(spark) <= 1  # the schema of the scan
     finally:
@@ -79,7 +80,7 @@ def test_unreadable_files_are_rows(spark):
         raise OSError("cannot open")
 
     texts = dc.assemble_text(readers.read_pages(files, reader), "path")
-    out = ms.extract_with_model(texts, ms.RegexResponder, "email", key_col="path").collect()
+    out = ms.extract_with_model(texts, RegexResponder, "email", key_col="path").collect()
     assert {(r.path, r.error, r.attempts) for r in out} == {(p, "cannot open", 0) for p in "abc"}
 
 

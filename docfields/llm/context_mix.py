@@ -55,7 +55,7 @@ KEPT_ODDS = np.concatenate([np.arange(128), [0], np.arange(-127, 0)]).astype(np.
 DEPTHS = 6
 GATES = (len(CONTEXTS) + 1) * DEPTHS
 #: Buckets of mixed log odds in the adaptive map, from -LIMIT to LIMIT.
-BUCKETS, LIMIT = 33, np.float32(8)
+BUCKETS, LIMIT = 65, np.float32(8)
 STEPS = np.float32((BUCKETS - 1) / (2 * LIMIT))
 #: Least probability of a bit.
 LEAST = np.float32(1 / 65536)
@@ -65,7 +65,7 @@ RATE, OWN_RATE = 0.02, 0.002
 SEGMENT, LANES = 1 << 18, 2048
 BLOCKS = (128, 256, 512, 1024)
 #: Words in the broadcast dictionary at most; others are joined.
-HOT_WORDS = 1 << 17
+HOT_WORDS = 1 << 18
 #: The end of a text.
 END = b"\n"
 
@@ -276,18 +276,27 @@ class Model:
 
     def refine(self, gate: np.ndarray, mixed: np.ndarray, plain: np.ndarray) -> np.ndarray:
         """Probability of a one: half the mix, half what the map found at such odds."""
-        x = (np.clip(mixed, -LIMIT, LIMIT) + LIMIT) * STEPS
-        low = np.minimum(x.astype(np.int32), BUCKETS - 2)
-        part = x - low.astype(np.float32)
-        at = gate * BUCKETS + low
-        under = self.refined.take(at)
-        found = under + (self.refined.take(at + 1) - under) * part
-        return np.clip(np.float32(0.5) * (found + plain), LEAST, 1 - LEAST)
+        found = self.refined.take(bucket(gate, mixed))
+        found += plain
+        found *= np.float32(0.5)
+        return np.clip(found, LEAST, 1 - LEAST, out=found)
+
+
+def bucket(gate: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+    """Place in the adaptive map: the gate and the nearest of its log odds."""
+    near = np.clip(mixed, -LIMIT, LIMIT)
+    near += LIMIT
+    near *= STEPS
+    return gate * BUCKETS + np.rint(near, out=near).astype(np.int64)
 
 
 def likely(mixed: np.ndarray) -> np.ndarray:
     """Probability of a one at these log odds."""
-    return 1 / (1 + np.exp(-np.clip(mixed, -20, 20)))
+    out = np.clip(mixed, -20, 20)
+    np.negative(out, out=out)
+    np.exp(out, out=out)
+    out += 1
+    return np.reciprocal(out, out=out)
 
 
 def mix(weights: np.ndarray, row: np.ndarray, inputs: list[np.ndarray]) -> np.ndarray:
@@ -335,7 +344,7 @@ def learn_mix(docs: DataFrame, code: Code, table: np.ndarray) -> Model:
                         cut = slice(a, a + (1 << 13))
                         x, g, y = [i[cut] for i in inputs], gate[cut], bits.bit[cut]
                         mixed = mix(weights, g, x)
-                        near = np.rint((np.clip(mixed, -LIMIT, LIMIT) + LIMIT) * STEPS).astype(np.int64) + g * BUCKETS
+                        near = bucket(g, mixed)
                         found += [np.bincount(near, minlength=found.shape[1]), np.bincount(near, y, found.shape[1])]
                         step = gradient(GATES, g, y - likely(mixed), x)
                         power += step * step
@@ -477,8 +486,8 @@ def _score(docs: DataFrame, model: Model, hot: dict[bytes, int]) -> DataFrame:
                 counts[b""] = 1
                 total = have = 0
                 for word, n in counts.items():
-                    key = key_of(word)
-                    if (log := logs.get(key)) is None:
+                    # a long word stands in the dictionary by its digest only
+                    if (log := logs.get(word)) is None and (log := logs.get(key := key_of(word))) is None:
                         keys.append(key)
                         times.append(n)
                     else:

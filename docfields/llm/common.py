@@ -67,7 +67,18 @@ def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     if rows is not None:
         df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // PART_ROWS)))
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables written by :func:`saved` that nothing reads any more: a
+    step of an iteration whose outcome is itself written."""
+    for t in tables:
+        if path := getattr(t, "scratch", None):
+            store, root = filesystem(path)
+            store.delete_dir(root)
 
 
 def word_count(text: Column) -> Column:

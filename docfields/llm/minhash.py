@@ -8,7 +8,9 @@ all pairs are taken:
 
 1. each member is compared with the bucket's pivot, the smallest id;
 2. in buckets that still hold several components, members outside the largest
-   one are compared with another of its members, until that finds no more;
+   one are compared with another of its members, until that finds no more; a
+   pivot that has met all others, and a bucket of one component, are settled
+   and go;
 3. members of buckets that hold several components still are joined exactly: a
    link needs a common shingle early in both sets' rare-first order (the prefix
    filter), so only members of different components that have one are compared.
@@ -22,7 +24,7 @@ exact intersection of the full sets.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docfields.llm.common import arrow_map, prepare, renamed, saved, slices
+from docfields.llm.common import arrow_map, dropped, prepare, renamed, saved, slices
 from docfields.llm.components import connected_components
 
 BANDS, ROWS = 40, 5
@@ -38,6 +40,8 @@ BANDS, ROWS = 40, 5
 #: 200 with a deviation of 6, so none in a billion is lost.
 SIGNATURE_LEAST = 0.6
 SEED = 7
+#: Rounds of pivots at most; the rest is joined.
+ROUNDS = 20
 #: Slots in which shingles are counted.
 SLOTS = 1 << 20
 
@@ -127,12 +131,12 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def agreeing(pairs: DataFrame) -> DataFrame:
-    """Pairs whose signatures agree often enough; drops the signatures."""
+    """Pairs (``a, b, of_a, of_b``) whose signatures agree often enough."""
     def run(batch: pa.RecordBatch):
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-        yield batch.select([0, 1]).filter(pa.array((a == b).mean(axis=1) >= SIGNATURE_LEAST))
+        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (4, 5))
+        yield batch.select([0, 1, 2, 3]).filter(pa.array((a == b).mean(axis=1) >= SIGNATURE_LEAST))
 
-    return arrow_map(pairs.select("a", "b", "mark_a", "mark_b"), run, "a long, b long")
+    return arrow_map(pairs.select("a", "b", "of_a", "of_b", "mark_a", "mark_b"), run, "a long, b long, of_a long, of_b long")
 
 
 class Comparison:
@@ -142,18 +146,34 @@ class Comparison:
         self.marks, self.sets, self.percent = marks, sets, percent
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """The linked ones of ``pairs`` (``a``: many, ``b``: pivot)."""
+        """``u, v``: the components (``of_a``, ``of_b``) of the linked ones of
+        ``pairs`` (``a``: many, ``b``: pivot)."""
         m, s = self.marks, self.sets
-        marked = (pairs.select("a", "b").distinct()
-                  .join(m.select(F.col("id").alias("a"), F.col("signature").alias("mark_a")), "a")
-                  .join(m.select(F.col("id").alias("b"), F.col("signature").alias("mark_b")), "b"))
+        marked = (pairs.join(m.select(F.col("id").alias("a"), F.col("signature").alias("mark_a")), "a")
+                       .join(m.select(F.col("id").alias("b"), F.col("signature").alias("mark_b")), "b"))
         near = saved(agreeing(marked), "minhash-near")
         full = (near.join(s.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
                     .join(s.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b"))
-        common = F.size(F.array_intersect("set_a", "set_b")).cast("long")
-        union = F.size("set_a") + F.size("set_b") - common
-        return saved(full.where(100 * common >= self.percent * union).select(F.col("a").alias("u"), F.col("b").alias("v")),
-                     "minhash-links")
+        out = saved(overlapping(full, self.percent).select(F.col("of_a").alias("u"), F.col("of_b").alias("v")).distinct(), "minhash-links")
+        dropped(near)
+        return out
+
+
+def overlapping(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets overlap by ``percent`` of their union. Sets are
+    sorted, so the common shingles of a pair are found by one search."""
+    def run(batch: pa.RecordBatch):
+        keep = []
+        for x, y in zip(batch.column(4), batch.column(5), strict=True):
+            a, b = (v.values.to_numpy().view(np.uint64) for v in (x, y))
+            if len(a) > len(b):
+                a, b = b, a
+            at = np.searchsorted(b, a)
+            common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+            keep.append(100 * common >= percent * (len(a) + len(b) - common))
+        yield batch.select([2, 3]).filter(pa.array(keep))
+
+    return arrow_map(pairs.select("a", "b", "of_a", "of_b", "set_a", "set_b"), run, "of_a long, of_b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -176,54 +196,80 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     classes = saved(known.groupBy("digest").agg(F.min("doc_id").alias("id")), "minhash-classes")
     member_of = saved(known.select("doc_id", "digest").join(classes, "digest").select("doc_id", "id"), "minhash-members")
 
-    # buckets with more than one class
-    firsts = member_of.where("doc_id = id").select("id").distinct()
-    wide = known.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
-    shared = saved(wide.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-                       .where("lo < hi").select("key"), "minhash-shared")
-    in_buckets = (wide.join(shared, "key").join(firsts, F.col("doc_id") == F.col("id"), "left_semi")
-                .select("key", F.col("doc_id").alias("id"), F.col("n_shingles").alias("n")).distinct())
-    buckets = saved(in_buckets, "minhash-buckets")
-    size = buckets.count()
-    pivots = saved(buckets.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("size")).where("size > 1"),
-                   "minhash-pivots", size)
-    pairs = saved(buckets.join(pivots, "key").where("id != b").select(F.col("id").alias("a"), "b").distinct(),
-                  "minhash-pairs", size)
-    buckets = saved(buckets.join(pivots.select("key"), "key"), "minhash-buckets", size)
-
-    involved = saved(buckets.select("id").distinct(), "minhash-ids", size)
-    marks = known.select(F.col("doc_id").alias("id"), "signature").join(involved, "id", "left_semi")
+    # buckets with more than one class; a class goes by its first document
+    again = saved(known.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "minhash-again")
+    repeated = bool(again.head(1))
+    firsts = member_of.where("doc_id = id").select("doc_id").distinct()
+    reps = known.join(firsts, "doc_id", "left_semi")
+    if repeated:  # rows that share an id: each text of it once
+        reps = reps.dropDuplicates(["doc_id", "digest"])
+    reps = saved(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "keys", "signature"), "minhash-firsts")
+    wide = reps.select("id", "n", F.explode("keys").alias("key"))
+    shared = saved(wide.groupBy("key").agg(F.min("id").alias("b"), F.min_by("n", "id").alias("m"), F.max("id").alias("last"))
+                       .where("b < last").select("key", "b", "m"), "minhash-shared")
+    split = saved(wide.join(shared, "key").select("key", "id", "n", F.col("id").alias("component"), "b", "m"), "minhash-split")
+    size = split.count()
+    dropped(shared)
+
+    involved = saved(split.select("id").distinct(), "minhash-ids", size)
     texts = src.join(involved, src["doc_id"] == involved["id"], "left_semi")
-    compare = Comparison(saved(marks, "minhash-marks"), saved(shingle_sets(texts, k), "minhash-sets"), percent)
-
-    links = compare.links(pairs)
-    done = pairs
-    for seed in range(20):
-        found = connected_components(links)
-        split, held = _split_buckets(buckets, found, size)
-        pairs = _pivot_pairs(split, held, seed, percent, size).join(done, ["a", "b"], "left_anti")
+    if repeated:
+        texts = texts.join(again, "doc_id", "left_anti").union(texts.join(again, "doc_id", "left_semi").distinct())
+    compare = Comparison(saved(reps.select("id", "signature").join(involved, "id", "left_semi"), "minhash-marks"),
+                         saved(shingle_sets(texts, k), "minhash-sets"), percent)
+    dropped(reps, involved)
+
+    # every member of a bucket with its pivot; components grow, and what may still hold a link shrinks
+    merges, done = [], []
+    split = split.select("*", F.col("b").alias("top"))
+    for seed in range(ROUNDS):
+        pairs = split.where((F.col("component") != F.col("top")) & _alike("n", "m", percent))
+        pairs = pairs.select(F.col("id").alias("a"), "b", F.col("component").alias("of_a"), F.col("top").alias("of_b"))
+        pairs = pairs.dropDuplicates(["a", "b"])
+        if done:
+            pairs = pairs.join(reduce(DataFrame.union, done), ["a", "b"], "left_anti")
         pairs = saved(pairs, "minhash-pairs", size)
-        if not pairs.head(1):
-            break
-        more = compare.links(pairs)
-        done = saved(done.union(pairs), "minhash-done", 2 * size)
-        if not more.head(1):
+        done.append(pairs.select("a", "b"))
+        links = compare.links(pairs)
+        merged = connected_components(links)
+        more = bool(links.head(1))
+        dropped(links)
+        if more:
+            merges.append(merged)
+        last, split = split, saved(_unsettled(split, merged, seed), "minhash-split", size)
+        dropped(last)
+        if not more or not split.head(1):
             break
-        links = saved(links.union(more), "minhash-links", 2 * size)
-    rest = _rare_pairs(saved(_rare_shingles(compare.sets, split, percent), "minhash-rare"), split, percent)
-    more = compare.links(rest)
-    if more.head(1):
-        found = connected_components(links.union(more))
-
-    named = member_of.distinct().join(found, member_of["id"] == found["node"], "left").select(
-        "doc_id", F.coalesce("component", "id").alias("component_id"))
-    named = saved(named.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "minhash-named")
+    if split.head(1):
+        rare = saved(_rare_shingles(compare.sets, split, percent), "minhash-rare")
+        links = compare.links(saved(_rare_pairs(rare, split, percent), "minhash-rare-pairs"))
+        if links.head(1):
+            merges.append(connected_components(links))
+
+    named = member_of.distinct()
+    for merged in merges:
+        named = (named.join(merged, named["id"] == merged["node"], "left")
+                      .select("doc_id", F.coalesce("component", "id").alias("id")))
+    named = saved(named.groupBy("doc_id").agg(F.min("id").alias("component_id")), "minhash-named")
     result = prints.select("doc_id", "n_shingles").join(named, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return result.select("doc_id", "n_shingles", component.alias("component_id"),
                          F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _unsettled(split: DataFrame, merged: DataFrame, seed: int) -> DataFrame:
+    """Members of buckets (``key, id, n, component, b, m, top``) after a round:
+    under their new components, without the last pivots, of which all is known,
+    and without buckets that hold one component. Each with the next pivot of its
+    bucket, a member of the largest component (``b``, its size ``m``, its component ``top``)."""
+    now = (split.where("id != b").join(merged, split["component"] == merged["node"], "left")
+                .select("key", "id", "n", F.coalesce(merged["component"], split["component"]).alias("component")))
+    order = F.xxhash64("id", F.lit(seed))
+    held = now.groupBy("key", "component").agg(F.count("*").alias("size"), F.min_by("id", order).alias("b"), F.min_by("n", order).alias("m"))
+    tops = held.groupBy("key").agg(F.max(F.struct("size", "component", "b", "m")).alias("t"), F.count("*").alias("held")).where("held > 1")
+    return now.join(tops, "key").select("key", "id", "n", "component", "t.b", "t.m", F.col("t.component").alias("top"))
+
+
 def _rare_shingles(sets: DataFrame, split: DataFrame, percent: int) -> DataFrame:
     """``key, id, n, left``: the rarest shingles of each member of ``split``, as
     many as a link cannot miss, each with the number of shingles from it on.
@@ -256,30 +302,6 @@ def _rare_shingles(sets: DataFrame, split: DataFrame, percent: int) -> DataFrame
     return arrow_map(chosen, run, "key long, id long, n long, left long")
 
 
-def _split_buckets(buckets: DataFrame, found: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """Members of buckets that hold several components, with their component,
-    and the sizes of the components in each."""
-    named = saved(buckets.join(found, buckets["id"] == found["node"], "left")
-                         .select("key", "id", "n", F.coalesce("component", "id").alias("component")), "minhash-split", size)
-    held = named.groupBy("key", "component").agg(F.count("*").alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    several = held.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2")
-    several = saved(several.select("key"), "minhash-several", size)
-    return (saved(named.join(several, "key"), "minhash-split", size),
-            saved(held.join(several, "key"), "minhash-held", size))
-
-
-def _pivot_pairs(split: DataFrame, held: DataFrame, seed: int, percent: int, size: int) -> DataFrame:
-    """Members outside their bucket's largest component, with one of its members."""
-    largest = held.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"))
-    largest = saved(largest.select("key", F.col("top.component").alias("component")), "minhash-largest", size)
-    inside = split.join(largest, ["key", "component"])
-    pivot = inside.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(seed)).alias("h"), "id", "n", "component")).alias("p"))
-    pivot = saved(pivot.select("key", F.col("p.id").alias("b"), F.col("p.n").alias("m"), F.col("p.component").alias("top")),
-                  "minhash-pivot", size)
-    return (split.join(pivot, "key").where((F.col("component") != F.col("top")) & _alike("n", "m", percent))
-                 .select(F.col("id").alias("a"), "b").distinct())
-
-
 def _alike(n: str, m: str, percent: int):
     """Whether sets of these sizes can overlap enough."""
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
@@ -316,4 +338,5 @@ def _rare_pairs(rare: DataFrame, split: DataFrame, percent: int) -> DataFrame:
     first, second = (side(members, k, "component", "id", "n", "left") for k in (1, 2))
     return (apart.join(first, ["key", "component1"]).join(second, ["key", "component2"])
                  .where(_alike("n1", "n2", percent) & enough("n1", "n2", "left1", "left2"))
-                 .select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct())
+                 .select(F.col("id1").alias("a"), F.col("id2").alias("b"), F.col("component1").alias("of_a"), F.col("component2").alias("of_b"))
+                 .dropDuplicates(["a", "b"]))

@@ -9,10 +9,11 @@ training with SGD); only p×p-sized arrays leave the executors.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,8 +36,11 @@ EXPERIMENTS = [
 RMSPROP_RHO = 0.9
 RMSPROP_EPSILON = 1e-7
 # ---------------------------------------------------------------------------
-#: Shards of an epoch; 1 is the sequential loop of the published training.
-SHARDS = 4
+#: Batches of a shard: a training of n batches runs in ceil(n / SHARD_BATCHES)
+#: shards. One shard is the sequential loop of the published training.
+SHARD_BATCHES = 4096
+#: Modulus and base of the epochs' batch orders (a full-period generator).
+ORDER_MODULUS, ORDER_BASE = 2147483647, 48271
 BIAS = "bias"
 
 
@@ -129,8 +133,10 @@ def rmse(df: DataFrame, model: LinearModel, label: str) -> DataFrame:
 
 
 def batch_id(key_cols: list[str], n_batches: int, seed: int = 42) -> Column:
-    """Pseudo-random, reproducible mini-batch id from the row key."""
-    return F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in key_cols]), F.lit(n_batches)).cast("bigint")
+    """Pseudo-random, reproducible mini-batch id from the row key (of its md5,
+    so that any engine can recompute it)."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key_cols]))
+    return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"), F.lit(n_batches)).cast("bigint")
 
 
 def gram_stats(df: DataFrame, features: list[str], label: str, key_cols: list[str] | None = None,
@@ -159,24 +165,27 @@ def gram_stats(df: DataFrame, features: list[str], label: str, key_cols: list[st
     return complete.groupBy(batch_id(key_cols, n_batches, seed).alias("batch")).agg(*aggs)
 
 
-def _epoch_generic(order, Gl, cl, yl, nl, w, v, lr, rho, eps):
+def _steps_generic(batches, w, v, lr, rho, eps):
+    """RMSprop over batches, each the upper triangle of its feature products by
+    rows, its products with the label, Σy² and n; updates ``w`` and ``v`` and
+    returns the squared error before each update and the rows."""
     q = len(w)
     rq = range(q)
     sse = rows = 0.0
-    for b in order:
-        Gb, cb, nb = Gl[b], cl[b], nl[b]
-        Gw = [sum(Gb[i][j] * w[j] for j in rq) for i in rq]
-        sse += yl[b] - 2.0 * sum(w[i] * cb[i] for i in rq) + sum(w[i] * Gw[i] for i in rq)
-        rows += nb
-        k = 2.0 / nb
+    for values in batches:
+        g, c, syy, n = square(values, q), values[-q - 2:-2], values[-2], values[-1]
+        gw = [sum(g[i][j] * w[j] for j in rq) for i in rq]
+        sse += syy - 2.0 * sum(w[i] * c[i] for i in rq) + sum(w[i] * gw[i] for i in rq)
+        rows += n
+        k = 2.0 / n
         for i in rq:
-            g = k * (Gw[i] - cb[i])
-            v[i] = rho * v[i] + (1.0 - rho) * g * g
-            w[i] -= lr * g / (math.sqrt(v[i]) + eps)
+            d = k * (gw[i] - c[i])
+            v[i] = rho * v[i] + (1.0 - rho) * d * d
+            w[i] -= lr * d / (math.sqrt(v[i]) + eps)
     return sse, rows
 
 
-def _epoch_q2(order, Gl, cl, yl, nl, w, v, lr, rho, eps):
+def _steps_q2(batches, w, v, lr, rho, eps):
     """One feature + bias, unrolled: the generic loop's arithmetic with plain
     left-to-right sums (Python's sum() compensates rounding; results agree to
     about 1e-15)."""
@@ -184,15 +193,12 @@ def _epoch_q2(order, Gl, cl, yl, nl, w, v, lr, rho, eps):
     v0, v1 = v
     sqrt, r1 = math.sqrt, 1.0 - rho
     sse = rows = 0.0
-    for b in order:
-        (g00, g01), (g10, g11) = Gl[b]
-        c0, c1 = cl[b]
-        nb = nl[b]
+    for g00, g01, g11, c0, c1, syy, n in batches:
         gw0 = g00 * w0 + g01 * w1
-        gw1 = g10 * w0 + g11 * w1
-        sse += yl[b] - 2.0 * (w0 * c0 + w1 * c1) + (w0 * gw0 + w1 * gw1)
-        rows += nb
-        k = 2.0 / nb
+        gw1 = g01 * w0 + g11 * w1
+        sse += syy - 2.0 * (w0 * c0 + w1 * c1) + (w0 * gw0 + w1 * gw1)
+        rows += n
+        k = 2.0 / n
         d0 = k * (gw0 - c0)
         d1 = k * (gw1 - c1)
         v0 = rho * v0 + r1 * d0 * d0
@@ -204,22 +210,19 @@ def _epoch_q2(order, Gl, cl, yl, nl, w, v, lr, rho, eps):
     return sse, rows
 
 
-def _epoch_q3(order, Gl, cl, yl, nl, w, v, lr, rho, eps):
-    """Two features + bias, unrolled like :func:`_epoch_q2`."""
+def _steps_q3(batches, w, v, lr, rho, eps):
+    """Two features + bias, unrolled like :func:`_steps_q2`."""
     w0, w1, w2 = w
     v0, v1, v2 = v
     sqrt, r1 = math.sqrt, 1.0 - rho
     sse = rows = 0.0
-    for b in order:
-        (g00, g01, g02), (g10, g11, g12), (g20, g21, g22) = Gl[b]
-        c0, c1, c2 = cl[b]
-        nb = nl[b]
+    for g00, g01, g02, g11, g12, g22, c0, c1, c2, syy, n in batches:
         gw0 = g00 * w0 + g01 * w1 + g02 * w2
-        gw1 = g10 * w0 + g11 * w1 + g12 * w2
-        gw2 = g20 * w0 + g21 * w1 + g22 * w2
-        sse += yl[b] - 2.0 * (w0 * c0 + w1 * c1 + w2 * c2) + (w0 * gw0 + w1 * gw1 + w2 * gw2)
-        rows += nb
-        k = 2.0 / nb
+        gw1 = g01 * w0 + g11 * w1 + g12 * w2
+        gw2 = g02 * w0 + g12 * w1 + g22 * w2
+        sse += syy - 2.0 * (w0 * c0 + w1 * c1 + w2 * c2) + (w0 * gw0 + w1 * gw1 + w2 * gw2)
+        rows += n
+        k = 2.0 / n
         d0 = k * (gw0 - c0)
         d1 = k * (gw1 - c1)
         d2 = k * (gw2 - c2)
@@ -234,7 +237,7 @@ def _epoch_q3(order, Gl, cl, yl, nl, w, v, lr, rho, eps):
     return sse, rows
 
 
-_EPOCH = {2: _epoch_q2, 3: _epoch_q3}
+_STEPS = {2: _steps_q2, 3: _steps_q3}
 
 
 def settings_frame(spark: SparkSession, experiments=None) -> DataFrame:
@@ -296,9 +299,19 @@ def gram_table(df: DataFrame, specs: list[tuple[tuple[str, ...], int]], label: s
     return grouped.select(F.coalesce(*parts).alias("r")).where(F.col("r").isNotNull()).select("r.*")
 
 
-def epoch_order(epoch: int, seed: int) -> Column:
-    """Order of the batches in an epoch: shuffled anew each time, the same in every run."""
-    return F.xxhash64(F.lit(seed), F.lit(epoch), F.col("batch"))
+def epoch_factor(epoch: int, seed: int) -> int:
+    return pow(ORDER_BASE, epoch + seed % 1000, ORDER_MODULUS)
+
+
+def epoch_order(batch, epoch: int, seed: int):
+    """What the batches of an epoch are ordered by (ties by batch): another
+    order each epoch, the same in every run. ``batch``: a column or an array."""
+    return (batch % ORDER_MODULUS + 1) * epoch_factor(epoch, seed) % ORDER_MODULUS
+
+
+def shard_count(n_batches: int, shards: int | None = None) -> int:
+    """Shards of a training: one for every ``SHARD_BATCHES`` batches, unless given."""
+    return min(n_batches, shards or -(-n_batches // SHARD_BATCHES))
 
 
 def square(upper: list[float], q: int) -> list[list[float]]:
@@ -312,20 +325,22 @@ def square(upper: list[float], q: int) -> list[list[float]]:
 
 
 def sweep_settings(df: DataFrame, settings: DataFrame, label: str, key_cols: list[str], seed: int = 42,
-                   shards: int = SHARDS) -> DataFrame:
+                   shards: int | None = None) -> DataFrame:
     """Train every setting (row of ``settings``) by RMSprop and return the loss
     curves: ``experiment, epoch, loss, rmse, rmse_final, features, weights, bias``.
 
     One job writes the per-batch sums of every distinct (features, batch size)
-    as a table in the shared folder; batches keep the asked size however many
-    there are. Each epoch is one job for all settings: batches are dealt to
-    ``shards`` by their id, every shard starts from the epoch's weights and
-    passes over its own batches in a shuffled order, streaming them from a
-    sorted partition, and the driver averages the shards' weights and squared
-    gradients by rows. It sees settings x shards short rows per epoch. One shard
-    is the sequential loop over all batches; more shards are another algorithm
-    (local steps, averaged each epoch), which takes the more steps per epoch
-    the more data there are, and need not reach the same weights.
+    to the shared folder, a row for each shard: batches keep the asked size, are
+    dealt to shards in turn, and a shard has at most ``SHARD_BATCHES`` of them
+    (unless ``shards`` is given), so shards grow with the rows and a row stays
+    small. Each epoch is one job for all settings that reads this table in
+    place: nothing but each shard's weights is shuffled. A task permutes a
+    shard's batches into the epoch's order and passes over them from the epoch's
+    weights; weights and squared gradients are averaged by rows, so the driver
+    sees one row per setting. One shard is the sequential loop over all batches;
+    more shards are another algorithm (local steps, averaged each epoch), which
+    takes the more steps per epoch the more data there are, and need not reach
+    the same weights.
 
     Loss and RMSE are the running values over an epoch, taken before each
     update; ``rmse_final`` is that of the averaged weights on all rows.
@@ -337,7 +352,7 @@ def sweep_settings(df: DataFrame, settings: DataFrame, label: str, key_cols: lis
         if int(st.batch_size) < 1 or int(st.number_epochs) < 0 or not st.input_features:
             raise ValueError(f"setting {st.experiment!r}: batch_size >= 1, number_epochs >= 0 and at least "
                              "one feature are required")
-    if shards < 1:
+    if shards is not None and shards < 1:
         raise ValueError("shards must be at least 1")
     n_rows = df.count() if sets else 0
     if not n_rows:
@@ -350,8 +365,7 @@ def sweep_settings(df: DataFrame, settings: DataFrame, label: str, key_cols: lis
             spec_of[key] = len(specs)
             specs.append((key[0], max(1, math.ceil(n_rows / key[1]))))
     used = [spec_of[tuple(st.input_features), int(st.batch_size)] for st in sets]
-    table = staged(gram_table(df, specs, label, key_cols, seed)
-                   .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "batch"), F.lit(shards)).cast("int")), "gram")
+    table = shard_table(gram_table(df, specs, label, key_cols, seed), [shard_count(n, shards) for _, n in specs])
     totals = _totals(table, specs)
     state = [([0.0] * (len(st.input_features) + 1), [0.0] * (len(st.input_features) + 1)) for st in sets]
     history = []
@@ -359,14 +373,11 @@ def sweep_settings(df: DataFrame, settings: DataFrame, label: str, key_cols: lis
         live = [i for i, st in enumerate(sets) if epoch <= int(st.number_epochs) and used[i] in totals]
         if not live:
             break
-        found = _epoch(table, sets, used, live, state, epoch, seed, shards)
+        found = _epoch(table, sets, used, live, state, epoch, seed)
         for i in live:
-            rows = [r for r in found if r["experiment"] == i]
-            n = sum(r["n"] for r in rows)
-            q = len(state[i][0])
-            mean = lambda name: [sum(r[name][j] * r["n"] for r in rows) / n for j in range(q)]
-            state[i] = (mean("w"), mean("v"))
-            loss = sum(r["sse"] for r in rows) / n
+            r, q = found[i], len(state[i][0])
+            state[i] = tuple([r[f"{name}{j}"] / r["n"] for j in range(q)] for name in "wv")
+            loss = r["sse"] / r["n"]
             g, c, syy, count = totals[used[i]]
             w = np.array(state[i][0])
             final = (syy - 2.0 * float(w @ c) + float(w @ g @ w)) / count
@@ -376,11 +387,21 @@ def sweep_settings(df: DataFrame, settings: DataFrame, label: str, key_cols: lis
     return spark.createDataFrame(history, HISTORY_SCHEMA)
 
 
+def shard_table(grams: DataFrame, shards: list[int]) -> DataFrame:
+    """``spec, batches``: a row for each shard of a spec, its batches by id.
+    Written with a file per row (or several rows in a file when there are many
+    more than task slots), so that an epoch's tasks read their shards in place."""
+    count = F.element_at(F.array(*map(F.lit, shards)), F.col("spec") + 1)
+    rows = grams.withColumn("shard", F.pmod("batch", count)).groupBy("spec", "shard").agg(
+        F.sort_array(F.collect_list(F.struct("batch", "g", "c", "syy", F.col("n").cast("double").alias("n")))).alias("batches"))
+    return staged(rows.repartition(min(sum(shards), 4 * grams.sparkSession.sparkContext.defaultParallelism)), "gram")
+
+
 def _totals(table: DataFrame, specs) -> dict[int, tuple]:
     """Sums over all batches of each spec (one row per spec)."""
     size = max(len(f) for f, _ in specs) + 1
     wide = size * (size + 1) // 2
-    got = table.groupBy("spec").agg(
+    got = table.select("spec", F.inline("batches")).groupBy("spec").agg(
         *[F.sum(F.get("g", F.lit(i))).alias(f"g{i}") for i in range(wide)],
         *[F.sum(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(size)],
         F.sum("syy").alias("syy"), F.sum("n").alias("n")).collect()
@@ -392,44 +413,47 @@ def _totals(table: DataFrame, specs) -> dict[int, tuple]:
     return out
 
 
-def _epoch(table: DataFrame, sets, used: list[int], live: list[int], state, epoch: int, seed: int, shards: int) -> list:
-    """One epoch of the live settings: a row of weights per setting and shard."""
-    who = F.coalesce(*[F.when(F.col("spec") == k, F.array(*[F.lit(i) for i in live if used[i] == k]))
-                       for k in sorted({used[i] for i in live})])
-    rows = (table.withColumn("experiment", F.explode(who)).withColumn("_order", epoch_order(epoch, seed))
-                 .repartition(len(live) * shards, "experiment", "shard")
-                 .sortWithinPartitions("experiment", "shard", "_order", "batch")
-                 .select("experiment", "shard", "n", "g", "c", "syy"))
+def _epoch(table: DataFrame, sets, used: list[int], live: list[int], state, epoch: int, seed: int) -> dict[int, dict]:
+    """One epoch of the live settings: of each, the sums over its shards of the
+    squared error, the rows, and the weights and squared gradients by rows."""
+    by_spec: dict[int, list[int]] = {}
+    for i in live:
+        by_spec.setdefault(used[i], []).append(i)
     rates = {i: float(sets[i].learning_rate) for i in live}
     start = {i: state[i] for i in live}
 
-    def run(batches):
-        at, w, v, sse, n = None, None, None, 0.0, 0.0
-        for pdf in batches:
-            for key, part in pdf.groupby(["experiment", "shard"], sort=False):
-                if key != at:
-                    if at is not None:
-                        yield pd.DataFrame([(*map(int, at), w, v, sse, n)], columns=STEP_COLUMNS)
-                    at, sse, n = key, 0.0, 0.0
-                    w, v = list(start[key[0]][0]), list(start[key[0]][1])
-                q = len(w)
-                gs = [square(g, q) for g in part["g"].map(list)]
-                cs, ys, ns = part["c"].map(list).tolist(), part["syy"].tolist(), part["n"].tolist()
-                step = _EPOCH.get(q, _epoch_generic)
-                more, count = step(range(len(ns)), gs, cs, ys, ns, w, v, rates[key[0]], RMSPROP_RHO, RMSPROP_EPSILON)
-                sse, n = sse + more, n + count
-        if at is not None:
-            yield pd.DataFrame([(*map(int, at), w, v, sse, n)], columns=STEP_COLUMNS)
-
-    return rows.mapInPandas(run, "experiment int, shard int, w array<double>, v array<double>, sse double, n double").collect()
-
-
-STEP_COLUMNS = ["experiment", "shard", "w", "v", "sse", "n"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            out = []
+            for spec, shard in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
+                if spec not in by_spec:
+                    continue
+                ids, g, c, syy, n = (shard.values.field(k) for k in ("batch", "g", "c", "syy", "n"))
+                count = len(ids)
+                values = np.column_stack([x.flatten().to_numpy().reshape(count, -1) for x in (g, c)]
+                                         + [x.to_numpy() for x in (syy, n)])
+                order = np.argsort(epoch_order(ids.to_numpy(), epoch, seed), kind="stable")
+                steps = values[order].tolist()
+                for i in by_spec[spec]:
+                    w, v = (list(x) for x in start[i])
+                    sse, seen = _STEPS.get(len(w), _steps_generic)(steps, w, v, rates[i], RMSPROP_RHO, RMSPROP_EPSILON)
+                    out.append({"experiment": i, "w": w, "v": v, "sse": sse, "n": seen})
+            yield pa.RecordBatch.from_pylist(out, STEP_SCHEMA)
+
+    moved = table.select("spec", "batches").mapInArrow(run, "experiment int, w array<double>, v array<double>, sse double, n double")
+    size = max(len(state[i][0]) for i in live)
+    sums = [F.sum(F.get(name, F.lit(j)) * F.col("n")).alias(f"{name}{j}") for name in "wv" for j in range(size)]
+    got = moved.groupBy("experiment").agg(*sums, F.sum("sse").alias("sse"), F.sum("n").alias("n")).collect()
+    return {r["experiment"]: r.asDict() for r in got}
+
+
+STEP_SCHEMA = pa.schema([("experiment", pa.int32()), ("w", pa.list_(pa.float64())), ("v", pa.list_(pa.float64())),
+                         ("sse", pa.float64()), ("n", pa.float64())])
 
 
 def fit_sgd(df: DataFrame, features: list[str], label: str, key_cols: list[str], learning_rate: float = 0.001,
             epochs: int = 20, batch_size: int = 50, name: str = "sgd", seed: int = 42,
-            shards: int = SHARDS) -> DataFrame:
+            shards: int | None = None) -> DataFrame:
     """One RMSprop training run; returns its loss curve (see :func:`sweep_settings`)."""
     s = settings_frame(df.sparkSession, [(name, learning_rate, epochs, batch_size, features)])
     return sweep_settings(df, s, label, key_cols, seed, shards)

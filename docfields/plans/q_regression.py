@@ -161,32 +161,106 @@ def q_formula_gap(spark, sf_dir):
     return rg.formula_gap(exact_two(spark, sf_dir).weights_df(spark))
 
 
-# ------------------------------------------------ iterative training (rows-only checks)
+# ------------------------------------------------ iterative training
+
+def _step_sql(q: int) -> str:
+    """One RMSprop step as a lambda over lists: ``s`` is weights, squared
+    gradients, squared error and rows; ``x`` a batch (products by rows, products
+    with the label, sum of squares, rows)."""
+    upper = {}
+    for i in range(q):
+        for j in range(i, q):
+            upper[i, j] = upper[j, i] = f"x[{len(set(upper.values())) + 1}]"
+    u = q * (q + 1) // 2
+    c = [f"x[{u + 1 + i}]" for i in range(q)]
+    syy, n = f"x[{u + q + 1}]", f"x[{u + q + 2}]"
+    w, v = [f"s[{i + 1}]" for i in range(q)], [f"s[{q + i + 1}]" for i in range(q)]
+    gw = ["(" + " + ".join(f"{upper[i, j]} * {w[j]}" for j in range(q)) + ")" for i in range(q)]
+    d = [f"(2.0e0 / {n} * ({gw[i]} - {c[i]}))" for i in range(q)]
+    nv = [f"({rg.RMSPROP_RHO}e0 * {v[i]} + {1 - rg.RMSPROP_RHO}e0 * {d[i]} * {d[i]})" for i in range(q)]
+    nw = [f"{w[i]} - rate * {d[i]} / (sqrt({nv[i]}) + {rg.RMSPROP_EPSILON:.17f}e0)" for i in range(q)]
+    sse = (f"s[{2 * q + 1}] + {syy} - 2.0e0 * ({' + '.join(f'{w[i]} * {c[i]}' for i in range(q))})"
+           f" + ({' + '.join(f'{w[i]} * {gw[i]}' for i in range(q))})")
+    return f"lambda s, x: [{', '.join([*nw, *nv, sse, f's[{2 * q + 2}] + {n}'])}]"
+
+
+def _history_sql(experiments) -> str:
+    """The trainings of one shard in plain SQL: batches by the md5 of the key,
+    an order of theirs for every epoch, and a fold over each epoch's batches.
+    Gives ``history``: ``experiment, epoch, loss, rmse, rmse_final, w`` (weights, bias last)."""
+    parts, states = [TRIPS_M], []
+    specs = {}
+    for _, _, epochs, size, feats in experiments:
+        specs[tuple(feats), size] = max(epochs, specs.get((tuple(feats), size), 0))
+    key = f"concat_ws('|', '{SEED}', {', '.join(f'CAST({k} AS VARCHAR)' for k in KEY)})"
+    for k, ((feats, size), epochs) in enumerate(specs.items()):
+        xs = [*feats, "1.0e0"]
+        q = len(xs)
+        sums = [f"sum({xs[i]} * {xs[j]})" for i in range(q) for j in range(i, q)]
+        sums += [f"sum({x} * {LABEL})" for x in xs] + [f"sum({LABEL} * {LABEL})", "CAST(count(*) AS DOUBLE)"]
+        factors = ", ".join(str(rg.epoch_factor(e, SEED)) for e in range(1, epochs + 1))
+        parts.append(f"""b{k} AS MATERIALIZED (
+  SELECT CAST('0x' || substr(md5({key}), 1, 15) AS BIGINT) % CAST(ceil((SELECT count(*) FROM t) / {size}) AS BIGINT) AS batch,
+         [{', '.join(sums)}] AS x FROM t GROUP BY 1),
+o{k} AS MATERIALIZED (
+  SELECT epoch, list(x ORDER BY (batch % {rg.ORDER_MODULUS} + 1) * factor % {rg.ORDER_MODULUS}, batch) AS xs
+  FROM b{k}, (SELECT unnest(range(1, {epochs + 1})) AS epoch, unnest([{factors}]) AS factor) GROUP BY epoch),
+g{k} AS (SELECT [{', '.join(f'sum(x[{i + 1}])' for i in range(len(sums)))}] AS g FROM b{k})""")
+    for name, rate, epochs, size, feats in experiments:
+        k, q = list(specs).index((tuple(feats), size)), len(feats) + 1
+        u = q * (q + 1) // 2
+        i = len(states)
+        zeros = ", ".join(["0.0e0"] * (2 * q + 2))
+        keep = f"list_slice(s, 1, {2 * q}) || [0.0e0, 0.0e0]"
+        parts.append(f"""s{i} AS (
+  SELECT 0 AS epoch, [{zeros}] AS s, {rate:.10f}e0 AS rate
+  UNION ALL
+  SELECT s{i}.epoch + 1, list_reduce(list_prepend({keep}, xs), {_step_sql(q)}), rate
+  FROM s{i} JOIN o{k} ON o{k}.epoch = s{i}.epoch + 1 WHERE s{i}.epoch < {epochs})""")
+        w = [f"s[{j + 1}]" for j in range(q)]
+        place = {}
+        for a in range(q):
+            for b in range(a, q):
+                place[a, b] = place[b, a] = f"g[{len(set(place.values())) + 1}]"
+        final = (f"(g[{u + q + 1}] - 2 * ({' + '.join(f'{w[j]} * g[{u + j + 1}]' for j in range(q))}) + "
+                 + " + ".join(f"{w[a]} * {place[a, b]} * {w[b]}" for a in range(q) for b in range(q)) + f") / g[{u + q + 2}]")
+        loss = f"s[{2 * q + 1}] / s[{2 * q + 2}]"
+        states.append(f"""SELECT '{name}' AS experiment, epoch, {loss} AS loss, sqrt(greatest({loss}, 0)) AS rmse,
+       sqrt(greatest({final}, 0)) AS rmse_final, [{', '.join(w)}] AS w FROM s{i}, g{k} WHERE epoch > 0""")
+    return "WITH RECURSIVE " + ",\n".join([*parts, "history AS (" + "\nUNION ALL ".join(states) + ")"]) + "\n"
+
 
 def sweep(spark, sf_dir, experiments=SWEEP):
     s = rg.settings_frame(spark, experiments)
     return rg.sweep_settings(trips(spark, sf_dir), s, LABEL, KEY, SEED)
 
 
-@query("fit_sgd")
+TRAINED = SWEEP[:1] + SWEEP[-1:]
+
+
+@query("fit_sgd", _history_sql(SWEEP[:1]) + """
+SELECT experiment, epoch, loss, rmse, rmse_final, w[1] AS weight, w[2] AS bias FROM history""")
 def q_fit_sgd(spark, sf_dir):
-    """RMSprop, lr 0.001, batch 50, 20 epochs on TRIP_MILES: loss curve + weights per epoch
-    (one shard: the sequential loop)."""
-    return rg.fit_sgd(trips(spark, sf_dir), ONE, LABEL, KEY, 0.001, 20, 50, "one_feature", SEED, shards=1).drop("features")
+    """RMSprop, lr 0.001, batch 50, 20 epochs on TRIP_MILES: loss curve + weight and bias per epoch."""
+    h = rg.fit_sgd(trips(spark, sf_dir), ONE, LABEL, KEY, 0.001, 20, 50, "one_feature", SEED)
+    return h.withColumn("weight", F.col("weights")[0]).drop("features", "weights")
 
 
-@query("sweep_settings")
+@query("sweep_settings", _history_sql(SWEEP) + """
+SELECT experiment, epoch, loss, rmse, rmse_final, w[-1] AS bias FROM history""")
 def q_sweep_settings(spark, sf_dir):
     """The published hyper-parameter study, trained together: one job per epoch."""
     return sweep(spark, sf_dir).drop("features", "weights")
 
 
-@query("loss_curve")
+@query("loss_curve", _history_sql(TRAINED) + "SELECT experiment, epoch, loss, rmse, rmse_final FROM history")
 def q_loss_curve(spark, sf_dir):
-    return rg.loss_curve(sweep(spark, sf_dir, SWEEP[:1] + SWEEP[-1:]))
+    return rg.loss_curve(sweep(spark, sf_dir, TRAINED))
 
 
-@query("convergence_epoch")
+@query("convergence_epoch", _history_sql(SWEEP) + """,
+gains AS (SELECT experiment, epoch, lag(rmse) OVER (PARTITION BY experiment ORDER BY epoch) AS before, rmse FROM history)
+SELECT experiment, min(epoch) AS converged_epoch FROM gains WHERE (before - rmse) / before < 0.01 GROUP BY experiment""")
 def q_convergence_epoch(spark, sf_dir):
     return rg.convergence_epoch(sweep(spark, sf_dir), tol=0.01)
 
@@ -203,14 +277,20 @@ def q_fit_ml(spark, sf_dir):
 
 # ------------------------------------------------ trained models in the comparison path
 
-@query("compare_trained")
+@query("compare_trained", _history_sql(TRAINED) + """,
+r AS (SELECT h.experiment, sqrt(avg((FARE - (w[1] * TRIP_MILES + CASE WHEN len(w) = 3 THEN w[2] * TRIP_MINUTES ELSE 0 END + w[-1])) ** 2)) AS rmse
+      FROM history h, t WHERE epoch = 20 GROUP BY h.experiment)
+SELECT experiment, rmse, rmse - min(rmse) OVER () AS delta_to_best FROM r""")
 def q_compare_trained(spark, sf_dir):
     """The trained one- and two-feature models (weights of the last epoch) on the whole table."""
     t = trips(spark, sf_dir)
-    history = sweep(spark, sf_dir, SWEEP[:1] + SWEEP[-1:])
+    history = sweep(spark, sf_dir, TRAINED)
     return rg.compare_experiments(t, [rg.model_from_history(history, n) for n in ("one_feature", "two_features")], LABEL)
 
 
-@query("formula_gap_trained")
+@query("formula_gap_trained", _history_sql(SWEEP[-1:]) + """,
+wt AS (SELECT experiment, unnest(['TRIP_MILES', 'TRIP_MINUTES', 'bias']) AS term, unnest(w) AS weight,
+              unnest([2.25e0, 0.12e0, 3.25e0]) AS expected FROM history WHERE epoch = 20)
+SELECT experiment, term, weight, expected, weight - expected AS gap FROM wt""")
 def q_formula_gap_trained(spark, sf_dir):
     return rg.formula_gap(rg.final_weights(sweep(spark, sf_dir, SWEEP[-1:])))

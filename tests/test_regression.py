@@ -112,8 +112,8 @@ def test_epochs_equal_a_plain_loop(spark, shards):
     got = rg.fit_sgd(t, feats, "FARE", KEY, rate, epochs, batch, "x", 7, shards).orderBy("epoch").collect()
     nb = math.ceil(t.count() / batch)
     pdf = t.select(*feats, "FARE", rg.batch_id(KEY, nb, 7).alias("batch"),
-                   F.pmod(F.xxhash64(F.lit(7), "batch"), F.lit(shards)).alias("shard"),
-                   *[rg.epoch_order(e, 7).alias(f"o{e}") for e in range(1, epochs + 1)]).toPandas()
+                   F.pmod(rg.batch_id(KEY, nb, 7), F.lit(shards)).alias("shard"),
+                   *[rg.epoch_order(rg.batch_id(KEY, nb, 7), e, 7).alias(f"o{e}") for e in range(1, epochs + 1)]).toPandas()
     assert pdf.batch.nunique() == nb  # the asked batch size holds
     w, v = np.zeros(3), np.zeros(3)
     for e in range(1, epochs + 1):

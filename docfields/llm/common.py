@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,26 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, make: Callable):
+    """The one large object (a tokenizer with its caches) that a Python worker
+    keeps from task to task. Another one takes its place."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]],
-              schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` with a function from one batch to batches."""
+              schema: str | T.StructType, holds: bool = False) -> DataFrame:
+    """``mapInArrow`` with a function from one batch to batches. Workers serve
+    one stage after the other: what they have :func:`held` goes, unless this one
+    ``holds`` something itself."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not holds:
+            _HELD.clear()
         for b in batches:
             if b.num_rows:
                 yield from fn(b)
@@ -93,12 +110,17 @@ def renamed(docs: DataFrame, **columns: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`").alias(k) for k, c in columns.items()])
 
 
+#: Bytes that a cached segment takes besides its own and its ids'.
+ENTRY_BYTES = 200
+
+
 class PieceCache:
     """Token ids of text segments, kept in flat arrays so that a whole slice of
-    documents is gathered at once. ``encode`` turns new segments into id lists."""
+    documents is gathered at once. ``encode`` turns new segments into id lists.
+    Emptied when it holds about ``limit`` bytes, keys and ids included."""
 
-    def __init__(self, encode: Callable[[list], list], kept: int = 500_000):
-        self.encode, self.kept = encode, kept
+    def __init__(self, encode: Callable[[list], list], limit: int = 64 << 20):
+        self.encode, self.limit = encode, limit
         self.clear()
 
     def clear(self) -> None:
@@ -106,12 +128,13 @@ class PieceCache:
         self.flat = np.zeros(1 << 16, np.int32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.sizes = np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.used = self.bytes = 0
 
     def _add(self, segments: list) -> None:
         lists = self.encode(segments)
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        ids = np.fromiter((x for one in lists for x in one), np.int32, int(sizes.sum()))
+        ids = np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))
+        self.bytes += sum(map(len, segments)) + 4 * len(ids) + ENTRY_BYTES * len(segments)
         k, need = len(self.at), self.used + len(ids)
         while need > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -126,7 +149,7 @@ class PieceCache:
 
     def ids(self, segments: list, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all segments in turn, and how many each text has."""
-        if len(self.at) > self.kept or self.used > 64 * self.kept:
+        if self.bytes > self.limit:
             self.clear()
         new = [s for s in dict.fromkeys(segments) if s not in self.at]
         if new:

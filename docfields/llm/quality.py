@@ -22,7 +22,6 @@ then all documents. So every document is held against a band of each measure.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docfields.llm.common import PieceCache, arrow_map, prepare, renamed, saved, slices
+from docfields.llm.common import PieceCache, arrow_map, held, prepare, renamed, saved, slices
 
 #: Base rules: least words, most words in repeated 3-word windows (per cent).
 MIN_WORDS, MAX_REPEAT_PCT = 50, 50
@@ -71,9 +70,8 @@ class Fertility:
         return self.cache.ids(parts, np.array([len(parts)]))[0]
 
 
-@lru_cache(2)
 def fertility(path: str) -> Fertility:
-    return Fertility(path)
+    return held(("fertility", path), lambda: Fertility(path))
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -147,7 +145,7 @@ def measure_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
         f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
         "n_tokens long, chars_per_token double, byte_share double, entropy double, language string, script string")])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
-    return (arrow_map(src, run, schema)
+    return (arrow_map(src, run, schema, holds=True)
             .withColumn("base_failed", failed)
             .withColumn("lack", F.log2(F.greatest("n_tokens", F.lit(1))) - F.col("entropy"))
             .withColumn("length_class", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int")))

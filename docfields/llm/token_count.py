@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docfields.llm.common import arrow_map, prepare, renamed, slices
+from docfields.llm.common import arrow_map, held, prepare, renamed, slices
 
 #: Characters per chunk of the splitter.
 CHUNK = 512
@@ -80,6 +80,20 @@ def char_classes() -> np.ndarray:
     return out
 
 
+@lru_cache(1)
+def unknown_characters() -> re.Pattern:
+    """Code points that Python's Unicode tables do not have (yet), private and
+    surrogate ones left out."""
+    none = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
+    runs, first = [], None
+    for a, b in zip([-2, *none], [*none, -2]):
+        if b != a + 1:
+            if first is not None:
+                runs.append(f"\\U{first:08x}-\\U{a:08x}")
+            first = b
+    return re.compile(f"[{''.join(runs)}]")
+
+
 def classes_of(codes: np.ndarray) -> np.ndarray:
     cls = char_classes()[codes]
     at = np.flatnonzero(codes == 39)
@@ -294,10 +308,24 @@ class Counter:
         self.words = WordCounts(Merger(spec["model"]))
         marks = [t["content"] for t in spec.get("added_tokens", []) if t.get("special")]
         self.special = re.compile("|".join(map(re.escape, sorted(marks, key=len, reverse=True)))) if marks else None
+        self.path, self.library = path, None
+
+    def by_library(self, text: str) -> int:
+        """Tokens of a text with characters newer than Python's tables, which
+        may be letters or have another case to the library."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+            self.library = Tokenizer.from_file(self.path)
+            self.library.no_truncation()
+            self.library.no_padding()
+        return len(self.library.encode(text, add_special_tokens=False).ids)
 
     def plain(self, text: str) -> tuple[str, int]:
-        """Normal form of a text without its special strings, and their number."""
+        """Normal form of a text without its special strings, and their number.
+        A text with unknown characters is counted whole by the library."""
         n = 0
+        if not text.isascii() and unknown_characters().search(text):
+            return "", self.by_library(text)
         if self.special and "<|" in text:
             text, n = self.special.subn("\n", text)
         if not text.isascii():
@@ -317,9 +345,8 @@ class Counter:
         return np.diff(np.concatenate([[0], np.cumsum(n)])[at]) + np.array(special, np.int64)
 
 
-@lru_cache(2)
 def counter(path: str) -> Counter:
-    return Counter(path)
+    return held(("counter", path), lambda: Counter(path))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: str = "doc_id",
@@ -345,4 +372,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
 
     src = renamed(docs, doc_id=id_col, text=text_col)
     return arrow_map(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, "
-                               "over_limit boolean")
+                               "over_limit boolean", holds=True)

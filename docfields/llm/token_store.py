@@ -19,11 +19,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +31,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfields.llm.common import PieceCache, filesystem, prepare, renamed, slices
+from docfields.llm.common import ENTRY_BYTES, PieceCache, filesystem, held, prepare, renamed, slices
 from docfields.session import scratch_path
 
 MAGIC = b"TOKPACK1"
 FOOTER = struct.Struct("<8sIIQQQ")
+#: Letters with accents that are lower case and composed, so that no normal form changes them.
+ACCENTED = "à-öø-ÿ"
+#: Words of such letters and printable ASCII.
+PLAIN = re.compile(f"[!-~{ACCENTED}]+")
+#: The byte alphabet of byte-level vocabularies: printable Latin-1 stands for itself, other
+#: bytes for the characters from 256 on. Fixed values.
+_SELF = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SELF)}
+#: Bytes of parts of words that are kept with their ids.
+PART_BYTES = 32 << 20
 #: Ids per block (a multiple of 64).
 BLOCK = 1 << 14
 
@@ -171,14 +181,45 @@ class Encoder:
         self.folds = self.parted and one("ABCXYZ") == one("abcxyz")
         self.bare = Tokenizer.from_str(json.dumps({**spec, "normalizer": None})) if self.folds else self.full
         self.marks = [t["content"].lower().encode() for t in spec.get("added_tokens", [])]
-        self.cache = PieceCache(self._encode, 600_000)
+        # where the vocabulary parts words by one pattern, ASCII words can be parted here and
+        # each part, which many words share, goes to the library's merges once
+        self.part, self.parts, self.part_bytes = self._pattern(spec), {}, 0
+        self.cache = PieceCache(self._encode, 96 << 20)
+
+    def _pattern(self, spec: dict) -> re.Pattern | None:
+        """The vocabulary's own pattern for the letters of ``PLAIN``, if that and
+        the byte alphabet are all there is."""
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if not self.folds or [s["type"] for s in steps] != ["Split", "ByteLevel"] or steps[1]["use_regex"] or steps[1]["add_prefix_space"]:
+            return None
+        if not (steps[0]["invert"] and steps[0]["behavior"] == "Removed" and "Regex" in steps[0]["pattern"]):
+            return None
+        pattern = steps[0]["pattern"]["Regex"].replace(r"\p{L}", f"a-zA-Z{ACCENTED}").replace(r"\p{N}", "0-9")
+        return None if r"\p" in pattern else re.compile(pattern)
+
+    def _by_parts(self, word: str) -> list[int]:
+        ids = []
+        for part in self.part.findall(word):
+            if (own := self.parts.get(part)) is None:
+                spelled = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_LETTERS)
+                own = self.parts[part] = [t.id for t in self.full.model.tokenize(spelled)]
+                self.part_bytes += len(part) + ENTRY_BYTES + 32 * len(own)
+            ids += own
+        return ids
 
     def _encode(self, segments: list[bytes]) -> list[list[int]]:
+        if self.part_bytes > PART_BYTES:
+            self.parts, self.part_bytes = {}, 0
         out: list = [None] * len(segments)
-        plain = [s.isascii() for s in segments]
-        for tokenizer, kind in ((self.bare, True), (self.full, False)):
-            at = [i for i, p in enumerate(plain) if p is kind]
-            found = tokenizer.encode_batch_fast([segments[i].decode() for i in at], add_special_tokens=False)
+        rest: dict[bool, list[int]] = {True: [], False: []}
+        texts = [s.decode() for s in segments]
+        for i, t in enumerate(texts):
+            if self.part and PLAIN.fullmatch(t):
+                out[i] = self._by_parts(t)
+            else:
+                rest[t.isascii()].append(i)
+        for tokenizer, at in ((self.bare, rest[True]), (self.full, rest[False])):
+            found = tokenizer.encode_batch_fast([texts[i] for i in at], add_special_tokens=False) if at else []
             for i, e in zip(at, found, strict=True):
                 out[i] = e.ids
         return out
@@ -202,9 +243,8 @@ class Encoder:
         return ids, sizes
 
 
-@lru_cache(2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 def write_token_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int | None = None,
@@ -218,6 +258,8 @@ def write_token_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: in
     at the end: a lost or repeated task leaves whole files only. The driver
     gets one row per shard. Null ids come first; a null text is empty.
     """
+    if end_id is not None and not 0 <= end_id < 1 << 32:
+        raise ValueError("end_id is an unsigned 32-bit id")
     spark = prepare(docs.sparkSession)
     src = renamed(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     keyed = src.withColumn("_tie", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id())
@@ -237,7 +279,7 @@ def write_token_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: in
             for a, b in slices(texts):
                 if writer is None:
                     out = store.open_output_stream(draft)
-                    writer = ShardWriter(out, coder.bits)
+                    writer = ShardWriter(out, max(coder.bits, (end_id or 0).bit_length()))
                 ids, sizes = coder.ids(texts[a:b])
                 at = 0
                 for key, n in zip(keys[a:b], sizes.tolist(), strict=True):

@@ -16,13 +16,12 @@ from __future__ import annotations
 
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docfields.llm.common import PieceCache, arrow_map, prepare, renamed, slices
+from docfields.llm.common import PieceCache, arrow_map, held, prepare, renamed, slices
 
 #: The white space marker, and what an unknown character costs below the lowest score. Fixed values.
 MARKER, UNKNOWN_COST = "▁", 10.0
@@ -160,9 +159,8 @@ class Unigram:
 SEGMENT = re.compile(f"{MARKER}+[^{MARKER}\n]*|[^{MARKER}\n]+|\n")
 
 
-@lru_cache(2)
 def unigram(path: str) -> Unigram:
-    return Unigram(path)
+    return held(("unigram", path), lambda: Unigram(path))
 
 
 def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,22 +194,20 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
             ], names=["doc_id", "ids", "n_pieces", "n_byte_pieces", "ids_crc32", "round_trip"])
 
     return arrow_map(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_pieces long, "
-                               "n_byte_pieces long, ids_crc32 long, round_trip boolean")
+                               "n_byte_pieces long, ids_crc32 long, round_trip boolean", holds=True)
 
 
 def decode_documents(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``doc_id, text`` of encoded rows; null ids give an empty text, ids
-    outside the vocabulary an error that names them."""
+    """``doc_id, text`` of encoded rows; null ids give an empty text, a row with
+    an id outside the vocabulary (or a null one) no text."""
     prepare(encoded.sparkSession)
     src = renamed(encoded, doc_id=id_col, ids=ids_col)
 
     def run(batch: pa.RecordBatch):
         coder = unigram(model)
         rows = batch.column(1).to_pylist()
-        for ids in rows:
-            if ids and not (0 <= min(ids) and max(ids) < coder.size):
-                raise ValueError(f"piece id outside 0..{coder.size - 1}")
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([coder.decode(r or []) for r in rows], pa.string())],
-                                         names=["doc_id", "text"])
+        fine = [not r or None not in r and 0 <= min(r) and max(r) < coder.size for r in rows]
+        texts = [coder.decode(r or []) if ok else None for r, ok in zip(rows, fine, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return arrow_map(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, text string")
+    return arrow_map(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, text string", holds=True)

@@ -12,7 +12,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,8 +58,12 @@ LINKED, WORDS, SENTENCE, HEADING, NOTICE = -5.0, 0.5, 0.8, 1.5, -3.0
 #: Smoothness: between neighbours, and by closeness in the tree.
 ADJACENT, SIBLING = 0.25, 0.5
 
-TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"""
-                 r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL)
+OPENING = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+#: The rest of a tag, quoted values whole; possessive, so that a failure costs one pass.
+REST = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+ENDS = {"<!--": re.compile(r"--!?>"), "<![CDATA[": re.compile(r"\]\]>")}
+#: Tags of a page whose quotes may never close; from then on quotes count for nothing.
+ODD_QUOTES = 64
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 END_OF_SENTENCE = re.compile(r"""[.!?…。！？]["'»”’)\]]*$""")
@@ -71,7 +75,7 @@ class Element:
 
     def __init__(self, tag: str, parent: Element | None, attributes: str):
         self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
-        self.chars, self.verdict = 0, None
+        self.chars, self.verdict = 0, 0.0
         self.holds_main = self.holds_title = self.in_main = False
         found = {}
         if attributes and not attributes.isspace():
@@ -94,21 +98,39 @@ class Block:
         self.text, self.element, self.linked = text, element, linked
 
 
-def tags_of(page: str) -> list[tuple[int, int, str, bool, str]]:
+def tags_of(page: str) -> tuple[list[tuple[int, int, str, bool, str]], int]:
     """Start, end, name (none for comments), whether it closes, and attributes
-    of each tag; a raw element is one tag up to its own end."""
-    out, at, n, foreign = [], 0, len(page), 0
-    while at < n and (m := TAG.search(page, at)):
-        at = m.end()
-        tag, closing, attributes = (m[2] or "").lower(), bool(m[1]), m[3] or ""
+    of each tag, a raw element being one tag up to its own end; and where the
+    page's text ends (a tag that never ends takes the rest). A tag whose quotes
+    never close ends at the next ``>``. Linear in the page."""
+    out, at, n, foreign, odd = [], 0, len(page), 0, 0
+    while m := OPENING.search(page, at):
+        start = m.start()
+        if m[2] is None:
+            closed = ENDS[m[0]].search(page, m.end()) if m[0] in ENDS else None
+            at = closed.end() if closed else n if m[0] in ENDS else page.find(">", m.end()) + 1
+            if not at:
+                return out, start
+            out.append((start, at, "", False, ""))
+            continue
+        rest = REST.match(page, m.end()) if odd < ODD_QUOTES else None
+        if rest is None:
+            odd += 1
+            end = page.find(">", m.end())
+            if end < 0:
+                return out, start
+            attributes, at = page[m.end():end], end + 1
+        else:
+            attributes, at = rest[1], rest.end()
+        tag, closing = m[2].lower(), bool(m[1])
         single = attributes.rstrip().endswith("/")
         if tag in ("svg", "math") and not single:
             foreign = max(0, foreign + (-1 if closing else 1))
         if tag in RAW and not closing and not (foreign and single):
             end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else n
-        out.append((m.start(), at, tag, closing, attributes))
-    return out
+        out.append((start, at, tag, closing, attributes))
+    return out, n
 
 
 def skipped_ends(tags: list[tuple[int, int, str, bool, str]]) -> dict[int, int]:
@@ -146,8 +168,9 @@ def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
     elements, blocks, stack = [root], [], [root]
     parts: list[tuple[str, bool]] = []
     links, at, i = 0, 0, 0
-    tags = tags_of(page)
+    tags, last = tags_of(page)
     ends = skipped_ends(tags)
+    opened: Counter = Counter()  # open elements by name
 
     def flush() -> None:
         nonlocal parts
@@ -159,10 +182,8 @@ def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
             parts = []
 
     while True:
-        start, end, tag, closing, attributes = tags[i] if i < len(tags) else (len(page), len(page), "", False, "")
+        start, end, tag, closing, attributes = tags[i] if i < len(tags) else (last, last, "", False, "")
         text = page[at:start]
-        if i >= len(tags) and (cut := re.search(r"<[a-zA-Z/!][^<]*\Z", text)):
-            text = text[:cut.start()]
         if text:
             parts.append((text, links > 0))
         if i >= len(tags):
@@ -180,8 +201,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
                 at = tags[i - 1][1]
             else:
                 # without an end tag: up to a block, or the end of an element around it
-                around = {e.tag for e in stack} - {""}
-                while i < len(tags) and tags[i][2] not in (around if tags[i][3] else ENDS_SKIPPED):
+                while i < len(tags) and not (opened[tags[i][2]] if tags[i][3] else tags[i][2] in ENDS_SKIPPED):
                     i += 1
                 at = tags[i][0] if i < len(tags) else len(page)
             continue
@@ -194,65 +214,74 @@ def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
         flush()
         links = 0
         if closing:
-            if any(e.tag == tag for e in stack):
-                while stack.pop().tag != tag:
-                    pass
+            while opened[tag]:
+                gone = stack.pop().tag
+                opened[gone] -= 1
+                if gone == tag:
+                    break
             continue
         if tag in CLOSES_P or tag in CLOSES_SAME:
-            ends = CLOSES_SAME.get(tag, {"p"})
-            if stack[-1].tag == "p":
-                stack.pop()
-            if stack[-1].tag in ends:
-                stack.pop()
+            for ended in ({"p"}, CLOSES_SAME.get(tag, {"p"})):
+                if stack[-1].tag in ended:
+                    opened[stack.pop().tag] -= 1
         if tag not in VOID:
             element = Element(tag, stack[-1], attributes)
             elements.append(element)
             stack.append(element)
+            opened[tag] += 1
     flush()
     return blocks, elements
 
 
 def mark_main(blocks: list[Block], elements: list[Element]) -> bool:
-    """Find the main element and what holds it; whether there is one."""
+    """Find the main element and what holds it; whether there is one. Elements
+    stand after those that hold them, so each pass goes up or down the list."""
     for b in blocks:
-        e = b.element
-        while e:
-            e.chars += len(b.text)
-            e = e.parent
+        b.element.chars += len(b.text)
+    for e in reversed(elements):
+        if e.parent:
+            e.parent.chars += e.chars
     total = sum(len(b.text) for b in blocks)
     for e in elements:
         # a wrapper around the page, whatever its name
         if e.tag not in NEVER_WRAPS and not e.discussion and e.chars > WRAPS * total:
             e.holds_main = True
         if e.tag == "h1":
-            for x in ancestors(e.parent):
+            x = e.parent
+            while x and not x.holds_title:
                 x.holds_title = True
-    out_of = lambda e: (e.chrome or e.boiler) and not (e.holds_main or e.holds_title and e.tag not in NEVER_WRAPS)
-    mains = [e for e in elements if e.tag == "main" and e.chars]
-    articles = [e for e in elements if e.tag == "article" and e.chars and not e.boiler
-                and not any(map(out_of, ancestors(e.parent)))]
+                x = x.parent
+    outside: set[int] = set()  # elements in something that is no content
+    mains, articles = [], []
+    for e in elements:
+        out = (e.chrome or e.boiler) and not (e.holds_main or e.holds_title and e.tag not in NEVER_WRAPS)
+        if e.parent and id(e.parent) in outside:
+            out = True
+        elif e.tag == "article" and e.chars and not e.boiler:
+            articles.append(e)
+        if out:
+            outside.add(id(e))
+        if e.tag == "main" and e.chars:
+            mains.append(e)
     best = max(articles, key=lambda e: e.chars, default=None) or max(mains, key=lambda e: e.chars, default=None)
     if best is None:
         return False
-    for e in ancestors(best):
-        e.holds_main = True
     best.in_main = True
+    x = best
+    while x:
+        x.holds_main = True
+        x = x.parent
     for e in elements:
         e.in_main = e.in_main or bool(e.parent and e.parent.in_main)
     return True
 
 
-def ancestors(e: Element | None):
-    while e:
-        yield e
-        e = e.parent
-
-
-def verdict(e: Element) -> float:
-    """Logit that the place in the tree gives: the worst evidence of all
-    elements around, but for those that hold the main element itself."""
-    if e.verdict is None:
-        above = verdict(e.parent) if e.parent else 0.0
+def judge(elements: list[Element]) -> None:
+    """Each element's ``verdict``, the logit that its place in the tree gives:
+    the worst evidence of all elements around, but for those that hold the main
+    element itself."""
+    for e in elements:
+        above = e.parent.verdict if e.parent else 0.0
         own = 0.0
         if not e.holds_main:
             if e.chrome or e.tag == "header" and not e.in_main:
@@ -264,14 +293,12 @@ def verdict(e: Element) -> float:
             e.verdict = IN_GOOD
         elif own == 0.0:
             e.verdict = above
-    return e.verdict
 
 
 def logit(b: Block, has_main: bool) -> float:
     e = b.element
-    place = verdict(e)
     words = b.text.count(" ") + 1
-    x = place + (IN_MAIN if e.in_main else IN_OTHER if has_main else NO_MAIN)
+    x = e.verdict + (IN_MAIN if e.in_main else IN_OTHER if has_main else NO_MAIN)
     x += LINKED * b.linked * (0.3 if words >= 40 else 0.5 if e.in_main else 1)
     x += WORDS * (math.log2(words) - 2.5) if not e.in_main else 0.0
     if END_OF_SENTENCE.search(b.text):
@@ -376,6 +403,7 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     has_main = mark_main(blocks, elements)
+    judge(elements)
     pairs = [costs(logit(b, has_main)) for b in blocks]
     edges = []
     last: dict[int, int] = {}

@@ -60,49 +60,54 @@ def label_of(identifier: str) -> str:
     return next((f for f in FAMILIES if re.match(rf"{f}(?![a-z])", name)), "other")
 
 
-def parse_expression(text: str) -> tuple[list[str], str] | None:
-    """Longest licence expression at the start of ``text`` in postfix order,
-    and the part of the text it takes; None where there is none.
-
-    Shunting-yard: operands go out, operators wait for those that bind tighter.
-    The text is cut where it stops being an expression (comment ends, prose).
+def parse_expression(text: str, at: int = 0, stop: int | None = None) -> tuple[list[str], str] | None:
+    """Longest licence expression that begins at ``at`` (and ends by ``stop``)
+    in postfix order, and the part of the text it takes; None where there is none.
+
+    The text is cut where it stops being an expression (comment ends, prose):
+    one pass over the tokens finds the last place where all that came before is
+    whole, and the shunting-yard takes the tokens up to there: operands go out,
+    operators wait for those that bind tighter.
     """
-    tokens, at = [], 0
-    while m := TOKEN.match(text, at):
-        tokens.append((m[1], m.end()))
-        at = m.end()
-    while tokens:
-        out, waiting, operand, ok = [], [], True, True
-        for t, _ in tokens:
-            op = t.upper() if t.upper() in PRIORITY else None
-            if operand:
-                if t == "(":
-                    waiting.append(t)
-                elif op or t == ")":
-                    ok = False
-                    break
-                else:
-                    out.append(t)
-                    operand = False
-            elif t == ")":
-                while waiting and waiting[-1] != "(":
-                    out.append(waiting.pop())
-                if not waiting:
-                    ok = False
-                    break
-                waiting.pop()
-            elif op:
-                while waiting and waiting[-1] != "(" and PRIORITY[waiting[-1]] >= PRIORITY[op]:
-                    out.append(waiting.pop())
-                waiting.append(op)
-                operand = True
-            else:
-                ok = False
+    stop = len(text) if stop is None else stop
+    tokens, whole, depth, operand, place = [], 0, 0, True, at
+    while m := TOKEN.match(text, place, stop):
+        t, place = m[1], m.end()
+        operator = t.upper() in PRIORITY
+        if operand:
+            if operator or t == ")":
+                break
+            depth += t == "("
+            operand = t == "("
+        elif t == ")":
+            if not depth:
                 break
-        if ok and not operand and "(" not in waiting:
-            return out + waiting[::-1], text[:tokens[-1][1]].strip()
-        tokens.pop()
-    return None
+            depth -= 1
+        elif operator:
+            operand = True
+        else:
+            break
+        tokens.append((t, place))
+        if not operand and not depth:
+            whole = len(tokens)
+    if not whole:
+        return None
+    out, waiting = [], []
+    for t, _ in tokens[:whole]:
+        op = t.upper() if t.upper() in PRIORITY else None
+        if t == "(":
+            waiting.append(t)
+        elif t == ")":
+            while waiting[-1] != "(":
+                out.append(waiting.pop())
+            waiting.pop()
+        elif op:
+            while waiting and waiting[-1] != "(" and PRIORITY[waiting[-1]] >= PRIORITY[op]:
+                out.append(waiting.pop())
+            waiting.append(op)
+        else:
+            out.append(t)
+    return out + waiting[::-1], text[at:tokens[whole - 1][1]].strip()
 
 
 def evaluate(postfix: list[str]) -> tuple[set[str], float]:
@@ -128,9 +133,11 @@ def automaton():
 
 
 def tagged(text: str) -> Iterator[tuple[list[str], str]]:
-    for m in TAG_TEXT.finditer(text):
-        end = text.find("\n", m.end())
-        if found := parse_expression(text[m.end():end if end >= 0 else len(text)]):
+    """The expression after each tag, up to the end of the line or the next tag."""
+    tags = list(TAG_TEXT.finditer(text))
+    for m, following in zip(tags, [*(t.start() for t in tags[1:]), len(text)], strict=True):
+        end = text.find("\n", m.end(), following)
+        if found := parse_expression(text, m.end(), end if end >= 0 else following):
             yield found
 
 

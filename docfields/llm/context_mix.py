@@ -43,6 +43,8 @@ from docfields.llm.common import arrow_map, prepare, renamed, saved
 
 #: Predictors: bytes of context, ascending, and the bits of the table's size.
 CONTEXTS = ((3, 22), (5, 22), (7, 22))
+#: Slots next to each other that the bits of one context share: they stand in one line of a cache.
+REGION = 64
 #: Slots of a chunk of the tables (a chunk never spans two tables).
 CHUNK = 1 << 14
 #: What is added to both counts of a slot.
@@ -61,9 +63,12 @@ STEPS = np.float32((BUCKETS - 1) / (2 * LIMIT))
 LEAST = np.float32(1 / 65536)
 #: Steps of learning: while training (adaptive) and within a document.
 RATE, OWN_RATE = 0.02, 0.002
-#: Bytes and documents worked on at a time, and bytes of the blocks after which a document's weights move.
-SEGMENT, LANES = 1 << 18, 2048
-BLOCKS = (128, 256, 512, 1024)
+#: Bytes worked on at a time (what fits a core's cache), while learning and while
+#: scoring, and documents at most.
+SEGMENT, SCORED, LANES = 1 << 15, 1 << 16, 2048
+#: Bytes of the blocks after which a document's weights move; beyond STEADY, a
+#: block moves them no further than one of that size.
+BLOCKS, STEADY = (128, 256, 512, 1024, 2048, 4096), 1024
 #: Words in the broadcast dictionary at most; others are joined.
 HOT_WORDS = 1 << 18
 #: The end of a text.
@@ -140,17 +145,17 @@ def contexts(data: np.ndarray) -> list[np.ndarray]:
 BEFORE = CONTEXTS[-1][0]
 
 
-def segments(streams: list[bytes]) -> Iterator[list[tuple[int, int, bytes, bytes]]]:
+def segments(streams: list[bytes], limit: int = SEGMENT) -> Iterator[list[tuple[int, int, bytes, bytes]]]:
     """Groups of pieces (stream, place of its first byte, bytes before, bytes)
-    of about SEGMENT bytes: at most LANES whole short streams, or one piece of
+    of about ``limit`` bytes: at most LANES whole short streams, or one piece of
     a long one."""
     group, size = [], 0
     for i, s in enumerate(streams):
-        if len(s) > SEGMENT:
-            for at in range(0, len(s), SEGMENT):
-                yield [(i, at, s[max(0, at - BEFORE):at].rjust(BEFORE, END), s[at:at + SEGMENT])]
+        if len(s) > limit:
+            for at in range(0, len(s), limit):
+                yield [(i, at, s[max(0, at - BEFORE):at].rjust(BEFORE, END), s[at:at + limit])]
             continue
-        if group and (size + len(s) > SEGMENT or len(group) == LANES):
+        if group and (size + len(s) > limit or len(group) == LANES):
             yield group
             group, size = [], 0
         group.append((i, 0, END * BEFORE, s))
@@ -163,7 +168,8 @@ class Bits:
     """All bits of a group of pieces: values, depths and slots.
 
     ``by_block``: bytes are taken by block of their document, then by document;
-    ``waves`` are the ends of the blocks and ``lane`` the piece of every bit."""
+    ``waves`` are the ends of the blocks, ``rates`` how far each moves the
+    weights, and ``lane`` the piece of every bit."""
 
     def __init__(self, code: Code, pieces: list[tuple[int, int, bytes, bytes]], by_block: bool = False):
         data = np.frombuffer(b"".join(x for p in pieces for x in p[2:]), np.uint8)
@@ -182,20 +188,32 @@ class Bits:
         flat, sizes = code.bits((data[at - 1].astype(np.int32) << 8) | data[at])
         self.bit, self.depth = (flat & 1).astype(bool), (flat >> 1).astype(np.uint8) & 7
         self._byte = np.repeat(np.arange(len(at), dtype=np.int32), sizes)
-        self._place = (flat >> 4) * np.uint32(0x9E3779B1)
-        self._contexts = [c[at] for c in contexts(data)]
+        self._place = flat >> 4
+        self._contexts = [region(c[at], bits) for c, (_, bits) in zip(contexts(data), CONTEXTS, strict=True)]
         if by_block:
             ends = np.concatenate([[0], np.cumsum(sizes)])
-            self.waves = ends[[0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(at)]].tolist()
+            starts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist()]
+            self.waves = ends[[*starts, len(at)]].tolist()
+            size = np.array(BLOCKS)[np.minimum(block[starts], len(BLOCKS) - 1)]
+            self.rates = (OWN_RATE * np.minimum(1, STEADY / size)).astype(np.float32)
             self.lane = lane[order].take(self._byte)
 
     def slots(self, k: int, more: int = 0) -> np.ndarray:
-        """Slots of all bits in the table of a predictor, times 2 ** more."""
-        h = self._contexts[k].take(self._byte)
-        h += self._place
-        h *= np.uint32(0x2C1B3C6D)
-        h >>= np.uint32(32 - CONTEXTS[k][1])
-        return h.astype(np.int64) << more if more else h.astype(np.int64)
+        """Slots of all bits in the table of a predictor, times 2 ** more: the
+        place in the code, shifted by the context, within the context's region."""
+        at = self._contexts[k].take(self._byte)
+        inside = at + self._place
+        inside &= np.uint32(REGION - 1)
+        at &= np.uint32(0xFFFFFFFF ^ (REGION - 1))
+        at |= inside
+        return at.astype(np.int64) << more if more else at.astype(np.int64)
+
+
+def region(context: np.ndarray, bits: int) -> np.ndarray:
+    """A region of the table for each context, and in its low bits a shift."""
+    h = context ^ (context >> np.uint32(15))
+    h *= np.uint32(0x2C1B3C6D)
+    return h >> np.uint32(32 - bits)
 
 
 def count_bits(docs: DataFrame, code: Code) -> np.ndarray:
@@ -375,7 +393,7 @@ class Scorer:
     def scores(self, streams: list[bytes]) -> np.ndarray:
         out = np.zeros(len(streams))
         own, last = None, -1
-        for pieces in segments(streams):
+        for pieces in segments(streams, SCORED):
             if not (len(pieces) == 1 and pieces[0][0] == last and pieces[0][1]):
                 own = np.tile(self.model.weights, (len(pieces), 1))
             last = pieces[-1][0]
@@ -383,14 +401,14 @@ class Scorer:
             inputs, gate = self.model.inputs(bits)
             row = gate + bits.lane * GATES
             logs = np.empty(len(gate), np.float32)
-            for a, b in zip(bits.waves, bits.waves[1:]):
+            for a, b, rate in zip(bits.waves, bits.waves[1:], bits.rates, strict=False):
                 x, r, y = [i[a:b] for i in inputs], row[a:b], bits.bit[a:b]
                 mixed = mix(own, r, x)
                 plain = likely(mixed)
                 p = self.model.refine(gate[a:b], mixed, plain)
                 logs[a:b] = np.where(y, p, 1 - p)
                 if b < len(gate) or len(pieces) == 1:
-                    own += np.float32(OWN_RATE) * gradient(len(own), r, y - plain, x)
+                    own += rate * gradient(len(own), r, y - plain, x)
             np.add.at(out, [p[0] for p in pieces], np.bincount(bits.lane, np.log(logs), len(pieces)))
         return out / math.log(10)
 

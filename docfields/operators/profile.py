@@ -8,6 +8,7 @@ is ordered, so a hot value costs one row, not one task.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,66 +83,79 @@ def _long(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(F.inline(items)).where(F.col("x").isNotNull() & ~F.isnan("x"))
 
 
-# Columns whose (approximate) numbers of distinct values add up to at most
-# this are answered by Spark's exact ``percentile``: its state is a
-# value -> count map per column, and one task merges them all, so the bound
-# caps that task's memory. Other columns get ranks from range partitioning
-# (no task holds a whole column).
-MAP_QUANTILE_MAX_DISTINCT = 4_000_000  # about 250-400 MB of map entries in one task
-
-
-def distinct_estimates(df: DataFrame, cols: list[str], rsd: float = 0.05) -> dict[str, int]:
-    """HyperLogLog++ distinct counts of numeric columns (one bounded row)."""
-    r = df.agg(*[F.approx_count_distinct(F.col(c).cast("double"), rsd).alias(c) for c in cols]).first()
-    return {c: int(r[c]) for c in cols}
-
-
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], n_ranges: int | None = None,
-                    max_map_distinct: int = MAP_QUANTILE_MAX_DISTINCT,
-                    distinct: dict[str, int] | None = None) -> DataFrame:
-    """Exact, linearly interpolated quantiles (as pandas / ``quantile_cont``).
-
-    Each column takes the cheaper exact plan its checked size allows:
-    ``percentile`` (one global aggregate with map-side combined value counts)
-    for columns whose distinct counts add up to at most ``max_map_distinct``,
-    :func:`ranked_quantiles` for the rest. ``distinct`` passes estimates already computed
-    (e.g. in the same pass as other statistics). Output: ``column_name, prob,
-    value``.
+#: Bits of a value's order that a round of the selection settles; four rounds settle all 64.
+DIGIT_BITS = 16
+
+
+def order_key(df: DataFrame, x: str, out: str) -> DataFrame:
+    """``df`` with ``out``: a whole number that orders like the double ``x`` (no
+    NaN), and differs where ``x`` does: exponent and mantissa, negative values
+    downwards. Powers of two are exact, so is what is divided by them."""
+    a = F.abs(x)
+    e = F.greatest(F.least(F.floor(F.log2("_a")), F.lit(1023)), F.lit(-1022)).cast("double")
+    step = df.withColumn("_a", a).withColumn("_e", F.coalesce(e, F.lit(-1022.0))).withColumn("_p", F.pow(F.lit(2.0), F.col("_e")))
+    # the logarithm may round past the next power of two
+    step = step.withColumn("_by", F.when((F.col("_a") < F.col("_p")) & (F.col("_e") > -1022), F.lit(-1.0))
+                                   .when((F.col("_a") >= 2 * F.col("_p")) & (F.col("_e") < 1023), F.lit(1.0)).otherwise(F.lit(0.0)))
+    step = step.withColumn("_e", F.col("_e") + F.col("_by")).withColumn("_p", F.pow(F.lit(2.0), F.col("_e")))
+    one = F.lit(float(1 << 52))
+    key = (F.when(F.col("_a") == float("inf"), F.lit(2047 << 52))
+            .when(F.col("_a") >= F.col("_p"), (F.col("_e") + 1023).cast("long") * (1 << 52)
+                  + ((F.col("_a") / F.col("_p") - 1) * one).cast("long"))
+            .otherwise((F.col("_a") / F.col("_p") * one).cast("long")))  # below the least normal number
+    # never null, so that joins on it need no filter (which would repeat all of this below the steps)
+    signed = F.coalesce(key * F.when(F.col(x) < 0, F.lit(-1)).otherwise(F.lit(1)), F.lit(0).cast("long"))
+    return step.withColumn(out, signed).drop("_a", "_e", "_p", "_by")
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
+    """Exact, linearly interpolated quantiles (as pandas / ``quantile_cont``):
+    ``column_name, prob, value``, lazily, by one plan for any number of rows and
+    distinct values.
+
+    A distributed selection of the needed ranks of all columns and
+    probabilities at once. Values are ordered by a 64-bit key. A round counts,
+    per column, the rows by the next 16 bits of the key among those that share
+    the bits settled so far (map-side combined, at most 65,536 groups for each
+    rank), and a running sum over these counts tells in which group each rank
+    lies: four rounds, four scans. Nothing is sorted, no state grows with the
+    data, and what is broadcast is a row for each column and rank sought.
+    Columns without values have no rows.
     """
-    small: list[str] = []
-    if max_map_distinct > 0:
-        est = distinct if distinct is not None else distinct_estimates(df, cols)
-        # One task merges the maps of all map-path columns (a global
-        # aggregate), so the bound holds for their total; the estimate's error
-        # is a few per cent, hence the margin. Smallest columns first.
-        total = 0.0
-        for c in sorted(cols, key=lambda c: est[c]):
-            if total + est[c] * 1.1 > max_map_distinct:
-                break
-            small.append(c)
-            total += est[c] * 1.1
-    large = [c for c in cols if c not in small]
-    parts = []
-    if small:
-        parts.append(map_quantiles(df, small, probs))
-    if large:
-        parts.append(ranked_quantiles(df, large, probs, n_ranges))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def map_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
-    """Exact quantiles with ``percentile`` per column, for columns with a
-    checked, bounded number of distinct values."""
-    ps = [float(p) for p in probs]
-    wide = df.agg(*[F.percentile(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), ps).alias(c)
-                    for c in cols])
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(p).alias("prob"),
-                               F.element_at(F.col(c), i + 1).alias("value"))
-                      for c in cols for i, p in enumerate(ps)])
-    return wide.select(F.inline(cells))
+    rows = order_key(_long(df, cols), "x", "_key")
+    probs = [float(p) for p in probs]
+    counts = rows.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+    h = [(F.col("n") - 1) * F.lit(p) for p in probs]
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), rank.cast("long").alias("rank"))
+                      for i, x in enumerate(h) for rank in (F.floor(x), F.ceil(x))])
+    sought = counts.select("column", F.array_distinct(ranks).alias("_ranks"), F.col("n").alias("_n"))
+    found = None
+    for left in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):
+        digit = F.shiftright("_key", left)
+        if found is None:  # the first bits hold the sign: a number from -32,768 on
+            groups = rows.groupBy("column", digit.alias("_top")).agg(F.count(F.lit(1)).alias("_rows"), F.min("x").alias("_x"))
+            groups = groups.join(F.broadcast(sought), "column")
+        else:
+            near = rows.withColumn("_top", F.shiftright("_key", left + DIGIT_BITS)).join(F.broadcast(found), ["column", "_top"])
+            groups = (near.groupBy("column", "_n", "_ranks", digit.alias("_next"))
+                          .agg(F.count(F.lit(1)).alias("_rows"), F.min("x").alias("_x")).withColumnRenamed("_next", "_top"))
+        # groups that share the settled bits; their bits in front are the same, so _top orders them
+        together = [F.col("column")] if found is None else [F.col("column"), F.shiftright("_top", DIGIT_BITS)]
+        before = F.sum("_rows").over(Window.partitionBy(*together).orderBy("_top").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_rows")
+        here = groups.withColumn("_before", before)
+        inside = F.filter("_ranks", lambda r: (r["rank"] >= F.col("_before")) & (r["rank"] < F.col("_before") + F.col("_rows")))
+        moved = F.transform(inside, lambda r: F.struct(r["i"].alias("i"), (r["rank"] - F.col("_before")).alias("rank")))
+        found = here.select("column", "_top", "_n", "_x", moved.alias("_ranks")).where(F.size("_ranks") > 0)
+        if left:
+            found = found.drop("_x")
+    # ranks have shrunk to 0: a group is one value. One or two values for each probability
+    values = found.select("column", "_n", F.explode("_ranks.i").alias("i"), F.col("_x").alias("x"))
+    p = F.element_at(F.array(*map(F.lit, probs)), F.col("i") + 1)
+    part = (F.col("n") - 1) * F.col("prob") - F.floor((F.col("n") - 1) * F.col("prob"))
+    return (values.groupBy("column", "i").agg(F.max("_n").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+                  .withColumn("prob", p)
+                  .select(F.col("column").alias("column_name"), "prob",
+                          F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("lo") + part * (F.col("hi") - F.col("lo"))).alias("value")))
 
 
 def ranked_quantiles(df: DataFrame, cols: list[str], probs: list[float], n_ranges: int | None = None) -> DataFrame:
@@ -195,41 +209,32 @@ def approx_quantiles(df: DataFrame, cols: list[str], probs: list[float], accurac
     return items.select(F.col("column").alias("column_name"), F.inline(pairs))
 
 
-DESCRIBE_SCHEMA = ("column_name string, count bigint, unique bigint, top string, freq bigint, mean double, "
-                   "std double, min double, p25 double, p50 double, p75 double, max double")
-
-
-def describe_all(df: DataFrame, numeric: list[str], categorical: list[str], exact: bool = True,
-                 max_map_distinct: int = MAP_QUANTILE_MAX_DISTINCT) -> DataFrame:
+def describe_all(df: DataFrame, numeric: list[str], categorical: list[str],
+                 quantiles: Callable[[DataFrame, list[str], list[float]], DataFrame] = exact_quantiles) -> DataFrame:
     """``describe(include='all')`` in long form, one row per column.
 
     Numeric: count, mean, std (sample), min, 25/50/75 %, max. Categorical:
     count, unique, top (ties -> smallest value), freq. Other cells null.
+    ``quantiles`` gives ``column_name, prob, value``. Nothing runs before the
+    report is read, unless ``quantiles`` does.
     """
     probs = [0.25, 0.5, 0.75]
     df = clean(df)
     parts = []
     if numeric:
-        spark = df.sparkSession
-        # one pass for the statistics (one bounded row); a column's count is
-        # an exact upper bound of its distinct values, so distinct estimates
-        # (another pass) are only needed when the counts exceed the map-based
-        # quantile bound
-        row = df.agg(*itertools.chain.from_iterable(
+        wide = df.agg(*itertools.chain.from_iterable(
             [F.count(c).alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"), F.stddev_samp(c).alias(f"{c}__std"),
              F.min(c).cast("double").alias(f"{c}__min"), F.max(c).cast("double").alias(f"{c}__max")]
-            for c in numeric)).first()
-        distinct = {c: int(row[f"{c}__count"]) for c in numeric}
-        if sum(distinct.values()) * 1.1 > max_map_distinct > 0:
-            # counts cannot prove the bound: estimate distinct values (one pass)
-            distinct = distinct_estimates(df, numeric)
-        q = exact_quantiles(df, numeric, probs, None, max_map_distinct, distinct) if exact else approx_quantiles(df, numeric, probs)
-        # columns x probabilities values: collected like the statistics row, so
-        # the numeric report needs no pivot or join stages
-        qv = {(r["column_name"], float(r["prob"])): r["value"] for r in q.collect()}
-        rows = [(c, row[f"{c}__count"], None, None, None, row[f"{c}__mean"], row[f"{c}__std"], row[f"{c}__min"],
-                 *[qv.get((c, p)) for p in probs], row[f"{c}__max"]) for c in numeric]
-        parts.append(spark.createDataFrame(rows, DESCRIBE_SCHEMA))
+            for c in numeric))
+        cells = F.array(*[F.struct(F.lit(c).alias("column_name"), *[F.col(f"`{c}__{m}`").alias(m) for m in ("count", "mean", "std", "min", "max")])
+                          for c in numeric])
+        stats = wide.select(F.inline(cells))
+        found = quantiles(df, numeric, probs).groupBy("column_name").agg(
+            *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(f"p{int(100 * p)}") for p in probs])
+        none = F.lit(None)
+        parts.append(stats.join(F.broadcast(found), "column_name", "left").select(
+            "column_name", "count", none.cast("bigint").alias("unique"), none.cast("string").alias("top"),
+            none.cast("bigint").alias("freq"), "mean", "std", "min", "p25", "p50", "p75", "max"))
     if categorical:
         items = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
                           for c in categorical])

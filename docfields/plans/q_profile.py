@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from docfields.operators import profile as pf
 from docfields.operators.regression import derive_minutes
 from docfields.plans import views
 from docfields.plans.q_documents import TRIPS_SQL
 from docfields.plans.registry import query
+from docfields.sources.tables import read_table
 
 NUMERIC = ["TRIP_MILES", "TRIP_SECONDS", "FARE", "TIP_RATE"]
 CATEGORICAL = ["COMPANY", "PAYMENT_TYPE"]
@@ -49,20 +51,40 @@ def _describe_sql() -> str:
 
 @query("describe_all", _describe_sql())
 def q_describe_all(spark, sf_dir):
-    """describe(include='all'): exact quartiles, by the plan that the columns' sizes allow."""
-    return pf.describe_all(trips(spark, sf_dir), NUMERIC, CATEGORICAL, exact=True)
+    """describe(include='all'): exact quartiles by narrowing, one lazy plan for all sizes."""
+    return pf.describe_all(trips(spark, sf_dir), NUMERIC, CATEGORICAL)
 
 
 @query("describe_all_ranked", _describe_sql())
 def q_describe_all_ranked(spark, sf_dir):
-    """The same report with quartiles from ranks over ranges, the plan for any number of distinct values."""
-    return pf.describe_all(trips(spark, sf_dir), NUMERIC, CATEGORICAL, exact=True, max_map_distinct=0)
+    """The same report with quartiles from ranks over ranges of the distinct values."""
+    return pf.describe_all(trips(spark, sf_dir), NUMERIC, CATEGORICAL, pf.ranked_quantiles)
 
 
 @query("describe_all_gaps", _describe_sql().replace("FROM trips", "FROM gaps").replace(TRIPS_SQL, GAPS_SQL))
 def q_describe_all_gaps(spark, sf_dir):
     """NaN and null both count as missing."""
-    return pf.describe_all(views.trips_with_gaps(spark, sf_dir), NUMERIC, CATEGORICAL, max_map_distinct=0)
+    return pf.describe_all(views.trips_with_gaps(spark, sf_dir), NUMERIC, CATEGORICAL)
+
+
+MEASURES = ["price", "ratio", "net", "level"]
+
+
+@query("describe_all_distinct", "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS column_name, count({c}) AS "count", CAST(NULL AS BIGINT) AS "unique", CAST(NULL AS VARCHAR) AS top,
+  CAST(NULL AS BIGINT) AS freq, avg({c}) AS mean, stddev_samp({c}) AS std, min({c}) AS "min", quantile_cont({c}, 0.25) AS p25,
+  quantile_cont({c}, 0.5) AS p50, quantile_cont({c}, 0.75) AS p75, max({c}) AS "max"
+FROM (SELECT CAST(l_extendedprice AS DOUBLE) AS price, l_extendedprice / (l_orderkey * 8e0 + l_linenumber) AS ratio,
+             l_discount * l_extendedprice - l_partkey * 1.5e0 AS net,
+             CASE WHEN l_partkey % 3 > 0 THEN -0.25e0 ELSE l_quantity / 3e7 END AS level FROM lineitem)""" for c in MEASURES))
+def q_describe_all_distinct(spark, sf_dir):
+    """Columns with a value of its own in nearly every row, negative and tiny ones, and one value in most rows."""
+    li = read_table(spark, sf_dir, "lineitem")
+    price = F.col("l_extendedprice").cast("double")
+    return pf.describe_all(li.select(
+        price.alias("price"), (price / (F.col("l_orderkey") * 8.0 + F.col("l_linenumber"))).alias("ratio"),
+        (F.col("l_discount") * price - F.col("l_partkey") * 1.5).alias("net"),
+        F.when(F.col("l_partkey") % 3 > 0, F.lit(-0.25)).otherwise(F.col("l_quantity") / 3e7).alias("level")), MEASURES, [])
 
 
 @query("corr_matrix_gaps", f"WITH {GAPS_SQL}\n" + "\nUNION ALL\n".join(

@@ -128,7 +128,7 @@ def test_concurrent_calls(spark):
 
 def test_nan_is_missing(spark):
     d = spark.createDataFrame([(1.0, 2.0), (float("nan"), 3.0), (3.0, None), (2.0, 4.0)], "a double, b double")
-    row = {r.column_name: r for r in pf.describe_all(d, ["a", "b"], [], max_map_distinct=0).collect()}
+    row = {r.column_name: r for r in pf.describe_all(d, ["a", "b"], []).collect()}
     assert row["a"]["count"] == 3 and row["a"].mean == 2.0 and row["a"].max == 3.0 and row["b"]["count"] == 3
     assert pf.max_value(d, "a").first()[0] == 3.0 and pf.corr_matrix(d, ["a", "b"]).where("x <> y").first().r == 1.0
 

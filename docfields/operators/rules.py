@@ -254,6 +254,51 @@ def extract_table_cells(docs: DataFrame, key_col: str = "doc_id", text_col: str
                         strip_text(F.col("_cell")).alias("cell"))
 
 
+# a line between header and body, of dashes and colons; a cell that is a number
+RULE_LINE = r"^[ \t:+=-]*-[ \t:+=-]*\z"
+NUMBER_CELL = r"^[+-]?[$€£]?[0-9][0-9.,]*%?\z"
+
+
+def extract_tables(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", delimiter: str = "|") -> DataFrame:
+    """Delimited lines restructured into tables and records: ``key, table_no,
+    row_no, col_no, header, value``, all numbers from 1.
+
+    Lines with the delimiter that follow each other are a table, if there are
+    two or more; any other line ends it. Cells are stripped; an empty cell
+    before a leading or after a trailing delimiter is none. Lines of dashes are
+    no rows. The first row is the header if others follow and none of its cells
+    is empty or a number; otherwise columns are ``col_1, col_2, ...``, as are
+    cells beyond the header. A row shorter than the header has null values for
+    the rest. Tables are found inside each document's row by where their lines
+    begin and end: no shuffle, and linear in the text.
+    """
+    lined = docs.select(F.col(key_col), F.split(F.col(text_col), "\n", -1).alias("_lines"))
+    flagged = F.transform("_lines", lambda x: F.instr(x, delimiter) > 0)
+    placed = lined.withColumn("_in", flagged)
+
+    def edges(neighbour: int) -> Column:
+        here = F.transform("_in", lambda there, i: F.when(there & ~F.coalesce(F.get("_in", i + neighbour), F.lit(False)), i))
+        return F.filter(here, lambda i: i.isNotNull())
+
+    spans = F.filter(F.arrays_zip(edges(-1).alias("a"), edges(1).alias("b")), lambda s: s["b"] > s["a"])
+    tables = placed.select(key_col, "_lines", F.posexplode(spans).alias("_t", "_s"))
+    inner = lambda line: F.regexp_replace(strip_text(line), f"^[{delimiter}]|[{delimiter}]\\z", "")
+    cells = F.transform(F.slice("_lines", F.col("_s.a") + 1, F.col("_s.b") - F.col("_s.a") + 1), lambda line: F.transform(
+        F.split(inner(line), f"[{delimiter}]", -1), strip_text))
+    rows = F.filter(cells, lambda row: ~F.array_join(row, "").rlike(RULE_LINE))
+    cut = tables.select(key_col, "_t", rows.alias("_rows"))
+    first = F.get("_rows", F.lit(0))
+    named = cut.withColumn("_head", F.when((F.size("_rows") > 1) & ~F.exists(first, lambda c: (c == "") | c.rlike(NUMBER_CELL)), first))
+    body = F.when(F.col("_head").isNull(), F.col("_rows")).otherwise(F.slice("_rows", 2, F.size("_rows")))
+    records = named.select(key_col, "_t", "_head", F.posexplode(body).alias("_r", "_cells"))
+    width = F.greatest(F.size("_cells"), F.coalesce(F.size("_head"), F.lit(0)))
+    values = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.struct(
+        F.coalesce(F.get("_head", i), F.concat(F.lit("col_"), (i + 1).cast("string"))).alias("header"), F.get("_cells", i).alias("value")))
+    return (records.select(key_col, "_t", "_r", F.posexplode(values).alias("_c", "_v"))
+                   .select(key_col, *[(F.col(f"_{k[0]}") + 1).cast("bigint").alias(f"{k}_no") for k in ("table", "row", "col")],
+                           "_v.header", "_v.value"))
+
+
 def rule_column(field: str, text: Column) -> Column:
     """First match of the rule for ``field`` (null when absent or unknown)."""
     rule = RULES.get(resolve_field(field) or "")

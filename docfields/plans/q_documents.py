@@ -508,3 +508,14 @@ WITH l AS ({_lines_sql('documents', 'doc_id', 'text')}),
 SELECT doc_id, line_no, col_no, regexp_replace(cell0, {_sql_lit(STRIP_SQL)}, '', 'g') AS cell FROM c""")
 def q_extract_table_cells(spark, sf_dir):
     return rules.extract_table_cells(text_docs(spark, sf_dir))
+
+
+@query("extract_tables", """
+WITH c AS (SELECT c_custkey, c_name, c_mktsegment, CAST(c_nationkey AS VARCHAR) AS nation, CAST(c_custkey AS VARCHAR) AS account FROM customer)
+SELECT c_custkey, unnest([1, 1, 1, 1, 1, 1, 1, 2, 2, 2, 2]) AS table_no, unnest([1, 1, 1, 2, 2, 2, 2, 1, 1, 2, 2]) AS row_no,
+       unnest([1, 2, 3, 1, 2, 3, 4, 1, 2, 1, 2]) AS col_no,
+       unnest(['Account', 'Segment', 'Note', 'Account', 'Segment', 'Note', 'col_4', 'col_1', 'col_2', 'col_1', 'col_2']) AS header,
+       unnest([account, c_mktsegment, NULL, 'total', nation, 'ok', 'beyond', '1', c_name, '2', c_mktsegment]) AS value FROM c""")
+def q_extract_tables(spark, sf_dir):
+    """Two tables in one text, ragged lines, one header: records by table, row and column name."""
+    return rules.extract_tables(views.statements(spark, sf_dir), key_col="c_custkey")

@@ -117,3 +117,16 @@ def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Work Experience:"), F.concat(F.lit("clerk, nation "), number("c_nationkey")), F.lit(""), F.lit("senior clerk"),
         F.when(F.col("c_custkey") % 2 == 0, F.lit("\nCertifications\nnone so far")))
     return c.select("c_custkey", text.alias("text"))
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Account statements rendered from customers: two tables in one text, with
+    a rule line, outer delimiters and ragged lines; the second without a header."""
+    c = spread(read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey", "c_acctbal"))
+    number = lambda name: F.col(name).cast("string")
+    text = F.concat_ws(
+        "\n", F.concat(F.lit("Statement of "), F.col("c_name")), F.lit("| Account | Segment | Note |"), F.lit("|---|:--|--|"),
+        F.concat(F.lit("| "), number("c_custkey"), F.lit(" | "), F.col("c_mktsegment"), F.lit(" |")),
+        F.concat(F.lit("| total | "), number("c_nationkey"), F.lit(" | ok | beyond |")), F.lit(""), F.lit("Not a table: a | b"), F.lit(""),
+        F.concat(F.lit("1 | "), F.col("c_name")), F.concat(F.lit("2 | "), F.col("c_mktsegment"), F.lit(" | ")), F.lit("End."))
+    return c.select("c_custkey", text.alias("text"))

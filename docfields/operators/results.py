@@ -6,12 +6,17 @@ columns before a frame leaves it.
 
 from __future__ import annotations
 
+import json
+import re
+from collections import Counter
+from collections.abc import Iterator
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docfields.functions.jsonfn import strict_json_udf
+from docfields.functions.jsonfn import json_kind, strict_json_udf, utf8_safe
 from docfields.functions.text import format_value
 from docfields.session import ship_package
 
@@ -201,6 +206,67 @@ def result_schema(parsed: DataFrame) -> DataFrame:
                   .agg(F.schema_of_variant_agg(F.col("v")).alias("schema"), F.count(F.lit(1)).alias("n_rows")))
 
 
+def merged_type(kinds: Column) -> Column:
+    """The join of value kinds in the lattice null < any kind, integer < number,
+    any two others < mixed; ``kinds``: an array."""
+    some = F.array_remove(F.array_distinct(kinds), "null")
+    plain = F.when(F.array_contains(some, "number"), F.array_remove(some, "integer")).otherwise(some)
+    return F.when(F.size(plain) == 0, "null").when(F.size(plain) == 1, F.get(plain, F.lit(0))).otherwise("mixed")
+
+
+def result_types(parsed: DataFrame, response_col: str = "response") -> DataFrame:
+    """The merged type of every path in the object responses: ``path, type,
+    nullable, n_values``.
+
+    ``$`` is the response, ``$.a`` a member, ``$.a[]`` the elements of an array;
+    kinds that differ between responses are merged (:func:`merged_type`),
+    ``nullable`` says that some value is null. A task counts paths and kinds of
+    its own responses and hands on the counts, so what is shuffled and merged is
+    rows of (path, kind), whatever the number of responses; hot paths are
+    counted before they meet.
+    """
+    ship_package(parsed.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found.update(value_kinds(text))
+                if len(found) > 100_000:  # keys may be data
+                    yield _kind_rows(found)
+                    found.clear()
+        yield _kind_rows(found)
+
+    objects = parsed.where((F.col("kind") == "object") & F.col(response_col).isNotNull()).select(response_col)
+    counts = objects.mapInArrow(run, "path string, value_kind string, n long").groupBy("path", "value_kind").agg(F.sum("n").alias("n"))
+    return counts.groupBy("path").agg(
+        merged_type(F.sort_array(F.collect_list("value_kind"))).alias("type"),
+        F.max(F.col("value_kind") == "null").alias("nullable"), F.sum("n").alias("n_values"))
+
+
+def _kind_rows(found: Counter) -> pa.RecordBatch:
+    paths, kinds = zip(*found, strict=True) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(list(map(utf8_safe, paths)), pa.string()), pa.array(kinds, pa.string()),
+                                       pa.array(list(found.values()), pa.int64())], names=["path", "value_kind", "n"])
+
+
+def value_kinds(text: str) -> Iterator[tuple[str, str]]:
+    """Path and kind of a JSON text's values, at every depth."""
+    todo = [("$", json.loads(text))]
+    while todo:
+        path, value = todo.pop()
+        kind = json_kind(value)
+        yield path, "integer" if kind == "number" and isinstance(value, int) else kind
+        if kind == "object":
+            todo += [(f"{path}.{k}" if PLAIN_KEY.fullmatch(k) else f"{path}.{json.dumps(k, ensure_ascii=False)}", v) for k, v in value.items()]
+        elif kind == "array":
+            todo += [(f"{path}[]", v) for v in value]
+
+
+#: Keys that a path spells without quotes.
+PLAIN_KEY = re.compile("[A-Za-z_][A-Za-z0-9_]*")
+
+
 def format_values(long_df: DataFrame, value_col: str = "value", type_col: str = "value_type") -> DataFrame:
     """Display text per value: null -> N/A, booleans Yes/No, nested JSON, else stripped."""
     return long_df.withColumn("formatted", format_value(F.col(value_col), F.col(type_col)))

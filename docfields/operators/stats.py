@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -59,3 +59,15 @@ def field_fill_rate(long_df: DataFrame, field_col: str = "field", value_col: str
         F.count_if(F.col(value_col).isNotNull()).alias("n_found"),
         F.count_if(F.col(value_col).isNull()).alias("n_not_found"),
         F.avg(confidence_col).alias("mean_confidence"))
+
+
+def ledger_progress(spark: SparkSession, ledger: str, total: int) -> DataFrame:
+    """How far a run with a ledger (:func:`docfields.operators.model_stage.resumable_extract`)
+    has come, also while it runs: ``n_total, n_done, n_failed, n_attempts,
+    share``. Blocks of answers are there as soon as they are finished; the
+    listing is taken anew by each call."""
+    schema = "_mark string, error string, attempts int"
+    done = spark.read.schema(schema).parquet(ledger).groupBy("_mark").agg(F.min("error").alias("error"), F.max("attempts").alias("attempts"))
+    return done.agg(F.lit(total).cast("bigint").alias("n_total"), F.count(F.lit(1)).alias("n_done"),
+                    F.count("error").alias("n_failed"), F.coalesce(F.sum("attempts"), F.lit(0)).alias("n_attempts")) \
+               .withColumn("share", F.try_divide(F.col("n_done"), F.col("n_total")))

@@ -102,6 +102,18 @@ def q_read_html_pages(spark, sf_dir):
     return readers.read_html_pages(spread(read_table(spark, sf_dir, "pages")))
 
 
+@query("read_html_pages_refs", """
+SELECT page_id, 'caf' || chr(233) || ' ' || page_id AS title,
+       'caf' || chr(233) || ' ' || page_id || ' it' || chr(8217) || 's A ' || chr(8212) || ' 1 < 2 and 3 > 2 &lt; a' || chr(8364) || ' x <3' AS text FROM pages""")
+def q_read_html_pages_refs(spark, sf_dir):
+    """Named and numeric references, decoded once, and "<" that is no tag."""
+    p = read_table(spark, sf_dir, "pages").select("page_id")
+    n = F.col("page_id").cast("string")
+    markup = F.concat(F.lit("<html><title>caf&eacute; "), n, F.lit("</title><script>if (a<b) x('&amp;')</script><p>it&#8217;s &#x41; &mdash; "
+                      "1 < 2 and 3 > 2</p><!-- no --><b class='&quot;'>&amp;lt; a&euro;</b>&nbsp;x <3"))
+    return readers.read_html_pages(p.withColumn("html", markup))
+
+
 TRIP_CSV_SCHEMA = ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, TRIP_MILES double, "
                    "TRIP_SECONDS double, FARE double, COMPANY string, PAYMENT_TYPE string, TIP_RATE double")
 
@@ -365,6 +377,22 @@ def q_prompt_chunks(spark, sf_dir):
         "doc_id", "page_no", "cum_chars", "chunk_id")
 
 
+@query("assemble_chunks", f"""
+WITH p AS (SELECT CASE WHEN conv_id % 3 = 0 THEN -1 ELSE conv_id END AS doc_id, conv_id * 64 + turn + 1 AS page_no,
+                  chr(10) || '--- Page ' || (conv_id * 64 + turn + 1) || ' ---' || chr(10) || coalesce(text, '') AS piece FROM conversations),
+     c AS (SELECT *, length(piece) AS len, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY page_no
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM p)
+SELECT doc_id, CAST(2 * floor((cum - 1) / {BUDGET // 2}) + CASE WHEN len <= {BUDGET // 2} THEN 1 ELSE 0 END AS BIGINT) AS chunk_id,
+       string_agg(piece, '' ORDER BY page_no) AS text FROM c GROUP BY ALL""")
+def q_assemble_chunks(spark, sf_dir):
+    """Assembly in bounded rows where one document holds a third of all pages:
+    its pages are dealt by blocks of page numbers, and no row exceeds the budget."""
+    c = read_table(spark, sf_dir, "conversations")
+    pages = c.select(F.when(F.col("conv_id") % 3 == 0, F.lit(-1)).otherwise(F.col("conv_id")).cast("long").alias("doc_id"),
+                     (F.col("conv_id") * 64 + F.col("turn") + 1).alias("page_no"), "text")
+    return dc.assemble_chunks(pages, BUDGET).select("doc_id", "chunk_id", "text")
+
+
 DOC_BUDGET = 4000
 
 

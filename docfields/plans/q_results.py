@@ -136,6 +136,18 @@ def q_result_schema(spark, sf_dir):
     return rs.result_schema(parsed_responses(spark, sf_dir))
 
 
+@query("result_types", f"""WITH {PARSED_SQL},
+v AS (SELECT regexp_replace(t.fullkey, '\\[[0-9]+\\]', '[]', 'g') AS path, CASE t.type WHEN 'VARCHAR' THEN 'string' WHEN 'UBIGINT' THEN 'integer'
+             WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number' ELSE lower(t.type) END AS k
+      FROM (SELECT response FROM parsed WHERE kind = 'object') o, json_tree(CAST(o.response AS JSON)) t),
+m AS (SELECT path, list_sort(list(DISTINCT k) FILTER (k <> 'null')) AS ks, bool_or(k = 'null') AS nullable, count(*) AS n_values FROM v GROUP BY path)
+SELECT path, CASE WHEN ks IS NULL THEN 'null' WHEN len(ks) = 1 THEN ks[1] WHEN ks = ['integer', 'number'] THEN 'number' ELSE 'mixed' END AS type,
+       nullable, n_values FROM m""")
+def q_result_types(spark, sf_dir):
+    """Every path of the object responses with its merged type."""
+    return rs.result_types(parsed_responses(spark, sf_dir))
+
+
 @query("tag_source", f"""WITH {PARSED_SQL}
 SELECT 'events/' || event_id || '.json' AS source_file, ok, kind FROM parsed""")
 def q_tag_source(spark, sf_dir):
@@ -219,6 +231,18 @@ def q_batch_extract_resumed(spark, sf_dir):
     return ms.batch_extract(d, responder, MODEL_INSTRUCTIONS, provider=PROVIDER, run_ts=RUN_TS, wait_s=0.0, ledger=ledger)
 
 
+@query("ledger_progress", f"""
+WITH d AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 1 END AS done, regexp_matches(text, {_sql_lit(CARD_PATTERN)}) AS card FROM documents)
+SELECT count(*) AS n_total, count(done) AS n_done, count(done) FILTER (card) AS n_failed,
+       CAST(coalesce(sum(CASE WHEN card THEN 3 ELSE 1 END) FILTER (done = 1), 0) AS BIGINT) AS n_attempts, count(done) / count(*) AS share FROM d""")
+def q_ledger_progress(spark, sf_dir):
+    """How far a batch has come that was stopped after some documents."""
+    ledger = scratch_path(spark, "ledger")
+    d = text_docs(spark, sf_dir)
+    ms.resumable_extract(d.where("doc_id % 3 = 0"), responder, MODEL_INSTRUCTIONS, ledger, wait_s=0.0)
+    return stats.ledger_progress(spark, ledger, d.count())
+
+
 class TroubledResponder(RegexResponder):
     """Answers by the text's length: nothing, no text, bad JSON, an exception, or a result."""
 

@@ -33,20 +33,23 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stays. Different texts of an id are documents of their own: where there are
     such, documents are compared under their number in the order of id and key.
     """
-    known = docs.where("doc_id is not null").withColumn("_key", F.xxhash64("text"))
-    again = saved(known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "near-again")
+    # the stage's own names stand beside a row, so columns of any name and kind pass
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    known = whole.where("row.doc_id is not null").select(
+        F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("key"), "row")
+    again = saved(known.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "near-again")
     if again.head(1):
-        row = F.min(F.struct(*docs.columns)).alias("row")
-        firsts = known.join(again, "doc_id", "left_semi").groupBy("doc_id", "_key").agg(row).select("row.*", "_key")
-        known = known.join(again, "doc_id", "left_anti").unionByName(firsts)
-        texts = known.select("doc_id", "_key").withColumn("_one", F.lit(1))
-        numbers = running_sum(texts, [F.col("doc_id"), F.col("_key")], "_one", "_number", "near-numbers").drop("_one")
-        known = known.join(numbers, ["doc_id", "_key"])
+        firsts = known.join(again, "id", "left_semi").groupBy("id", "key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        known = known.join(again, "id", "left_anti").unionByName(firsts)
+        texts = known.select("id", "key", F.lit(1).alias("one"))
+        numbers = running_sum(texts, [F.col("id"), F.col("key")], "one", "number", "near-numbers").drop("one")
+        known = known.join(numbers, ["id", "key"])
     else:
-        known = known.withColumn("_number", F.col("doc_id"))
-    kept = near_duplicates(known.select(F.col("_number").alias("doc_id"), "text"), k=5, percent=80).where("kept")
-    known = known.join(kept.select(F.col("doc_id").alias("_number")).distinct(), "_number", "left_semi")
-    return known.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+        known = known.withColumn("number", F.col("id"))
+    kept = near_duplicates(known.select(F.col("number").alias("doc_id"), "row.text"), k=5, percent=80).where("kept")
+    known = known.join(kept.select(F.col("doc_id").alias("number")).distinct(), "number", "left_semi")
+    columns = [F.col("row").getField(c).alias(c) for c in docs.columns]
+    return known.select(*columns).unionByName(whole.where("row.doc_id is null").select(*columns))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Language-model scores by logistic mixing of hashed-context bit predictors.
 
 A text is a stream of bytes: its words (A-Z in lower case) parted by one space,
-then an end byte. Bytes are coded in bits by a prefix code for each byte before,
-made from the counts of byte pairs, so likely bytes take few decisions. Every bit is
+then an end byte. Bytes are coded in bits by a prefix code for each byte before and
+class of the byte before that, made from their counts, so likely bytes take few
+decisions. Every bit is
 predicted by several predictors, each of which looks up a hash of its context
 (the last 3, 5 or 7 bytes) and of the place in the code.
 Predictions are mixed as log odds: a gate (the longest context that has been seen,
@@ -12,7 +13,7 @@ a text gives its probability, and its bits per byte.
 
 Learning gathers, from all training documents:
 
-1. counts of words and byte pairs, by key;
+1. counts of words, and of bytes after bytes;
 2. bit counts of all contexts in tables of fixed size. A task adds up its own
    tables and sends compressed chunks; tasks that own the chunks add them up as
    they stream in;
@@ -66,6 +67,8 @@ RATE, OWN_RATE = 0.02, 0.002
 #: Bytes worked on at a time (what fits a core's cache), while learning and while
 #: scoring, and documents at most.
 SEGMENT, SCORED, LANES = 1 << 15, 1 << 16, 2048
+#: Bytes whose followers are counted at a time.
+SLICE = 1 << 21
 #: Bytes of the blocks after which a document's weights move; beyond STEADY, a
 #: block moves them no further than one of that size.
 BLOCKS, STEADY = (128, 256, 512, 1024, 2048, 4096), 1024
@@ -86,19 +89,35 @@ def key_of(word: bytes) -> bytes:
     return word if len(word) <= 16 else b"\xff" + xxhash.xxh3_128_digest(word)
 
 
+#: Classes of the second byte before, by a hash; a code for each class and byte before.
+CLASSES = 16
+CLASS_OF = ((np.arange(256) * 0x9E3779B1 >> 7) % CLASSES).astype(np.int64)
+#: All (class, byte before, byte).
+TRIPLES = CLASSES << 16
+
+
+def triples(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """What the code of the bytes at ``at`` goes by: class of the second byte before, the byte before, the byte."""
+    return CLASS_OF[data[at - 2]] << 16 | data[at - 1].astype(np.int64) << 8 | data[at]
+
+
 class Code:
-    """Binary prefix codes of bytes, one for each byte before: Huffman's, with
-    every pair of bytes counted once more than found.
+    """Binary prefix codes of bytes, one for each byte before and class of the
+    byte before it: Huffman's, with every byte counted once more than found.
 
-    Tables over all pairs (byte before * 256 + byte): ``sizes`` and ``first``
-    give a pair's bits in ``flat``: the node of its tree times 16, twice the
-    depth, and the bit.
+    Tables over all triples: ``sizes`` and ``first`` give a triple's bits in
+    ``flat``: the node of its tree times 16, twice the depth, and the bit.
     """
 
-    def __init__(self, pairs: np.ndarray):
-        place, bit, depth, sizes = [], [], [], []
-        for counts in pairs.reshape(256, 256).tolist():
-            heap = [(n + 1, b) for b, n in enumerate(counts)]
+    def __init__(self, counts: np.ndarray):
+        found = counts.reshape(-1, 256)
+        used, which = [np.zeros(256, np.int64)], np.zeros(len(found), np.int64)
+        for i in np.flatnonzero(found.any(axis=1)):  # what never occurred shares one code
+            which[i] = len(used)
+            used.append(found[i])
+        place, depth, sizes = [], [], []
+        for own in used:
+            heap = [(n + 1, b) for b, n in enumerate(own.tolist())]
             heapq.heapify(heap)
             child = {}
             for node in range(256, 511):
@@ -115,16 +134,17 @@ class Code:
                 sizes.append(len(ways[b]))
                 place += ways[b]
                 depth += range(len(ways[b]))
-        self.sizes = np.array(sizes, np.int64)
-        self.first = np.cumsum(self.sizes) - self.sizes
         way = np.array(place, np.uint16)
         self.flat = ((way >> 1) << 4) | (np.minimum(depth, DEPTHS - 1).astype(np.uint16) << 1) | (way & 1)
+        first = np.cumsum(sizes) - sizes
+        self.sizes = np.array(sizes, np.uint8).reshape(-1, 256)[which].ravel()
+        self.first = first.astype(np.int32).reshape(-1, 256)[which].ravel()
 
-    def bits(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The bits of each pair's byte in turn, and how many it has."""
-        sizes = self.sizes.take(pair)
+    def bits(self, triple: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bits of each triple's byte in turn, and how many it has."""
+        sizes = self.sizes.take(triple).astype(np.int64)
         ends = np.cumsum(sizes)
-        at = np.repeat(self.first.take(pair) - ends + sizes, sizes)
+        at = np.repeat(self.first.take(triple) - ends + sizes, sizes)
         at += np.arange(len(at))
         return self.flat.take(at), sizes
 
@@ -185,9 +205,9 @@ class Bits:
                              len(BLOCKS) + (place - edges[-1]) // BLOCKS[-1]).astype(np.uint32)
             order = np.argsort(block, kind="stable")
             at, block = at[order], block[order]
-        flat, sizes = code.bits((data[at - 1].astype(np.int32) << 8) | data[at])
+        flat, sizes = code.bits(triples(data, at))
         self.bit, self.depth = (flat & 1).astype(bool), (flat >> 1).astype(np.uint8) & 7
-        self._byte = np.repeat(np.arange(len(at), dtype=np.int32), sizes)
+        self._byte = np.repeat(np.arange(len(at)), sizes)
         self._place = flat >> 4
         self._contexts = [region(c[at], bits) for c, (_, bits) in zip(contexts(data), CONTEXTS, strict=True)]
         if by_block:
@@ -433,12 +453,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     train = src.where(~out)
     words = saved(word_counts(train), "mix-words")
     totals = words.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    pairs = np.zeros(1 << 16, np.int64)
-    for r in words.where("kind = 1").collect():  # 65,536 at most
-        pairs[int.from_bytes(r["key"], "big")] = r["n"]
+    follow = np.zeros(TRIPLES, np.int64)
+    for r in words.where("kind = 1").collect():  # TRIPLES at most
+        follow[int.from_bytes(r["key"], "big")] = r["n"]
     vocabulary = words.where("kind = 0").select("key", "n")
     hot = {bytes(r["key"]): r["n"] for r in vocabulary.where(F.col("n") >= hot_bound(vocabulary)).collect()}
-    code = Code(pairs)
+    code = Code(follow)
     weighed = F.coalesce(crc == 3, F.lit(False))
     model = learn_mix(train.where(weighed).select("text"), code, count_bits(train.where(~weighed).select("text"), code))
 
@@ -454,17 +474,20 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def word_counts(train: DataFrame) -> DataFrame:
-    """``kind, key, n``: counts of words and the end (kind 0), and of the pairs of
-    bytes of the streams, the end before the first (kind 1)."""
+    """``kind, key, n``: counts of words and the end (kind 0), and of the triples
+    of the streams, ends before the first byte (kind 1)."""
     def run(batch: pa.RecordBatch):
-        words, pairs = Counter(), np.zeros(1 << 16, np.int64)
+        words, follow = Counter(), np.zeros(TRIPLES, np.int64)
         for streams in _runs(batch.column(0), words):
-            data = np.frombuffer(END + b"".join(streams), np.uint8).astype(np.int64)
-            pairs += np.bincount(data[:-1] << 8 | data[1:], minlength=1 << 16)
-        at = np.flatnonzero(pairs)
+            for group in segments(streams, SLICE):
+                data = np.frombuffer(b"".join(x for p in group for x in p[2:]), np.uint8)
+                lengths = np.array([len(p[3]) for p in group])
+                at = np.arange(lengths.sum()) + np.repeat(BEFORE * np.arange(1, len(group) + 1), lengths)
+                follow += np.bincount(triples(data, at), minlength=TRIPLES)
+        at = np.flatnonzero(follow)
         kind = pa.array(np.repeat(np.array([0, 1], np.int8), [len(words), len(at)]))
-        keys = pa.array([*map(key_of, words), *(int(p).to_bytes(2, "big") for p in at)], pa.binary())
-        yield pa.RecordBatch.from_arrays([kind, keys, pa.array([*words.values(), *pairs[at].tolist()], pa.int64())], names=["kind", "key", "n"])
+        keys = pa.array([*map(key_of, words), *(int(p).to_bytes(4, "big") for p in at)], pa.binary())
+        yield pa.RecordBatch.from_arrays([kind, keys, pa.array([*words.values(), *follow[at].tolist()], pa.int64())], names=["kind", "key", "n"])
 
     found = arrow_map(train.select("text"), run, "kind byte, key binary, n long")
     return found.groupBy("kind", "key").agg(F.sum("n").alias("n"))

@@ -45,7 +45,7 @@ PLAIN = re.compile(f"[!-~{ACCENTED}]+")
 _SELF = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SELF)}
 #: Bytes of parts of words that are kept with their ids.
-PART_BYTES = 32 << 20
+PART_BYTES = 96 << 20
 #: Ids per block (a multiple of 64).
 BLOCK = 1 << 14
 
@@ -184,7 +184,7 @@ class Encoder:
         # where the vocabulary parts words by one pattern, ASCII words can be parted here and
         # each part, which many words share, goes to the library's merges once
         self.part, self.parts, self.part_bytes = self._pattern(spec), {}, 0
-        self.cache = PieceCache(self._encode, 96 << 20)
+        self.cache = PieceCache(self._encode, 192 << 20)
 
     def _pattern(self, spec: dict) -> re.Pattern | None:
         """The vocabulary's own pattern for the letters of ``PLAIN``, if that and

@@ -168,12 +168,13 @@ BEFORE = CONTEXTS[-1][0]
 def segments(streams: list[bytes], limit: int = SEGMENT) -> Iterator[list[tuple[int, int, bytes, bytes]]]:
     """Groups of pieces (stream, place of its first byte, bytes before, bytes)
     of about ``limit`` bytes: at most LANES whole short streams, or one piece of
-    a long one."""
+    a long one, cut where a block ends."""
     group, size = [], 0
     for i, s in enumerate(streams):
         if len(s) > limit:
-            for at in range(0, len(s), limit):
-                yield [(i, at, s[max(0, at - BEFORE):at].rjust(BEFORE, END), s[at:at + limit])]
+            cuts = [0, *range(limit - (limit - sum(BLOCKS)) % BLOCKS[-1], len(s), limit - limit % BLOCKS[-1]), len(s)]
+            for at, end in zip(cuts, cuts[1:]):
+                yield [(i, at, s[max(0, at - BEFORE):at].rjust(BEFORE, END), s[at:end])]
             continue
         if group and (size + len(s) > limit or len(group) == LANES):
             yield group

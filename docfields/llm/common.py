@@ -119,7 +119,7 @@ class PieceCache:
     documents is gathered at once. ``encode`` turns new segments into id lists.
     Emptied when it holds about ``limit`` bytes, keys and ids included."""
 
-    def __init__(self, encode: Callable[[list], list], limit: int = 64 << 20):
+    def __init__(self, encode: Callable[[list], list], limit: int = 112 << 20):
         self.encode, self.limit = encode, limit
         self.clear()
 

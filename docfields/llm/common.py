@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -151,10 +151,11 @@ class PieceCache:
         """Ids of all segments in turn, and how many each text has."""
         if self.bytes > self.limit:
             self.clear()
-        new = [s for s in dict.fromkeys(segments) if s not in self.at]
-        if new:
-            self._add(new)
-        k = np.fromiter(map(self.at.__getitem__, segments), np.int64, len(segments))
+        k = np.fromiter(map(self.at.get, segments, repeat(-1)), np.int64, len(segments))
+        missing = np.flatnonzero(k < 0).tolist()
+        if missing:
+            self._add(list(dict.fromkeys([segments[i] for i in missing])))
+            k[missing] = [self.at[segments[i]] for i in missing]
         sizes = self.sizes[k]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0

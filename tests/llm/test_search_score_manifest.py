@@ -377,3 +377,15 @@ def test_odd_ids_and_end_ids(spark):
     with pytest.raises(ValueError):
         token_store.token_store(docs, BPE, -1)
     assert token_store.token_store(docs, BPE, 1 << 20).first().n_tokens == 3
+
+
+def test_near_dedup_takes_columns_of_any_name_and_kind(spark):
+    rng = random.Random(9)
+    text = prose(rng, 80)
+    rows = [(1, text, "a", {"x": 1}, 5), (1, text, "b", {"x": 2}, 6), (2, text, "c", None, 7), (2, prose(rng, 80), "d", {}, 8), (None, text, "e", {}, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, row map<string,int>, number int") \
+                .withColumnsRenamed({"number": "_number"}).selectExpr("*", "1 AS id", "2 AS `_key`", "3 AS `a.b`")
+    import corpus_pipeline
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(r.key for r in got.collect()) == ["a", "d", "e"]

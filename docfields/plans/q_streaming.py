@@ -12,8 +12,11 @@ from docfields.streaming.extract_stream import read_document_stream, stream_extr
 
 
 def _stream(spark, sf_dir):
+    """The documents table as a stream, be it one file or a folder of parts. A
+    stream's folder cannot be a file, but a pattern may name either; this one
+    names the table only."""
     schema = read_table(spark, sf_dir, "documents").schema
-    return read_document_stream(spark, sf_dir, schema, glob="documents.parquet")
+    return read_document_stream(spark, f"{sf_dir.rstrip('/')}/documents.parque[t]", schema)
 
 
 @query("stream_extract_rules", RULES_LONG_SQL)

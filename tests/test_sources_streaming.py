@@ -4,6 +4,7 @@ import os
 from pyspark.sql import functions as F
 
 from docfields.operators import checks
+from docfields.plans import q_streaming
 from docfields.sources import readers, sinks
 from docfields.streaming.extract_stream import read_document_stream, stream_extract_rules
 from tests.conftest import SF_SMALL
@@ -77,3 +78,19 @@ def test_html_to_text_unclosed_tags(spark):
     got = {r.page_id: r for r in readers.read_html_pages(df).collect()}
     assert got[1].title == "T" and got[1].text == "T a b"
     assert got[2].text.startswith("k y y") and got[2].text.count("y") == 3000
+
+
+def test_stream_queries_read_a_folder_of_parts(spark, tmp_path):
+    """A documents table of several files, as of one, is read whole."""
+    rows = [(i, f"mail a{i}@b.org", "en", "web", 12) for i in range(6)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, parts in (("folder", 3), ("file", 1)):
+        written = str(tmp_path / f"{name}-parts")
+        table.repartition(parts).write.parquet(written)
+        (tmp_path / name).mkdir()
+        one = next((tmp_path / f"{name}-parts").glob("*.parquet"))
+        (one if name == "file" else tmp_path / f"{name}-parts").rename(tmp_path / name / "documents.parquet")
+        sf_dir = str(tmp_path / name)
+        assert q_streaming.q_stream_extract_rules(spark, sf_dir).where("field = 'email' and confidence > 0").count() == 6
+        batch = q_streaming.q_stream_batch_extract(spark, sf_dir).collect()
+        assert sorted(r.email for r in batch) == [f"a{i}@b.org" for i in range(6)]

@@ -4,7 +4,7 @@ import os
 from pyspark.sql import functions as F
 
 from docfields.operators import checks
-from docfields.plans import q_streaming
+from docfields.plans import q_documents, q_streaming
 from docfields.sources import readers, sinks
 from docfields.streaming.extract_stream import read_document_stream, stream_extract_rules
 from tests.conftest import SF_SMALL
@@ -94,3 +94,20 @@ def test_stream_queries_read_a_folder_of_parts(spark, tmp_path):
         assert q_streaming.q_stream_extract_rules(spark, sf_dir).where("field = 'email' and confidence > 0").count() == 6
         batch = q_streaming.q_stream_batch_extract(spark, sf_dir).collect()
         assert sorted(r.email for r in batch) == [f"a{i}@b.org" for i in range(6)]
+
+
+def test_document_files_share_folders(spark, tmp_path, monkeypatch):
+    """One file per document, many to a folder; null texts are empty lines, rows
+    of an id lines of its file, and an id may be missing."""
+    monkeypatch.setattr(q_documents, "FOLDER_FILES", 40)
+    rows = [(i, f"text {i} é", "en", "web", 8) for i in range(100)] + [(7, "again", "en", "web", 5), (200, None, None, None, None),
+                                                                      (None, "no id", "en", "web", 5)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    root = q_documents.write_document_files(spark, str(tmp_path))
+    assert len(os.listdir(root.removeprefix("file:"))) == 3
+    listed = {r.doc_id: r.length for r in q_documents.q_scan_documents(spark, str(tmp_path)).collect()}
+    assert len(listed) == 102 and listed[3] == len("text 3 é".encode()) + 1 and listed[200] == 1 and listed[None] == 6
+    pages = {r.doc_id: (r.page_no, r.text, r.error) for r in q_documents.q_read_pages(spark, str(tmp_path)).collect()}
+    assert pages[3] == (1, "text 3 é\n", None) and pages[7] in ((1, "text 7 é\nagain\n", None), (1, "again\ntext 7 é\n", None))
+    assert pages[200] == (1, "\n", None) and pages[None] == (1, "no id\n", None) and len(pages) == 102

@@ -84,9 +84,19 @@ def char_classes() -> np.ndarray:
 def unknown_characters() -> re.Pattern:
     """Code points that Python's Unicode tables do not have (yet), private and
     surrogate ones left out."""
-    none = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
+    return _characters([c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"])
+
+
+@lru_cache(1)
+def suspect_characters() -> re.Pattern:
+    """The unknown ones up to U+FFFF and all beyond. The engine finds these by
+    one look-up a character; beyond U+FFFF it tries range by range."""
+    return _characters([c for c in range(0x110000) if c > 0xFFFF or unicodedata.category(chr(c)) == "Cn"])
+
+
+def _characters(codes: list[int]) -> re.Pattern:
     runs, first = [], None
-    for a, b in zip([-2, *none], [*none, -2]):
+    for a, b in zip([-2, *codes], [*codes, -2]):
         if b != a + 1:
             if first is not None:
                 runs.append(f"\\U{first:08x}-\\U{a:08x}")
@@ -94,6 +104,12 @@ def unknown_characters() -> re.Pattern:
     return re.compile(f"[{''.join(runs)}]")
 
 
+def has_unknown(text: str) -> bool:
+    """Whether a text holds one of :func:`unknown_characters`."""
+    found = None if text.isascii() else suspect_characters().search(text)
+    return found is not None and unknown_characters().search(text, found.start()) is not None
+
+
 def classes_of(codes: np.ndarray) -> np.ndarray:
     cls = char_classes()[codes]
     at = np.flatnonzero(codes == 39)
@@ -324,7 +340,7 @@ class Counter:
         """Normal form of a text without its special strings, and their number.
         A text with unknown characters is counted whole by the library."""
         n = 0
-        if not text.isascii() and unknown_characters().search(text):
+        if has_unknown(text):
             return "", self.by_library(text)
         if self.special and "<|" in text:
             text, n = self.special.subn("\n", text)

@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -278,3 +279,17 @@ def test_main_text_of_the_table(spark):
         article = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
         parts = [" ".join(h.unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", article)]
         assert got[r.page_id].text == "\n".join(p for p in parts if p) and got[r.page_id].n_chars == len(got[r.page_id].text)
+
+
+def test_unknown_characters_are_found_at_little_cost():
+    """Texts of known characters beyond ASCII are not searched range by range."""
+    known = "naïve Straße 東京 привет " * 20_000
+    token_count.has_unknown("é\U0001F600")
+    begun = time.process_time()
+    found = [token_count.unknown_characters().search(known)]
+    slow = time.process_time() - begun
+    begun = time.process_time()
+    found.append(token_count.has_unknown(known) or None)
+    assert found == [None, None] and time.process_time() - begun < slow / 4
+    for text in ("plain", "é", "a\U0001F600b", "x͸", "é\U0001F600\U000E0FFF", "\U000E0FFF", "", "\U0010FFFD", "\U0001F600͸"):
+        assert token_count.has_unknown(text) == bool(token_count.unknown_characters().search(text)), ascii(text)

@@ -247,7 +247,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             merges.append(connected_components(links))
 
     named = member_of.distinct()
-    for merged in merges:
+    if merges:  # the rounds' components put together first, so that documents are named once
+        merged = merges[0] if len(merges) == 1 else connected_components(
+            reduce(DataFrame.union, [m.select(F.col("node").alias("u"), F.col("component").alias("v")) for m in merges]))
         named = (named.join(merged, named["id"] == merged["node"], "left")
                       .select("doc_id", F.coalesce("component", "id").alias("id")))
     named = saved(named.groupBy("doc_id").agg(F.min("id").alias("component_id")), "minhash-named")
@@ -262,8 +264,11 @@ def _unsettled(split: DataFrame, merged: DataFrame, seed: int) -> DataFrame:
     under their new components, without the last pivots, of which all is known,
     and without buckets that hold one component. Each with the next pivot of its
     bucket, a member of the largest component (``b``, its size ``m``, its component ``top``)."""
-    now = (split.where("id != b").join(merged, split["component"] == merged["node"], "left")
-                .select("key", "id", "n", F.coalesce(merged["component"], split["component"]).alias("component")))
+    # a member is named once, whatever the number of its buckets
+    members = split.where("id != b").groupBy("id", "n", "component").agg(F.collect_list("key").alias("keys"))
+    now = (members.join(merged, members["component"] == merged["node"], "left")
+                  .select("id", "n", F.coalesce(merged["component"], members["component"]).alias("component"), "keys")
+                  .select(F.explode("keys").alias("key"), "id", "n", "component"))
     order = F.xxhash64("id", F.lit(seed))
     held = now.groupBy("key", "component").agg(F.count("*").alias("size"), F.min_by("id", order).alias("b"), F.min_by("n", order).alias("m"))
     tops = held.groupBy("key").agg(F.max(F.struct("size", "component", "b", "m")).alias("t"), F.count("*").alias("held")).where("held > 1")
@@ -332,11 +337,14 @@ def _rare_pairs(rare: DataFrame, split: DataFrame, percent: int) -> DataFrame:
 
     apart = (side(held, 1, "component", "lo", "left").join(side(held, 2, "component", "lo", "left"), "key")
              .where((F.col("component1") < F.col("component2")) & enough("lo1", "lo2", "left1", "left2"))
-             .select("key", "component1", "component2"))
+             .select("key", "component1", "component2", "lo1", "left1", "lo2", "left2"))
     apart = saved(apart, "minhash-apart")
+    # members that may link with the best of the other component, then with each other
     members = named.join(several, "key")
-    first, second = (side(members, k, "component", "id", "n", "left") for k in (1, 2))
-    return (apart.join(first, ["key", "component1"]).join(second, ["key", "component2"])
-                 .where(_alike("n1", "n2", percent) & enough("n1", "n2", "left1", "left2"))
+    first, second = (side(members, k, "component", "id", "n", "left").withColumnRenamed(f"left{k}", f"from{k}") for k in (1, 2))
+    ones = (apart.join(first, ["key", "component1"]).where(enough("n1", "lo2", "from1", "left2"))
+                 .select("key", "component2", "component1", "id1", "n1", "from1"))
+    return (ones.join(second, ["key", "component2"])
+                 .where(_alike("n1", "n2", percent) & enough("n1", "n2", "from1", "from2"))
                  .select(F.col("id1").alias("a"), F.col("id2").alias("b"), F.col("component1").alias("of_a"), F.col("component2").alias("of_b"))
                  .dropDuplicates(["a", "b"]))

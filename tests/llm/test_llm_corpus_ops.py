@@ -325,3 +325,57 @@ def test_pipeline_takes_odd_rows(spark, odd, tmp_path):
             source = spark.read.parquet(str(tmp_path / name))
             source = stage(spark, source, SMALL)
         source.collect()
+
+
+def join_rows(df):
+    """Rows that each join of a query gave out."""
+    df.collect()
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(p.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(p.plan())
+        else:
+            if "Join" in name:
+                found.append(p.metrics().apply("numOutputRows").value())
+            todo += [p.children().apply(i) for i in range(p.children().length())]
+    return found
+
+
+def test_rare_pairs_leave_out_members_that_cannot_link(spark):
+    """Of a large component only members that may link meet those of others."""
+    large = [(1, i, 100, 100 if i == 1 else 20, 1) for i in range(1, 201)]
+    others = [(1, i, 100, 100, i) for i in range(1001, 1011)]
+    rows = spark.createDataFrame(large + others, "key long, id long, n long, left long, component long")
+    pairs = minhash._rare_pairs(rows.drop("component"), rows.select("id", "component"), 80)
+    assert {(r.a, r.b) for r in pairs.collect()} == {(a, b) for a in (1, *range(1001, 1011)) for b in range(1001, 1011) if a < b}
+    assert max(join_rows(pairs)) < 250
+
+
+def test_near_duplicates_name_documents_once(spark, monkeypatch):
+    """However many rounds find links, one join names the documents."""
+    written = {}
+    keep = minhash.saved
+
+    def saved(df, name, rows=None):
+        written.setdefault(name, []).append(df)
+        return keep(df, name, rows)
+
+    monkeypatch.setattr(minhash, "saved", saved)
+    words = [f"w{i}" for i in range(60)]
+    chain = [(i, " ".join(words[:i] + [f"x{j}" for j in range(i)] + words[i:])) for i in range(1, 30, 2)]
+    chain += [(100 + i, " ".join(words[:40] + [f"y{i}z{j}" for j in range(4)] + words[40:])) for i in range(30)]
+    docs = spark.createDataFrame(chain, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, k=2, percent=80).collect()}
+    sets = {i: set(minhash.shingles(t, 2).tolist()) for i, t in chain}
+    want = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    want[a] = want[b] = min(want[a], want[b])
+    assert got == want
+    assert sum(df._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") for df in written["minhash-named"]) == 1

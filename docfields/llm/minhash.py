@@ -8,9 +8,9 @@ all pairs are taken:
 
 1. each member is compared with the bucket's pivot, the smallest id;
 2. in buckets that still hold several components, members outside the largest
-   one are compared with another of its members, until that finds no more; a
-   pivot that has met all others, and a bucket of one component, are settled
-   and go;
+   one are compared with another of its members, until that finds no more or
+   next to nothing; a pivot that has met all others, and a bucket of one
+   component, are settled and go;
 3. members of buckets that hold several components still are joined exactly: a
    link needs a common shingle early in both sets' rare-first order (the prefix
    filter), so only members of different components that have one are compared.
@@ -40,8 +40,8 @@ BANDS, ROWS = 40, 5
 #: 200 with a deviation of 6, so none in a billion is lost.
 SIGNATURE_LEAST = 0.6
 SEED = 7
-#: Rounds of pivots at most; the rest is joined.
-ROUNDS = 20
+#: Rounds of pivots at most, and pairs a link of a round that is not the last; the rest is joined.
+ROUNDS, PAIRS_A_LINK = 20, 100
 #: Slots in which shingles are counted.
 SLOTS = 1 << 20
 
@@ -231,14 +231,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         pairs = saved(pairs, "minhash-pairs", size)
         done.append(pairs.select("a", "b"))
         links = compare.links(pairs)
-        merged = connected_components(links)
-        more = bool(links.head(1))
+        found = links.count()
+        if found:
+            merges.append(connected_components(links))
         dropped(links)
-        if more:
-            merges.append(merged)
-        last, split = split, saved(_unsettled(split, merged, seed), "minhash-split", size)
-        dropped(last)
-        if not more or not split.head(1):
+        now = _members(split, merges[-1] if found else None, size)
+        last, split = split, saved(_unsettled(now, seed), "minhash-split", size)
+        dropped(last, now)
+        # a round that finds little would name every member again for the next to find less
+        if not found or PAIRS_A_LINK * found < pairs.count() or not split.head(1):
             break
     if split.head(1):
         rare = saved(_rare_shingles(compare.sets, split, percent), "minhash-rare")
@@ -259,16 +260,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
                          F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _unsettled(split: DataFrame, merged: DataFrame, seed: int) -> DataFrame:
-    """Members of buckets (``key, id, n, component, b, m, top``) after a round:
-    under their new components, without the last pivots, of which all is known,
-    and without buckets that hold one component. Each with the next pivot of its
-    bucket, a member of the largest component (``b``, its size ``m``, its component ``top``)."""
-    # a member is named once, whatever the number of its buckets
-    members = split.where("id != b").groupBy("id", "n", "component").agg(F.collect_list("key").alias("keys"))
+def _members(split: DataFrame, merged: DataFrame | None, size: int) -> DataFrame:
+    """Members of buckets (``key, id, n, component``) after a round: without the
+    last pivots, of which all is known, and under their new components, if any."""
+    left = split.where("id != b").select("key", "id", "n", "component")
+    if merged is None:
+        return left
+    # a member is named once, whatever the number of its buckets, and written once, as its buckets are read twice
+    members = left.groupBy("id", "n", "component").agg(F.collect_list("key").alias("keys"))
     now = (members.join(merged, members["component"] == merged["node"], "left")
-                  .select("id", "n", F.coalesce(merged["component"], members["component"]).alias("component"), "keys")
-                  .select(F.explode("keys").alias("key"), "id", "n", "component"))
+                  .select("id", "n", F.coalesce(merged["component"], members["component"]).alias("component"), "keys"))
+    return saved(now.select(F.explode("keys").alias("key"), "id", "n", "component"), "minhash-now", size)
+
+
+def _unsettled(now: DataFrame, seed: int) -> DataFrame:
+    """The members ``now`` without buckets that hold one component. Each with
+    the next pivot of its bucket, a member of the largest component (``b``, its
+    size ``m``, its component ``top``)."""
     order = F.xxhash64("id", F.lit(seed))
     held = now.groupBy("key", "component").agg(F.count("*").alias("size"), F.min_by("id", order).alias("b"), F.min_by("n", order).alias("m"))
     tops = held.groupBy("key").agg(F.max(F.struct("size", "component", "b", "m")).alias("t"), F.count("*").alias("held")).where("held > 1")

@@ -379,3 +379,56 @@ def test_near_duplicates_name_documents_once(spark, monkeypatch):
                     want[a] = want[b] = min(want[a], want[b])
     assert got == want
     assert sum(df._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") for df in written["minhash-named"]) == 1
+
+
+def generated_rows(df):
+    """Rows that the explodes of a query gave out, each time that they ran."""
+    df.collect()
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(p.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(p.plan())
+        else:
+            if name == "Generate":
+                total += p.metrics().apply("numOutputRows").value()
+            todo += [p.children().apply(i) for i in range(p.children().length())]
+    return total
+
+
+def test_near_duplicates_unfold_members_a_bounded_number_of_times(spark, monkeypatch):
+    """Rounds that find next to nothing do not unfold a large group again and again."""
+    unfolded, buckets, members = [], [], []
+    keep = minhash.saved
+
+    def saved(df, name, rows=None):
+        out = keep(df, name, rows)
+        if name == "minhash-split" and not buckets:
+            buckets.append(out.count())
+        elif name in ("minhash-now", "minhash-split"):
+            unfolded.append(generated_rows(df))
+        elif name == "minhash-rare-pairs":
+            members.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "saved", saved)
+    rng = random.Random(41)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(150):  # alike, but few at the threshold
+        words = list(base)
+        for j in rng.sample(range(200), rng.choice([5, 6, *[8, 9, 10] * 10])):
+            words[j] = f"v{i}x{j}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, k=2, percent=80).collect()}
+    sets = {i: set(minhash.shingles(t, 2).tolist()) for i, t in rows}
+    want = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    while (new := {i: min([want[i], *(want[a + b - i] for a, b in links if i in (a, b))]) for i in want}) != want:
+        want = new
+    assert got == want and links
+    assert members and sum(unfolded) <= 2 * buckets[0]

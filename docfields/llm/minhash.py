@@ -204,6 +204,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     if repeated:  # rows that share an id: each text of it once
         reps = reps.dropDuplicates(["doc_id", "digest"])
     reps = saved(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "keys", "signature"), "minhash-firsts")
+    counts = saved(prints.select("doc_id", "n_shingles"), "minhash-counts")
+    dropped(prints, classes)
     wide = reps.select("id", "n", F.explode("keys").alias("key"))
     shared = saved(wide.groupBy("key").agg(F.min("id").alias("b"), F.min_by("n", "id").alias("m"), F.max("id").alias("last"))
                        .where("b < last").select("key", "b", "m"), "minhash-shared")
@@ -221,40 +223,47 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     # every member of a bucket with its pivot; components grow, and what may still hold a link shrinks
     merges, done = [], []
-    split = split.select("*", F.col("b").alias("top"))
+    written, split = split, split.select("*", F.col("b").alias("top"))
     for seed in range(ROUNDS):
         pairs = split.where((F.col("component") != F.col("top")) & _alike("n", "m", percent))
         pairs = pairs.select(F.col("id").alias("a"), "b", F.col("component").alias("of_a"), F.col("top").alias("of_b"))
         pairs = pairs.dropDuplicates(["a", "b"])
         if done:
-            pairs = pairs.join(reduce(DataFrame.union, done), ["a", "b"], "left_anti")
+            pairs = pairs.join(reduce(DataFrame.union, [p.select("a", "b") for p in done]), ["a", "b"], "left_anti")
         pairs = saved(pairs, "minhash-pairs", size)
-        done.append(pairs.select("a", "b"))
+        done.append(pairs)
         links = compare.links(pairs)
         found = links.count()
         if found:
             merges.append(connected_components(links))
         dropped(links)
         now = _members(split, merges[-1] if found else None, size)
-        last, split = split, saved(_unsettled(now, seed), "minhash-split", size)
-        dropped(last, now)
+        split = saved(_unsettled(now, seed), "minhash-split", size)
+        dropped(written, now)
+        written = split
         # a round that finds little would name every member again for the next to find less
         if not found or PAIRS_A_LINK * found < pairs.count() or not split.head(1):
             break
+    dropped(*done)
     if split.head(1):
         rare = saved(_rare_shingles(compare.sets, split, percent), "minhash-rare")
-        links = compare.links(saved(_rare_pairs(rare, split, percent), "minhash-rare-pairs"))
+        pairs = saved(_rare_pairs(rare, split, percent), "minhash-rare-pairs")
+        links = compare.links(pairs)
         if links.head(1):
             merges.append(connected_components(links))
+        dropped(rare, pairs, links)
+    dropped(split, compare.marks, compare.sets)
 
     named = member_of.distinct()
     if merges:  # the rounds' components put together first, so that documents are named once
-        merged = merges[0] if len(merges) == 1 else connected_components(
-            reduce(DataFrame.union, [m.select(F.col("node").alias("u"), F.col("component").alias("v")) for m in merges]))
+        if len(merges) > 1:
+            merges.append(connected_components(reduce(DataFrame.union, [m.select(F.col("node").alias("u"), F.col("component").alias("v")) for m in merges])))
+        merged = merges[-1]
         named = (named.join(merged, named["id"] == merged["node"], "left")
                       .select("doc_id", F.coalesce("component", "id").alias("id")))
     named = saved(named.groupBy("doc_id").agg(F.min("id").alias("component_id")), "minhash-named")
-    result = prints.select("doc_id", "n_shingles").join(named, "doc_id", "left")
+    dropped(member_of, again, *merges)  # what is left is what the result reads
+    result = counts.join(named, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return result.select("doc_id", "n_shingles", component.alias("component_id"),
                          F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

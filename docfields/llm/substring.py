@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docfields.llm.common import arrow_map, prepare, saved, slices
+from docfields.llm.common import arrow_map, dropped, prepare, saved, slices
 
 #: Bytes of a chunk, and how often a word's or a wide character's end is a cut.
 LEAST, MOST = 24, 512
@@ -159,17 +159,25 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     place holds, as (place, the first place's doc_id).
 
     Places are ordered by ``doc_id``, then by the text's key where several texts
-    share an id, then by number. Two passes over the chunks: the first place and
-    a count per digest (combined before the shuffle), written as a table, and a
-    join with the digests that repeat, whose large keys Spark splits. A
-    document's marks are no more than its chunks.
+    share an id, then by number. Two passes over the chunks: a count by one half
+    of the digest (8 bytes a chunk, combined before the shuffle), and the places
+    of the chunks whose half repeats. Among these, told apart by whole digests,
+    the first place of each is found. What is joined comes from written tables,
+    so Spark splits large keys; only the marks stay written. A document's marks
+    are no more than its chunks.
     """
     at = F.struct("doc_id", "text_key", "place")
-    found = chunk_rows(docs).groupBy("high", "low").agg(F.min(at).alias("first"), F.count("*").alias("n"))
+    halves = chunk_rows(docs).groupBy("high").agg(F.count("*").alias("n"))
+    halves = saved(halves.where("n > 1").select("high"), "substring-halves")
+    places = saved(chunk_rows(docs).join(halves, "high", "left_semi"), "substring-places")
+    dropped(halves)
+    found = places.groupBy("high", "low").agg(F.min(at).alias("first"), F.count("*").alias("n"))
     twice = saved(found.where("n > 1").select("high", "low", "first"), "substring-repeats")
-    marks = chunk_rows(docs).join(twice, ["high", "low"]).where(at != F.col("first"))
-    return marks.groupBy("doc_id", "text_key").agg(
-        F.collect_set(F.struct("place", F.col("first.doc_id").alias("owner"))).alias("marks"))
+    marks = places.join(twice, ["high", "low"]).where(at != F.col("first"))
+    out = saved(marks.groupBy("doc_id", "text_key").agg(
+        F.collect_set(F.struct("place", F.col("first.doc_id").alias("owner"))).alias("marks")), "substring-marks")
+    dropped(places, twice)
+    return out
 
 
 def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text",

@@ -1,13 +1,15 @@
 """Cases in which an operator once did less than its whole job."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docfields.llm import hnsw, html_cut, quality, substring
+from docfields.llm import common, components, hnsw, html_cut, minhash, quality, substring
 from docfields.llm.queries import PIECES
 
 
@@ -45,6 +47,60 @@ def test_texts_that_share_an_id_are_cut_each_for_itself(spark):
     assert sum(map(len, texts)) <= len(copied) + len(unique) + 100 and " ".join(texts).count(copied[600:800]) == 1
 
 
+def written_by(monkeypatch, *modules):
+    """Tables that the modules write from now on, by name."""
+    tables = {}
+
+    def saved(df, name, *rows):
+        out = common.saved(df, name, *rows)
+        tables.setdefault(name, []).append(out)
+        return out
+
+    for m in modules:
+        monkeypatch.setattr(m, "saved", saved)
+    return tables
+
+
+def left_of(tables):
+    return {name for name, found in tables.items() for t in found if Path(t.scratch.removeprefix("file:")).exists()}
+
+
+def test_substrings_leave_little_on_disk(spark, monkeypatch):
+    """The count of all chunks ships half a digest a chunk; only the marks stay written."""
+    tables = written_by(monkeypatch, substring)
+    rng = random.Random(23)
+    copied = random_words(rng, 200)
+    texts = [random_words(rng, 100) + f" {i} " + (copied if i % 2 else "") for i in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = substring.dedup_substrings(docs)
+    assert sum(copied[100:800] in r.text for r in got.collect()) == 1
+    assert tables["substring-halves"][0].columns == ["high"] and left_of(tables) == {"substring-marks"}
+
+
+def test_chunks_are_told_apart_by_whole_digests(spark, monkeypatch):
+    rng = random.Random(24)
+    copied = random_words(rng, 200)
+    texts = [random_words(rng, 100) + f" {i} " + (copied if i % 2 else "") for i in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(substring.dedup_substrings(docs).collect())
+    rows = substring.chunk_rows
+    monkeypatch.setattr(substring, "chunk_rows", lambda d: rows(d).withColumn("high", F.lit(5).cast("long")))
+    assert sorted(substring.dedup_substrings(docs).collect()) == want and sum(r.n_cut for r in want) == 5
+
+
+def test_near_duplicates_leave_little_on_disk(spark, monkeypatch):
+    """Signatures, sets and pairs go once the components are written."""
+    tables = written_by(monkeypatch, minhash, components)
+    rng = random.Random(25)
+    words = random_words(rng, 120).split()
+    texts = [" ".join(words[:i] + [f"x{i}"] + words[i + 1:]) for i in range(20)] + [random_words(rng, 60)] * 2
+    docs = spark.createDataFrame([*enumerate(texts), (3, texts[3]), (90, None)], "doc_id long, text string")
+    got = minhash.near_duplicates(docs)
+    assert {r.doc_id for r in got.where("kept").collect()} == {0, 20, 90}
+    assert left_of(tables) - {"minhash-rest", "minhash-named-rare", "minhash-several", "minhash-held", "minhash-apart"} == {
+        "minhash-counts", "minhash-named"}
+
+
 def test_near_dedup_goes_by_row(spark):
     rng = random.Random(22)
     copied, unique, third = (random_words(rng, 80) for _ in range(3))

@@ -3,6 +3,7 @@ import os
 import pytest
 from pyspark.errors import AnalysisException
 
+from docfields.operators import checks
 from docfields.plans import q_documents
 from docfields.sources import readers
 
@@ -54,3 +55,48 @@ def test_the_driver_holds_no_document_file(spark, tmp_path):
     listed = q_documents.q_scan_documents(spark, documents(spark, tmp_path, 600))
     assert not any("doc_id=" in f for f in listed.inputFiles())
     assert {r.doc_id: r.length for r in listed.collect()} == {i: len(f"text {i} é".encode()) + 1 for i in range(600)}
+
+
+@pytest.mark.parametrize("glob", ["*.txt", "*.{txt,TXT}"])
+def test_tasks_read_what_spark_reads(spark, odd, glob):
+    files = readers.scan_documents(spark, odd, glob=glob, with_content=True)
+    want = binary_files(spark, odd, glob).select(*COLUMNS, "content")
+    assert sorted(files.collect()) == sorted(want.collect()) and files.dtypes == want.dtypes
+
+
+def test_few_tasks_read_many_files(spark, tmp_path):
+    pages = q_documents.q_read_pages(spark, documents(spark, tmp_path, 600))
+    assert pages.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert {r.doc_id: (r.page_no, r.text, r.error) for r in pages.collect()} == {i: (1, f"text {i} é\n", None) for i in range(600)}
+
+
+def test_files_longer_than_a_batch(spark, tmp_path):
+    """Batches are cut by bytes, and come back to the rows they belong to."""
+    for i in range(24):
+        (tmp_path / f"{i}.pdf").write_bytes(bytes([i]) * ((i % 4) * 9_000_000 + 1))
+    (tmp_path / "long.pdf").write_bytes(b"x" * 40_000_000)
+    files = readers.scan_documents(spark, str(tmp_path), with_content=True)
+    got = files.selectExpr("regexp_extract(path, '([^/]+).pdf', 1) name", "length", "md5(content) = md5(repeat('x', 40000000)) is_long",
+                           "octet_length(content) n", "hex(substr(content, 1, 1)) first", "hex(substr(content, -1)) last").collect()
+    assert len(got) == 25 and all(r.length == r.n for r in got)
+    assert {r.name: (r.n, r.first, r.last) for r in got if r.name != "long"} == {
+        str(i): ((i % 4) * 9_000_000 + 1, f"{i:02X}", f"{i:02X}") for i in range(24)}
+    assert [r.name for r in got if r.is_long] == ["long"]
+
+
+def test_files_are_read_only_where_needed(spark, tmp_path):
+    for name in ("a", "b", "gone"):
+        (tmp_path / f"{name}.pdf").write_bytes(name.encode() * (1 if name != "gone" else 1000))
+    files = readers.scan_documents(spark, str(tmp_path), with_content=True)
+    (tmp_path / "gone.pdf").unlink()
+    assert sorted(bytes(r.content) for r in checks.size_filter(files, max_mb=0.001).collect()) == [b"a", b"b"]
+    assert files.select("path").count() == 3
+
+
+def test_too_long_files_fail_as_before(spark, odd):
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 18)
+    try:
+        with pytest.raises(Exception, match="binaryFile.maxLength"):
+            readers.scan_documents(spark, odd, glob="*.txt", with_content=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")

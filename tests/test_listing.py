@@ -3,8 +3,8 @@ import os
 import pytest
 from pyspark.errors import AnalysisException
 
-from docfields.operators import checks
-from docfields.plans import q_documents
+from docfields.operators import batch, checks, model_stage
+from docfields.plans import q_documents, q_results
 from docfields.sources import readers
 
 COLUMNS = ["path", "modificationTime", "length"]
@@ -100,3 +100,24 @@ def test_too_long_files_fail_as_before(spark, odd):
             readers.scan_documents(spark, odd, glob="*.txt", with_content=True).collect()
     finally:
         spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_documents_are_not_broadcast_by_the_size_of_their_list(spark, tmp_path, monkeypatch):
+    """A list of files is small where their content is not: joins with texts must not go by it."""
+    plans = []
+
+    def staged(df, path=None):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return model_stage.stage_to_table(df, path)
+
+    monkeypatch.setattr(batch, "stage_to_table", staged)
+    rows = q_results.q_extract_files(spark, documents(spark, tmp_path, 600)).collect()
+    right = plans[0].split("SortMergeJoin [_path")
+    assert len(right) == 3 and "listagg" in right[2] and "LeftOuter, BuildRight" not in plans[0]
+    got = {r.seq: (r.source_file, r.error) for r in rows}
+    assert len(rows) == len(got) == 600 + 60 + 24 and got[1_000_010] == ("no-10", "PDF file not found: no-10")
+    assert got[13] == ("13", readers.NOT_UTF8_MESSAGE) and got[2_000_025] == got[25]
+    for i in (i for i in range(600) if i % 13):
+        kind = len(f"\n--- Page 1 ---\ntext {i} é\n") % 5
+        assert got[i] == (str(i), ["extractor returned NoneType instead of text", "extractor returned dict instead of text",
+                                   "Failed to parse extraction result", "extractor failed", None][kind])
